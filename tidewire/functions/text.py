@@ -12,12 +12,17 @@ from pyspark.sql.types import StringType
 
 from ..rules import lexicon as L
 
-# ``\b`` with ASCII word characters, so accented neighbours count as non-word.
-ASCII_B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+# ASCII word boundaries: Java's own ``\b`` also counts accented letters as word characters.
+_START = r"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])"
+_END = r"(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])"
 
 
 def ascii_words(pattern: str) -> str:
-    return pattern.replace(r"\b", ASCII_B)
+    """Replace a leading ``\b`` by a word start and every later one by a word end."""
+    flags, rest = (pattern[:4], pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    if rest.startswith(r"\b"):
+        rest = _START + rest[2:]
+    return flags + rest.replace(r"\b", _END)
 
 
 def col(c) -> Column:
@@ -261,40 +266,48 @@ def ngrams(tokens, n: int = 6) -> Column:
 
 
 def copy_overlap(original, rewritten, n: int = 6) -> Column:
-    """Share of the original's n-gram positions that also occur in the rewrite."""
-    orig = ngrams(words(normalize_text(original)), n)
-    rew = F.array_distinct(ngrams(words(normalize_text(rewritten)), n))
+    """Share of the original's n-gram positions that also occur in the rewrite.
+
+    Both arguments are token-array columns (``words(normalize_text(...))``) computed beforehand.
+    """
+    orig = ngrams(original, n)
+    rew = F.array_distinct(ngrams(rewritten, n))
     shared = F.size(F.filter(orig, lambda g: F.array_contains(rew, g)))
     return F.when((F.size(orig) > 0) & (F.size(rew) > 0), shared / F.size(orig)).otherwise(F.lit(0.0))
 
 
-def redact_pii(c) -> tuple[Column, Column]:
-    """Redacted text and the array of (type, original, replacement) findings.
+_FINDINGS = "array<struct<type:string,original:string,replacement:string>>"
+
+
+def redact_pii(c) -> Column:
+    """struct(clean, findings): rules in order, each on the text the rules before it left.
 
-    Every rule sees the text already redacted by the rules before it.
+    A rule is one step of nested one-element transforms, so every intermediate text is built once.
+    Text without three digits in a row or an ``@`` cannot match any rule and passes untouched.
     """
-    text, found = col(c), []
+    none = F.expr(f"cast(array() as {_FINDINGS})")
+    start = F.struct(col(c).alias("clean"), none.alias("findings"))
+    state = start
     for kind, pattern, mark in L.PII_RULES:
         pattern = ascii_words(pattern)
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        found.append(F.transform(hits, lambda m: F.struct(
-            F.lit(kind).alias("type"), m.alias("original"), F.lit(mark).alias("replacement"))))
-        text = F.regexp_replace(text, pattern, mark)
-    return text, F.concat(*found)
 
+        def rule(p):
+            hits = F.transform(F.regexp_extract_all(p["clean"], F.lit(pattern), F.lit(0)), lambda m: F.struct(
+                F.lit(kind).alias("type"), m.alias("original"), F.lit(mark).alias("replacement")))
+            return F.struct(F.regexp_replace(p["clean"], pattern, mark).alias("clean"),
+                            F.concat(p["findings"], hits).alias("findings"))
 
-def with_redaction(df, source: str, text: str = "clean", findings: str = "findings"):
-    """Same rules as :func:`redact_pii`, one projection per rule so each text is built once."""
-    df = df.withColumn(text, F.col(source)).withColumn(
-        findings, F.expr("cast(array() as array<struct<type:string,original:string,replacement:string>>)"))
-    for kind, pattern, mark in L.PII_RULES:
-        pattern = ascii_words(pattern)
-        hits = F.transform(
-            F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)),
-            lambda m: F.struct(F.lit(kind).alias("type"), m.alias("original"), F.lit(mark).alias("replacement")))
-        df = df.withColumn(findings, F.concat(F.col(findings), hits)).withColumn(
-            text, F.regexp_replace(F.col(text), pattern, mark))
-    return df
+        state = F.get(F.transform(F.array(state), rule), F.lit(0))
+    return F.when(col(c).rlike("[0-9]{3}|@"), state).otherwise(start)
+
+
+def findings_summary(findings) -> Column:
+    """Counts per type as one sentence, or null without findings."""
+    kinds = F.array_distinct(F.transform(col(findings), lambda f: f["type"]))
+    parts = F.transform(kinds, lambda k: F.concat(
+        F.lower(k), F.lit(": "), F.size(F.filter(col(findings), lambda f: f["type"] == k)).cast("string")))
+    return F.when(F.size(kinds) > 0, F.concat(
+        F.lit("Datos personales eliminados automaticamente ("), F.array_join(parts, ", "), F.lit(").")))
 
 
 _VICTIM_AFTER = r"\b(herid|fallecid|muerto|muert|víctim|victima|personas|implicad|lesionad)\w*"

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("catalog_reports",)
+_MODULES = ("catalog_reports", "text_columns")
 
 
 def _load():
