@@ -23,7 +23,7 @@ def parse_source_date(c, assume_local: bool = False) -> Column:
     zoned = v.rlike(r"(?i)(?:Z|[+\-]\d{2}:?\d{2})$")
     is_iso = v.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}")
     iso_ts = v.try_cast("timestamp")
-    local_iso = F.to_utc_timestamp(iso_ts, L.LOCAL_ZONE)
+    local_iso = local_to_utc(iso_ts)
     is_day = v.rlike(r"^\d{4}-\d{2}-\d{2}$")
     a = F.regexp_extract(v, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", 1).try_cast("int")
     b = F.regexp_extract(v, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", 2).try_cast("int")
@@ -64,7 +64,14 @@ def validate_date(c, as_of: Column, max_age_days: int = L.MAX_AGE_DAYS, slack_mi
 
 
 def local_to_utc(c) -> Column:
-    return F.to_utc_timestamp(col(c), L.LOCAL_ZONE)
+    """Two-pass offset lookup: the repeated autumn hour means the later instant."""
+    wall = F.unix_micros(col(c))
+
+    def offset(micros):
+        ts = F.timestamp_micros(micros)
+        return F.unix_micros(F.from_utc_timestamp(ts, L.LOCAL_ZONE)) - micros
+
+    return F.timestamp_micros(wall - offset(wall - offset(wall)))
 
 
 def utc_to_local(c) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,8 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..rules import lexicon as L
 from ..rules.places import MUNICIPALITIES, ZONES
 from .text import col, deaccent, norm
+from .wordlist import digest, tree_pattern
 
-PLACE_TYPE = "struct<term:string,municipality:string,zone:string,area:string>"
+EMPTY = " |  | "  # digest of a text without any term
 
 
 def plain(s: str) -> str:
@@ -70,13 +72,17 @@ def _counted(text: Column, pattern: str) -> Column:
 
 def injuries(text) -> Column:
     text = col(text)
-    return F.when(text.rlike(L.NO_INJURY), F.lit(0)).otherwise(
+    counted = F.when(text.rlike(L.NO_INJURY), F.lit(0)).otherwise(
         F.coalesce(_counted(text, L.INJURY_COUNT), F.when(text.rlike(L.INJURY_BARE), F.lit(1))))
+    # Plain containment first: most texts hold none of the stems.
+    return F.when(text.contains("herid") | text.contains("iles") | text.contains("lesion"), counted)
 
 
 def fatalities(text) -> Column:
     text = col(text)
-    return F.coalesce(_counted(text, L.DEATH_COUNT), F.when(text.rlike(L.DEATH_BARE), F.lit(1)))
+    counted = F.coalesce(_counted(text, L.DEATH_COUNT), F.when(text.rlike(L.DEATH_BARE), F.lit(1)))
+    stems = ("fallec", "muer", "murie", "murio", "victimas")
+    return F.when(functools.reduce(lambda a, b: a | b, [text.contains(w) for w in stems]), counted)
 
 
 def road(text) -> Column:
@@ -85,9 +91,9 @@ def road(text) -> Column:
     return F.when(best.isNotNull(), F.concat(F.lit("LZ-"), best.cast("string")))
 
 
-def place(text) -> Column:
-    """Most specific place named in the text, or null."""
-    padded = pad(text)
+def place(padded) -> Column:
+    """Most specific place named in blank-padded text or its digest, or null."""
+    padded = col(padded)
     hits = [
         F.when(has_term(padded, term), F.struct(
             F.lit(term).alias("term"), F.lit(town).alias("municipality"),
@@ -97,14 +103,18 @@ def place(text) -> Column:
     return F.coalesce(*hits)
 
 
-def category(text, incident=None, early=None, topics=None, strong=None) -> Column:
-    """Incident rules on a strong signal, early topics, weak incident rules, other topics."""
-    text = col(text)
-    is_strong = text.rlike(strong or L.STRONG_SIGNAL)
-    inc = first_rule(text, incident or L.INCIDENT_RULES)
-    return F.coalesce(
-        F.when(is_strong, inc), first_rule(text, early or L.EARLY_RULES),
-        F.when(~is_strong, inc), first_rule(text, topics or L.TOPIC_RULES))
+def category(text, terms) -> Column:
+    """Incident rules on a strong signal, early topics, weak incident rules, other topics.
+
+    The strong signal is a list of word beginnings and reads the text; the word rules read its digest.
+    """
+    terms = col(terms)
+    is_strong = col(text).rlike(L.STRONG_SIGNAL)
+    inc = first_rule(terms, L.INCIDENT_RULES)
+    found = F.coalesce(
+        F.when(is_strong, inc), first_rule(terms, L.EARLY_RULES),
+        F.when(~is_strong, inc), first_rule(terms, L.TOPIC_RULES))
+    return F.when(F.char_length(terms) > len(EMPTY), found)
 
 
 def vehicle(text) -> Column:
@@ -131,23 +141,23 @@ def time_of_day(raw) -> Column:
     return F.when(ok, F.concat(F.lpad(hh, 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0")))
 
 
-def other_island(text) -> Column:
-    padded = pad(text)
+def other_island(padded) -> Column:
+    padded = col(padded)
     expr = F.lit(False)
     for term in L.OTHER_ISLANDS:
         expr = expr | has_term(padded, term)
     return expr
 
 
-def relevance_weight(title_norm, body_norm, terms=None) -> Column:
-    t, b = pad(title_norm), pad(body_norm)
+def relevance_weight(title_padded, body_padded, terms=None) -> Column:
+    t, b = col(title_padded), col(body_padded)
     return sum(
         (F.when(has_term(t, w), F.lit(2 * n)).when(has_term(b, w), F.lit(n)).otherwise(F.lit(0))
          for w, n in (terms or L.RELEVANCE)), F.lit(0))
 
 
-def matched_terms(title_norm, body_norm, terms=None) -> Column:
-    t, b = pad(title_norm), pad(body_norm)
+def matched_terms(title_padded, body_padded, terms=None) -> Column:
+    t, b = col(title_padded), col(body_padded)
     return F.array_compact(F.array(*[
         F.when(has_term(t, w) | has_term(b, w), F.lit(w)) for w, _ in (terms or L.RELEVANCE)]))
 
@@ -157,39 +167,40 @@ def relevance(weight) -> Column:
 
 
 def with_facts(df: DataFrame, title: str, body: str, out: str = "facts") -> DataFrame:
-    """Add the fact struct, the relevance score and the normalised text columns ``_t _b _c``."""
+    """Add the fact struct, the relevance score, the normalised text ``_t _b _c`` and the digest ``_h``."""
     df = df.withColumn("_t", norm(title)).withColumn("_b", norm(body))
-    df = df.withColumn("_c", F.concat_ws(" ", "_t", "_b"))
+    df = df.withColumn("_c", F.concat_ws(" ", "_t", "_b")).withColumn("_ht", digest("_t")).withColumn("_hb", digest("_b"))
+    # A term may span the end of the title and the start of the body only in the joined text.
+    df = df.withColumn("_h", digest("_c"))
     df = (
-        df.withColumn("_weight", relevance_weight("_t", "_b"))
-        .withColumn("_category", category("_c"))
+        df.withColumn("_weight", relevance_weight("_ht", "_hb"))
+        .withColumn("_category", category("_c", "_h"))
         .withColumn("_hurt", injuries("_c"))
         .withColumn("_dead", fatalities("_c"))
-        .withColumn("_place", F.coalesce(place("_t"), place("_b")))
+        .withColumn("_place", F.coalesce(place("_ht"), place("_hb")))
     )
     seen = (F.col("_weight") > 0) | F.col("_category").isNotNull()
     values = {
         "municipality": F.col("_place.municipality"), "zone": F.col("_place.zone"),
-        "area": F.col("_place.area"), "road": road("_c"), "vehicle": vehicle("_c"),
-        "category": F.col("_category"), "severity": severity("_c", "_dead", "_hurt"),
+        "area": F.col("_place.area"), "road": road("_c"), "vehicle": vehicle("_h"),
+        "category": F.col("_category"), "severity": severity("_h", "_dead", "_hurt"),
         "injuries": F.col("_hurt"), "fatalities": F.col("_dead"),
         "time_of_day": time_of_day(F.concat_ws(" ", title, body)),
     }
     fields = [F.when(seen, v).alias(k) for k, v in values.items()]
-    fields.append((seen & other_island("_c")).alias("outside"))
-    fields.append(F.when(seen, matched_terms("_t", "_b")).otherwise(
+    fields.append((seen & other_island("_h")).alias("outside"))
+    fields.append(F.when(seen, matched_terms("_ht", "_hb")).otherwise(
         F.array().cast("array<string>")).alias("matched"))
     return (
         df.withColumn(out, F.struct(*fields))
         .withColumn("relevance", relevance("_weight"))
-        .drop("_weight", "_category", "_hurt", "_dead", "_place")
+        .drop("_weight", "_category", "_hurt", "_dead", "_place", "_ht", "_hb")
     )
 
 
-def scope_gate(combined) -> Column:
-    """struct(local, reason) for normalised title + body text."""
-    text = col(combined)
-    padded = pad(text)
+def scope_gate(combined, terms) -> Column:
+    """struct(local, reason) for normalised title + body text and its digest."""
+    text, padded = col(combined), col(terms)
     local = first_term(padded, local_terms())
     city = first_term(padded, L.MAINLAND_CITIES)
     return (
@@ -206,25 +217,27 @@ def _verdict(local: bool, reason: Column) -> Column:
 
 def _root_hits(padded: Column, roots: list[str]) -> Column:
     """Roots that start a word at most four characters longer, in rule order."""
-    pattern = f"(?<= )(?:{'|'.join(roots)})[a-z0-9]{{0,{L.ROOT_SLACK}}}(?= )"
+    pattern = f"(?<= )(?:{tree_pattern(roots)})[a-z0-9]{{0,{L.ROOT_SLACK}}}(?= )"
     found = F.array_distinct(F.regexp_extract_all(padded, F.lit(pattern), F.lit(0)))
-    return F.filter(
-        F.array(*[F.lit(r) for r in roots]),
-        lambda r: F.exists(found, lambda w: F.startswith(w, r) & (
+
+    def named(words):
+        return F.filter(F.array(*[F.lit(r) for r in roots]), lambda r: F.exists(words, lambda w: F.startswith(w, r) & (
             F.char_length(w) <= F.char_length(r) + L.ROOT_SLACK)))
 
+    # One-element transform: the words are collected once; texts without any skip the root list.
+    none = F.array().cast("array<string>")
+    return F.get(F.transform(F.array(found), lambda w: F.when(F.size(w) > 0, named(w)).otherwise(none)), F.lit(0))
+
 
-def traffic_gate(combined) -> Column:
-    """struct(accident, reason, events, vehicles) for normalised title + body text."""
-    text = col(combined)
+def traffic_gate(combined, terms) -> Column:
+    """struct(accident, reason, events, vehicles) for normalised title + body text and its digest."""
+    text, terms = col(combined), col(terms)
     padded = pad(text)
     exact = F.filter(F.split(text, " "), lambda w: w.isin(L.VEHICLE_WORDS))
     by_road = F.when(text.rlike(L.GATE_ROAD), F.array(F.lit("carretera-lz"))).otherwise(
         F.array().cast("array<string>"))
     vehicles = F.concat(_root_hits(padded, L.VEHICLE_ROOTS), exact, by_road)
-    phrases = F.filter(
-        F.array(*[F.lit(p) for p in L.EVENT_PHRASES]),
-        lambda p: F.contains(padded, F.concat(F.lit(" "), p, F.lit(" "))))
+    phrases = F.array_compact(F.array(*[F.when(has_term(terms, p), F.lit(p)) for p in L.EVENT_PHRASES]))
     events = F.concat(_root_hits(padded, L.EVENT_ROOTS), phrases)
     fires = _root_hits(padded, L.FIRE_ROOTS)
     parts = F.struct(events.alias("e"), fires.alias("f"), vehicles.alias("v"))
@@ -244,17 +257,16 @@ def traffic_gate(combined) -> Column:
         return F.struct(accident.alias("accident"), reason.alias("reason"),
                         listed.alias("events"), p["v"].alias("vehicles"))
 
-    # One-element transform: the three match lists are computed once and used many times.
     return F.get(F.transform(F.array(parts), judge), F.lit(0))
 
 
-def resolve_category(detected, title, summary, body) -> Column:
+def with_resolved_category(df: DataFrame, detected: Column, title: str, summary: str, body: str,
+                           out: str = "category") -> DataFrame:
     """Detected category, else a second reading of everything, else the traffic gate, else OTRO."""
-    whole = F.concat_ws(" ", col(title), col(summary), col(body))
-    text = F.concat_ws(" ", norm(title), norm(whole))
-    return F.coalesce(
-        col(detected), category(text),
-        F.when(traffic_gate(text)["accident"], F.lit("ACCIDENTE_TRAFICO")), F.lit("OTRO"))
+    whole = F.concat_ws(" ", norm(title), norm(F.concat_ws(" ", title, summary, body)))
+    df = df.withColumn("_all", whole).withColumn("_hall", digest("_all"))
+    gate = F.when(traffic_gate("_all", "_hall")["accident"], F.lit("ACCIDENTE_TRAFICO"))
+    return df.withColumn(out, F.coalesce(detected, category("_all", "_hall"), gate, F.lit("OTRO"))).drop("_all", "_hall")
 
 
 def family(cat) -> Column:

@@ -121,10 +121,17 @@ def displaced(key, lat, lon, rings=None, attempts: int = 60) -> Column:
 
     if rings is None:
         return F.when(lat.isNotNull() & lon.isNotNull(), candidate(F.lit(0)))
-    tries = F.transform(F.sequence(F.lit(0), F.lit(2 * attempts - 1)), candidate)
+    # Most points settle within a few tries: those are unrolled and stop at the first safe one.
+    def first_tries(i):
+        p = candidate(F.lit(i))
+        return F.when(is_safe_site(p["lat"], p["lon"], rings), p)
+
+    unrolled = min(6, attempts)
+    tries = F.transform(F.sequence(F.lit(unrolled), F.lit(2 * attempts - 1)), candidate)
     own = F.struct(lat.alias("lat"), lon.alias("lon"))
     safe = F.filter(F.concat(tries, F.array(own)), lambda p: is_safe_site(p["lat"], p["lon"], rings))
-    return F.when(lat.isNotNull() & lon.isNotNull(), F.get(safe, F.lit(0)))
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.coalesce(
+        *[first_tries(i) for i in range(unrolled)], F.get(safe, F.lit(0))))
 
 
 def pin_status(lat, lon, ref_lat, ref_lon) -> Column:

@@ -9,6 +9,7 @@ from ..rules.places import MUNICIPALITIES
 from .dates import validate_date
 from .facts import plain, scope_gate, traffic_gate
 from .text import ascii_words, col, norm, word_count
+from .wordlist import digest
 
 
 # --- constraints ------------------------------------------------------------------
@@ -186,7 +187,8 @@ def editorial_errors(df: DataFrame, out: str = "errors") -> DataFrame:
     c = F.col
     df = df.withColumn("_text", F.trim(F.concat_ws(" ", "title", "summary", "body")))
     df = df.withColumn("_n", norm("_text")).withColumn("_tn", F.concat_ws(" ", norm("title"), "_n"))
-    df = df.withColumn("_gate", traffic_gate("_tn")).withColumn("_scope", scope_gate("_tn"))
+    df = df.withColumn("_h", digest("_tn"))
+    df = df.withColumn("_gate", traffic_gate("_tn", "_h")).withColumn("_scope", scope_gate("_tn", "_h"))
     names = F.create_map(*[F.lit(v) for slug, name, _, _ in MUNICIPALITIES for v in (slug, plain(name))])
     town = F.try_element_at(names, c("municipality"))
     incident = F.coalesce(c("category").isin(L.INCIDENT_FAMILY), F.lit(False))
@@ -208,7 +210,7 @@ def editorial_errors(df: DataFrame, out: str = "errors") -> DataFrame:
         for code, level, bad in rules]))
     empty = F.expr("cast(array() as array<struct<code:string,level:string>>)")
     return df.withColumn(out, F.when(c("_text") != "", listed).otherwise(empty)).drop(
-        "_text", "_n", "_tn", "_gate", "_scope")
+        "_text", "_n", "_tn", "_h", "_gate", "_scope")
 
 
 def level_count(errors, level: str) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import load
+from ..session import load, spread
 
 # Catalog of incidents: orders with their customer and nation.
 ACCIDENTS = """
@@ -101,7 +101,8 @@ _TABLES = ["orders", "customer", "nation", "lineitem", "documents", "pages", "ev
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     used = {t: load(spark, sf_dir, t) for t in _TABLES if "{" + t + "}" in text}
-    return spark.sql(text, **used)
+    df = spark.sql(text, **used)
+    return spread(df) if name in ("wire", "articles") else df
 
 
 def with_views(body: str, *names: str) -> str:

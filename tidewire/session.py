@@ -69,3 +69,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if field.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give text-heavy work every core when the input is one small file; larger inputs stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
