@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..rules import lexicon as L
-from .text import col
+from .text import bind, col
 
 
 def _try_ts(c: Column, fmt: str) -> Column:
@@ -14,7 +14,10 @@ def _try_ts(c: Column, fmt: str) -> Column:
 
 def parse_source_date(c, assume_local: bool = False) -> Column:
     """struct(date, confidence). Ambiguous or unknown spellings give null, never a guess."""
-    v = F.trim(col(c))
+    return bind(F.trim(col(c)), lambda v: _parse(v, assume_local))
+
+
+def _parse(v: Column, assume_local: bool) -> Column:
     # RFC 822: the weekday is informative only.
     rfc = F.regexp_replace(F.regexp_replace(v, r"^[A-Za-z]{3},\s+", ""), r"\s+(?:GMT|UTC|UT|Z)$", " +0000")
     rfc = F.regexp_replace(rfc, r"^(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2})(\s)", "$1:00$2")

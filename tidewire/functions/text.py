@@ -184,20 +184,28 @@ def decode_entities(c) -> Column:
     return _decode_named(_decode_numeric(col(c)))
 
 
+def bind(c: Column, fn) -> Column:
+    """``fn(c)`` with ``c`` evaluated once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(c), fn), F.lit(0))
+
+
 def _decode_numeric(c: Column) -> Column:
     for pattern, base in ((r"(?i)&#x([0-9a-f]{1,6});", 16), (r"&#(\d{1,7});", 10)):
-        codes = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-        whole = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-        gaps = F.split(c, pattern)
-
-        def one(code, i):
-            n = F.conv(code, base, 10).cast("long")
-            char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-            return F.when(n < 0x110000, char).otherwise(F.get(whole, i))
-
-        tail = F.zip_with(F.transform(codes, one), F.slice(gaps, 2, F.greatest(F.size(codes), F.lit(1))),
-                          lambda ch, gap: F.concat(ch, gap))
-        c = F.when(F.size(codes) > 0, F.concat(F.get(gaps, F.lit(0)), F.array_join(tail, ""))).otherwise(c)
+        def decode(text):
+            codes = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+            gaps = F.split(text, pattern)
+
+            def one(code, i):
+                n = F.conv(code, base, 10).cast("long")
+                char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+                return F.when(n < 0x110000, char).otherwise(F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), i))
+
+            tail = F.zip_with(F.transform(codes, one), F.slice(gaps, 2, F.greatest(F.size(codes), F.lit(1))),
+                              lambda ch, gap: F.concat(ch, gap))
+            whole = F.concat(F.get(gaps, F.lit(0)), F.array_join(tail, ""))
+            return F.when(text.rlike(pattern), whole).otherwise(text)
+
+        c = bind(c, decode)
     return c
 
 

@@ -52,8 +52,11 @@ def same_key(articles: DataFrame, key: str, level: str, similarity: float, hours
 
 # --- level 3: SimHash and title -------------------------------------------------------------
 
-def _title_groups(articles: DataFrame, threshold: float, hours: int) -> tuple[DataFrame, DataFrame]:
-    """Articles tagged with their title instance, and the instance pairs worth comparing."""
+def _title_groups(articles: DataFrame, threshold: float, hours: int, content: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Articles tagged with their title instance, and the instance pairs worth comparing.
+
+    ``content`` adds instance pairs that share a content hash although their titles differ more.
+    """
     bucketed = articles.withColumn("bucket", time_bucket(F.col("ts"), hours)).withColumn(
         "toks", F.array_sort("title_tokens"))
     sets = materialize(instances(bucketed, "id", "title_tokens", F.col("bucket")), "title_sets")
@@ -63,6 +66,13 @@ def _title_groups(articles: DataFrame, threshold: float, hours: int) -> tuple[Da
         F.col("inst").alias("group_a"), F.col("inst").alias("group_b"), F.lit(1.0).alias("jaccard"))
     pairs = cross.unionByName(own)
     tagged = bucketed.join(sets.select("toks", "bucket", "inst"), ["toks", "bucket"])
+    if content:
+        held = materialize(tagged.select("content_hash", "inst", "bucket", "toks").distinct(), "content_sets")
+        other = held.select("content_hash", F.col("inst").alias("group_b"), F.col("bucket").alias("_b2"), F.col("toks").alias("_t2"))
+        linked = held.withColumnRenamed("inst", "group_a").join(other, "content_hash").filter(
+            (F.col("group_a") < F.col("group_b")) & (F.abs(F.col("bucket") - F.col("_b2")) <= 1))
+        linked = linked.withColumn("jaccard", T.jaccard("toks", "_t2")).filter(F.col("jaccard") < threshold - 1e-12)
+        pairs = pairs.unionByName(linked.select("group_a", "group_b", "jaccard").distinct())
     needed = pairs.select(F.col("group_a").alias("inst")).union(pairs.select(F.col("group_b"))).distinct()
     return tagged.join(needed, "inst", "left_semi"), pairs
 
@@ -71,8 +81,8 @@ def _halves(c: str) -> list[Column]:
     return [F.conv(F.substring(c, s, 8), 16, 10).cast("long").alias(n) for s, n in ((1, "hi"), (9, "lo"))]
 
 
-def _title_blocks(articles: DataFrame, threshold: float, hours: int) -> DataFrame:
-    tagged, pairs = _title_groups(articles, threshold, hours)
+def _title_blocks(articles: DataFrame, threshold: float, hours: int, content: bool = False) -> DataFrame:
+    tagged, pairs = _title_groups(articles, threshold, hours, content)
     rows = tagged.select(
         "inst", "id", F.unix_micros("ts").alias("t"), *_halves("simhash"),
         F.xxhash64("content_hash").alias("ch"), F.coalesce(F.xxhash64("url_key"), F.lit(0)).alias("uh"),
@@ -190,8 +200,7 @@ def verdicts(articles: DataFrame, hours: int = L.WINDOW_HOURS, semantic: bool =
 def similar_counts(articles: DataFrame, hours: int = L.WINDOW_HOURS, minimum: float = L.REPORT_MIN) -> DataFrame:
     """Per article the number of items within the window that score at least ``minimum``, and the best score.
 
-    A score of 0.8 needs a title Jaccard of at least 0.5; equal content scores 0.99. Articles with equal
-    content but unrelated titles cannot occur, since the content hash covers the title.
+    A score of 0.8 needs a title Jaccard of at least 0.5, or equal content, which scores 0.99.
     """
     def judge(ra, rb, is_self, rec, hours=hours, minimum=minimum):
         ia, ib, _, _, d, near, same_content, _ = _grids(ra, rb, hours)
@@ -204,7 +213,7 @@ def similar_counts(articles: DataFrame, hours: int = L.WINDOW_HOURS, minimum: fl
         n, best, ids = np.concatenate(n), np.concatenate(best), np.concatenate(ids)
         return {"id": ids[n > 0], "n": n[n > 0], "best": best[n > 0]}
 
-    parts = blocks.compare(_title_blocks(articles, 0.5, hours), judge, "id long, n long, best double")
+    parts = blocks.compare(_title_blocks(articles, 0.5, hours, content=True), judge, "id long, n long, best double")
     return parts.groupBy("id").agg(F.sum("n").alias("n_similar"), F.round(F.max("best"), 3).alias("best"))
 
 
@@ -238,6 +247,20 @@ def cleanup_links(articles: DataFrame, hours: int = L.CLEANUP_HOURS) -> DataFram
     return near.unionByName(copies.select(F.col("id").alias("node"), F.col("candidate").alias("root"))).distinct()
 
 
+def window_counts(articles: DataFrame, hours: int = L.WINDOW_HOURS) -> DataFrame:
+    """Number of other articles within the window of every article, by counting positions on one timeline."""
+    lim = hours * MICROS
+    rows = articles.select("id", F.unix_micros("ts").alias("t"), F.lit(0).alias("g"))
+    # At equal times: window starts, then articles, then window ends.
+    ends = F.explode(F.array(
+        F.struct((F.col("t") - lim).alias("t"), F.lit(0).alias("kind")), F.struct(F.col("t").alias("t"), F.lit(1).alias("kind")),
+        F.struct((F.col("t") + lim).alias("t"), F.lit(2).alias("kind"))))
+    line = rows.select("id", "g", ends.alias("_e")).select("id", "g", "_e.t", "_e.kind")
+    placed = ordered.running(line, ["g"], ["t", "kind", "id"], {"pos": ("count", F.when(F.col("kind") == 1, F.lit(1)))})
+    return placed.groupBy("id").agg(
+        (F.max(F.when(F.col("kind") == 2, F.col("pos"))) - F.max(F.when(F.col("kind") == 0, F.col("pos"))) - 1).alias("candidates"))
+
+
 def candidate_window(articles: DataFrame, hours: int = L.WINDOW_HOURS, cap: int = L.CANDIDATE_CAP) -> DataFrame:
     """The ``cap`` newest candidates around every article (the listing shown to an editor).
 

@@ -88,7 +88,7 @@ FROM {documents} d LEFT JOIN {pages} p ON d.doc_id = p.page_id
 # Run log: events per source.
 RUNS = """
 SELECT user_id AS source, event_id AS run_id, ts AS started_at, event_type <> 'error' AS ok, value AS items,
-  CAST(value * 10 AS BIGINT) AS latency_ms, event_type FROM {events}
+  CAST(floor(value * 10) AS BIGINT) AS latency_ms, event_type FROM {events}
 """
 
 VIEWS = {

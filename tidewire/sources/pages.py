@@ -10,16 +10,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.dates import parse_source_date
-from ..functions.text import col, decode_entities, html_to_text, tidy, trim_all, truncate
+from ..functions.text import bind, col, decode_entities, html_to_text, tidy, trim_all, truncate
 from ..rules import lexicon as L
 
 
 def clean_title(c) -> Column:
     """Longest part of a title split at `` | – — · - ``; the first one on equal length."""
-    flat = trim_all(F.regexp_replace(col(c), r"\s+", " "))
-    parts = F.split(flat, r"\s+[|–—·-]\s+")
-    longest = F.aggregate(parts, F.lit(""), lambda a, p: F.when(F.char_length(p) > F.char_length(a), p).otherwise(a))
-    return F.when(flat != "", F.trim(longest))
+    def longest(flat):
+        parts = F.split(flat, r"\s+[|–—·-]\s+")
+        best = F.aggregate(parts, F.lit(""), lambda a, p: F.when(F.char_length(p) > F.char_length(a), p).otherwise(a))
+        return F.when(flat != "", F.trim(best))
+
+    return bind(trim_all(F.regexp_replace(col(c), r"\s+", " ")), longest)
 
 
 def _meta(html: Column, attr: str, name: str) -> Column:
@@ -28,7 +30,7 @@ def _meta(html: Column, attr: str, name: str) -> Column:
     a = F.regexp_extract(html, rf"(?is)<meta\b[^>]*\b{attr}=[\"']{name}[\"'][^>]*\bcontent=([\"'])(.*?)\1", 2)
     b = F.regexp_extract(html, rf"(?is)<meta\b[^>]*\bcontent=([\"'])([^>]*?)\1[^>]*\b{attr}=[\"']{name}[\"']", 2)
     v = F.trim(F.coalesce(F.when(a != "", a), F.when(b != "", b)))
-    return F.when(v != "", decode_entities(v))
+    return bind(v, lambda t: F.when(t != "", decode_entities(t)))
 
 
 def linked_data(html) -> Column:
@@ -201,19 +203,21 @@ def extract_articles(pages: DataFrame, html: str = "html") -> DataFrame:
     published = [F.get_json_object(node, f"$.{k}") for k in ("datePublished", "dateCreated", "uploadDate")]
     published += [_meta(h, a, n) for a, n in L.PUBLISHED_META]
     published.append(F.regexp_extract(h, r"(?is)<time\b[^>]*\bdatetime=[\"']([^\"']+)", 1))
-    staged = pages.withColumn("_ld", article_node(html)).withColumn("_dom", _dense(h))
-    ld_body = tidy(html_to_text(ld_text))
-    body = F.when(ld_text.isNotNull(), ld_body).otherwise(F.col("_dom.body"))
+    staged = pages.withColumn("_ld", article_node(html)).withColumn("_dom", _dense(h)).withColumn("_ldt", ld_text)
+    ld_text = F.col("_ldt")
+    staged = staged.withColumn("_raw", F.when(ld_text.isNotNull(), html_to_text(ld_text))).withColumn(
+        "_title", decode_entities(title_tag)).withColumn("_image", _ld(node, "image"))
+    staged = staged.withColumn("_body", F.when(ld_text.isNotNull(), tidy("_raw")).otherwise(F.col("_dom.body")))
     image = F.coalesce(
         F.get_json_object(node, "$.image[0].url"), F.get_json_object(node, "$.image.url"),
-        F.get_json_object(node, "$.image.@id"), F.when(_ld(node, "image").rlike("(?i)^https?:"), _ld(node, "image")),
+        F.get_json_object(node, "$.image.@id"), F.when(F.col("_image").rlike("(?i)^https?:"), F.col("_image")),
         _meta(h, "property", "og:image"), _meta(h, "name", "twitter:image"))
     canonical = F.regexp_extract(h, r"(?is)<link\b[^>]*\brel=[\"']canonical[\"'][^>]*\bhref=[\"']([^\"']+)", 1)
     out = staged.select(
         *pages.columns,
         F.coalesce(_ld(node, "headline", "name"), _meta(h, "property", "og:title"),
-                   clean_title(decode_entities(title_tag))).alias("title"),
-        truncate(body, 20000).alias("body"), F.coalesce(_ld(node, "description"), description).alias("summary"),
+                   clean_title("_title")).alias("title"),
+        truncate("_body", 20000).alias("body"), F.coalesce(_ld(node, "description"), description).alias("summary"),
         image.alias("image_url"), F.coalesce(_ld(node, "articleSection"), _meta(h, "property", "article:section")).alias("section"),
         F.coalesce(_ld(node, "author", "creator"), _meta(h, "name", "author")).alias("author"),
         F.when(canonical != "", canonical).alias("canonical"),

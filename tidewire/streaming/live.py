@@ -47,25 +47,29 @@ ENTRY_OUT = "key string, at timestamp, state string, missing_count int, sighting
 ENTRY_STATE = "last double, sightings long, state string"
 
 
+def _stamp(seconds: float) -> pd.Timestamp:
+    return pd.Timestamp(round(seconds * 1e6), unit="us")
+
+
 def _entry(key, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     limit = L.CADENCE_MINUTES * L.MISSING_AFTER * 60
     last, n, mode = state.get if state.exists else (None, 0, "NEW")
     out = []
     if state.hasTimedOut:
         mode = "MISSING"
-        out.append((key[0], pd.Timestamp(last + limit, unit="s"), mode, L.MISSING_AFTER, n))
+        out.append((key[0], _stamp(last + limit), mode, L.MISSING_AFTER, n))
         state.update((last, n, mode))
     else:
         for frame in frames:
             for t in frame["ts"].sort_values():
                 t = t.timestamp()
                 if last is not None and t - last > limit and mode == "PRESENT":
-                    out.append((key[0], pd.Timestamp(last + limit, unit="s"), "MISSING", L.MISSING_AFTER, n))
+                    out.append((key[0], _stamp(last + limit), "MISSING", L.MISSING_AFTER, n))
                     mode = "MISSING"
                 n += 1
                 if mode != "PRESENT":
                     mode = "PRESENT"
-                    out.append((key[0], pd.Timestamp(t, unit="s"), mode, 0, n))
+                    out.append((key[0], _stamp(t), mode, 0, n))
                 last = t if last is None else max(last, t)
         state.update((last, n, mode))
         due = int((last + limit) * 1000)
@@ -103,7 +107,7 @@ def _health(key, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[
 
 def source_health(stream: DataFrame) -> DataFrame:
     """Streak, status and trailing mean at every run, kept per source across micro-batches."""
-    return stream.groupBy("source").applyInPandasWithState(
+    return stream.withColumn("source", F.col("source").cast("string")).groupBy("source").applyInPandasWithState(
         _health, HEALTH_OUT, HEALTH_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -130,7 +134,7 @@ def _alerts(key, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[
 
 def source_alerts(stream: DataFrame) -> DataFrame:
     """One down alert per source and silence period, one recovery that closes it."""
-    return stream.groupBy("source").applyInPandasWithState(
+    return stream.withColumn("source", F.col("source").cast("string")).groupBy("source").applyInPandasWithState(
         _alerts, ALERT_OUT, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -165,3 +169,18 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema, max_files:
     """Rate-limited stream over one table's files."""
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
             .option("pathGlobFilter", f"{name}*.parquet").parquet(folder))
+
+
+def run_complete(stream: DataFrame, name: str) -> DataFrame:
+    """Drain an aggregation and keep its final state: every batch replaces the stored result."""
+    import uuid
+    spark: SparkSession = stream.sparkSession
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out")
+
+    query = (stream.writeStream.outputMode("complete").foreachBatch(store)
+             .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
