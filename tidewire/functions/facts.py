@@ -12,7 +12,7 @@ from ..rules.places import MUNICIPALITIES, ZONES
 from .text import col, deaccent, norm
 from .wordlist import digest, tree_pattern
 
-EMPTY = " |  | "  # digest of a text without any term
+SEAM = 80  # longer than any term
 
 
 def plain(s: str) -> str:
@@ -114,7 +114,7 @@ def category(text, terms) -> Column:
     found = F.coalesce(
         F.when(is_strong, inc), first_rule(terms, L.EARLY_RULES),
         F.when(~is_strong, inc), first_rule(terms, L.TOPIC_RULES))
-    return F.when(F.char_length(terms) > len(EMPTY), found)
+    return F.when(terms.rlike("[a-z0-9]"), found)
 
 
 def vehicle(text) -> Column:
@@ -166,12 +166,22 @@ def relevance(weight) -> Column:
     return F.least(F.lit(1.0), col(weight) / F.lit(8.0))
 
 
+def _seam(title: str, body: str) -> Column:
+    """Whole words around the point where title and body meet."""
+    t, b = F.col(title), F.col(body)
+    tail = F.when(F.char_length(t) <= SEAM, t).otherwise(
+        F.regexp_replace(F.substring(t, -SEAM, SEAM), "^[^ ]* ", ""))
+    head = F.when(F.char_length(b) <= SEAM, b).otherwise(
+        F.regexp_replace(F.substring(b, 1, SEAM), " [^ ]*$", ""))
+    return F.concat_ws(" ", tail, head)
+
+
 def with_facts(df: DataFrame, title: str, body: str, out: str = "facts") -> DataFrame:
     """Add the fact struct, the relevance score, the normalised text ``_t _b _c`` and the digest ``_h``."""
     df = df.withColumn("_t", norm(title)).withColumn("_b", norm(body))
     df = df.withColumn("_c", F.concat_ws(" ", "_t", "_b")).withColumn("_ht", digest("_t")).withColumn("_hb", digest("_b"))
-    # A term may span the end of the title and the start of the body only in the joined text.
-    df = df.withColumn("_h", digest("_c"))
+    # Terms of the joined text: those of both parts and those that span their seam.
+    df = df.withColumn("_h", F.concat("_ht", "_hb", digest(_seam("_t", "_b"))))
     df = (
         df.withColumn("_weight", relevance_weight("_ht", "_hb"))
         .withColumn("_category", category("_c", "_h"))

@@ -8,7 +8,7 @@ from ..functions import dates as D, facts as X, geo as G, quality as K, text as
 from ..rules import lexicon as L
 from ..functions.wordlist import digest
 from ..rules.places import MUNICIPALITIES, ZONES
-from ..session import load
+from ..session import load, spread
 from . import sqltext as Q
 from .bindings import sql_list, view, with_views
 from .catalog_reports import acc, sql_stamp, stamp
@@ -317,7 +317,7 @@ def _pins(s, d):
         F.get(zones, F.col("o_orderkey") % (len(ZONES) + 1)).alias("zone"),
         F.when(F.col("o_totalprice") > 60000, 28.85 + (F.col("o_custkey") % 40) / 100.0).alias("lat"),
         (-13.85 + (F.col("o_orderkey") % 40) / 100.0).alias("lon"))
-    return G.with_reference_point(pins)
+    return G.with_reference_point(spread(pins))
 
 
 @query("e20_haversine", f"SELECT c_custkey AS id, round({_HAV.format('28.9 + c_nationkey / 100.0', '-13.6', '29.0', '-13.5 - c_custkey % 100 / 1000.0')}, 6) AS km FROM customer")
