@@ -200,16 +200,22 @@ def headline_stats(df: DataFrame, as_of: Column) -> DataFrame:
 
 
 def facets(df: DataFrame, label: str, place: str, month: str | None = None) -> DataFrame:
-    """Totals and counts per label, place and (optionally) month in one pass of grouping sets."""
+    """Totals and counts per label, place and (optionally) month in one pass of grouping sets.
+
+    The total adds up the label rows, so it exists for an empty period too.
+    """
     dims = [label, place] + ([month] if month else [])
-    sets = ", ".join(f"({d})" for d in dims) + ", ()"
+    sets = ", ".join(f"({d})" for d in dims)
     name = "CASE " + " ".join(
-        f"WHEN grouping({d}) = 0 THEN '{k}'" for d, k in zip(dims, ("label", "place", "month"))) + " ELSE 'total' END"
+        f"WHEN grouping({d}) = 0 THEN '{k}'" for d, k in zip(dims, ("label", "place", "month"))) + " END"
     value = "coalesce(" + ", ".join(f"cast({d} as string)" for d in dims) + ", '')"
     view = df.select(*dims, "injuries", "fatalities")
-    return view.sparkSession.sql(
+    per = view.sparkSession.sql(
         f"SELECT {name} AS facet, {value} AS value, count(*) AS n, coalesce(sum(injuries), 0) AS injuries, "
         f"coalesce(sum(fatalities), 0) AS fatalities FROM {{view}} GROUP BY GROUPING SETS ({sets})", view=view)
+    total = per.filter("facet = 'label'").agg(*[
+        F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "injuries", "fatalities")])
+    return per.unionByName(total.select(F.lit("total").alias("facet"), F.lit("").alias("value"), "n", "injuries", "fatalities"))
 
 
 def weekly_summary(df: DataFrame, start: Column, label: str, place: str) -> DataFrame:
