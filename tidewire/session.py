@@ -72,6 +72,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give text-heavy work every core when the input is one small file; larger inputs stay as read."""
+    """Give text-heavy work every core when a scan is one small file; larger inputs stay as read.
+
+    For plain scans only: counting the partitions of a plan with shuffles would execute them.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
