@@ -307,7 +307,7 @@ def a8(s, d):
     return R.complete_counts(acc(s, d), "status", L.STATUSES).select("status", "n")
 
 
-@query("a9_pipeline_report", A(
+@query("a9_coverage_report", A(
     """SELECT 'status' AS facet, status AS value, count(*) AS n, count(lon) AS with_pin, count(published_at) AS dated FROM accidents GROUP BY 2
        UNION ALL SELECT 'origin', origin, count(*), count(lon), count(published_at) FROM accidents GROUP BY 2"""))
 def a9(s, d):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T, urls as U
 from ..rules import lexicon as L
-from ..session import load
+from ..session import load, spread
 from . import sqltext as Q
 from .bindings import sql_list, view, with_views
 from .registry import query
@@ -16,6 +16,14 @@ def arts(s, d):
     return view(s, d, "articles")
 
 
+def docs(s, d):
+    return spread(load(s, d, "documents"))
+
+
+def raw_pages(s, d):
+    return spread(load(s, d, "pages"))
+
+
 def AR(sql):
     return with_views(sql, "articles")
 
@@ -26,17 +34,17 @@ TOK_TITLE = Q.tokens("tt", "articles", "title")
 
 @query("t1_deaccent", "SELECT doc_id, sha256(strip_accents(text)) AS h FROM documents")
 def t1(s, d):
-    return load(s, d, "documents").select("doc_id", T.sha256(T.deaccent("text")).alias("h"))
+    return docs(s, d).select("doc_id", T.sha256(T.deaccent("text")).alias("h"))
 
 
 @query("t2_normalized_text", f"SELECT doc_id, sha256({Q.normtext('text')}) AS h FROM documents")
 def t2(s, d):
-    return load(s, d, "documents").select("doc_id", T.sha256(T.normalize_text("text")).alias("h"))
+    return docs(s, d).select("doc_id", T.sha256(T.normalize_text("text")).alias("h"))
 
 
 @query("t3_ascii_text", f"SELECT doc_id, sha256({Q.norm('text')}) AS h FROM documents")
 def t3(s, d):
-    return load(s, d, "documents").select("doc_id", T.sha256(T.norm("text")).alias("h"))
+    return docs(s, d).select("doc_id", T.sha256(T.norm("text")).alias("h"))
 
 
 @query("t4_tokens", AR(f"""WITH {TOK_BODY} SELECT a.id, count(t) AS n, sha256(coalesce(string_agg(t, ' ' ORDER BY i), '')) AS h
@@ -48,7 +56,7 @@ def t4(s, d):
 
 @query("t5_sha256", "SELECT doc_id, sha256(text) AS h FROM documents")
 def t5(s, d):
-    return load(s, d, "documents").select("doc_id", T.sha256("text").alias("h"))
+    return docs(s, d).select("doc_id", T.sha256("text").alias("h"))
 
 
 @query("t6_content_hash", AR(f"""WITH {TOK_BODY}, k AS (SELECT id, t, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM tb)
@@ -61,7 +69,7 @@ def t6(s, d):
 @query("t7_fnv1a", f"SELECT doc_id, {Q.fnv('split_part(text, chr(10), 1)')} AS h FROM documents WHERE length(split_part(text, chr(10), 1)) > 0")
 def t7(s, d):
     title = F.split_part("text", F.lit("\n"), F.lit(1))
-    return load(s, d, "documents").filter(F.char_length(title) > 0).select("doc_id", T.fnv1a(title).alias("h"))
+    return docs(s, d).filter(F.char_length(title) > 0).select("doc_id", T.fnv1a(title).alias("h"))
 
 
 @query("t8_simhash", AR(f"""WITH {TOK_BODY}, {Q.simhash('sh', 'tb')}
@@ -76,13 +84,13 @@ _HEX = "left(sha256({0}), 16)"
 @query("t9_hamming", f"""SELECT doc_id, {Q.hamming(_HEX.format('text'), _HEX.format('source'))} AS distance FROM documents""")
 def t9(s, d):
     h = lambda c: F.substring(F.sha2(c, 256), 1, 16)
-    return load(s, d, "documents").select("doc_id", T.hamming(h("text"), h("source")).alias("distance"))
+    return docs(s, d).select("doc_id", T.hamming(h("text"), h("source")).alias("distance"))
 
 
 @query("t10_simhash_similarity", f"""SELECT doc_id, round(1 - {Q.hamming(_HEX.format('text'), _HEX.format('lang'))} / 64.0, 6) AS similarity FROM documents""")
 def t10(s, d):
     h = lambda c: F.substring(F.sha2(c, 256), 1, 16)
-    return load(s, d, "documents").select("doc_id", F.round(T.simhash_similarity(h("text"), h("lang")), 6).alias("similarity"))
+    return docs(s, d).select("doc_id", F.round(T.simhash_similarity(h("text"), h("lang")), 6).alias("similarity"))
 
 
 @query("t11_jaccard_title_body", AR(f"""WITH {TOK_TITLE}, {Q.tokens('bb', 'articles', 'body')},
@@ -112,13 +120,13 @@ def t13(s, d):
 
 @query("t14_html_to_text", f"SELECT page_id, sha256({Q.trim_all(Q.squeeze(Q.entities(Q.strip_markup('html'))))}) AS h FROM pages")
 def t14(s, d):
-    return load(s, d, "pages").select("page_id", T.sha256(T.html_to_text("html")).alias("h"))
+    return raw_pages(s, d).select("page_id", T.sha256(T.html_to_text("html")).alias("h"))
 
 
 @query("t15_entities", f"""SELECT doc_id, {Q.entities("'&Aacute;' || '&amp;lt; &NBSP;' || left(text, 40)")} || chr(233) || 'x' AS decoded FROM documents""")
 def t15(s, d):
     raw = F.concat(F.lit("&Aacute;&amp;lt; &NBSP;"), F.substring("text", 1, 40), F.lit("&#233;&#x78;"))
-    return load(s, d, "documents").select("doc_id", T.decode_entities(raw).alias("decoded"))
+    return docs(s, d).select("doc_id", T.decode_entities(raw).alias("decoded"))
 
 
 @query("t16_tidy_truncate", f"""WITH t AS (SELECT doc_id, {Q.trim_all("regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS x FROM documents),
@@ -126,7 +134,7 @@ def t15(s, d):
     SELECT doc_id, sha256(x) AS tidy, CASE WHEN length(x) <= 200 THEN x ELSE regexp_replace(CASE WHEN contains(cut, ' ') AND
     200 - instr(reverse(cut), ' ') > 120 THEN left(cut, CAST(200 - instr(reverse(cut), ' ') AS BIGINT)) ELSE cut END, '\\s+$', '') || '…' END AS short FROM c""")
 def t16(s, d):
-    t = load(s, d, "documents").select("doc_id", T.tidy("text").alias("x"))
+    t = docs(s, d).select("doc_id", T.tidy("text").alias("x"))
     return t.select("doc_id", T.sha256("x").alias("tidy"), T.truncate("x", 200).alias("short"))
 
 
@@ -151,22 +159,22 @@ def _sql_url(drop, lower_all):
 
 @query("t18_canonical_url", f"SELECT page_id, {_sql_url(L.TRACKING_FEED, False)} AS url FROM pages")
 def t18(s, d):
-    return load(s, d, "pages").select("page_id", U.canonicalize_url("url").alias("url"))
+    return raw_pages(s, d).select("page_id", U.canonicalize_url("url").alias("url"))
 
 
 @query("t19_normalized_url", f"SELECT page_id, {_sql_url(L.TRACKING_DEDUPE, True)} AS url FROM pages")
 def t19(s, d):
-    return load(s, d, "pages").select("page_id", U.normalize_url("url").alias("url"))
+    return raw_pages(s, d).select("page_id", U.normalize_url("url").alias("url"))
 
 
 @query("t20_url_hash", f"SELECT page_id, sha256({_sql_url(L.TRACKING_DEDUPE, True)}) AS url_hash FROM pages")
 def t20(s, d):
-    return load(s, d, "pages").select("page_id", U.url_hash("url").alias("url_hash"))
+    return raw_pages(s, d).select("page_id", U.url_hash("url").alias("url_hash"))
 
 
 @query("t21_word_count", r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS words FROM documents")
 def t21(s, d):
-    return load(s, d, "documents").select("doc_id", T.word_count("text").alias("words"))
+    return docs(s, d).select("doc_id", T.word_count("text").alias("words"))
 
 
 @query("t22_redact_url", r"""SELECT page_id, regexp_replace(regexp_replace(url, '^([a-z]+://)', '\1'), '#.*$', '')
@@ -175,7 +183,7 @@ def t22(s, d):
     bare = F.regexp_replace("url", "#.*$", "")
     secret = F.concat(F.regexp_replace(bare, "^([a-z]+://)", "$1user:pass@"),
                       F.when(F.col("url").contains("?"), "&").otherwise("?"), F.lit("token=s3cret&b="), F.col("page_id").cast("string"))
-    return load(s, d, "pages").select("page_id", U.redact_url(secret).alias("url"))
+    return raw_pages(s, d).select("page_id", U.redact_url(secret).alias("url"))
 
 
 _CLEAN, _HITS = Q.redacted("text")
@@ -184,14 +192,14 @@ _HIT_LISTS = ", ".join(f"{h} AS h{i}" for i, (_, h) in enumerate(_HITS))
 
 @query("t23_pii_redaction", f"""SELECT doc_id, sha256({_CLEAN}) AS clean, {' + '.join(f'len({h})' for _, h in _HITS)} AS findings FROM documents""")
 def t23(s, d):
-    r = load(s, d, "documents").select("doc_id", T.redact_pii("text").alias("r"))
+    r = docs(s, d).select("doc_id", T.redact_pii("text").alias("r"))
     return r.select("doc_id", T.sha256("r.clean").alias("clean"), F.size("r.findings").alias("findings"))
 
 
 @query("a18_findings_by_type", "SELECT type, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(
     f"SELECT '{k}' AS type, len({h}) AS n FROM documents" for k, h in _HITS) + ") GROUP BY 1 HAVING sum(n) > 0")
 def a18(s, d):
-    r = load(s, d, "documents").select(T.redact_pii("text").alias("r"))
+    r = docs(s, d).select(T.redact_pii("text").alias("r"))
     return r.select(F.explode("r.findings").alias("f")).groupBy(F.col("f.type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -214,8 +222,8 @@ def t24(s, d):
     # The originals shrink to (gram, item, count).
     orig = grams(load(s, d, "benchmark"), "item_id").groupBy("item_id", "g").agg(F.count(F.lit(1)).alias("n"))
     total = orig.groupBy("item_id").agg(F.sum("n").alias("total"))
-    docs = grams(load(s, d, "documents"), "doc_id", distinct=True)
-    hit = docs.join(orig, "g").groupBy("doc_id", "item_id").agg(F.sum("n").alias("shared"))
+    texts = grams(docs(s, d), "doc_id", distinct=True)
+    hit = texts.join(orig, "g").groupBy("doc_id", "item_id").agg(F.sum("n").alias("shared"))
     share = F.col("shared") / F.col("total")
     return hit.join(total, "item_id").filter(share > L.MAX_OVERLAP).select("doc_id", "item_id", F.round(share, 6).alias("overlap"))
 
@@ -231,7 +239,7 @@ def t25(s, d):
     '\.(jpg|jpeg|png|webp|avif|gif|bmp|tiff?)$|(/image/|/images/|photo|thumb|/media/)') AS is_image FROM pages""")
 def t26(s, d):
     tail = F.expr("CASE page_id % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '/media/x' ELSE '' END")
-    return load(s, d, "pages").select("page_id", U.looks_like_image(F.concat(F.regexp_replace("url", "[?#].*$", ""), tail)).alias("is_image"))
+    return raw_pages(s, d).select("page_id", U.looks_like_image(F.concat(F.regexp_replace("url", "[?#].*$", ""), tail)).alias("is_image"))
 
 
 @query("u2_distinct_tokens", AR(f"""WITH {TOK_TITLE} SELECT id, string_agg(t, ' ' ORDER BY i) AS tokens FROM tt GROUP BY id"""))
