@@ -358,7 +358,7 @@ def a16(s, d):
 
 
 @query("a17_unplaced_remainder", A(
-    f"""SELECT (SELECT count(*) FROM accidents WHERE status = 'PUBLISHED') - (SELECT sum(n) FROM ({_J2.format(dup='')})) AS unplaced""",
+    f"""SELECT (SELECT count(*) FROM accidents WHERE status = 'PUBLISHED') - (SELECT CAST(sum(n) AS BIGINT) FROM ({_J2.format(dup='')})) AS unplaced""",
     "municipalities"))
 def a17(s, d):
     placed = _guarded(s, d, False).agg(F.sum("n").alias("n"))

@@ -415,13 +415,13 @@ def checked(s, d):
     return df, as_of
 
 
-@query("q3_date_score", W(f"SELECT id, round({_DATE_SCORE}, 4) AS score, {_DATE_REJ} AS reject FROM f"))
+@query("q3_date_score", W(f"SELECT id, CAST(round({_DATE_SCORE}, 4) AS DOUBLE) AS score, {_DATE_REJ} AS reject FROM f"))
 def q3(s, d):
     df, _ = checked(s, d)
     return df.select("id", F.round("date_check.score", 4).alias("score"), F.col("date_check.reject").alias("reject"))
 
 
-@query("q4_place_score", W("SELECT id, CASE WHEN outside THEN 0.0 WHEN municipality IS NOT NULL THEN 1.0 ELSE 0.25 END AS score, outside AS reject FROM f"))
+@query("q4_place_score", W("SELECT id, CAST(CASE WHEN outside THEN 0.0 WHEN municipality IS NOT NULL THEN 1.0 ELSE 0.25 END AS DOUBLE) AS score, outside AS reject FROM f"))
 def q4(s, d):
     p = facts(s, d).withColumn("p", K.place_check("facts.outside", "facts.municipality"))
     return p.select("id", F.col("p.score").cast("double").alias("score"), F.col("p.reject").alias("reject"))
@@ -452,7 +452,7 @@ _SRC = ("greatest(0.0, least(1.0, least(1.0, price / 400000.0) * 0.6 + (source %
 _CONFID = (f"(({_DATE_SCORE}) * 0.2 + (CASE WHEN outside THEN 0.0 WHEN municipality IS NOT NULL THEN 1.0 ELSE 0.25 END) * 0.2 + ({_CONSIST}) * 0.25 + ({_BODY}) * 0.2 + least(1.0, weight / 8.0) * 0.15)")
 
 
-@query("q5_consistency", W(f"SELECT id, round({_CONSIST}, 4) AS score FROM f"))
+@query("q5_consistency", W(f"SELECT id, CAST(round({_CONSIST}, 4) AS DOUBLE) AS score FROM f"))
 def q5(s, d):
     c = facts(s, d).withColumn("c", K.consistency_check(
         "title", "body", "facts.severity", "facts.fatalities", "facts.injuries", "facts.municipality"))

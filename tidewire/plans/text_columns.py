@@ -81,7 +81,7 @@ def t8(s, d):
 _HEX = "left(sha256({0}), 16)"
 
 
-@query("t9_hamming", f"""SELECT doc_id, {Q.hamming(_HEX.format('text'), _HEX.format('source'))} AS distance FROM documents""")
+@query("t9_hamming", f"""SELECT doc_id, CAST({Q.hamming(_HEX.format('text'), _HEX.format('source'))} AS INT) AS distance FROM documents""")
 def t9(s, d):
     h = lambda c: F.substring(F.sha2(c, 256), 1, 16)
     return docs(s, d).select("doc_id", T.hamming(h("text"), h("source")).alias("distance"))
