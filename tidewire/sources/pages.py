@@ -224,9 +224,3 @@ def extract_articles(pages: DataFrame, html: str = "html") -> DataFrame:
         F.coalesce(*[parse_source_date(p)["date"] for p in published]).alias("published_at"),
         F.when(ld_text.isNotNull(), "jsonld").otherwise(F.col("_dom.method")).alias("method"))
     return out.withColumn("suspicious", F.char_length("body") < 200)
-
-
-def paragraphs(c) -> Column:
-    """Paragraph texts of flat markup, tags removed, blanks squeezed."""
-    raw = F.regexp_extract_all(col(c), F.lit(r"(?is)<p(?:\s[^>]*)?>(.*?)(?=</?p[\s>]|</article>|</body>|$)"), F.lit(1))
-    return F.transform(raw, lambda p: trim_all(F.regexp_replace(F.regexp_replace(p, "<[^>]*>", ""), r"\s+", " ")))
