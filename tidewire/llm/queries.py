@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, pieces, simhash, tokens
+from . import contamination, langid, lm, pieces, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
+    return lm.score_documents(_table(spark, sf_dir, "documents"), langid.remainder("doc_id", 5) == 1)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
     coded = pieces.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -40,5 +45,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_sentencepiece, op7_simhash, op9_decontamination)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every text."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = langid.remainder("doc_id", 4) == 2
+    found = langid.identify(docs, langid.fit(docs.filter(~held_out)))
+    return found.select("doc_id", (langid.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op2_lm_scoring, op5_sentencepiece, op7_simhash, op9_decontamination, op10_language_id)}
 ORACLES: dict[str, str] = {}
