@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize, shared_dir
+from ..session import materialize, shared_dir, shuffle_width
 from .common import keyed_text, text_chunks
 
 CHUNKS = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary()))])
@@ -33,7 +33,8 @@ class Chunks:
         texts = keyed_text(docs, id_col, text_col)
         self.spark = docs.sparkSession
         self.size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        self.buckets = max(4, -(-self.size // (16 << 20)))
+        # with fewer buckets than shuffle partitions, Spark would rather move the texts
+        self.buckets = max(shuffle_width(self.spark), -(-self.size // (16 << 20)))
 
         def cut(batches):
             part = TaskContext.get().partitionId()
