@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 #: Text that one step of a task holds at a time. A longer single text makes a chunk of its own.
 CHUNK_BYTES = 2 << 20
 MASK = (1 << 64) - 1
+MULTIPLIER = 0x9E3779B97F4A7C15
 
 
 def col(name: str) -> Column:
@@ -55,6 +56,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def rolling(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every ``width`` neighbours, by doubling the length."""
+    out, have, part, length = None, 0, values, 1
+    while True:
+        if width & length:
+            if out is None:
+                out, have = part, length
+            else:
+                n = max(0, len(part) - have)
+                out = out[:n] * np.uint64(pow(MULTIPLIER, length, 1 << 64)) + part[have:have + n]
+                have += length
+        if have == width:
+            return mix(out)
+        n = max(0, len(part) - length)
+        part = part[:n] * np.uint64(pow(MULTIPLIER, length, 1 << 64)) + part[length:length + n]
+        length *= 2
+
+
 def ragged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every integer of the ranges [lo, hi), and the number of the range it is from."""
     size = hi - lo

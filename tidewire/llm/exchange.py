@@ -113,3 +113,19 @@ def from_planes(raw: bytes, width: int) -> np.ndarray:
     out = np.zeros((part.shape[1], 8), np.uint8)
     out[:, :width] = part.T
     return out.view(np.uint64)[:, 0]
+
+
+def within(keys: np.ndarray, shards: int) -> np.ndarray:
+    """40 bits of a key that, inside its shard, rise with it."""
+    high = (keys >> np.uint64(32)) * np.uint64(shards) & np.uint64(0xFFFFFFFF)
+    return high << np.uint64(8) | keys >> np.uint64(24) & np.uint64(0xFF)
+
+
+def in_turn(first: DataFrame, second: DataFrame, shards: int) -> DataFrame:
+    """Both answers to each chunk, the first before the second, each led by a byte that tells which it is."""
+    return first.withColumn("answer", F.concat(F.lit(bytes([1])), "answer")).union(
+        second.withColumn("shard", F.col("shard") + shards).withColumn("answer", F.concat(F.lit(bytes([2])), "answer")))
+
+
+def split_turns(answers: list[bytes] | None) -> tuple[list[bytes], list[bytes]]:
+    return [x[1:] for x in answers or [] if x[0] == 1], [x[1:] for x in answers or [] if x[0] == 2]

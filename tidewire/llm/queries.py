@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import contamination, langid, lm, pieces, simhash, suffix, tokens
+from . import blocks, contamination, langid, lm, pieces, simhash, suffix, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every text."""
+    kept = blocks.remove_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
     coded = pieces.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -61,5 +67,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_lm_scoring, op3_suffix_dedup, op5_sentencepiece, op7_simhash, op9_decontamination, op10_language_id)}
+    op1_token_counts, op2_lm_scoring, op3_suffix_dedup, op4_substring_dedup, op5_sentencepiece, op7_simhash, op9_decontamination, op10_language_id)}
 ORACLES: dict[str, str] = {}

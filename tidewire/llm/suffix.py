@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from . import exchange, logbloom
-from .common import concat, covered, mix, ragged
+from .common import MULTIPLIER, concat, covered, mix, ragged, rolling
 from .exchange import Chunks
 
 WIDTH, GRAM = 50, 26
@@ -23,7 +23,6 @@ WIDTH, GRAM = 50, 26
 CHUNK, SHARD = 2 << 20, 8 << 20
 #: Intervals up to this many rows are extended row by row, larger ones symbol by symbol.
 NARROW = 256
-MULTIPLIER = 0x9E3779B97F4A7C15
 KEY_BYTES, AROUND_BYTES = 5, 6
 UNSHARED, SETTLED, OPEN = 0, 1, 2
 
@@ -34,24 +33,6 @@ KEPT_DDL = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:
 _byte = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MULTIPLIER))
 
 
-def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each string of ``width`` bytes, by doubling the length."""
-    out, have, part, length = None, 0, _byte[data], 1
-    while True:
-        if width & length:
-            if out is None:
-                out, have = part, length
-            else:
-                n = len(part) - have
-                out = out[:n] * np.uint64(pow(MULTIPLIER, length, 1 << 64)) + part[have:have + n]
-                have += length
-        if have == width:
-            return mix(out)
-        n = len(part) - length
-        part = part[:n] * np.uint64(pow(MULTIPLIER, length, 1 << 64)) + part[length:length + n]
-        length *= 2
-
-
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     """Least or greatest of each ``width`` neighbours."""
     length = 1
@@ -73,7 +54,7 @@ class Anchors:
             self.doc = self.low = self.high = self.at
             self.key = self.around = np.zeros(0, np.uint64)
             return
-        h = gram_hashes(data, gram)
+        h = rolling(_byte[data], gram)
         least = _sliding(h, window, np.minimum)[:len(data) - width + 1]
         size = np.diff(starts)
         begins = np.concatenate([ragged(starts[:-1][size >= width], starts[1:][size >= width] - width + 1)[0], np.zeros(0, np.int64)])
@@ -125,16 +106,10 @@ def _ask_keys(row: dict, shards: int, width: int, gram: int):
     keys = e.key[e.key_first]
     around = e.around[e.key_first] >> np.uint64(18) << np.uint64(2)
     around |= e.many_docs.astype(np.uint64) | e.many_around.astype(np.uint64) << np.uint64(1)
-    yield from exchange.ask(row, ((s, [exchange.planes(_within(keys[i:j], shards), KEY_BYTES), exchange.planes(around[i:j], AROUND_BYTES)])
+    yield from exchange.ask(row, ((s, [exchange.planes(exchange.within(keys[i:j], shards), KEY_BYTES), exchange.planes(around[i:j], AROUND_BYTES)])
                                   for s, i, j in logbloom.slices(keys, shards)))
 
 
-def _within(keys: np.ndarray, shards: int) -> np.ndarray:
-    """40 bits of a key that, inside its shard, rise with it."""
-    high = (keys >> np.uint64(32)) * np.uint64(shards) & np.uint64(0xFFFFFFFF)
-    return high << np.uint64(8) | keys >> np.uint64(24) & np.uint64(0xFF)
-
-
 def _tell_keys(bodies: list[list[bytes]]) -> list[bytes]:
     """Per key: not in several documents; in several, with equal surroundings; or with others."""
     size = [len(b[0]) // KEY_BYTES for b in bodies]
@@ -298,9 +273,7 @@ def smallest_with(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, width
 
 
 def _kept(row: dict, shards: int, width: int, gram: int):
-    both = row["answer"] or []
-    n_keys = sum(1 for x in both if x[:1] == b"k")
-    keys, masks = [x[1:] for x in both[:n_keys]], [x[1:] for x in both[n_keys:]]
+    keys, masks = exchange.split_turns(row["answer"])
     a, ids, e, _ = _shared(row, keys, width, gram)
     mask = np.frombuffer(b"".join(masks), np.uint64)
     starts = np.zeros(0, np.int64)
@@ -336,6 +309,5 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
     codes = exchange.answered(asked, _tell_keys, "codes")
     asked = chunks.map(chunks.with_answers(codes), lambda row: _ask_around(row, shards, width, gram), exchange.ASK_DDL)
     masks = exchange.answered(asked, lambda bodies: _tell_around(bodies, width), "masks")
-    both = codes.withColumn("answer", F.concat(F.lit(b"k"), "answer")).union(
-        masks.withColumn("shard", F.col("shard") + shards).withColumn("answer", F.concat(F.lit(b"m"), "answer")))
+    both = exchange.in_turn(codes, masks, shards)
     return chunks.map(chunks.with_answers(both), lambda row: _kept(row, shards, width, gram), KEPT_DDL)
