@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import blocks, contamination, langid, lm, pieces, simhash, suffix, tokens
+from . import blocks, contamination, langid, lm, pieces, quality, simhash, suffix, tokens, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +43,23 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, n_bytes, perplexity, threshold, keep of every text; trusted: of good quality and not toxic."""
+    labels = _table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
+    return quality.classify(_table(spark, sf_dir, "documents"), labels.select("doc_id"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every text."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the five best of every fiftieth vector."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every text."""
     index = contamination.build_index(_table(spark, sf_dir, "documents"))
@@ -67,5 +78,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_lm_scoring, op3_suffix_dedup, op4_substring_dedup, op5_sentencepiece, op7_simhash, op9_decontamination, op10_language_id)}
+    op1_token_counts, op2_lm_scoring, op3_suffix_dedup, op4_substring_dedup, op5_sentencepiece, op6_quality,
+    op7_simhash, op8_topk, op9_decontamination, op10_language_id)}
 ORACLES: dict[str, str] = {}
