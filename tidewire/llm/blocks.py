@@ -18,7 +18,7 @@ from .common import covered, mix, ragged, rolling
 from .exchange import Chunks
 
 WIDTH = 35
-CHUNK, SHARD = 2 << 20, 16 << 20
+CHUNK, SHARD = 1 << 20, 8 << 20
 KEY_BYTES, CHECK_BYTES = 5, 6
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
                   ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.string())])

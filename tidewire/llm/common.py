@@ -82,13 +82,18 @@ def ragged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(of)) - first[of] + lo[of], of
 
 
-def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Which of n places lie in a window of ``width`` that begins at one of ``starts``."""
+def between(starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the ranges [start, stop)."""
     edge = np.zeros(n + 1, np.int32)
     np.add.at(edge, starts, 1)
-    np.subtract.at(edge, np.minimum(starts + width, n), 1)
+    np.subtract.at(edge, stops, 1)
     return np.cumsum(edge[:n]) > 0
 
 
+def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of n places lie in a window of ``width`` that begins at one of ``starts``."""
+    return between(starts, np.minimum(starts + width, n), n)
+
+
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import exchange, logbloom
-from .common import MULTIPLIER, concat, covered, mix, ragged, rolling
+from .common import MULTIPLIER, between, concat, covered, mix, ragged, rolling
 from .exchange import Chunks
 
 WIDTH, GRAM = 50, 26
 #: Bytes of text per chunk, and per shard of the key space.
-CHUNK, SHARD = 2 << 20, 8 << 20
+CHUNK, SHARD = 1 << 20, 4 << 20
 #: Intervals up to this many rows are extended row by row, larger ones symbol by symbol.
 NARROW = 256
 KEY_BYTES, AROUND_BYTES = 5, 6
@@ -56,10 +56,10 @@ class Anchors:
             return
         h = rolling(_byte[data], gram)
         least = _sliding(h, window, np.minimum)[:len(data) - width + 1]
-        size = np.diff(starts)
-        begins = np.concatenate([ragged(starts[:-1][size >= width], starts[1:][size >= width] - width + 1)[0], np.zeros(0, np.int64)])
+        across = between(np.clip(starts[1:] - width + 1, 0, len(least)), np.minimum(starts[1:], len(least)), len(least))
         wanted = np.zeros(len(h) + window - 1, np.uint64)
-        wanted[window - 1 + begins] = least[begins]
+        wanted[window - 1:window - 1 + len(least)] = np.where(across, 0, least)
+        del least, across
         # an anchor has the least hash of a window that lies in one text
         self.at = np.flatnonzero(_sliding(wanted, window, np.maximum)[:len(h)] == h)
         self.doc = np.searchsorted(starts, self.at, "right") - 1
@@ -70,6 +70,7 @@ class Anchors:
         self.high = np.minimum(self.at + width, starts[self.doc + 1])
         powers = np.cumprod(np.full(len(data) + 1, MULTIPLIER, np.uint64))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte[data] * powers[:-1])])
+        del powers
         # the same bytes at other places differ by a power only; it is brought to the same one
         back = np.cumprod(np.full(len(data) + 1, pow(MULTIPLIER, -1, 1 << 64), np.uint64))
         shape = ((self.at - self.low) << 8 | (self.high - self.at)).astype(np.uint64)
