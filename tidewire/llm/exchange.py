@@ -13,13 +13,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize, shared_dir, shuffle_width
 from .common import keyed_text, text_chunks
 
-CHUNKS = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary()))])
-CHUNKS_DDL = "part long, chunk long, ids array<long>, texts array<binary>"
+CHUNKS = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary())),
+                    ("carried", pa.list_(pa.string()))])
+CHUNKS_DDL = "part long, chunk long, ids array<long>, texts array<binary>, carried array<string>"
 ASK = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("shard", pa.int64()), ("body", pa.list_(pa.binary()))])
 ASK_DDL = "part long, chunk long, shard long, body array<binary>"
 ANSWER = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("shard", pa.int64()), ("answer", pa.binary())])
@@ -27,10 +28,10 @@ ANSWER_DDL = "part long, chunk long, shard long, answer binary"
 
 
 class Chunks:
-    """The chunk table of ``docs``; ``size``: all bytes of text."""
+    """The chunk table of ``docs``; ``size``: all bytes of text; ``carry``: a string of each row that goes along."""
 
-    def __init__(self, docs: DataFrame, chunk_bytes: int, id_col: str = "doc_id", text_col: str = "text"):
-        texts = keyed_text(docs, id_col, text_col)
+    def __init__(self, docs: DataFrame, chunk_bytes: int, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None):
+        texts = keyed_text(docs, id_col, text_col, carried=F.lit(None).cast("string") if carry is None else carry)
         self.spark = docs.sparkSession
         self.size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         # with fewer buckets than shuffle partitions, Spark would rather move the texts
@@ -41,7 +42,8 @@ class Chunks:
             for chunk, (rows, own) in enumerate(text_chunks(batches, chunk_bytes)):
                 yield pa.RecordBatch.from_arrays([
                     pa.array([part]), pa.array([chunk]), pa.array([rows.column("id").to_pylist()], CHUNKS.field("ids").type),
-                    pa.array([own], CHUNKS.field("texts").type)], schema=CHUNKS)
+                    pa.array([own], CHUNKS.field("texts").type),
+                    pa.array([rows.column("carried").to_pylist()], CHUNKS.field("carried").type)], schema=CHUNKS)
 
         name = f"chunks_{uuid.uuid4().hex}"
         texts.mapInArrow(cut, CHUNKS_DDL).write.bucketBy(self.buckets, "part").option("compression", "zstd").option(

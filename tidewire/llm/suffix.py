@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from . import exchange, logbloom
 from .common import MULTIPLIER, between, concat, covered, mix, ragged, rolling
@@ -27,8 +27,9 @@ KEY_BYTES, AROUND_BYTES = 5, 6
 UNSHARED, SETTLED, OPEN = 0, 1, 2
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
-                  ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
-KEPT_DDL = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept binary"
+                  ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary()), ("carried", pa.string())])
+KEPT_DDL = ("doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept binary, "
+            "carried string")
 
 _byte = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MULTIPLIER))
 
@@ -286,17 +287,19 @@ def _kept(row: dict, shards: int, width: int, gram: int):
         starts = np.unique(np.concatenate(found))
     gone = covered(starts, width, len(a.data))
     out = {f.name: [] for f in KEPT}
-    for i, (doc_id, text) in enumerate(zip(row["ids"], row["texts"])):
+    for i, (doc_id, text, carried) in enumerate(zip(row["ids"], row["texts"], row["carried"])):
         own = gone[a.starts[i]:a.starts[i + 1]]
         edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8))).reshape(-1, 2)
         kept = np.frombuffer(text, np.uint8)[~own].tobytes() if len(edge) else text
-        for name, value in zip(out, (doc_id, len(text), int(own.sum()), [{"start": x, "stop": y} for x, y in edge.tolist()], kept)):
+        for name, value in zip(out, (doc_id, len(text), int(own.sum()), [{"start": x, "stop": y} for x, y in edge.tolist()], kept, carried)):
             out[name].append(value)
     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in KEPT], schema=KEPT)
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, spans (maximal removed runs of bytes), kept (bytes).
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text",
+                   carry: Column | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, spans (maximal removed runs of bytes), kept (bytes), and
+    what ``carry`` gave for the row as ``carried``.
 
     A byte goes if a string of ``width`` bytes over it, in its document, also starts in a document with a smaller id.
     Strings are those of the input texts, do not cross texts, and may overlap. Rows with the same id count as one
@@ -304,7 +307,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
     """
     if not 0 < width - gram < 64 or width > 127:
         raise ValueError("width must exceed gram by at most 63 and be below 128")
-    chunks = Chunks(docs, CHUNK, id_col, text_col)
+    chunks = Chunks(docs, CHUNK, id_col, text_col, carry)
     shards = chunks.shards(SHARD)
     asked = chunks.map(chunks.table, lambda row: _ask_keys(row, shards, width, gram), exchange.ASK_DDL)
     codes = exchange.answered(asked, _tell_keys, "codes")
