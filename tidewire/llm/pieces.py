@@ -99,10 +99,13 @@ class Merger:
         """Merge the parts that are new, and hold them against the library, led by a line end that merges with nothing."""
         if len(self.known) > REMEMBERED:
             self.before, self.known = self.known, {}
-        for p in parts - self.known.keys():
-            if (ids := self.before.get(p)) is not None:
-                self.known[p] = ids
-        new = list(parts - self.known.keys())
+        new = []
+        for p in parts:
+            if p not in self.known:
+                if (ids := self.before.get(p)) is not None:
+                    self.known[p] = ids
+                else:
+                    new.append(p)
         ours = [self.merge(p) for p in new]
         lead = len(self.lib.encode("\n"))
         theirs = self.lib.encode(["\n" + p for p in new], num_threads=1)

@@ -84,8 +84,9 @@ class LongestMatch:
         known = self.words
         if len(known) > REMEMBERED:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = self.count(w)
+        for w in set(words):
+            if w not in known:
+                known[w] = self.count(w)
         counts = list(map(known.__getitem__, words))
         unknown = counts.count(0)
         return sum(counts) + unknown, unknown
