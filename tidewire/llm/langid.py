@@ -120,24 +120,22 @@ class Network:
             np.add.at(g[f"in_{way}"], symbols[list(order)].ravel(), np.concatenate(deltas))
         return loss, g
 
-    def train(self, windows: np.ndarray, labels: np.ndarray, rounds: int = 6, together: int = 64, rate: float = 0.02,
+    def train(self, windows: np.ndarray, labels: np.ndarray, steps: int = 200, together: int = 64, rate: float = 0.02,
               seed: int = 0) -> list[float]:
-        """Adam over shuffled batches; returns the mean loss of each round."""
-        rng, losses, step = np.random.default_rng(seed), [], 0
+        """Adam over batches from shuffled rounds of the windows; returns the loss of each step."""
+        rng, losses, order = np.random.default_rng(seed), [], np.zeros(0, int)
         mean = {k: np.zeros_like(v) for k, v in self.weights.items()}
         square = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        for _ in range(rounds):
-            order, total = rng.permutation(len(labels)), []
-            for a in range(0, len(order), together):
-                own = order[a:a + together]
-                loss, g = self.gradients(windows[own].T, labels[own])
-                total.append(loss)
-                step += 1
-                for k, v in self.weights.items():
-                    mean[k] += 0.1 * (g[k] - mean[k])
-                    square[k] += 0.01 * (np.square(g[k]) - square[k])
-                    v -= rate * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-6)
-            losses.append(float(np.mean(total)))
+        for step in range(1, steps + 1):
+            if len(order) < together:
+                order = np.concatenate([order, rng.permutation(len(labels))])
+            own, order = order[:together], order[together:]
+            loss, g = self.gradients(windows[own].T, labels[own])
+            losses.append(loss)
+            for k, v in self.weights.items():
+                mean[k] += 0.1 * (g[k] - mean[k])
+                square[k] += 0.01 * (np.square(g[k]) - square[k])
+                v -= rate * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.99 ** step)) + 1e-6)
         return losses
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
@@ -174,7 +172,7 @@ def sample(docs: DataFrame, lang_col: str, text_col: str, per_language: int, win
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = 256, windows: int = 2,
-        rounds: int = 6, seed: int = 7) -> Network:
+        steps: int = 200, seed: int = 7) -> Network:
     """Train on a bounded sample of the labelled rows; rows without label or letters are passed over."""
     rows = sample(docs, lang_col, text_col, per_language, windows).collect()
     net = Network.new(sorted({r["lang"] for r in rows}), seed)
@@ -183,7 +181,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", per_lan
         symbols = np.full((len(pieces), WINDOW), PAD, np.int16)
         for i, (_, p) in enumerate(pieces):
             symbols[i, :len(p)] = np.frombuffer(p, np.uint8)
-        net.train(symbols, np.array([net.languages.index(lang) for lang, _ in pieces]), rounds, seed=seed)
+        net.train(symbols, np.array([net.languages.index(lang) for lang, _ in pieces]), steps, seed=seed)
     return net
 
 
