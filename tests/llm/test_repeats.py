@@ -35,6 +35,7 @@ def byte_repeats(rows, width):
 def test_byte_passages(docs, no_docs, rows, width, gram, monkeypatch):
     monkeypatch.setattr(suffix, "CHUNK", 20_000)
     monkeypatch.setattr(suffix, "SHARD", 50_000)
+    monkeypatch.setattr(suffix, "BATCH", 3_000)
     out = suffix.remove_repeats(docs, width, gram).collect()
     same([(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in out], byte_repeats(rows, width))
     assert all(sum(s.stop - s.start for s in r.spans) == r.n_removed for r in out)

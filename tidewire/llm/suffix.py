@@ -21,6 +21,8 @@ from .exchange import Chunks
 WIDTH, GRAM = 50, 26
 #: Bytes of text per chunk, and per shard of the key space.
 CHUNK, SHARD = 1 << 20, 4 << 20
+#: Bytes that are sorted at a time; equal keys stay together.
+BATCH = 384 << 10
 #: Intervals up to this many rows are extended row by row, larger ones symbol by symbol.
 NARROW = 256
 KEY_BYTES, AROUND_BYTES = 5, 6
@@ -175,7 +177,10 @@ def _tell_around(bodies: list[list[bytes]], width: int) -> list[bytes]:
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])
         one = order[new]
         place, of = ragged(begin[one], begin[one] + length[one])
-        low = smallest_with(text[place], np.concatenate([[0], np.cumsum(length[one])]), smallest[which][one], width)
+        text, starts = text[place], np.concatenate([[0], np.cumsum(length[one])])
+        low = np.empty(len(text), np.int64)
+        for i, j in _batches(k[new], starts):
+            low[starts[i]:starts[j]] = smallest_with(text[starts[i]:starts[j]], starts[i:j + 1] - starts[i], smallest[which][one][i:j], width)
         region = np.empty(len(which), np.int64)
         region[order] = np.cumsum(new) - 1
         begins = (np.cumsum(length[one]) - length[one])[region]
@@ -187,6 +192,17 @@ def _tell_around(bodies: list[list[bytes]], width: int) -> list[bytes]:
     return [x.tobytes() for x in np.split(mask, np.cumsum(size)[:-1])]
 
 
+def _batches(keys: np.ndarray, starts: np.ndarray):
+    """Ranges of pieces with about ``BATCH`` bytes that do not part equal keys; equal strings have equal keys."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    ends = np.append(first[1:], len(keys))
+    at = 0
+    while at < len(keys):
+        to = int(ends[min(np.searchsorted(starts[ends], starts[at] + BATCH), len(ends) - 1)])
+        yield at, to
+        at = to
+
+
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Starts of the suffixes in the order of their first ``depth`` symbols or more, by doubling."""
     n, length = len(text), 8
