@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tidewire import plans  # noqa: E402
-from tidewire.session import get_session  # noqa: E402
+from tidewire.session import clear_steps, get_session  # noqa: E402
 
 HEADLINE = [
     "a1_count_by_municipality", "a5_annual_summary", "a14_cycle_totals", "d3_near_duplicates", "d5_verdicts",
@@ -34,6 +34,7 @@ def main() -> None:
         start = time.time()
         plans.queries()[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - start, 3)
+        clear_steps(spark)
         print(name, times[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",

@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb  # noqa: E402
 
 from tidewire import plans  # noqa: E402
-from tidewire.session import TABLES, get_session  # noqa: E402
+from tidewire.session import TABLES, clear_steps, get_session  # noqa: E402
 
 ROOT = os.environ.get("TESTDATA", "/root/testdata")
 
@@ -76,13 +76,14 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     prefixes = sys.argv[2:]
     sf_dir = f"{ROOT}/sf{sf}"
-    spark, con = get_session(), connect(sf_dir)
+    spark, con = get_session(os.environ.get("TEST_CPUS", "8")), connect(sf_dir)
     bad = 0
     for name in plans.queries():
         if prefixes and not any(name.startswith(p) for p in prefixes):
             continue
         try:
             ok, msg = compare(spark, con, name, sf_dir)
+            clear_steps(spark)
         except Exception as e:  # report and go on
             ok, msg = False, f"{type(e).__name__}: {str(e)[:600]}"
         bad += not ok

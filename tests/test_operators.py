@@ -97,6 +97,9 @@ def test_verdicts_equal_brute_force(spark, monkeypatch):
             if best is None or (hit[0], b.ts, b.id) > best[0]:
                 best = ((hit[0], b.ts, b.id), b.id, hit[1])
         want[a.id] = (best[1], best[2]) if best else (None, None)
+    for a in sorted(rows, key=lambda r: (r.ts, r.id)):  # a canonical row is no duplicate itself
+        to, level = want[a.id]
+        want[a.id] = (want[to][0] if to is not None and want[to][0] is not None else to, level)
     got = {r.id: (r.canonical_id, r.level) for r in D.verdicts(arts, semantic=False).collect()}
     assert got == want
 
@@ -170,7 +173,7 @@ def test_slugs_respect_existing(spark):
     df = spark.createDataFrame([(1, "Caída"), (2, "Caida"), (3, "!!!"), (4, "otra")], "id long, t string")
     old = spark.createDataFrame([("caida",), ("caida-4",)], "slug string")
     got = {r.id: r.slug for r in C.unique_slugs(df, "t", ["id"], old).collect()}
-    assert got == {1: "caida-5", 2: "caida-6", 3: "accidente", 4: "otra"}
+    assert got == {1: "caida-2", 2: "caida-3", 3: "accidente", 4: "otra"}
 
 
 def test_facts_anchors(spark):

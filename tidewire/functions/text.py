@@ -79,12 +79,17 @@ def content_hash(title, body) -> Column:
 
 
 def fnv1a(c) -> Column:
-    """32-bit FNV-1a over the characters of a string."""
-    return F.aggregate(
-        F.filter(F.split(col(c), ""), lambda ch: ch != ""),
-        F.lit(2166136261).cast("long"),
-        lambda h, ch: (h.bitwiseXOR(F.ascii(ch).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295)),
-    )
+    """32-bit FNV-1a over the UTF-16 units of a string."""
+    def mixed(h, unit):
+        return (h.bitwiseXOR(unit) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
+
+    def step(h, ch):
+        code = F.ascii(ch).cast("long")
+        over = code - 0x10000
+        two = mixed(mixed(h, F.shiftright(over, 10) + 0xD800), over.bitwiseAND(F.lit(0x3FF)) + 0xDC00)
+        return F.when(code < 0x10000, mixed(h, code)).otherwise(two)
+
+    return F.aggregate(F.filter(F.split(col(c), ""), lambda ch: ch != ""), F.lit(2166136261).cast("long"), step)
 
 
 def _fnv_spans(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -190,7 +195,8 @@ def bind(c: Column, fn) -> Column:
 
 
 def _decode_numeric(c: Column) -> Column:
-    for pattern, base in ((r"(?i)&#x([0-9a-f]{1,6});", 16), (r"&#(\d{1,7});", 10)):
+    # Leading zeros do not count; what is longer than that lies beyond the last character and stays as it is.
+    for pattern, base in ((r"(?i)&#x0*([0-9a-f]{1,6});", 16), (r"&#0*(\d{1,7});", 10)):
         def decode(text):
             codes = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
             gaps = F.split(text, pattern)

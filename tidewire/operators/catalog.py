@@ -114,21 +114,24 @@ def catalog_diff(stored: DataFrame, declared: DataFrame) -> DataFrame:
 def unique_slugs(df: DataFrame, title: str, order: list[str], existing: DataFrame | None = None) -> DataFrame:
     """First row of a root keeps it, later ones get -2, -3 ... in order; an empty root is ``accidente``.
 
-    Numbering is a running count, so one root may hold any share of the rows. Stored slugs of the same
-    root shift the numbers past the largest one in use.
+    Numbering is a running count, so one root may hold any share of the rows. Numbers that stored slugs of the
+    root have are passed over: the j-th row takes the j-th free one, found by a second running count over the
+    free numbers below each stored one.
     """
     root = slugify(title)
     rooted = df.withColumn("_root", F.when(root == "", F.lit("accidente")).otherwise(root))
     numbered = ordered.running(rooted, ["_root"], order, {"_n": ("count", F.lit(1))})
     if existing is not None:
-        used = existing.select(
-            F.regexp_replace("slug", r"-\d{1,6}$", "").alias("_r1"), F.col("slug").alias("_r2"),
-            F.coalesce(F.regexp_extract("slug", r"-(\d{1,6})$", 1).try_cast("int"), F.lit(1)).alias("_k"))
-        both = used.select(F.col("_r1").alias("_ur"), "_k").unionByName(
-            used.select(F.col("_r2").alias("_ur"), F.lit(1).alias("_k")))
-        top = both.groupBy("_ur").agg(F.max("_k").alias("_off"))
-        numbered = numbered.join(top, F.col("_root") == F.col("_ur"), "left").drop("_ur")
-        numbered = numbered.withColumn("_n", F.col("_n") + F.coalesce("_off", F.lit(0))).drop("_off")
+        tail = r"-([2-9]|[1-9]\d+)$"
+        number = F.regexp_extract("slug", tail, 1).try_cast("long")
+        used = existing.select(F.col("slug").alias("_root"), F.lit(1).cast("long").alias("_k")).union(existing.filter(
+            number.isNotNull()).select(F.regexp_replace("slug", tail, ""), number)).distinct()
+        ranked = ordered.running(used, ["_root"], ["_k"], {"_i": ("count", F.lit(1))})
+        stored = ranked.select("_root", (F.col("_k") - F.col("_i")).alias("_n"), F.lit(1).alias("_stored"))
+        # At equal places rows come before stored numbers, which only push on what lies behind them.
+        line = numbered.withColumn("_stored", F.lit(0)).unionByName(stored, allowMissingColumns=True)
+        passed = ordered.running(line, ["_root"], ["_n", "_stored"], {"_past": ("sum", F.col("_stored"))})
+        numbered = passed.filter("_stored = 0").withColumn("_n", F.col("_n") + F.col("_past")).drop("_stored", "_past")
     slug = F.when(F.col("_n") == 1, F.col("_root")).otherwise(
         F.concat("_root", F.lit("-"), F.col("_n").cast("string")))
     return numbered.withColumn("slug", slug).drop("_root", "_n")

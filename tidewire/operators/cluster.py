@@ -8,7 +8,7 @@ from ..session import materialize
 from .reports import top_per_key
 
 
-def components(links: DataFrame, a: str = "node", b: str = "root", max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "node", b: str = "root") -> DataFrame:
     """(node, cluster): every linked node with the smallest id of its component.
 
     Each round moves labels along links and then jumps to the label of the label. Minima are
@@ -18,7 +18,7 @@ def components(links: DataFrame, a: str = "node", b: str = "root", max_rounds: i
     edges = materialize(both.union(both.select("y", "x")).distinct(), "edges")
     labels = materialize(edges.groupBy(F.col("x").alias("node")).agg(
         F.least(F.min("y"), F.first("x")).alias("cluster")), "labels")
-    for _ in range(max_rounds):
+    while True:
         offered = edges.join(labels, edges.y == labels.node).groupBy(F.col("x").alias("node")).agg(
             F.min("cluster").alias("_c"))
         step = labels.join(offered, "node").select("node", F.col("cluster").alias("_old"),
@@ -30,10 +30,9 @@ def components(links: DataFrame, a: str = "node", b: str = "root", max_rounds: i
         labels = nxt.select("node", "cluster")
         if not changed:
             return labels
-    raise RuntimeError("labels did not settle")
 
 
-def leaders(nodes: DataFrame, links: DataFrame, max_rounds: int = 200) -> DataFrame:
+def leaders(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Greedy clustering in ``seq`` order: a node joins its earliest leader neighbour or leads itself.
 
     Rounds in parallel: an undecided node whose earlier neighbours are all decided and none leads
@@ -47,7 +46,7 @@ def leaders(nodes: DataFrame, links: DataFrame, max_rounds: int = 200) -> DataFr
         seq, F.col("b") == F.col("_n")).withColumnRenamed("_s", "sb").drop("_n").filter("sb < sa")
     earlier = materialize(earlier, "earlier")
     state = materialize(nodes.select("node", "seq", F.lit(None).cast(dict(nodes.dtypes)["node"]).alias("leader")), "leaders")
-    for _ in range(max_rounds):
+    while True:
         look = earlier.join(state.select(F.col("node").alias("b"), F.col("leader").alias("lb")), "b").groupBy(
             F.col("a").alias("node")).agg(
             F.min(F.when(F.col("lb").isNull(), F.col("sb"))).alias("open_seq"),
@@ -59,7 +58,6 @@ def leaders(nodes: DataFrame, links: DataFrame, max_rounds: int = 200) -> DataFr
         state = materialize(j.select("node", "seq", decided.alias("leader")), "leaders")
         if state.filter("leader IS NULL").limit(1).count() == 0:
             return state.select("node", F.col("leader").alias("cluster"))
-    raise RuntimeError("leaders did not settle")
 
 
 def survivors(members: DataFrame, cluster: str = "cluster", id_col: str = "id") -> DataFrame:

@@ -67,11 +67,17 @@ def _title_groups(articles: DataFrame, threshold: float, hours: int, content: bo
     pairs = cross.unionByName(own)
     tagged = bucketed.join(sets.select("toks", "bucket", "inst"), ["toks", "bucket"])
     if content:
+        # Without title tokens only the content can be equal: one instance per content and bucket.
+        bare = bucketed.filter(F.size("title_tokens") == 0).withColumn("inst", F.xxhash64(F.lit("no title"), "content_hash", "bucket"))
+        tagged = tagged.unionByName(bare.select(tagged.columns))
+        several = bare.groupBy("inst").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        pairs = pairs.unionByName(several.select(
+            F.col("inst").alias("group_a"), F.col("inst").alias("group_b"), F.lit(0.0).alias("jaccard")))
         held = materialize(tagged.select("content_hash", "inst", "bucket", "toks").distinct(), "content_sets")
         other = held.select("content_hash", F.col("inst").alias("group_b"), F.col("bucket").alias("_b2"), F.col("toks").alias("_t2"))
         linked = held.withColumnRenamed("inst", "group_a").join(other, "content_hash").filter(
             (F.col("group_a") < F.col("group_b")) & (F.abs(F.col("bucket") - F.col("_b2")) <= 1))
-        linked = linked.withColumn("jaccard", T.jaccard("toks", "_t2")).filter(F.col("jaccard") < threshold - 1e-12)
+        linked = linked.withColumn("jaccard", F.coalesce(T.jaccard("toks", "_t2"), F.lit(0.0))).filter(F.col("jaccard") < threshold - 1e-12)
         pairs = pairs.unionByName(linked.select("group_a", "group_b", "jaccard").distinct())
     needed = pairs.select(F.col("group_a").alias("inst")).union(pairs.select(F.col("group_b"))).distinct()
     return tagged.join(needed, "inst", "left_semi"), pairs
@@ -184,17 +190,33 @@ def semantic_duplicates(articles: DataFrame, hours: int = L.WINDOW_HOURS, thresh
 # --- verdict -----------------------------------------------------------------------------------
 
 def verdicts(articles: DataFrame, hours: int = L.WINDOW_HOURS, semantic: bool = True) -> DataFrame:
-    """One row per article: is_duplicate, canonical_id, similarity, level."""
+    """One row per article: is_duplicate, canonical_id, similarity, level.
+
+    The canonical row is never itself a duplicate: where the best candidate is one, its own canonical row, or that
+    row's, takes its place. Similarity and level stay those of the match.
+    """
     found = same_key(articles, "url_key", "url", 1.0, hours).unionByName(
         same_key(articles, "content_hash", "contenido", 0.99, hours)).unionByName(near_duplicates(articles, hours))
     if semantic:
         found = found.unionByName(semantic_duplicates(articles, hours))
-    best = _best(found, articles)
+    best = roots(_best(found, articles))
     return articles.select("id").join(best, "id", "left").select(
         "id", F.col("candidate").isNotNull().alias("is_duplicate"), F.col("candidate").alias("canonical_id"),
         F.round(F.coalesce("similarity", F.lit(0.0)), 3).alias("similarity"), "level")
 
 
+def roots(best: DataFrame) -> DataFrame:
+    """Candidates replaced by the end of their chain. Chains lead back in time, so each round of jumps halves them."""
+    best = materialize(best, "best")
+    jump = materialize(best.select("id", "candidate"), "jumps")
+    while True:
+        onward = jump.select(F.col("id").alias("candidate"), F.col("candidate").alias("_next"))
+        step = materialize(jump.join(onward, "candidate", "left"), "jumps")
+        if step.filter("_next IS NOT NULL").limit(1).count() == 0:
+            return best.drop("candidate").join(jump, "id")
+        jump = step.select("id", F.coalesce("_next", "candidate").alias("candidate"))
+
+
 # --- reports ---------------------------------------------------------------------------------------
 
 def similar_counts(articles: DataFrame, hours: int = L.WINDOW_HOURS, minimum: float = L.REPORT_MIN) -> DataFrame:

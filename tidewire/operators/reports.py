@@ -167,8 +167,14 @@ def with_dimension(df: DataFrame, dim: DataFrame, fk: str, pk: str) -> DataFrame
 
 
 def count_on(parent: DataFrame, child: DataFrame, on: Column, key: str, child_id: str, out: str = "n") -> DataFrame:
-    """Left join with every condition inside ON, then a count that keeps zeros."""
-    return parent.join(child, on, "left").groupBy(key).agg(F.count(child_id).alias(out))
+    """Children per parent row by any condition, zeros kept.
+
+    The inner join lets Spark broadcast the small parent and count where the children are; only counts are
+    shuffled, so a parent with any share of the children is no hot key.
+    """
+    counts = parent.join(child, on).groupBy(key).agg(F.count(child_id).alias(out)).withColumnRenamed(key, "_key")
+    joined = parent.select(key).distinct().join(counts, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.select(key, F.coalesce(out, F.lit(0)).cast("long").alias(out))
 
 
 def child_counts(parent: DataFrame, child: DataFrame, pk: str, fk: str, out: str = "n") -> DataFrame:

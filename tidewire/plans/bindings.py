@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import load, spread
+from ..session import load
 
 # Catalog of incidents: orders with their customer and nation.
 ACCIDENTS = """
@@ -101,10 +101,6 @@ _TABLES = ["orders", "customer", "nation", "lineitem", "documents", "pages", "ev
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     used = {t: load(spark, sf_dir, t) for t in _TABLES if "{" + t + "}" in text}
-    # Only bare scans are spread: asking a joined plan for its partitions would run it.
-    heavy = {"wire": "orders", "articles": "documents"}.get(name)
-    if heavy:
-        used[heavy] = spread(used[heavy])
     return spark.sql(text, **used)
 
 
@@ -112,6 +108,8 @@ def with_views(body: str, *names: str) -> str:
     """Oracle text: the views as common table expressions, then the query."""
     ctes = [f"{n} AS ({VIEWS[n].format(**{t: t for t in _TABLES})})" for n in names]
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
     return "WITH " + ",\n".join(ctes) + "\n" + body

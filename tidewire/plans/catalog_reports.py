@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import dates as D
 from ..functions.geo import coerce
+from ..functions.text import slugify
 from ..operators import catalog as C, reports as R
 from ..rules import lexicon as L
 from .bindings import sql_list, view, with_views
@@ -395,6 +396,18 @@ def w7(s, d):
     return C.unique_slugs(rows, "t", ["created_at", "id"]).select("id", "slug")
 
 
+@query("w7_slugs_with_stored", A(
+    r"""WITH r AS (SELECT id, created_at, left(regexp_replace(regexp_replace(lower(strip_accents(title || ' ' || category)), '[^a-z0-9]+', '-', 'g'),
+        '^-+|-+$', '', 'g'), 90) AS root FROM accidents), n AS (SELECT id, root, row_number() OVER (PARTITION BY root ORDER BY created_at, id) AS n FROM r)
+        SELECT id, CASE WHEN k = 1 THEN root ELSE root || '-' || k END AS slug FROM (SELECT id, root, CASE WHEN n < 2 + length(root) % 5 THEN n ELSE n + 1 END AS k FROM n)"""))
+def w7_stored(s, d):
+    """Every root has one numbered slug in store already."""
+    rows = acc(s, d).select("id", "created_at", F.concat_ws(" ", "title", "category").alias("t"))
+    root = slugify("t")
+    stored = rows.select(F.concat(root, F.lit("-"), (F.length(root) % 5 + 2).cast("string")).alias("slug")).distinct()
+    return C.unique_slugs(rows, "t", ["created_at", "id"], stored).select("id", "slug")
+
+
 @query("w8_latest_change", with_views(
     """SELECT article_id, line FROM (SELECT article_id, line, row_number() OVER (PARTITION BY article_id
        ORDER BY published_at DESC, line DESC) AS r FROM sources) WHERE r = 1""", "sources"))

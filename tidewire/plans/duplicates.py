@@ -92,10 +92,14 @@ def d4_loose(s, d):
 _VERDICT = f"""q AS (SELECT id, cand, cts, CASE WHEN su THEN 1.0 WHEN sc THEN 0.99 ELSE {_SCORE} END AS sim,
     CASE WHEN su THEN 'url' WHEN sc THEN 'contenido' WHEN dist <= 12 AND jac >= 0.86 THEN 'simhash' ELSE 'titulo' END AS level FROM p WHERE coalesce(su, false) OR sc OR {_NEAR}),
   best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, cts DESC, cand DESC) AS r FROM q)"""
+# Who is no duplicate leads its own chain; a duplicate belongs to the leader of its candidate.
+_LEADERS = """lead(id, leader) AS (SELECT sig.id, sig.id FROM sig WHERE NOT EXISTS (SELECT 1 FROM best WHERE best.id = sig.id)
+    UNION ALL SELECT best.id, lead.leader FROM best JOIN lead ON best.cand = lead.id WHERE best.r = 1)"""
 
 
-@query("d5_verdicts", A(f"""WITH {SIG}, {_pairs(L.WINDOW_HOURS)}, {_VERDICT} SELECT sig.id, cand IS NOT NULL AS is_duplicate, cand AS canonical_id,
-    round(coalesce(sim, 0.0), 3) AS similarity, level FROM sig LEFT JOIN best ON best.id = sig.id AND r = 1"""))
+@query("d5_verdicts", A(f"""WITH RECURSIVE {SIG}, {_pairs(L.WINDOW_HOURS)}, {_VERDICT}, {_LEADERS} SELECT sig.id, cand IS NOT NULL AS is_duplicate,
+    CASE WHEN cand IS NOT NULL THEN leader END AS canonical_id, round(coalesce(sim, 0.0), 3) AS similarity, level
+    FROM sig LEFT JOIN best ON best.id = sig.id AND r = 1 JOIN lead ON lead.id = sig.id"""))
 def d5(s, d):
     return D.verdicts(signed(s, d), semantic=False)
 

@@ -184,9 +184,8 @@ def r7(s, d):
 @query("r8_idempotent_sink", R("SELECT source, min(run_id) IS NOT NULL AS stored FROM runs GROUP BY 1"))
 def r8(s, d):
     """Keys land once although the stream is drained twice into the same target."""
-    import uuid
-    from ..session import shared_dir
-    base = f"{shared_dir(s)}/sink-{uuid.uuid4().hex}"
+    from ..session import step_path
+    base = step_path(s, "sink")
     for replay in range(2):
         q = (_event_stream(s, d).writeStream.foreachBatch(live.idempotent_writer(f"{base}/out", ["source"]))
              .option("checkpointLocation", f"{base}/ckpt{replay}").trigger(availableNow=True).start())

@@ -64,8 +64,7 @@ def s3(s, d):
 
 
 def extracted(s, d):
-    from ..session import spread
-    return P.extract_articles(spread(load(s, d, "pages")))
+    return P.extract_articles(load(s, d, "pages"))
 
 
 @query("s4_page_articles")
@@ -108,9 +107,8 @@ def s7(s, d):
 @query("s9_partitioned_sink", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def s9(s, d):
     """Round trip through a partitioned Parquet folder; the partition column prunes the read."""
-    import uuid
-    from ..session import shared_dir
-    path = f"{shared_dir(s)}/orders-{uuid.uuid4().hex}"
+    from ..session import step_path
+    path = step_path(s, "orders")
     S.write_partitioned(load(s, d, "orders").withColumn("status", F.col("o_orderstatus")), path, ["status"])
     return s.read.parquet(path).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -118,9 +116,8 @@ def s9(s, d):
 @query("s9_row_formats", "SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum(c_nationkey) AS BIGINT) AS keys FROM customer GROUP BY 1")
 def s9_formats(s, d):
     """CSV and JSON round trip with explicit schemas."""
-    import uuid
-    from ..session import shared_dir
-    base = f"{shared_dir(s)}/customer-{uuid.uuid4().hex}"
+    from ..session import step_path
+    base = step_path(s, "customer")
     c = load(s, d, "customer")
     c.write.option("header", True).csv(f"{base}/csv")
     s.read.schema(c.schema).option("header", True).csv(f"{base}/csv").write.json(f"{base}/json")

@@ -28,7 +28,9 @@ def tokens(name: str, source: str, text: str, key: str = "id") -> str:
 
 
 def fnv(x: str) -> str:
-    return (f"list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({x}, ''), lambda c: unicode(c)::BIGINT)), "
+    units = ("flatten(list_transform(string_split({x}, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)::BIGINT] "
+             "ELSE [55296 + ((unicode(c) - 65536) >> 10)::BIGINT, 56320 + ((unicode(c) - 65536) & 1023)::BIGINT] END))").replace("{x}", x)
+    return (f"list_reduce(list_prepend(2166136261::BIGINT, {units}), "
             f"lambda h, c: (xor(h, c) * 16777619) & 4294967295)")
 
 

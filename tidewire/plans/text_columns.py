@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T, urls as U
 from ..rules import lexicon as L
-from ..session import load, spread
+from ..session import load
 from . import sqltext as Q
 from .bindings import sql_list, view, with_views
 from .registry import query
@@ -17,11 +17,11 @@ def arts(s, d):
 
 
 def docs(s, d):
-    return spread(load(s, d, "documents"))
+    return load(s, d, "documents")
 
 
 def raw_pages(s, d):
-    return spread(load(s, d, "pages"))
+    return load(s, d, "pages")
 
 
 def AR(sql):
@@ -66,10 +66,9 @@ def t6(s, d):
     return arts(s, d).select("id", T.content_hash("title", "body").alias("content_hash"))
 
 
-@query("t7_fnv1a", f"SELECT doc_id, {Q.fnv('split_part(text, chr(10), 1)')} AS h FROM documents WHERE length(split_part(text, chr(10), 1)) > 0")
+@query("t7_fnv1a", f"SELECT doc_id, CASE WHEN text = '' THEN 2166136261 ELSE {Q.fnv('text')} END AS h FROM documents WHERE text IS NOT NULL")
 def t7(s, d):
-    title = F.split_part("text", F.lit("\n"), F.lit(1))
-    return docs(s, d).filter(F.char_length(title) > 0).select("doc_id", T.fnv1a(title).alias("h"))
+    return docs(s, d).filter("text IS NOT NULL").select("doc_id", T.fnv1a("text").alias("h"))
 
 
 @query("t8_simhash", AR(f"""WITH {TOK_BODY}, {Q.simhash('sh', 'tb')}
@@ -123,9 +122,9 @@ def t14(s, d):
     return raw_pages(s, d).select("page_id", T.sha256(T.html_to_text("html")).alias("h"))
 
 
-@query("t15_entities", f"""SELECT doc_id, {Q.entities("'&Aacute;' || '&amp;lt; &NBSP;' || left(text, 40)")} || chr(233) || 'x' AS decoded FROM documents""")
+@query("t15_entities", f"""SELECT doc_id, {Q.entities("'&Aacute;' || '&amp;lt; &NBSP;' || text")} || chr(233) || 'x' || chr(233) || chr(233) || '&#1114112;' AS decoded FROM documents""")
 def t15(s, d):
-    raw = F.concat(F.lit("&Aacute;&amp;lt; &NBSP;"), F.substring("text", 1, 40), F.lit("&#233;&#x78;"))
+    raw = F.concat(F.lit("&Aacute;&amp;lt; &NBSP;"), "text", F.lit("&#233;&#x78;&#00000000233;&#x000000e9;&#1114112;"))
     return docs(s, d).select("doc_id", T.decode_entities(raw).alias("decoded"))
 
 

@@ -1,10 +1,11 @@
-"""Session helpers: configuration, table loading, and where cut lineage is stored."""
+"""Session helpers: configuration, the package on the executors, table loading, and where cut lineage is stored."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,22 +14,46 @@ TABLES = (
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+#: Set only where the submit has not: dates are UTC, plans adapt.
+DEFAULTS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
 
-def get_session(cores: str = "8", app: str = "tidewire") -> SparkSession:
-    """A UTC session with adaptive execution. On a cluster the submit settings win."""
-    spark = (
-        SparkSession.builder.master(os.environ.get("SPARK_MASTER", f"local[{cores}]"))
-        .appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", os.environ.get("SPARK_SHUFFLE_PARTITIONS", "8"))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
-        .getOrCreate()
-    )
+_shipped: set[str] = set()
+
+
+def get_session(cores: str | None = None, app: str = "tidewire") -> SparkSession:
+    """The session of the submit, with what it leaves open. ``cores`` asks for a local one, as tests and bench do."""
+    builder = SparkSession.builder.appName(app)
+    if cores:
+        builder = builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", cores).config(
+            "spark.ui.enabled", "false").config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    given = dict(spark.sparkContext.getConf().getAll())
+    for key, value in DEFAULTS.items():
+        if key not in given:
+            spark.conf.set(key, value)
+    return ship(spark)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        home = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="tidewire-"), "tidewire-package.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in os.walk(home):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.relpath(path, os.path.dirname(home)))
+        context.addPyFile(archive)  # Spark's own file server hands it out
+        _shipped.add(context.applicationId)
     return spark
 
 
@@ -47,13 +72,33 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _steps(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/steps-{spark.sparkContext.applicationId}"
+
+
+def step_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, below the one folder of this application."""
+    return f"{_steps(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def clear_steps(spark: SparkSession) -> None:
+    """Delete what this application has stored; results that still read it must have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_steps(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, and gives later joins real table sizes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = step_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -69,12 +114,3 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if field.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
     return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give text-heavy work every core when a scan is one small file; larger inputs stay as read.
-
-    For plain scans only: counting the partitions of a plan with shuffles would execute them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..rules import lexicon as L
-from ..session import shared_dir
+from ..session import exists, step_path
 
 
 def first_seen(stream: DataFrame, key: str, ts: str = "ts", delay: str = "90 minutes") -> DataFrame:
@@ -60,17 +62,17 @@ def _entry(key, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[p
         out.append((key[0], _stamp(last + limit), mode, L.MISSING_AFTER, n))
         state.update((last, n, mode))
     else:
-        for frame in frames:
-            for t in frame["ts"].sort_values():
-                t = t.timestamp()
-                if last is not None and t - last > limit and mode == "PRESENT":
-                    out.append((key[0], _stamp(last + limit), "MISSING", L.MISSING_AFTER, n))
-                    mode = "MISSING"
-                n += 1
-                if mode != "PRESENT":
-                    mode = "PRESENT"
-                    out.append((key[0], _stamp(t), mode, 0, n))
-                last = t if last is None else max(last, t)
+        # Order holds over all chunks of the trigger, however Arrow cuts them; eight bytes per sighting are held.
+        times = np.concatenate([frame["ts"].to_numpy("datetime64[us]").astype(np.int64) for frame in frames])
+        for t in (np.sort(times) / 1e6).tolist():
+            if last is not None and t - last > limit and mode == "PRESENT":
+                out.append((key[0], _stamp(last + limit), "MISSING", L.MISSING_AFTER, n))
+                mode = "MISSING"
+            n += 1
+            if mode != "PRESENT":
+                mode = "PRESENT"
+                out.append((key[0], _stamp(t), mode, 0, n))
+            last = t if last is None else max(last, t)
         state.update((last, n, mode))
         due = int((last + limit) * 1000)
         # A due time already behind the watermark closes at the next trigger.
@@ -139,25 +141,28 @@ def source_alerts(stream: DataFrame) -> DataFrame:
 
 
 def idempotent_writer(path: str, keys: list[str]):
-    """foreachBatch function: every key lands once, and a replayed batch replaces itself."""
+    """foreachBatch function: every key lands once, and a replayed batch replaces itself.
+
+    Batch numbers begin anew with a new checkpoint, so each writer has a folder of its own; what any other
+    batch has stored is left alone and its keys are not stored again.
+    """
+    writer = uuid.uuid4().hex
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(keys)
-        try:
-            stored = spark.read.schema(fresh.schema.add("batch", "long")).parquet(path).filter(F.col("batch") != batch_id)
-            fresh = fresh.join(stored.select(*keys), keys, "left_anti")
-        except Exception as missing:  # first batch: nothing stored yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if exists(spark, path):
+            stored = spark.read.schema(fresh.schema.add("writer", "string").add("batch", "long")).parquet(path)
+            others = stored.filter((F.col("writer") != writer) | (F.col("batch") != batch_id))
+            fresh = fresh.join(others.select(*keys), keys, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/writer={writer}/batch={batch_id}")
     return write
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drain what the source holds into the shared folder and read the result."""
     spark: SparkSession = stream.sparkSession
-    import uuid
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = step_path(spark, name)
     query = (
         stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
@@ -173,9 +178,8 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema, max_files:
 
 def run_complete(stream: DataFrame, name: str) -> DataFrame:
     """Drain an aggregation and keep its final state: every batch replaces the stored result."""
-    import uuid
     spark: SparkSession = stream.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = step_path(spark, name)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out")
