@@ -73,9 +73,14 @@ def sha256(c) -> Column:
     return F.sha2(col(c), 256)
 
 
-def content_hash(title, body) -> Column:
+def content_hash(title, body, first: int | None = None) -> Column:
+    """Hash of the distinct tokens of a text; of the ``first`` ones only, if asked for."""
     tokens = tokenize(F.concat_ws(" ", col(title), col(title), col(body)))
-    return F.sha2(F.array_join(F.slice(tokens, 1, 200), " "), 256)
+    return hash_tokens(tokens, first)
+
+
+def hash_tokens(tokens, first: int | None = None) -> Column:
+    return F.sha2(F.array_join(F.slice(col(tokens), 1, first) if first else col(tokens), " "), 256)
 
 
 def fnv1a(c) -> Column:

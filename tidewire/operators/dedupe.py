@@ -20,8 +20,11 @@ MICROS = 3_600_000_000
 
 
 def prepare(df: DataFrame, id_col: str, title: Column, body: Column, ts: Column,
-            url: Column | None = None, embedding: Column | None = None) -> DataFrame:
-    """Compute every signature once and store it: several levels read the result."""
+            url: Column | None = None, embedding: Column | None = None, first_tokens: int | None = None) -> DataFrame:
+    """Compute every signature once and store it: several levels read the result.
+
+    The content hash covers all tokens of a text, or the ``first_tokens``.
+    """
     staged = df.select(
         F.col(id_col).cast("long").alias("id"), title.alias("_title"), body.alias("_body"), ts.alias("ts"),
         (F.lit(None).cast("string") if url is None else url).alias("_url"),
@@ -32,7 +35,7 @@ def prepare(df: DataFrame, id_col: str, title: Column, body: Column, ts: Column,
     return materialize(tokens.select(
         "id", "ts", "title_tokens",
         # Distinct tokens of "title title body" equal those of "title body".
-        F.sha2(F.array_join(F.slice("_tokens", 1, 200), " "), 256).alias("content_hash"),
+        T.hash_tokens("_tokens", first_tokens).alias("content_hash"),
         T.simhash_tokens("_tokens").alias("simhash"),
         normalize_url("_url").alias("url_key"), "embedding"), "signatures")
 

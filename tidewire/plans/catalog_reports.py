@@ -226,12 +226,12 @@ def j14(s, d):
     return R.label_lookup(acc(s, d), "category", labels, "Otro", "label").select("id", "label")
 
 
-@query("j15_comment_acceptance", """SELECT conv_id, turn, left(trim(text), 2000) AS body FROM conversations v
+@query("j15_comment_acceptance", """SELECT conv_id, turn, trim(text) AS body FROM conversations v
     WHERE length(trim(text)) > 0 AND EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = v.conv_id AND o.o_orderstatus = 'F')""")
 def j15(s, d):
     from ..session import load
     open_ids = load(s, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("conv_id"))
-    c = load(s, d, "conversations").withColumn("body", F.substring(F.trim("text"), 1, 2000))
+    c = load(s, d, "conversations").withColumn("body", F.trim("text"))
     return c.filter(F.char_length("body") > 0).join(open_ids, "conv_id", "left_semi").select("conv_id", "turn", "body")
 
 

@@ -28,7 +28,7 @@ from .text_columns import _sql_url  # noqa: E402  (the same URL twin)
 _URL = _sql_url(L.TRACKING_DEDUPE, True)
 SIG = f"""{Q.tokens('tb', 'articles', "title || ' ' || body")}, {Q.tokens('tt', 'articles', 'title')}, {Q.simhash('sh', 'tb')},
   k AS (SELECT id, t, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM tb),
-  ch AS (SELECT id, sha256(string_agg(t, ' ' ORDER BY r)) AS h FROM k WHERE r <= 200 GROUP BY id),
+  ch AS (SELECT id, sha256(string_agg(t, ' ' ORDER BY r)) AS h FROM k GROUP BY id),
   tl AS (SELECT id, list(t ORDER BY t) AS toks FROM tt GROUP BY id),
   sig AS MATERIALIZED (SELECT a.id, a.ts, coalesce(tl.toks, []) AS toks, coalesce(ch.h, sha256('')) AS h, coalesce(sh.simhash, '0000000000000000') AS sh,
     CASE WHEN a.url IS NOT NULL THEN {_URL} END AS uk FROM articles a LEFT JOIN tl ON tl.id = a.id LEFT JOIN ch ON ch.id = a.id LEFT JOIN sh ON sh.id = a.id)"""

@@ -61,11 +61,19 @@ def t5(s, d):
 
 @query("t6_content_hash", AR(f"""WITH {TOK_BODY}, k AS (SELECT id, t, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM tb)
     SELECT a.id, sha256(coalesce(string_agg(t, ' ' ORDER BY r), '')) AS content_hash FROM articles a
-    LEFT JOIN k ON k.id = a.id AND r <= 200 GROUP BY a.id"""))
+    LEFT JOIN k ON k.id = a.id GROUP BY a.id"""))
 def t6(s, d):
     return arts(s, d).select("id", T.content_hash("title", "body").alias("content_hash"))
 
 
+@query("t6_content_hash_first", AR(f"""WITH {TOK_BODY}, k AS (SELECT id, t, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM tb)
+    SELECT a.id, sha256(coalesce(string_agg(t, ' ' ORDER BY r), '')) AS content_hash FROM articles a
+    LEFT JOIN k ON k.id = a.id AND r <= {L.HASHED_TOKENS} GROUP BY a.id"""))
+def t6_first(s, d):
+    """The option that hashes the opening of a text only."""
+    return arts(s, d).select("id", T.content_hash("title", "body", L.HASHED_TOKENS).alias("content_hash"))
+
+
 @query("t7_fnv1a", f"SELECT doc_id, CASE WHEN text = '' THEN 2166136261 ELSE {Q.fnv('text')} END AS h FROM documents WHERE text IS NOT NULL")
 def t7(s, d):
     return docs(s, d).filter("text IS NOT NULL").select("doc_id", T.fnv1a("text").alias("h"))

@@ -331,6 +331,7 @@ PUBLISHED_META = [
 # --- fixed values: thresholds and weights ------------------------------------------------------
 WINDOW_HOURS = 72
 SIMHASH_MAX = 12
+HASHED_TOKENS = 200  # of the option that hashes the opening of a text
 TITLE_WITH_SIMHASH = 0.86
 TITLE_ALONE = 0.95
 SEMANTIC_MIN = 0.93

@@ -87,8 +87,8 @@ def _fields(i: Column) -> list[Column]:
     summary = F.coalesce(*[_bare(i.getField(f)["_VALUE"]) for f in ("description", "summary", "content", "content:encoded")],
                          F.lit(""))
     date = F.coalesce(*[_bare(i.getField(f)) for f in ("pubDate", "published", "updated", "dc:date")])
-    categories = F.slice(F.filter(F.transform(F.coalesce(i["category"], F.array()), lambda c: _bare(c["_VALUE"])),
-                                  lambda c: c.isNotNull()), 1, 10)
+    categories = F.filter(F.transform(F.coalesce(i["category"], F.array()), lambda c: _bare(c["_VALUE"])),
+                          lambda c: c.isNotNull())
     return [
         strip_html(_bare(i["title"]["_VALUE"])).alias("title"), canonicalize_url(url).alias("url"),
         parse_source_date(date)["date"].alias("published_at"), strip_html(summary).alias("summary"),

@@ -191,8 +191,11 @@ def _dense(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([densest_body(h) for h in html], columns=["body", "method"])
 
 
-def extract_articles(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Article columns for every page: linked data first, then meta tags, then the document itself."""
+def extract_articles(pages: DataFrame, html: str = "html", longest: int | None = None) -> DataFrame:
+    """Article columns for every page: linked data first, then meta tags, then the document itself.
+
+    Bodies are whole, or cut at ``longest`` characters.
+    """
     h = F.col(html)
     node = F.col("_ld")
     title_tag = F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)
@@ -217,7 +220,7 @@ def extract_articles(pages: DataFrame, html: str = "html") -> DataFrame:
         *pages.columns,
         F.coalesce(_ld(node, "headline", "name"), _meta(h, "property", "og:title"),
                    clean_title("_title")).alias("title"),
-        truncate("_body", 20000).alias("body"), F.coalesce(_ld(node, "description"), description).alias("summary"),
+        (truncate("_body", longest) if longest else F.col("_body")).alias("body"), F.coalesce(_ld(node, "description"), description).alias("summary"),
         image.alias("image_url"), F.coalesce(_ld(node, "articleSection"), _meta(h, "property", "article:section")).alias("section"),
         F.coalesce(_ld(node, "author", "creator"), _meta(h, "name", "author")).alias("author"),
         F.when(canonical != "", canonical).alias("canonical"),
