@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import materialize, shared_dir, shuffle_width
+from ..session import materialize, shuffle_width, step_path
 from .common import keyed_text, text_chunks
 
 CHUNKS = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary())),
@@ -45,9 +45,10 @@ class Chunks:
                     pa.array([own], CHUNKS.field("texts").type),
                     pa.array([rows.column("carried").to_pylist()], CHUNKS.field("carried").type)], schema=CHUNKS)
 
-        name = f"chunks_{uuid.uuid4().hex}"
+        path = step_path(self.spark, "chunks")
+        name = path.rsplit("/", 1)[1].replace("-", "_")
         texts.mapInArrow(cut, CHUNKS_DDL).write.bucketBy(self.buckets, "part").option("compression", "zstd").option(
-            "path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+            "path", path).saveAsTable(name)
         self.table = self.spark.table(name)
 
     def shards(self, bytes_each: int) -> int:
