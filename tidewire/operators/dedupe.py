@@ -272,18 +272,23 @@ def cleanup_links(articles: DataFrame, hours: int = L.CLEANUP_HOURS) -> DataFram
     return near.unionByName(copies.select(F.col("id").alias("node"), F.col("candidate").alias("root"))).distinct()
 
 
-def window_counts(articles: DataFrame, hours: int = L.WINDOW_HOURS) -> DataFrame:
-    """Number of other articles within the window of every article, by counting positions on one timeline."""
+def window_counts(articles: DataFrame, hours: int = L.WINDOW_HOURS, eligible: str | None = None) -> DataFrame:
+    """Number of other articles within the window of every article, by counting positions on one timeline.
+
+    ``eligible`` names a flag of the articles that count, such as those that are no duplicates.
+    """
     lim = hours * MICROS
-    rows = articles.select("id", F.unix_micros("ts").alias("t"), F.lit(0).alias("g"))
+    counts = F.lit(True) if eligible is None else F.coalesce(F.col(eligible), F.lit(False))
+    rows = articles.select("id", F.unix_micros("ts").alias("t"), F.lit(0).alias("g"), counts.cast("int").alias("own"))
     # At equal times: window starts, then articles, then window ends.
     ends = F.explode(F.array(
         F.struct((F.col("t") - lim).alias("t"), F.lit(0).alias("kind")), F.struct(F.col("t").alias("t"), F.lit(1).alias("kind")),
         F.struct((F.col("t") + lim).alias("t"), F.lit(2).alias("kind"))))
-    line = rows.select("id", "g", ends.alias("_e")).select("id", "g", "_e.t", "_e.kind")
-    placed = ordered.running(line, ["g"], ["t", "kind", "id"], {"pos": ("count", F.when(F.col("kind") == 1, F.lit(1)))})
-    return placed.groupBy("id").agg(
-        (F.max(F.when(F.col("kind") == 2, F.col("pos"))) - F.max(F.when(F.col("kind") == 0, F.col("pos"))) - 1).alias("candidates"))
+    line = rows.select("id", "g", "own", ends.alias("_e")).select("id", "g", "own", "_e.t", "_e.kind")
+    placed = ordered.running(line, ["g"], ["t", "kind", "id"], {
+        "pos": ("count", F.when((F.col("kind") == 1) & (F.col("own") == 1), F.lit(1)))})
+    return placed.groupBy("id").agg((F.max(F.when(F.col("kind") == 2, F.col("pos"))) - F.max(F.when(
+        F.col("kind") == 0, F.col("pos"))) - F.max("own")).alias("candidates"))
 
 
 def candidate_window(articles: DataFrame, hours: int = L.WINDOW_HOURS, cap: int = L.CANDIDATE_CAP) -> DataFrame:

@@ -240,6 +240,27 @@ def annual_summary(df: DataFrame, year: int, label: str, place: str) -> DataFram
     return got.filter("facet <> 'month'").unionByName(months)
 
 
+def ranked(per: DataFrame, facets_of: tuple[str, ...] = ("label", "place")) -> DataFrame:
+    """Facet values by falling count, equal counts in Spanish order, with their place.
+
+    Values of a facet are a dimension; their order needs one task per facet.
+    """
+    order = Window.partitionBy("facet").orderBy(F.desc("n"), F.expr("value COLLATE es"))
+    return per.filter(F.col("facet").isin(*facets_of)).withColumn("position", F.row_number().over(order))
+
+
+def weekly_list(df: DataFrame, start: Column, limit: int | None = None) -> DataFrame:
+    """The incidents of a week, newest first; figures of the summary never depend on ``limit``."""
+    rows = df.filter(is_incident() & between(start, start + F.expr("interval 7 days"))).orderBy(F.desc("occurred_at"), "id")
+    return rows if limit is None else rows.limit(max(0, limit))
+
+
+def annual_list(df: DataFrame, year: int, limit: int | None = 200) -> DataFrame:
+    """The newest incidents of a local calendar year."""
+    rows = df.filter(is_incident() & between(*year_window(F.lit(year)))).orderBy(F.desc("occurred_at"), "id")
+    return rows if limit is None else rows.limit(max(0, limit))
+
+
 def years_with_data(df: DataFrame, limit: int = 6) -> DataFrame:
     return df.filter(is_incident()).select(
         F.year(utc_to_local("occurred_at")).alias("year")).distinct().orderBy(F.desc("year")).limit(limit)

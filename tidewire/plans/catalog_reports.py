@@ -288,6 +288,32 @@ def a5(s, d):
     return R.annual_summary(_named(s, d), 1998, "category", "name")
 
 
+_WEEK = "occurred_at >= TIMESTAMP '1998-06-01' AND occurred_at < TIMESTAMP '1998-06-08'"
+_YEAR = "year(timezone('Atlantic/Canary', timezone('UTC', occurred_at))) = 1998"
+_PLACED = "SELECT facet, value, n, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value COLLATE es) AS position FROM ({}) WHERE facet IN ('label', 'place')"
+
+
+@query("a4_weekly_order", A(_PLACED.format(_facet_sql(_WEEK)), "municipalities"))
+def a4_order(s, d):
+    per = R.weekly_summary(_named(s, d), D.week_start(F.lit("1998-06-03").cast("timestamp")), "category", "name")
+    return R.ranked(per).select("facet", "value", "n", "position")
+
+
+@query("a4_weekly_list", A(f"SELECT id, {sql_stamp('occurred_at', 'occurred_at')} FROM accidents WHERE {INCIDENT} AND {_WEEK}"))
+def a4_list(s, d):
+    return R.weekly_list(acc(s, d), D.week_start(F.lit("1998-06-03").cast("timestamp"))).select("id", stamp("occurred_at", "occurred_at"))
+
+
+@query("a5_annual_order", A(_PLACED.format(_facet_sql(_YEAR)), "municipalities"))
+def a5_order(s, d):
+    return R.ranked(R.annual_summary(_named(s, d), 1998, "category", "name")).select("facet", "value", "n", "position")
+
+
+@query("a5_annual_list", A(f"SELECT id FROM accidents WHERE {INCIDENT} AND {_YEAR} ORDER BY occurred_at DESC, id LIMIT 200"))
+def a5_list(s, d):
+    return R.annual_list(acc(s, d), 1998).select("id")
+
+
 @query("a6_years_with_data", A(
     f"""SELECT DISTINCT year(timezone('Atlantic/Canary', timezone('UTC', occurred_at))) AS year FROM accidents
         WHERE {INCIDENT} ORDER BY 1 DESC LIMIT 6"""))
@@ -318,6 +344,24 @@ def a9(s, d):
         FROM {a} GROUP BY GROUPING SETS ((status), (origin))""", a=a)
 
 
+@query("a9_image_hash_coverage", with_views(
+    """SELECT outlet, count(*) AS n, count(*) FILTER (contains(coalesce(html, ''), '<img')) AS with_image, count(*) FILTER (coalesce(body, '') <> '') AS with_hash
+       FROM articles LEFT JOIN pages ON page_id = id GROUP BY 1""", "articles"))
+def a9_coverage(s, d):
+    """Articles whose page shows an image, and articles with a text to hash, by outlet."""
+    from ..session import load
+    shown = load(s, d, "pages").select(F.col("page_id").alias("id"), F.contains("html", F.lit("<img")).alias("image"))
+    rows = view(s, d, "articles").select("id", "outlet", "body").join(shown, "id", "left")
+    return rows.groupBy("outlet").agg(F.count(F.lit(1)).alias("n"), F.count_if("image").alias("with_image"),
+                                      F.count_if(F.coalesce("body", F.lit("")) != "").alias("with_hash"))
+
+
+@query("a9_last_runs", with_views(f"SELECT run_id, source, ok, items, {sql_stamp('started_at', 'started_at')} FROM runs ORDER BY runs.started_at DESC, run_id DESC LIMIT 5", "runs"))
+def a9_runs(s, d):
+    last = view(s, d, "runs").orderBy(F.desc("started_at"), F.desc("run_id")).limit(5)
+    return last.select("run_id", "source", "ok", "items", stamp("started_at", "started_at"))
+
+
 @query("a10_topic_menu", A(
     f"""SELECT category, count(*) AS n FROM accidents WHERE status = 'PUBLISHED' AND category IN ({sql_list(L.TOPIC_MENU)}) GROUP BY 1"""))
 def a10(s, d):
@@ -482,6 +526,15 @@ def l6(s, d):
     return newest_per_source(runs, 25, "source", "dated", "run_id").select("source", "rank", "run_id")
 
 
+@query("j5_open_candidates", A(f"""SELECT a.id, count(b.id) AS candidates FROM accidents a LEFT JOIN accidents b ON b.id <> a.id AND b.duplicate_of_id IS NULL
+    AND b.occurred_at BETWEEN a.occurred_at - INTERVAL {L.WINDOW_HOURS} HOUR AND a.occurred_at + INTERVAL {L.WINDOW_HOURS} HOUR GROUP BY a.id"""))
+def j5_open(s, d):
+    """Candidates of every incident in its window that are not duplicates themselves."""
+    from ..operators.dedupe import window_counts
+    rows = acc(s, d).select("id", F.col("occurred_at").alias("ts"), F.col("duplicate_of_id").isNull().alias("open"))
+    return window_counts(rows, eligible="open")
+
+
 @query("l7_spanish_order", """SELECT n_name AS name, row_number() OVER (ORDER BY n_name COLLATE es) AS position FROM nation""")
 def l7(s, d):
     from ..session import load

@@ -397,6 +397,31 @@ def q1_comments(s, d):
     return c.select("conv_id", "turn", (F.size(K.violations(K.comment_constraints())) == 0).alias("accepted"))
 
 
+@query("q1_form_constraints", with_views(f"""SELECT a.id, array_to_string(list_filter([CASE WHEN length(trim(title)) NOT BETWEEN 10 AND 200 THEN 'title' END,
+    CASE WHEN length(trim(summary)) NOT BETWEEN 20 AND 500 THEN 'summary' END, CASE WHEN length(trim(body)) NOT BETWEEN 50 AND 20000 THEN 'body' END,
+    CASE WHEN fatalities NOT BETWEEN 0 AND 50 THEN 'fatalities' END, CASE WHEN injuries NOT BETWEEN 0 AND 200 THEN 'injuries' END,
+    CASE WHEN vehicle_type NOT IN ({sql_list(L.VEHICLES)}) THEN 'vehicle' END, CASE WHEN severity NOT IN ({sql_list(L.SEVERITIES)}) THEN 'severity' END,
+    CASE WHEN coalesce(n, 0) < 1 THEN 'sources' END, CASE WHEN lat NOT BETWEEN 28.4 AND 29.2 THEN 'lat' END,
+    CASE WHEN lon NOT BETWEEN -13.95 AND -13.4 THEN 'lon' END], lambda x: x IS NOT NULL), ',') AS violations
+    FROM accidents a LEFT JOIN (SELECT article_id, count(*) AS n FROM sources GROUP BY 1) s ON s.article_id = a.id""", "accidents", "sources"))
+def q1_form(s, d):
+    from ..operators.reports import child_counts
+    rows = child_counts(acc(s, d), view(s, d, "sources"), "id", "article_id", "n_sources")
+    return rows.select("id", F.array_join(K.violations(K.form_constraints()), ",").alias("violations"))
+
+
+@query("q1_user_constraints", r"""SELECT c_custkey AS id, array_to_string(list_filter([CASE WHEN email <> lower(trim(email)) THEN 'email_lower' END,
+    CASE WHEN NOT regexp_matches(email, '^[^@\s]+@[^@\s]+\.[^@\s]+$') THEN 'email_shape' END], lambda x: x IS NOT NULL), ',') AS violations
+    FROM (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN c_name ELSE lower(c_name) END || CASE c_mktsegment WHEN 'BUILDING' THEN '.example' ELSE '@medio.example' END AS email FROM customer)""")
+def q1_users(s, d):
+    """Users from customers; names with capitals and addresses without a host are refused."""
+    name = F.when(F.col("c_acctbal") < 0, F.col("c_name")).otherwise(F.lower("c_name"))
+    host = F.when(F.col("c_mktsegment") == "BUILDING", ".example").otherwise("@medio.example")
+    users = load(s, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(name, host).alias("email"),
+                                          F.col("c_name").alias("name"), F.col("c_mktsegment").alias("bio"))
+    return users.select("id", F.array_join(K.violations(K.user_constraints()), ",").alias("violations"))
+
+
 _CONF = "CASE flag WHEN 'F' THEN 'certain' WHEN 'O' THEN 'likely' ELSE 'uncertain' END"
 _AGE = f"date_diff('microsecond', occurred_at, {_TS}) / 3600000000.0"
 _DATE_SCORE = f"""CASE WHEN occurred_at > {_TS} + INTERVAL 90 MINUTE OR occurred_at < {_TS} - INTERVAL 365 DAY THEN 0.0 ELSE greatest(0.0, least(1.0, 0.6 +

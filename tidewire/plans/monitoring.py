@@ -80,6 +80,20 @@ def a20(s, d):
                     "latency_ms", stamp("last_run_at", "last_run_at"), stamp("last_ok_at", "last_ok_at"))
 
 
+@query("a20_status_counts", with_views("SELECT status, count(*) AS n FROM accidents WHERE status IN ('PENDING_REVIEW', 'PUBLISHED', 'REJECTED') GROUP BY 1", "accidents"))
+def a20_counts(s, d):
+    n = view(s, d, "accidents").filter(F.col("status").isin("PENDING_REVIEW", "PUBLISHED", "REJECTED"))
+    return n.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a20_last_cycles", R(f"""SELECT {sql_stamp('cycle', 'cycle')}, checked, failed, round(items, 4) AS items, failed < checked AS ok FROM (SELECT cycle, count(*) AS checked,
+    count(*) FILTER (NOT o) AS failed, sum(i) AS items FROM (SELECT {_HOUR} AS cycle, source, bool_and(ok) AS o, sum(items) AS i FROM runs GROUP BY 1, 2) GROUP BY 1
+    ORDER BY cycle DESC LIMIT 5)"""))
+def a20_cycles(s, d):
+    last = H.cycle_totals(runs(s, d), F.date_trunc("hour", "started_at")).orderBy(F.desc("cycle")).limit(5)
+    return last.select(stamp("cycle", "cycle"), "checked", "failed", F.round("items", 4).alias("items"), "ok")
+
+
 @query("j10_alert_suppression", R("""SELECT f.run_id AS ref FROM runs f WHERE f.event_type = 'error' AND NOT EXISTS (SELECT 1 FROM runs a WHERE a.source = f.source
     AND a.event_type = 'signup' AND a.started_at <= f.started_at AND a.started_at >= f.started_at - INTERVAL 12 HOUR)"""))
 def j10(s, d):
