@@ -106,3 +106,28 @@ def test_stored_steps_can_be_cleared(spark):
     assert exists(spark, folder)
     clear_steps(spark)
     assert not exists(spark, folder)
+
+
+def _page(data):
+    return f'<html><script type="application/ld+json">{data}</script></html>'
+
+
+@pytest.mark.parametrize("data,headline,author", [
+    ('{"@type":"Article","headline":" Uno ","author":"Ana"}', "Uno", "Ana"),
+    ('[[{"@graph":[{"@type":"WebPage"},{"@graph":[{"@type":["Thing","BlogPosting"],"headline":"Dos","author":[{"name":"no"},3,"Luis"]}]}]}]]', "Dos", "Luis"),
+    ('{"@type":"NewsArticle","headline":["", "Tres"],"author":{"@id":"Eva"}}', "Tres", "Eva"),
+    ('{"@type":"NewsArticle","headline":4,"author":[{"name":"no"}]}', None, None),
+    ('[[[[[[[[{"@type":"Article","headline":"hondo"}]]]]]]]]', None, None),
+    ('{"@type":"WebPage","headline":"no"}', None, None), ("not json", None, None)])
+def test_linked_data_nests(spark, data, headline, author):
+    from tidewire.sources import pages as P
+    node = spark.createDataFrame([(_page(data),)], "html string").select(P.article_node("html").alias("n"))
+    got = node.select(P._ld(F.col("n"), "headline").alias("h"), P._ld(F.col("n"), "author").alias("a")).first()
+    assert (got.h, got.a) == (headline, author)
+
+
+def test_bodies_in_blocks(spark):
+    from tidewire.sources import pages as P
+    data = '{"@type":"Article","articleBody":["' + "uno " * 15 + '",{"x":1},"' + "dos " * 15 + '"]}'
+    node = spark.createDataFrame([(_page(data),)], "html string").select(P.article_node("html").alias("n"))
+    assert node.select(P._ld_body(F.col("n"))).first()[0] == "uno " * 15 + "\n\n" + "dos " * 15

@@ -89,19 +89,18 @@ def s5(s, d):
     return e.select("page_id", T.sha256("body").alias("body_hash"), "method")
 
 
-@query("s7_linked_data", """SELECT page_id, 'Titular ' || page_id AS headline, CASE page_id % 3 WHEN 0 THEN 'Ana' WHEN 1 THEN 'Luis' ELSE 'Eva' END AS author FROM pages""")
+@query("s7_linked_data", """SELECT page_id, 'Titular ' || page_id AS headline, CASE page_id % 4 WHEN 0 THEN 'Ana' WHEN 1 THEN 'Luis' WHEN 2 THEN 'Eva' ELSE 'Marta' END AS author FROM pages""")
 def s7(s, d):
-    """Article nodes at the root, in a list and in a graph, appended to every page."""
+    """Article nodes at the root, in a list, in a graph and in lists of graphs, appended to every page."""
     p = load(s, d, "pages")
-    node = F.expr("""CASE page_id % 3
+    node = F.expr("""CASE page_id % 4
       WHEN 0 THEN concat('{"@type":"NewsArticle","headline":"Titular ', page_id, '","author":"Ana"}')
-      WHEN 1 THEN concat('[{"@type":"Organization","name":"x"},{"@type":["Thing","Article"],"headline":"Titular ', page_id, '","author":[{"name":"no"},"Luis"]}]')
-      ELSE concat('{"@context":"x","@graph":[{"@type":"WebPage"},{"@type":"BlogPosting","headline":"Titular ', page_id, '","author":{"name":"Eva"}}]}') END""")
+      WHEN 1 THEN concat('[{"@type":"Organization","name":"x"},{"@type":["Thing","Article"],"headline":"Titular ', page_id, '","author":[{"name":"no"},7," ","Luis"]}]')
+      WHEN 2 THEN concat('{"@context":"x","@graph":[{"@type":"WebPage"},{"@type":"BlogPosting","headline":"Titular ', page_id, '","author":{"name":"Eva"}}]}')
+      ELSE concat('[[{"@graph":[{"@type":"WebPage","headline":"no"},{"@graph":[{"@type":"Article","headline":["Titular ', page_id, '"],"author":{"@id":"Marta"}}]}]}]]') END""")
     html = F.concat("html", F.lit('<script type="application/ld+json">'), node, F.lit("</script>"))
     n = p.select("page_id", P.article_node(html).alias("n"))
-    author = F.coalesce(P._ld(F.col("n"), "author"), F.get_json_object("n", "$.author[1]"))
-    return n.select("page_id", P._ld(F.col("n"), "headline").alias("headline"), F.when(
-        F.col("page_id") % 3 == 1, F.get_json_object("n", "$.author[1]")).otherwise(author).alias("author"))
+    return n.select("page_id", P._ld(F.col("n"), "headline").alias("headline"), P._ld(F.col("n"), "author").alias("author"))
 
 
 @query("s9_partitioned_sink", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")

@@ -45,7 +45,7 @@ def ship(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         home = os.path.dirname(os.path.abspath(__file__))
-        archive = os.path.join(tempfile.mkdtemp(prefix="tidewire-"), "tidewire-package.zip")
+        archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tidewire-")), "tidewire-package.zip")
         with zipfile.ZipFile(archive, "w") as z:
             for folder, _, names in os.walk(home):
                 for name in names:

@@ -33,20 +33,33 @@ def _meta(html: Column, attr: str, name: str) -> Column:
     return bind(v, lambda t: F.when(t != "", decode_entities(t)))
 
 
+#: How deep nodes are looked for; a list and a graph are a level each.
+DEPTH = 6
+
+
 def linked_data(html) -> Column:
-    """Candidate JSON-LD nodes: root objects, array members and graph members, in order."""
+    """JSON-LD objects of a page, in the order of reading: roots, members of lists and graphs, nested to ``DEPTH``."""
     scripts = F.regexp_extract_all(
         col(html), F.lit(r"(?is)<script[^>]*type=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1))
+    none = F.expr("cast(array() as array<struct<text: string, depth: int, done: boolean>>)")
 
-    def nodes(raw):
-        text = F.trim(raw)
-        many = F.from_json(F.when(F.startswith(text, F.lit("[")), text), "array<string>")
-        roots = F.when(F.startswith(text, F.lit("[")), many).otherwise(F.array(text))
-        roots = F.coalesce(roots, F.expr("cast(array() as array<string>)"))
-        return F.flatten(F.transform(roots, lambda r: F.concat(F.array(r), F.coalesce(
-            F.from_json(F.get_json_object(r, "$['@graph']"), "array<string>"), F.expr("cast(array() as array<string>)")))))
+    def entry(text, depth, done):
+        return F.struct(F.trim(text).alias("text"), depth.alias("depth"), F.lit(done).alias("done"))
 
-    return F.flatten(F.transform(scripts, nodes))
+    def opened(e):
+        text, depth = e["text"], e["depth"]
+        is_list = F.startswith(text, F.lit("["))
+        members = F.transform(F.from_json(F.when(is_list, text), "array<string>"), lambda m: entry(m, depth + 1, False))
+        graph = F.get_json_object(text, "$['@graph']")
+        inside = F.when(F.startswith(graph, F.lit("[")), F.array(entry(graph, depth + 1, False)))
+        node = F.concat(F.array(entry(text, depth, True)), F.coalesce(inside, none))
+        return F.when(e["done"], F.array(e)).when(depth > DEPTH, none).when(is_list, F.coalesce(members, none)).when(
+            F.startswith(text, F.lit("{")), node).otherwise(none)
+
+    entries = F.transform(scripts, lambda s: entry(s, F.lit(0), False))
+    for _ in range(DEPTH + 1):
+        entries = F.flatten(F.transform(entries, opened))
+    return F.transform(F.filter(entries, lambda e: e["done"]), lambda e: e["text"])
 
 
 def article_node(html) -> Column:
@@ -60,15 +73,41 @@ def article_node(html) -> Column:
     return F.get(F.filter(linked_data(html), is_article), F.lit(0))
 
 
+def _field(node: Column, key: str) -> Column:
+    """A field of a JSON object with its type."""
+    return F.try_variant_get(F.try_parse_json(node), f"$['{key}']", "variant")
+
+
+def _kind(value: Column) -> Column:
+    return F.substring_index(F.schema_of_variant(value), "<", 1)
+
+
+def _strings(value: Column) -> Column:
+    """The texts in a list, in order; other members are passed over."""
+    members = F.when(_kind(value) == "ARRAY", value).cast("array<variant>")
+    return F.transform(F.filter(members, lambda m: _kind(m) == "STRING"), lambda m: m.cast("string"))
+
+
+def _text(value: Column) -> Column:
+    return F.when(_kind(value) == "STRING", value).cast("string")
+
+
 def _ld(node: Column, *keys: str) -> Column:
-    """String value, first string of a list, or the name of an object."""
-    def one(key):
-        raw = F.get_json_object(node, f"$.{key}")
-        listed = F.get_json_object(node, f"$.{key}[0]")
-        named = F.coalesce(F.get_json_object(raw, "$.name"), F.get_json_object(raw, "$['@id']"))
-        v = (F.when(F.startswith(raw, F.lit("{")), named).when(F.startswith(raw, F.lit("[")), listed).otherwise(raw))
-        return F.when(F.trim(v) != "", F.trim(v))
-    return F.coalesce(*[one(k) for k in keys])
+    """String value, first string of a list that is not blank, or the name of an object."""
+    def shown(value):
+        named = F.coalesce(*[_text(F.try_variant_get(value, f"$['{k}']", "variant")) for k in ("name", "@id")])
+        v = F.coalesce(_text(value), F.get(F.filter(_strings(value), lambda t: F.trim(t) != ""), F.lit(0)),
+                       F.when(_kind(value) == "OBJECT", named))
+        return bind(F.trim(v), lambda t: F.when(t != "", t))
+    return F.coalesce(*[bind(_field(node, k), shown) for k in keys])
+
+
+def _ld_body(node: Column) -> Column:
+    """Text of the first body field that is long enough; blocks of a list are joined."""
+    def long_enough(value):
+        blocks = F.array_join(F.filter(_strings(value), lambda t: t != ""), "\n\n")
+        return bind(F.coalesce(_text(value), blocks), lambda v: F.when(F.char_length(F.trim(v)) > 80, v))
+    return F.coalesce(*[bind(_field(node, k), long_enough) for k in ("articleBody", "text", "description")])
 
 
 class _Outline(HTMLParser):
@@ -199,9 +238,7 @@ def extract_articles(pages: DataFrame, html: str = "html", longest: int | None =
     h = F.col(html)
     node = F.col("_ld")
     title_tag = F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    ld_text = F.coalesce(*[F.when(F.char_length(F.trim(v)) > 80, v) for v in (
-        F.get_json_object(node, "$.articleBody"), F.get_json_object(node, "$.text"),
-        F.get_json_object(node, "$.description"))])
+    ld_text = _ld_body(node)
     description = F.coalesce(_meta(h, "name", "description"), _meta(h, "property", "og:description"))
     published = [F.get_json_object(node, f"$.{k}") for k in ("datePublished", "dateCreated", "uploadDate")]
     published += [_meta(h, a, n) for a, n in L.PUBLISHED_META]
