@@ -259,9 +259,13 @@ def similar_to(articles: DataFrame, article_id: int, hours: int = L.WINDOW_HOURS
 
 # --- clean-up -----------------------------------------------------------------------------------------
 
-def cleanup_links(articles: DataFrame, hours: int = L.CLEANUP_HOURS) -> DataFrame:
+def cleanup_links(articles: DataFrame, hours: int = L.CLEANUP_HOURS, known: DataFrame | None = None) -> DataFrame:
     """Links whose components equal those of all pairs within ``hours`` that share the content or have
-    SimHash <= 8 and title >= 0.6. Each block pair contributes a spanning star, not its pairs."""
+    SimHash <= 8 and title >= 0.6. Each block pair contributes a spanning star, not its pairs.
+
+    ``known`` (id, duplicate_of_id) are marks from earlier: they link whatever the texts say, at any distance in time,
+    if both articles are there.
+    """
     def judge(ra, rb, is_self, rec, hours=hours):
         ia, ib, _, _, d, near, same_content, _ = _grids(ra, rb, hours)
         return blocks.local_roots(near & (same_content | (d <= L.CLEANUP_SIMHASH)), ia, ib)
@@ -269,7 +273,12 @@ def cleanup_links(articles: DataFrame, hours: int = L.CLEANUP_HOURS) -> DataFram
     near = blocks.compare(_title_blocks(articles, L.CLEANUP_TITLE, hours), judge, "node long, root long")
     # Equal content inside the window: linking each copy to the one before it joins them all.
     copies = same_key(articles, "content_hash", "contenido", 0.99, hours)
-    return near.unionByName(copies.select(F.col("id").alias("node"), F.col("candidate").alias("root"))).distinct()
+    found = near.unionByName(copies.select(F.col("id").alias("node"), F.col("candidate").alias("root")))
+    if known is not None:
+        ids = articles.select("id")
+        marks = known.join(ids, "id", "left_semi").join(ids.withColumnRenamed("id", "duplicate_of_id"), "duplicate_of_id", "left_semi")
+        found = found.unionByName(marks.select(F.col("id").alias("node"), F.col("duplicate_of_id").alias("root")))
+    return found.distinct()
 
 
 def window_counts(articles: DataFrame, hours: int = L.WINDOW_HOURS, eligible: str | None = None) -> DataFrame:

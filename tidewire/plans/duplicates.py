@@ -168,6 +168,36 @@ def d10(s, d):
     return K.archive_plan(a.join(clusters, a.id == clusters.node).drop("node"))
 
 
+_KNOWN = """known AS (SELECT a.id, m.first AS duplicate_of_id FROM articles a JOIN (SELECT title, min(id) AS first FROM articles GROUP BY 1) m
+  ON m.title = a.title WHERE m.first <> a.id)"""
+_KNOWN_EDGES = _EDGES.replace("e0 AS (", f"{_KNOWN}, e0 AS (SELECT id AS x, duplicate_of_id AS y FROM known UNION ALL ")
+
+
+def _known(s, d):
+    """Articles marked as duplicates of the first one with their title."""
+    a = view(s, d, "articles").select("id", "title")
+    first = a.groupBy("title").agg(F.min("id").alias("duplicate_of_id"))
+    return a.join(first, "title").filter("id <> duplicate_of_id").select("id", "duplicate_of_id")
+
+
+@query("d9_with_known_duplicates", A(f"WITH RECURSIVE {SIG}, {_KNOWN_EDGES} SELECT id, cluster FROM cl"))
+def d9_known(s, d):
+    return K.components(D.cleanup_links(signed(s, d), known=_known(s, d))).select(F.col("node").alias("id"), "cluster")
+
+
+@query("d10_archive_marked", A(f"""WITH RECURSIVE {SIG}, {_KNOWN_EDGES}, m AS (SELECT cl.id, cluster, a.ts, coalesce(n.n, 0) AS n_sources, k.id IS NOT NULL AS marked
+    FROM cl JOIN articles a ON a.id = cl.id LEFT JOIN known k ON k.id = cl.id LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) n ON n.l_orderkey = cl.id),
+    kk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY marked, n_sources DESC, ts, id) AS r, count(*) OVER (PARTITION BY cluster) AS size FROM m)
+    SELECT id, cluster, size, CASE WHEN r = 1 THEN 'keep' ELSE 'archive' END AS action FROM kk WHERE size > 1"""))
+def d10_marked(s, d):
+    """Canonical rows come before marked duplicates, whatever their sources."""
+    known = _known(s, d)
+    a = view(s, d, "articles").select("id", F.col("ts").alias("created_at"), F.lit(0).alias("fatalities"), F.lit(0).alias("injuries"))
+    a = child_counts(a.join(known, "id", "left"), view(s, d, "sources"), "id", "article_id", "n_sources")
+    clusters = K.components(D.cleanup_links(signed(s, d), known=known))
+    return K.archive_plan(a.join(clusters, a.id == clusters.node).drop("node")).select("id", "cluster", "size", "action")
+
+
 @query("j5_window_candidates", A("""SELECT a.id, (SELECT count(*) FROM articles b WHERE b.ts BETWEEN a.ts - INTERVAL 72 HOUR AND a.ts + INTERVAL 72 HOUR) - 1 AS candidates FROM articles a"""))
 def j5(s, d):
     return D.window_counts(view(s, d, "articles").select("id", "ts"))
