@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -91,29 +92,43 @@ def road(text) -> Column:
     return F.when(best.isNotNull(), F.concat(F.lit("LZ-"), best.cast("string")))
 
 
-def place(padded) -> Column:
-    """Most specific place named in blank-padded text or its digest, or null."""
+def place(padded, terms: list[tuple[str, str, str | None, str | None]] | None = None) -> Column:
+    """Most specific place named in blank-padded text or its digest, or null.
+
+    ``terms`` (term, municipality, zone, label) are tried in order; by default the places of the package.
+    """
     padded = col(padded)
     hits = [
         F.when(has_term(padded, term), F.struct(
             F.lit(term).alias("term"), F.lit(town).alias("municipality"),
             F.lit(zone).cast("string").alias("zone"), F.lit(label).cast("string").alias("area")))
-        for term, town, zone, label in place_terms()
+        for term, town, zone, label in (place_terms() if terms is None else terms)
     ]
     return F.coalesce(*hits)
 
 
-def category(text, terms) -> Column:
+@dataclass(frozen=True)
+class CategoryRules:
+    """What decides a category: (name, pattern) lists in order, and the pattern of a strong signal."""
+
+    strong: str = L.STRONG_SIGNAL
+    incident: tuple = tuple(L.INCIDENT_RULES)
+    early: tuple = tuple(L.EARLY_RULES)
+    topics: tuple = tuple(L.TOPIC_RULES)
+
+
+def category(text, terms, rules: CategoryRules = CategoryRules()) -> Column:
     """Incident rules on a strong signal, early topics, weak incident rules, other topics.
 
-    The strong signal is a list of word beginnings and reads the text; the word rules read its digest.
+    The strong signal is a list of word beginnings and reads the text; the word rules read its digest, or the
+    text again if the rules are not the package's own.
     """
     terms = col(terms)
-    is_strong = col(text).rlike(L.STRONG_SIGNAL)
-    inc = first_rule(terms, L.INCIDENT_RULES)
+    is_strong = col(text).rlike(rules.strong)
+    inc = first_rule(terms, rules.incident)
     found = F.coalesce(
-        F.when(is_strong, inc), first_rule(terms, L.EARLY_RULES),
-        F.when(~is_strong, inc), first_rule(terms, L.TOPIC_RULES))
+        F.when(is_strong, inc), first_rule(terms, rules.early),
+        F.when(~is_strong, inc), first_rule(terms, rules.topics))
     return F.when(terms.rlike("[a-z0-9]"), found)
 
 

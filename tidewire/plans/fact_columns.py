@@ -31,9 +31,9 @@ _HURT = (f"CASE WHEN regexp_matches(c, {Q.lit(L.NO_INJURY)}) THEN 0 ELSE coalesc
 _DEAD = f"coalesce({_counted('c', L.DEATH_COUNT)}, CASE WHEN regexp_matches(c, {Q.lit(L.DEATH_BARE)}) THEN 1 END)"
 
 
-def _cat(text):
-    strong = f"regexp_matches({text}, {Q.lit(L.STRONG_SIGNAL)})"
-    inc, early, topic = (Q.rule_case(text, r) for r in (L.INCIDENT_RULES, L.EARLY_RULES, L.TOPIC_RULES))
+def _cat(text, rules=X.CategoryRules()):
+    strong = f"regexp_matches({text}, {Q.lit(rules.strong)})"
+    inc, early, topic = (Q.rule_case(text, r) for r in (rules.incident, rules.early, rules.topics))
     return f"coalesce(CASE WHEN {strong} THEN {inc} END, {early}, CASE WHEN NOT {strong} THEN {inc} END, {topic})"
 
 
@@ -108,6 +108,21 @@ def x5(s, d):
     return facts(s, d).select("id", "facts.category")
 
 
+#: Rules of another kind of text, to sort the documents themselves: abuse first, then the language of the small words.
+DOCUMENT_RULES = X.CategoryRules(
+    strong=r"\b(?:scum|worthless|pathetic)",
+    incident=(("ABUSE", r"\b(?:idiot|stupid|clown|loser|scum|worthless|pathetic)\b"),),
+    early=(("LICENSE", r"\b(?:license|licensed|copyright)\b"),),
+    topics=(("DE", r"\b(?:und|das|nicht)\b"), ("FR", r"\b(?:avec|une|est)\b"), ("ES", r"\b(?:los|del|una)\b"), ("EN", r"\b(?:the|and|that)\b")))
+
+
+@query("x5_category_documents", f"SELECT doc_id, {_cat('t', DOCUMENT_RULES)} AS category FROM (SELECT doc_id, {Q.norm('text')} AS t FROM documents)")
+def x5_documents(s, d):
+    """Whole documents under a rule table of their own."""
+    t = load(s, d, "documents").select("doc_id", T.norm("text").alias("t"))
+    return t.select("doc_id", X.category("t", "t", DOCUMENT_RULES).alias("category"))
+
+
 @query("x6_vehicle", W("SELECT id, vehicle FROM f"))
 def x6(s, d):
     return facts(s, d).select("id", "facts.vehicle")
