@@ -66,6 +66,16 @@ def test_ids_give_the_text_back(stages):
     same(rows_of(stages[0][5]), rows_of(stages[0][4]))
 
 
+@pytest.mark.parametrize("name", list(queries.ORACLES))
+def test_query_equals_its_twin(spark, sf_dir, name):
+    from oracle_check import connect, rows_of
+    cur = connect(sf_dir).execute(queries.ORACLES[name])
+    df = queries.QUERIES[name](spark, sf_dir)
+    names = [c[0] for c in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    assert rows_of(df.columns, df.collect()) == rows_of(names, cur.fetchall())
+
+
 def test_run_and_queries(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     assert len(queries.QUERIES) == 10 and not set(queries.ORACLES) - set(queries.QUERIES)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .oracles import ORACLES  # noqa: F401
 from . import blocks, contamination, langid, lm, pieces, quality, simhash, suffix, tokens, topk
 
 
@@ -80,4 +81,3 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_lm_scoring, op3_suffix_dedup, op4_substring_dedup, op5_sentencepiece, op6_quality,
     op7_simhash, op8_topk, op9_decontamination, op10_language_id)}
-ORACLES: dict[str, str] = {}
