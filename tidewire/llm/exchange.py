@@ -7,7 +7,6 @@ file). Keys of the chunks go by shuffle to shards of the key space; what a shard
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np

@@ -7,7 +7,6 @@ of a document's words leave as (word, times) and meet the table in a join; no wo
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
