@@ -21,7 +21,7 @@ from .common import batch_of, keyed_text, text_chunks
 
 SPACE = "▁"
 #: Parts remembered per worker: this many recent ones, and as many from before.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
 _models: dict[bytes, "Merger"] = {}
