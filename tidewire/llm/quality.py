@@ -24,6 +24,8 @@ ORDER = 5
 END = 3
 #: Probability tables up to this size are broadcast; beyond it the n-grams go to the table.
 BROADCAST_BYTES, CHUNK, SHARD = 64 << 20, 2 << 20, 64 << 20
+#: What a broadcast mark of a trusted text takes, about.
+MARK_BYTES = 32
 #: Steps of the logarithm of perplexities, for exact quantiles from counts.
 STEPS = 10_000
 SCORED = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("trusted", pa.bool_()), ("n_bytes", pa.int64()), ("log_prob", pa.float64())])
@@ -180,6 +182,8 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, or
     """
     name = trusted_ids.columns[0]
     marks = trusted_ids.select(col(name).cast("long").alias("id"), F.lit(True).alias("trusted")).filter("id IS NOT NULL").distinct()
+    if marks.count() * MARK_BYTES <= broadcast_bytes:  # else the texts meet their marks by a shuffle
+        marks = F.broadcast(marks)
     texts = keyed_text(docs, id_col, text_col, lang=col(lang_col).cast("string")).join(marks, "id", "left").select(
         "id", "text", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     plain = keyed_text(docs, id_col, text_col)
