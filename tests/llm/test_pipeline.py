@@ -1,12 +1,14 @@
 """The stages against brute force, each on its own input."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
 from llm_rows import same
 from test_repeats import byte_repeats, fingerprint, groups
 from test_texts import hits
-from tidewire.llm import queries
+from tidewire.llm import near, queries
 
 COLUMNS = list(corpus_pipeline.COLUMNS)
 
@@ -79,3 +81,47 @@ def test_query_equals_its_twin(spark, sf_dir, name):
 def test_run_and_queries(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     assert len(queries.QUERIES) == 10 and not set(queries.ORACLES) - set(queries.QUERIES)
+
+
+def shingles(text, width=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def jaccard_groups(texts):
+    """A number per text, equal for texts connected by pairs of Jaccard 0.8 or more."""
+    sets, label = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and 10 * len(a & sets[j]) >= 8 * len(a | sets[j]):
+                label = [label[j] if x == label[i] else x for x in label]
+    return label
+
+
+@pytest.fixture(scope="module")
+def near_rows():
+    """Texts with a few changed words, chains of them, copies, and others that only share a passage."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shared, out = [word() for _ in range(60)], []
+    for _ in range(40):
+        base = [word() for _ in range(rng.choice([30, 80, 300]))]
+        for _ in range(5):
+            out.append(" ".join(base))
+            base = list(base)
+            for _ in range(max(1, len(base) // rng.choice([40, 60, 90]))):
+                base[rng.randrange(len(base))] = word()
+        out.append(" ".join(base[:20] + shared))
+    order = list(range(len(out)))
+    rng.shuffle(order)
+    return [(i, out[k], "en", "s", len(out[k])) for i, k in enumerate(order)]
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_near_copies_are_those_of_jaccard(spark, near_rows, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
+    df = spark.createDataFrame(near_rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    label = jaccard_groups([r[1] for r in near_rows])
+    want = {min(r[0] for r, x in zip(near_rows, label) if x == c) for c in set(label)}
+    assert 40 < len(want) < len(near_rows) - 60
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == sorted(want)
