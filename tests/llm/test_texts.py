@@ -238,6 +238,23 @@ def test_quality(spark, docs, no_docs, rows):
     assert all(r.keep and r.threshold is None for r in untrusted) and len(untrusted) == len(rows)
 
 
+def test_clean_texts_outside_the_trusted_are_kept(spark):
+    rng = np.random.default_rng(8)
+    out = []
+    for lang, letters, n in (("xx", "aeioulmnrst", 14), ("yy", "abdefgkopvz", 60)):
+        vocabulary = ["".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(1500)]
+        for k in range(n + 50):
+            out.append((len(out), " ".join(rng.choice(vocabulary, 60)), lang, "trusted" if k < n else "clean"))
+        for _ in range(20):
+            out.append((len(out), "".join(rng.choice(list("QWXYZ#@%&0123456789"), 300)), lang, "junk"))
+    df = spark.createDataFrame([r[:3] for r in out], "doc_id long, text string, lang string")
+    ids = spark.createDataFrame([(r[0],) for r in out if r[3] == "trusted"], "doc_id long")
+    keep = {r.doc_id: r.keep for r in quality.classify(df, ids).collect()}
+    for lang in ("xx", "yy"):
+        assert np.mean([keep[i] for i, _, of, kind in out if (of, kind) == (lang, "clean")]) >= 0.9
+        assert not any(keep[i] for i, _, of, kind in out if (of, kind) == (lang, "junk"))
+
+
 # language
 
 def test_gradients_are_right():

@@ -3,7 +3,7 @@
 All counting is by key: an n-gram of bytes is a number, its context is that number without the last byte, and what
 it backs off to is the number without the first. Probabilities of the distinct n-grams of the corpus come from joins of
 those numbers with the counts of each order; texts then add up the logarithms. A text is kept if its perplexity is not
-above the quantile that its language's trusted texts give.
+above the quantile that its language's trusted texts give, each under a model that has not counted it.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .common import batch_of, col, keyed_text, mix, text_chunks
 from .exchange import Chunks
 
 ORDER = 5
+#: Parts of the trusted texts; for its threshold, a text is scored by the model of the other parts. Equal texts share one.
+FOLDS = 2
 #: Byte after the last of a text; the bytes before its first count as 0.
 END = 3
 #: Probability tables up to this size are broadcast; beyond it the n-grams go to the table.
@@ -172,6 +174,28 @@ def thresholds(scored: DataFrame, quantile: float) -> DataFrame:
         (F.min("step") / STEPS).alias("threshold"))
 
 
+def _log_perplexity(texts: DataFrame, table: DataFrame, distinct: int, order: int, broadcast_bytes: int, name: str) -> DataFrame:
+    scored = (_near if distinct * 16 <= broadcast_bytes else _far)(texts, table, order)
+    return materialize(scored.withColumn("log_perplexity", -F.col("log_prob") / (F.col("n_bytes") + 1)), name)
+
+
+def unseen(trusted: DataFrame, order: int, broadcast_bytes: int) -> DataFrame:
+    """The ``trusted`` texts, each scored by a model of the parts that it is not in."""
+    fold = F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % FOLDS
+    parts = [trusted.filter(fold == k) for k in range(FOLDS)]
+    counts = [materialize(gram_counts(own.select("text"), order), f"part{k}") for k, own in enumerate(parts)]
+    out = None
+    for k, own in enumerate(parts):
+        rest = None
+        for other in counts[:k] + counts[k + 1:]:
+            rest = other if rest is None else rest.union(other)
+        top = materialize(rest.groupBy("key").agg(F.sum("n").alias("n")), "rest") if FOLDS > 2 else rest
+        table = probabilities(counts[k].select("key"), top, order)
+        scored = _log_perplexity(own, table, counts[k].count(), order, broadcast_bytes, "unseen")
+        out = scored if out is None else out.union(scored)
+    return out
+
+
 def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, order: int = ORDER, id_col: str = "doc_id",
              text_col: str = "text", lang_col: str = "lang", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang, n_bytes, perplexity (per byte, end included), threshold, keep.
@@ -190,11 +214,8 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.99, or
     top = materialize(gram_counts(texts.filter("trusted").select("text"), order), "trusted")
     events = materialize(gram_counts(plain.select("text"), order), "events")
     table = probabilities(events, top, order)
-    small = events.count() * 16 <= broadcast_bytes
-    scored = (_near if small else _far)(texts, table, order)
-    log_perplexity = -F.col("log_prob") / (F.col("n_bytes") + 1)
-    scored = materialize(scored.withColumn("log_perplexity", log_perplexity), "perplexity")
-    limits = materialize(thresholds(scored, quantile), "limits")
+    scored = _log_perplexity(texts, table, events.count(), order, broadcast_bytes, "perplexity")
+    limits = materialize(thresholds(unseen(texts.filter("trusted"), order, broadcast_bytes), quantile), "limits")
     own = limits.filter("NOT whole").select(F.col("lang").alias("l"), "threshold")
     whole = limits.filter("whole").select(F.col("threshold").alias("general"))
     general = whole.first()
