@@ -45,4 +45,56 @@ OP9 = f"""WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
     sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(g.n, 0) > 0 AS contaminated
   FROM d LEFT JOIN g USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
-ORACLES = {"op3_suffix_dedup": OP3, "op4_substring_dedup": OP4, "op8_topk": OP8, "op9_decontamination": OP9}
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11 = rf"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+  g AS (SELECT DISTINCT lang, source FROM d),
+  k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY 1, 2 HAVING count(*) >= 10),
+  c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+  t AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2),
+  v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM t GROUP BY 1),
+  s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+  p AS MATERIALIZED (SELECT s.lang, s.source, t.term, coalesce(c.n, 0) AS n,
+    CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (s.n + 2 * v.v) AS BIGINT) AS p,
+    CAST(1 + 1000000000::HUGEINT * (t.n + 2) // (v.n + 2 * v.v) AS BIGINT) AS q
+    FROM s JOIN v ON v.lang = s.lang JOIN t ON t.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = t.term),
+  f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+  r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (SELECT *,
+    row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 10"""
+
+OP12 = rf"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+  o AS (SELECT doc_id, r, unnest(l) AS t, unnest(range(1, len(l) + 1)) AS i FROM d),
+  k AS (SELECT *, translate(regexp_replace(t, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), {_LOWER}) AS key FROM o),
+  m AS (SELECT *, length(key) >= 10 AND min(doc_id) OVER (PARTITION BY key) < doc_id AS gone FROM k)
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r, doc_id"""
+
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)),
+    lambda h, c: list_reduce(list_prepend(xor(h, c), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+OP13 = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+  w AS (SELECT conv_id, turn, role, md5(length(role) || ':' || role || text) AS t, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM c),
+  o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t) AS p, t, words FROM w),
+  z AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base, {_CRC} % 4 AS h FROM o GROUP BY conv_id),
+  s AS (SELECT z.conv_id, z.base, z.h, least(z.h, coalesce(b.n, 0)) AS taken FROM z LEFT JOIN z b ON b.conv_id = z.base),
+  r AS (SELECT s.conv_id, p AS pos, t, words FROM s JOIN o ON o.conv_id = s.base AND p <= taken
+    UNION ALL SELECT conv_id, p - h + taken, t, words FROM s JOIN o USING (conv_id) WHERE p > h),
+  e AS (SELECT s.conv_id, coalesce(list(t ORDER BY pos) FILTER (pos IS NOT NULL), []) AS l, list(words ORDER BY pos) FILTER (pos IS NOT NULL) AS wl
+    FROM s LEFT JOIN r USING (conv_id) GROUP BY 1),
+  x AS (SELECT conv_id, len(l) AS size, depth, array_to_string(l[1:depth], '') AS k, CASE WHEN depth > 0 THEN wl[depth] ELSE 0 END AS words
+    FROM (SELECT *, unnest(range(0, len(l) + 1)) AS depth FROM e)),
+  n AS MATERIALIZED (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words,
+    string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth) AS ends FROM x GROUP BY 1, 2),
+  m AS MATERIALIZED (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN (SELECT left(k, length(k) - 32) AS k, count(*) AS kids FROM n WHERE depth > 0 GROUP BY 1) USING (k)),
+  b AS (SELECT a.k, sum((y.n - 1) * y.words) AS saved, count(*) FILTER (y.kids = 0) AS leaves FROM m a JOIN m y ON starts_with(y.k, a.k) GROUP BY 1)
+  SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n AS n_convs, m.kids AS n_children, leaves AS n_leaves,
+    CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(m.ends, '')) AS ends_sha256
+  FROM m JOIN b USING (k) LEFT JOIN n u ON u.depth = m.depth - 1 AND u.k = left(m.k, length(m.k) - 32)"""
+
+ORACLES = {"op3_suffix_dedup": OP3, "op4_substring_dedup": OP4, "op8_topk": OP8, "op9_decontamination": OP9,
+           "op11_source_divergence": OP11, "op12_line_dedup": OP12, "op13_conversation_trie": OP13}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .oracles import ORACLES  # noqa: F401
-from . import blocks, contamination, langid, lm, pieces, quality, simhash, suffix, tokens, topk
+from . import blocks, contamination, divergence, langid, lines, lm, pieces, quality, simhash, suffix, tokens, topk, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (langid.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, source, part, item, value, rank: every pair of sources of a language, and the ten terms that each overuses most."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 of every text."""
+    kept = lines.drop_repeats(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of every node."""
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_lm_scoring, op3_suffix_dedup, op4_substring_dedup, op5_sentencepiece, op6_quality,
-    op7_simhash, op8_topk, op9_decontamination, op10_language_id)}
+    op7_simhash, op8_topk, op9_decontamination, op10_language_id, op11_source_divergence, op12_line_dedup,
+    op13_conversation_trie)}
