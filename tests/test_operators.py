@@ -38,6 +38,28 @@ def test_look_back_with_tiny_blocks(spark):
     assert {tuple(r) for r in got.select("run_id", "a", "l").collect()} == {tuple(r) for r in want}
 
 
+def test_scan_equals_windows(spark):
+    """Positions, last positions with and without the row itself, and running values, on a hot key and on counted rows only."""
+    runs = skewed_runs(spark).withColumn("counted", F.col("run_id") % 3 != 0)
+    w = Window.partitionBy("source").orderBy("started_at", "run_id")
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    pos = F.count(F.when(F.col("counted"), 1)).over(so_far)
+    want = runs.withColumn("p", pos).select("run_id", "p", F.max(F.when(F.col("ok"), F.col("p"))).over(so_far), F.max(F.when(F.col("ok"), F.col("p"))).over(before),
+                                            F.max("items").over(so_far))
+    got = ordered.scan(runs, ["source"], ["started_at", "run_id"], {"a": (F.col("ok"), True), "b": (F.col("ok"), False)}, {"m": ("max", F.col("items"))}, F.col("counted"))
+    assert {tuple(r) for r in got.select("run_id", "_pos", "a", "b", "m").collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_following_equals_search(spark):
+    rows = skewed_runs(spark, 400).select("source", F.date_trunc("hour", "started_at").alias("at"), "run_id")
+    probes = rows.select("source", (F.col("at") + F.expr("interval 3 hours")).alias("at"), "run_id", F.col("run_id").alias("own"))
+    got = {r.own: None if r.to is None else r.to.run_id for r in ordered.following(rows, probes, ["source"], "at", "run_id", "to").collect()}
+    held = rows.collect()
+    for p in held:
+        behind = [(r["at"], r.run_id) for r in held if r.source == p.source and (r["at"], r.run_id) > (p["at"] + timedelta(hours=3), p.run_id)]
+        assert got[p.run_id] == (min(behind)[1] if behind else None)
+
+
 def test_streaks_and_current_health_agree(spark):
     runs = skewed_runs(spark)
     last = H.streaks(runs).groupBy("source").agg(F.max_by(F.struct("streak", "status"), F.struct("started_at", "run_id")).alias("x"))
@@ -227,50 +249,3 @@ def test_nested_page_body():
             f"<p>{para}<p>{para}<b>fin</b></p></div></div><p>corto</p></body>")
     body, method = densest_body(html)
     assert method == "dom" and body.count("Una frase") == 6 and "fin" in body
-
-
-def stream_of(spark, df, tmp_path, files=3):
-    """A file stream that delivers the rows in time order over several micro-batches."""
-    rows = df.orderBy("started_at", "run_id").collect()
-    step = -(-len(rows) // files)
-    for i in range(files):
-        spark.createDataFrame(rows[i * step:(i + 1) * step], df.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-
-
-def test_live_alerts_equal_model(spark, tmp_path):
-    from tidewire.streaming import live
-    runs = skewed_runs(spark, 600).withColumn("started_at", F.date_trunc("second", "started_at"))
-    want, state = set(), {}
-    for r in sorted(runs.collect(), key=lambda r: (r.started_at, r.run_id)):
-        streak, last, is_open = state.get(r.source, (0, None, False))
-        streak = 0 if r.ok else streak + 1
-        if streak >= 3 and (last is None or r.started_at - last > timedelta(hours=12)):
-            want.add((r.source, r.started_at, "FUENTE-CAIDA"))
-            last, is_open = r.started_at, True
-        elif r.ok and is_open:
-            want.add((r.source, r.started_at, "FUENTE-RECUPERADA"))
-            is_open = False
-        state[r.source] = (streak, last, is_open)
-    got = live.run_available(live.source_alerts(stream_of(spark, runs, tmp_path)), "alerts_test")
-    assert {(r.source, r["at"], r.kind) for r in got.collect()} == want
-
-
-def test_live_health_equals_batch(spark, tmp_path):
-    from tidewire.streaming import live
-    runs = skewed_runs(spark, 600)
-    got = live.run_available(live.source_health(stream_of(spark, runs, tmp_path)), "health_test")
-    assert {(r.run_id, r.streak, r.status) for r in got.collect()} == {
-        (r.run_id, r.streak, r.status) for r in H.streaks(runs).collect()}
-
-
-def test_entry_goes_missing_and_returns(spark, tmp_path):
-    from tidewire.streaming import live
-    at = lambda h: T0 + timedelta(hours=h)
-    rows = [("a", at(0), 1), ("b", at(0), 2), ("a", at(1), 3), ("b", at(9), 4), ("c", at(30), 5), ("c", at(31), 6)]
-    df = spark.createDataFrame(rows, "source string, started_at timestamp, run_id long")
-    stream = stream_of(spark, df, tmp_path, 6).select("source", F.col("started_at").alias("ts"))
-    got = live.run_available(live.entry_states(stream, "source"), "entries_test").collect()
-    seen = {(r.key, r.state, r["at"]) for r in got}
-    assert {("a", "PRESENT", at(0)), ("a", "MISSING", at(7)), ("b", "PRESENT", at(0)), ("b", "MISSING", at(6)),
-            ("b", "PRESENT", at(9)), ("b", "MISSING", at(15)), ("c", "PRESENT", at(30))} == seen

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..rules import lexicon as L
+from ..session import materialize
 from . import ordered
 
 # Runs: source, run_id, started_at, ok (boolean), items (double), latency_ms.
@@ -17,20 +18,19 @@ def trailing_mean(runs: DataFrame, n: int = L.TRAILING_RUNS) -> DataFrame:
         "avg_items": F.avg("items").over(w.rowsBetween(-(n - 1), 0))})
 
 
+def status_of(streak: Column, failing_after: int = L.FAILING_AFTER) -> Column:
+    return F.when(streak >= failing_after, "FAILING").when(streak > 0, "DEGRADED").otherwise("OK")
+
+
 def streaks(runs: DataFrame, failing_after: int = L.FAILING_AFTER) -> DataFrame:
     """Consecutive failures at every run and the status they imply."""
-    marked = ordered.running(runs, ["source"], ORDER, {
-        "_pos": ("count", F.lit(1)),
-        "_oks": ("count", F.when(F.col("ok"), F.lit(1)))})
-    # Position of the latest success so far: a second running maximum over the same order.
-    last_ok = ordered.running(marked, ["source"], ORDER, {
-        "_last": ("max", F.when(F.col("ok"), F.col("_pos")))})
+    rows = ordered.scan(runs, ["source"], ORDER, {"_last": (F.col("ok"), True)}, {"_oks": ("count", F.when(F.col("ok"), F.lit(1)))})
     streak = F.col("_pos") - F.coalesce("_last", F.lit(0))
     return (
-        last_ok.withColumn("streak", streak)
+        rows.withColumn("streak", streak)
         .withColumn("success_count", F.col("_oks"))
         .withColumn("failure_count", F.col("_pos") - F.col("_oks"))
-        .withColumn("status", F.when(streak >= failing_after, "FAILING").when(streak > 0, "DEGRADED").otherwise("OK"))
+        .withColumn("status", status_of(F.col("streak"), failing_after))
         .drop("_pos", "_oks", "_last"))
 
 
@@ -90,18 +90,64 @@ def unsuppressed_alerts(failing: DataFrame, sent: DataFrame, hours: int = L.ALER
     ).drop("_kind")
 
 
-def recoveries(runs: DataFrame) -> DataFrame:
-    """Successful runs that end a failing streak, with the latest earlier run at which it was failing."""
-    timeline = streaks(runs)
-    marked = ordered.running(timeline, ["source"], ORDER, {
-        "alert_at": ("max", F.when(F.col("status") == "FAILING", F.col("started_at"))),
-        "_alerts": ("count", F.when(F.col("status") == "FAILING", F.lit(1)))})
-    prev = ordered.look_back(marked, ["source"], ORDER, 1, lambda w: {
-        "_prev_status": F.lag("status").over(w)})
-    return prev.filter((F.col("status") == "OK") & (F.col("_prev_status") == "FAILING")).select(
+def recoveries(runs: DataFrame, sent: DataFrame, failing_after: int = L.FAILING_AFTER) -> DataFrame:
+    """Successful runs that end a failing streak, with the latest alert sent before them; without one there is nothing to close.
+
+    ``sent``: source, at. Runs and alerts are one timeline that is scanned once; an alert of the same moment comes first.
+    """
+    line = runs.select("source", "started_at", "run_id", "ok", F.lit(1).alias("_run")).unionByName(
+        sent.select("source", F.col("at").alias("started_at"), F.lit(None).cast(dict(runs.dtypes)["run_id"]).alias("run_id"),
+                    F.lit(False).alias("ok"), F.lit(0).alias("_run")))
+    is_run = F.col("_run") == 1
+    rows = ordered.scan(line, ["source"], ["started_at", "_run", "run_id"], {"_last": (is_run & F.col("ok"), False)},
+                        {"alert_at": ("max", F.when(~is_run, F.col("started_at")))}, is_run)
+    failed = F.col("_pos") - 1 - F.coalesce("_last", F.lit(0))
+    return rows.filter(is_run & F.col("ok") & (failed >= failing_after) & F.col("alert_at").isNotNull()).select(
         "source", "run_id", "started_at", "alert_at")
 
 
+def alerts(runs: DataFrame, state: DataFrame | None = None, failing_after: int = L.FAILING_AFTER,
+           hours: int = L.ALERT_SILENCE_HOURS) -> DataFrame:
+    """source, at, run_id, kind, streak: one down alert per source and silence period, and the success that closes it.
+
+    ``state`` (source, streak, last_alert, is_open) is what runs before these have left. The next alert of a failing run is the
+    first failing run after the silence; from the first alert on the chain is followed by doubling, never run by run.
+    """
+    none = "source {}, streak long, last_alert timestamp, is_open boolean".format(dict(runs.dtypes)["source"])
+    state = runs.sparkSession.createDataFrame([], none) if state is None else state
+    rows = ordered.scan(runs.select("source", "started_at", "run_id", "ok"), ["source"], ORDER, {"_last": (F.col("ok"), True)})
+    rows = rows.join(state, "source", "left").withColumn("streak", F.when(
+        F.col("_last").isNull(), F.col("_pos") + F.coalesce("streak", F.lit(0))).otherwise(F.col("_pos") - F.col("_last")))
+    rows = materialize(rows.select("source", F.col("started_at").alias("at"), "run_id", "ok", "streak", "last_alert", "is_open"), "streaks")
+    failing = rows.filter(F.col("streak") >= failing_after)
+    silent = F.expr(f"interval {hours} hours")
+
+    first = failing.filter(F.col("last_alert").isNull() | (F.col("at") > F.col("last_alert") + silent)).groupBy("source").agg(
+        F.min(F.struct("at", "run_id")).alias("a"))
+    reach = materialize(first.select("source", "a.at", "a.run_id"), "alerts")
+    big = F.lit((1 << 63) - 1)  # strictly after the silence, whatever the run
+    probes = failing.select("source", (F.col("at") + silent).alias("at"), big.alias("run_id"), F.col("at").alias("_at"), F.col("run_id").alias("_run"))
+    onward = ordered.following(failing.select("source", "at", F.col("run_id").cast("long").alias("run_id")), probes, ["source"], "at", "run_id", "to")
+    jump = materialize(onward.filter("to IS NOT NULL").select("source", F.col("_at").alias("at"), F.col("_run").alias("run_id"), "to"), "jumps")
+    while True:
+        more = materialize(reach.join(jump, ["source", "at", "run_id"]).select("source", "to.*"), "alerts")
+        if more.limit(1).count() == 0:
+            break
+        reach = materialize(reach.unionByName(more), "alerts")
+        there = jump.select(F.col("source").alias("_s"), F.col("at").alias("_a"), F.col("run_id").alias("_r"), F.col("to").alias("_to"))
+        on = (F.col("source") == F.col("_s")) & (F.col("to.at") == F.col("_a")) & (F.col("to.run_id") == F.col("_r"))
+        jump = materialize(jump.join(there, on).select("source", "at", "run_id", F.col("_to").alias("to")), "jumps")
+    down = materialize(reach.join(failing.select("source", "at", "run_id", "streak"), ["source", "at", "run_id"]), "down")
+
+    good = rows.filter("ok").select("source", "at", F.col("run_id").cast("long").alias("run_id"))
+    closed = ordered.following(good, down.select("source", "at", F.col("run_id").cast("long").alias("run_id"), F.lit(0).alias("_")),
+                               ["source"], "at", "run_id", "to").filter("to IS NOT NULL").select("source", "to.*")
+    left_open = rows.filter("ok AND is_open").groupBy("source").agg(F.min(F.struct("at", F.col("run_id").cast("long").alias("run_id"))).alias("a"))
+    up = closed.unionByName(left_open.select("source", "a.*")).distinct()
+    return down.select("source", "at", F.col("run_id").cast("long").alias("run_id"), F.lit("FUENTE-CAIDA").alias("kind"), "streak").unionByName(
+        up.select("source", "at", "run_id", F.lit("FUENTE-RECUPERADA").alias("kind"), F.lit(0).cast("long").alias("streak")))
+
+
 def missing_spells(sightings: DataFrame, as_of: Column, cadence_minutes: int = L.CADENCE_MINUTES,
                    passes: int = L.MISSING_AFTER) -> DataFrame:
     """Batch twin of the seen-entry machine: one row per entry.
@@ -120,3 +166,20 @@ def missing_spells(sightings: DataFrame, as_of: Column, cadence_minutes: int = L
     return per.withColumn("missing_count", stale.cast("int")).withColumn(
         "state", F.when(stale >= passes, "MISSING").otherwise("PRESENT")).withColumn(
         "spells", F.col("spells") + F.when(stale >= passes, 1).otherwise(0))
+
+
+def entry_transitions(sightings: DataFrame, until: Column, cadence_minutes: int = L.CADENCE_MINUTES,
+                      passes: int = L.MISSING_AFTER) -> DataFrame:
+    """Every change of an entry up to ``until``: key, at, state, missing_count, sightings (so far, this one included)."""
+    silence = F.expr(f"interval {cadence_minutes * passes} minutes")
+    rows = ordered.look_back(sightings, ["key"], ["ts", "obs_id"], 1, lambda w: {"_prev": F.lag("ts").over(w)})
+    rows = ordered.running(rows, ["key"], ["ts", "obs_id"], {"n": ("count", F.lit(1))})
+    again = F.col("_prev").isNotNull() & (F.col("ts") > F.col("_prev") + silence)
+    change = lambda at, state, missing, n: F.struct(
+        at.alias("at"), F.lit(state).alias("state"), F.lit(missing).alias("missing_count"), n.alias("sightings"))
+    back = rows.filter(again | F.col("_prev").isNull()).select("key", F.explode(F.filter(F.array(
+        F.when(again, change(F.col("_prev") + silence, "MISSING", passes, F.col("n") - 1)),
+        change(F.col("ts"), "PRESENT", 0, F.col("n"))), lambda x: x.isNotNull())).alias("c"))
+    last = rows.groupBy("key").agg(F.max("ts").alias("ts"), F.count("*").alias("n"))
+    gone = last.select("key", change(F.col("ts") + silence, "MISSING", passes, F.col("n")).alias("c"))
+    return back.unionByName(gone).select("key", "c.*").filter(F.col("at") <= until)

@@ -74,3 +74,56 @@ def look_back(df: DataFrame, keys: list[str], order: list[str], before: int,
     w = Window.partitionBy(*keys, "_block").orderBy("_pos")
     out = rows.select(*df.columns, "_halo", *[e.alias(n) for n, e in make(w).items()])
     return out.filter(~F.col("_halo")).drop("_halo")
+
+
+def scan(df: DataFrame, keys: list[str], order: list[str], lasts: dict[str, tuple[Column, bool]],
+         aggs: dict[str, tuple[str, Column]] | None = None, counted: Column | None = None) -> DataFrame:
+    """Positions and running values of each key in one range shuffle.
+
+    Adds ``_pos`` (rows so far that are ``counted``), for each of ``lasts`` the position of the latest row that meets its
+    condition, up to this row or, where the flag is false, before it, and the running ``aggs``. A last position is the sum of a
+    position inside the chunk and the rows of the chunks before, so it needs no second pass over the rows.
+    """
+    aggs = aggs or {}
+    one = F.lit(1) if counted is None else F.when(counted, F.lit(1))
+    placed = chunked(df, keys, order)
+    w = Window.partitionBy("_chunk", *keys).orderBy(*order)
+    so_far, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    base = placed.withColumn("_pos", F.count(one).over(so_far))
+    mark = {n: F.when(c, F.col("_pos")) for n, (c, _) in lasts.items()}
+    local = base.select("*", *[F.max(mark[n]).over(so_far if own else earlier).alias(n) for n, (_, own) in lasts.items()],
+                        *[_AGG[k](e).over(so_far).alias(n) for n, (k, e) in aggs.items()])
+
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = base.groupBy(*keys, "_chunk").agg(F.max("_pos").alias("_n"), *[F.max(mark[n]).alias(n) for n in lasts],
+                                              *[_AGG[k](e).alias(n) for n, (k, e) in aggs.items()])
+    totals = totals.withColumn("_base", F.sum("_n").over(before))
+    carry = totals.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_kc"), "_base",
+        *[F.max(F.col(n) + F.coalesce("_base", F.lit(0))).over(before).alias(f"_carry_{n}") for n in lasts],
+        *[_AGG["sum" if k == "count" else k](n).over(before).alias(f"_carry_{n}") for n, (k, _) in aggs.items()],
+    ).filter("_base IS NOT NULL")
+    # As in ``running``: no more rows than chunks.
+    on = F.col("_chunk") == F.col("_kc")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = local.join(F.broadcast(carry), on, "left").withColumn("_base", F.coalesce("_base", F.lit(0)))
+    return joined.select(
+        *df.columns, (F.col("_pos") + F.col("_base")).alias("_pos"),
+        *[F.coalesce(F.col(n) + F.col("_base"), F.col(f"_carry_{n}")).alias(n) for n in lasts],
+        *[_combine(k, F.col(n), F.col(f"_carry_{n}")).alias(n) for n, (k, _) in aggs.items()])
+
+
+def following(rows: DataFrame, probes: DataFrame, keys: list[str], time: str, tie: str, wanted: str) -> DataFrame:
+    """Every probe with the first row of its key behind it in (time, tie) order, as the struct ``wanted`` (time, tie) or null.
+
+    ``rows`` and ``probes`` share keys, time and tie; what else the probes have stays. Both lie on one timeline that is read
+    backwards, so the first row behind is a running minimum and a hot key spreads over tasks.
+    """
+    rest = [c for c in probes.columns if c not in (*keys, time, tie)]
+    line = rows.select(*keys, time, tie, F.lit(1).alias("_row"), F.lit(None).cast(probes.select(F.struct(*rest)).dtypes[0][1]).alias("_rest")
+                       ).unionByName(probes.select(*keys, time, tie, F.lit(0).alias("_row"), F.struct(*rest).alias("_rest")))
+    line = line.withColumn("_back", -F.unix_micros(time)).withColumn("_tie", -F.col(tie))
+    # Backwards, a row that equals a probe comes after it and is not seen.
+    found = running(line, keys, ["_back", "_tie", "_row"], {wanted: ("min", F.when(F.col("_row") == 1, F.struct(time, tie)))})
+    return found.filter("_row = 0").select(*keys, time, tie, *[F.col(f"_rest.{c}").alias(c) for c in rest], wanted)

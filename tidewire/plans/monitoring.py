@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import health as H
 from ..rules import lexicon as L
-from ..session import load
-from ..streaming import live
+from ..session import load, step_path
+from ..streaming import arrivals, entries, health as live_health, live, replay, store
 from .bindings import view, with_views
 from .catalog_reports import sql_stamp, stamp
 from .registry import query
@@ -101,32 +101,95 @@ def j10(s, d):
     return H.unsuppressed_alerts(r.filter("event_type = 'error'"), r.filter("event_type = 'signup'")).select("ref")
 
 
-@query("j12_recovery_after_alert", R(f"""WITH {_STREAKS}, q AS (SELECT *, lag(status) OVER w AS prev, max(CASE WHEN status = 'FAILING' THEN started_at END) OVER w AS alert_at
-    FROM st WINDOW w AS (PARTITION BY source ORDER BY started_at, run_id)) SELECT source, run_id, {sql_stamp('alert_at', 'alert_at')} FROM q WHERE status = 'OK' AND prev = 'FAILING'"""))
+@query("j12_recovery_after_alert", R(f"""WITH {_STREAKS}, q AS (SELECT *, lag(status) OVER (PARTITION BY source ORDER BY started_at, run_id) AS prev FROM st)
+    SELECT source, run_id, {sql_stamp('alert_at', 'alert_at')} FROM (SELECT q.source, q.run_id, max(a.started_at) AS alert_at FROM q JOIN runs a ON a.source = q.source
+    AND a.event_type = 'signup' AND a.started_at <= q.started_at WHERE q.status = 'OK' AND q.prev = 'FAILING' GROUP BY 1, 2)"""))
 def j12(s, d):
-    return H.recoveries(runs(s, d)).select("source", "run_id", stamp("alert_at", "alert_at"))
+    r = runs(s, d)
+    sent = r.filter("event_type = 'signup'").select("source", F.col("started_at").alias("at"))
+    return H.recoveries(r, sent).select("source", "run_id", stamp("alert_at", "alert_at"))
+
+
+_SILENCE = f"INTERVAL {L.ALERT_SILENCE_HOURS} HOUR"
+_ALERTS = f"""{_STREAKS}, f AS (SELECT source, started_at, run_id, streak, started_at + {_SILENCE} AS quiet FROM st WHERE streak >= {L.FAILING_AFTER}),
+  nx AS MATERIALIZED (SELECT f.source, f.run_id, (SELECT arg_min(g.run_id, (g.started_at, g.run_id)) FROM f g WHERE g.source = f.source AND g.started_at > f.quiet) AS onward FROM f),
+  down(source, run_id) AS (SELECT source, arg_min(run_id, (started_at, run_id)) FROM f GROUP BY 1 UNION ALL SELECT nx.source, nx.onward FROM down JOIN nx USING (source, run_id) WHERE onward IS NOT NULL),
+  al AS (SELECT f.* FROM f JOIN down USING (source, run_id)),
+  up AS (SELECT DISTINCT al.source, (SELECT arg_min({{'t': o.started_at, 'r': o.run_id}}, (o.started_at, o.run_id)) FROM runs o WHERE o.source = al.source AND o.ok
+    AND (o.started_at > al.started_at OR (o.started_at = al.started_at AND o.run_id > al.run_id))) AS o FROM al)"""
+_ALERT_ROWS = f"""SELECT source, {sql_stamp('started_at', 'at')}, 'FUENTE-CAIDA' AS kind, CAST(streak AS BIGINT) AS streak FROM al
+    UNION ALL SELECT source, {sql_stamp('o.t', 'at')}, 'FUENTE-RECUPERADA', 0 FROM up WHERE o IS NOT NULL"""
+
+
+@query("r9_alerts_batch", R(f"WITH RECURSIVE {_ALERTS} {_ALERT_ROWS}"))
+def r9_batch(s, d):
+    """All alerts of the run log at once."""
+    return H.alerts(runs(s, d)).select("source", stamp("at", "at"), "kind", "streak")
 
 
 # --- streaming twins ----------------------------------------------------------------------------
+# Runs arrive up to 80 minutes after their time, in four drains of about a week, so files overlap in time and
+# every drain goes on from the checkpoint of the one before. The watermark is the real one, 90 minutes.
 
-_DELAY = "45 days"  # the files hold a month; nothing may count as late when they arrive in one go
+_DELAY, _SLOTS = "90 minutes", 4
+_SLOW = "CAST(run_id * 37 % 80 AS INT)"
+_SLOT = f"CAST(least({_SLOTS - 1}, (day(started_at + {_SLOW} * INTERVAL 1 MINUTE) - 1) // 8) AS INT)"
+_CLOSED = "(SELECT max(started_at) - INTERVAL 90 MINUTE FROM runs)"
 
 
-def _event_stream(s, d):
-    """Live runs read from the event file; rows keep the shape of the run log."""
-    schema = s.read.parquet(f"{d}/events.parquet").schema
-    e = live.file_stream(s, d, "events", schema)
-    return e.select(
-        F.col("user_id").alias("source"), F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("started_at"),
-        (F.col("event_type") != "error").alias("ok"), F.col("value").alias("items"))
+def _on_time():
+    return F.col("started_at") + F.expr("make_dt_interval(0, 0, cast(run_id * 37 % 80 as int))")
+
+
+def _week(at):
+    return F.least(F.lit(_SLOTS - 1), F.floor((F.dayofmonth(at) - 1) / 8)).cast("int")
+
+
+def _slot():
+    return _week(_on_time())
+
+
+def _arriving(s, d):
+    return runs(s, d).withColumn("arrived", _on_time())
+
+
+def _drained(rows, name, make, slot=None):
+    """The output of a stream over ``rows``, drained slot by slot."""
+    spark = rows.sparkSession
+    base = step_path(spark, name)
+    schema = []
+
+    def writer(stream):
+        out = make(stream)
+        schema.append(out.schema)
+        return replay.to_files(out, base)
+
+    replay.in_slots(rows, _slot() if slot is None else slot, _SLOTS, writer, name)
+    return spark.read.schema(schema[0]).parquet(f"{base}/out")
+
+
+def _batched(rows, name, write, slot=None):
+    base = step_path(rows.sparkSession, name)
+    replay.in_slots(rows, _slot() if slot is None else slot, _SLOTS, lambda stream: replay.to_batches(stream, base, write), name)
 
 
 @query("r1_first_seen", R("SELECT source AS key, count(*) AS passed FROM (SELECT DISTINCT source FROM runs) GROUP BY 1"))
 def r1(s, d):
-    """Live first-seen filter: every key passes once."""
-    stream = _event_stream(s, d).withColumnRenamed("started_at", "ts").select(F.col("source").alias("key"), "ts")
-    out = live.run_available(live.first_seen(stream, "key", delay=_DELAY), "first_seen")
-    return out.groupBy("key").agg(F.count(F.lit(1)).alias("passed"))
+    """Live first-seen filter: every key passes once, however many drains have it."""
+    seen = store.new_store(s, ["key"], store.SEEN, "seen")
+    out = step_path(s, "first-seen")
+    _batched(_arriving(s, d), "first", store.first_seen(seen, "source", "started_at", "live", out))
+    return s.read.parquet(out).groupBy("key").agg(F.count(F.lit(1)).alias("passed"))
+
+
+@query("r1_seen_store", R(f"""SELECT key, {sql_stamp('f', 'first_seen')}, {sql_stamp('l', 'last_seen')}, n AS sightings, CAST(m AS INT) AS missing_count, CASE WHEN m >= 6 THEN 'MISSING' ELSE 'PRESENT' END AS state
+    FROM (SELECT *, greatest(0, least(6, (epoch_us(TIMESTAMP '{END}') // 1000000 - epoch_us(l) // 1000000) // 3600)) AS m FROM (SELECT source AS key, min(started_at) AS f, max(started_at) AS l, count(*) AS n FROM runs GROUP BY 1))"""))
+def r1_store(s, d):
+    """What the store holds after all drains: a seen key is refreshed, not passed again."""
+    seen = store.new_store(s, ["key"], store.SEEN, "seen")
+    _batched(_arriving(s, d), "refresh", store.first_seen(seen, "source", "started_at", "live", step_path(s, "first-seen")))
+    rows = store.seen_state(seen.rows(), F.lit(END).cast("timestamp"), L.CADENCE_MINUTES, L.MISSING_AFTER)
+    return rows.select("key", stamp("first_seen", "first_seen"), stamp("last_seen", "last_seen"), "sightings", "missing_count", "state")
 
 
 @query("r1_first_seen_batch", R(f"SELECT source, {sql_stamp('min(started_at)', 'first_seen')} FROM runs GROUP BY 1"))
@@ -148,33 +211,71 @@ def r2(s, d):
     return m.select(F.col("key").alias("source"), "sightings", F.col("spells").cast("long").alias("spells"), "missing_count", "state")
 
 
-@query("r2_entry_transitions", R("""WITH g AS (SELECT source, epoch_us(started_at) - epoch_us(lag(started_at) OVER (PARTITION BY source ORDER BY started_at, run_id)) AS gap FROM runs)
-    SELECT CAST(source AS VARCHAR) AS key, 1 + count(*) FILTER (gap > 21600000000) AS became_present FROM g GROUP BY 1"""))
+_CHANGES = f"""WITH g AS (SELECT source, started_at, row_number() OVER w AS n, lag(started_at) OVER w AS prev, lead(started_at) OVER w AS onward FROM runs WINDOW w AS (PARTITION BY source ORDER BY started_at, run_id)),
+  c AS (SELECT source, started_at AS t, 'PRESENT' AS state, 0 AS missing_count, n AS sightings FROM g WHERE prev IS NULL OR started_at > prev + INTERVAL 6 HOUR
+    UNION ALL SELECT source, started_at + INTERVAL 6 HOUR, 'MISSING', 6, n FROM g WHERE onward IS NULL OR onward > started_at + INTERVAL 6 HOUR)
+  SELECT CAST(source AS VARCHAR) AS key, {sql_stamp('t', 'at')}, state, missing_count, sightings FROM c WHERE t <= {_CLOSED}"""
+
+
+@query("r2_entry_transitions", R(_CHANGES))
 def r2_live(s, d):
-    """Live state machine: how often every entry became present."""
-    stream = _event_stream(s, d).select("source", F.col("started_at").alias("ts"))
-    out = live.run_available(live.entry_states(stream, "source", delay=_DELAY), "entries")
-    return out.filter("state = 'PRESENT'").groupBy("key").agg(F.count(F.lit(1)).alias("became_present"))
+    """Live state machine: every change that the watermark has made final."""
+    rows = _arriving(s, d).withColumn("ts", F.col("started_at"))
+    out = _drained(rows, "entries", lambda stream: entries.entry_states(stream, "source", delay=_DELAY))
+    return out.select("key", stamp("at", "at"), "state", "missing_count", "sightings")
+
 
+@query("r2_transitions_batch", R(_CHANGES))
+def r2_changes(s, d):
+    r = runs(s, d)
+    until = r.agg(F.max("started_at")).first()[0]
+    sight = r.select(F.col("source").cast("string").alias("key"), F.col("started_at").alias("ts"), F.col("run_id").alias("obs_id"))
+    c = H.entry_transitions(sight, F.lit(until) - F.expr("interval 90 minutes"))
+    return c.select("key", stamp("at", "at"), "state", "missing_count", "sightings")
 
-@query("r3_live_health", R(f"WITH {_STREAKS} SELECT st.run_id, CAST(streak AS INT) AS streak, status, round(m, 6) AS avg_items FROM st JOIN (SELECT run_id, {_MEAN} AS m FROM runs) x USING (run_id)"))
+
+# Runs of a source come to the health stream in order, so its slots follow the time of the run.
+def _in_order():
+    return _week("started_at")
+
+
+@query("r3_live_health", R(f"WITH {_STREAKS} SELECT st.run_id, streak, status, round(m, 6) AS avg_items FROM st JOIN (SELECT run_id, {_MEAN} AS m FROM runs) x USING (run_id)"))
 def r3(s, d):
-    out = live.run_available(live.source_health(_event_stream(s, d)), "health")
+    base = step_path(s, "health")
+    _batched(runs(s, d), "health", live_health.watch(base), _in_order())
+    out = s.read.parquet(f"{base}/runs")
     return out.select("run_id", "streak", "status", F.round("avg_items", 6).alias("avg_items"))
 
 
-@query("r4_cycle_windows", R(f"""SELECT {sql_stamp(_HOUR, 'cycle')}, count(*) AS runs, count(*) FILTER (NOT ok) AS failed, round(sum(items), 4) AS items FROM runs GROUP BY 1"""))
+@query("r9_live_alerts", R(f"WITH RECURSIVE {_ALERTS} {_ALERT_ROWS}"))
+def r9(s, d):
+    base = step_path(s, "alerts")
+    _batched(runs(s, d), "alerts", live_health.watch(base), _in_order())
+    return s.read.parquet(f"{base}/alerts").select("source", stamp("at", "at"), "kind", "streak")
+
+
+# Every fiftieth run of the first half of the month comes in the last drain, long after its windows have closed.
+_STRAY = "(run_id % 50 = 0 AND day(started_at) <= 15)"
+
+
+def _with_strays():
+    return F.when((F.col("run_id") % 50 == 0) & (F.dayofmonth("started_at") <= 15), _SLOTS - 1).otherwise(_slot())
+
+
+@query("r4_cycle_windows", R(f"""SELECT {sql_stamp(_HOUR, 'cycle')}, count(*) AS runs, count(*) FILTER (NOT ok) AS failed, round(sum(items), 4) AS items FROM runs
+    WHERE NOT {_STRAY} AND {_HOUR} + INTERVAL 1 HOUR <= {_CLOSED} GROUP BY 1"""))
 def r4(s, d):
-    stream = _event_stream(s, d).withColumnRenamed("started_at", "ts")
-    out = live.run_complete(live.cycle_windows(stream, delay=_DELAY), "cycles")
+    """Totals of the cycles that the watermark has closed; late rows are dropped (``r4_late_rows`` counts them)."""
+    rows = _arriving(s, d).withColumn("ts", F.col("started_at"))
+    out = _drained(rows, "cycles", lambda stream: live.cycle_windows(stream, delay=_DELAY), _with_strays())
     return out.select(stamp("window.start", "cycle"), "runs", "failed", F.round("items", 4).alias("items"))
 
 
-@query("r5_coverage_windows", R(f"""SELECT {sql_stamp('w', 'start')}, count(*) AS items FROM (SELECT unnest([date_trunc('hour', started_at), date_trunc('hour', started_at) - INTERVAL 1 HOUR]) AS w, started_at FROM runs)
-    WHERE started_at < w + INTERVAL 90 MINUTE GROUP BY 1"""))
+@query("r5_coverage_windows", R(f"""SELECT {sql_stamp('w', 'start')}, count(*) AS items FROM (SELECT unnest([date_trunc('hour', started_at), date_trunc('hour', started_at) - INTERVAL 1 HOUR]) AS w, started_at FROM runs WHERE NOT {_STRAY})
+    WHERE started_at < w + INTERVAL 90 MINUTE AND w + INTERVAL 90 MINUTE <= {_CLOSED} GROUP BY 1"""))
 def r5(s, d):
-    stream = _event_stream(s, d).withColumnRenamed("started_at", "ts")
-    out = live.run_complete(live.coverage_windows(stream, delay=_DELAY), "coverage")
+    rows = _arriving(s, d).withColumn("ts", F.col("started_at"))
+    out = _drained(rows, "coverage", lambda stream: live.coverage_windows(stream, delay=_DELAY), _with_strays())
     return out.select(stamp("window.start", "start"), "items")
 
 
@@ -185,7 +286,51 @@ _ARRIVED = "TIMESTAMP '2024-01-30 12:00:00'"
     FROM (SELECT epoch_us(started_at) // 1000000 - epoch_us({_ARRIVED}) // 1000000 AS x FROM runs)) GROUP BY 1"""))
 def r6(s, d):
     r = runs(s, d).withColumn("arrived", F.lit("2024-01-30 12:00:00").cast("timestamp"))
-    return r.groupBy(live.arrival_class("started_at", "arrived").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    return r.groupBy(arrivals.arrival_class("started_at", "arrived").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# Strays arrive on the last day; every seventieth run is ahead of its arrival, by half an hour or two hours.
+_WHEN = f"""CASE WHEN {_STRAY} THEN TIMESTAMP '2024-01-30 12:00:00' WHEN run_id % 70 = 1 THEN started_at - INTERVAL 30 MINUTE WHEN run_id % 70 = 2 THEN started_at - INTERVAL 2 HOUR
+  ELSE started_at + {_SLOW} * INTERVAL 1 MINUTE END"""
+_LANDED = f"""WITH a AS (SELECT *, {_WHEN} AS arrived FROM runs), b AS (SELECT *, CASE WHEN {_STRAY} THEN {_SLOTS - 1} ELSE {_SLOT} END AS slot FROM a),
+  k AS (SELECT slot, max(max(arrived)) OVER (ORDER BY slot) AS clock FROM b GROUP BY slot),
+  c AS (SELECT b.*, clock, epoch_us(started_at) // 1000000 - epoch_us(clock) // 1000000 AS x FROM b JOIN k USING (slot)),
+  z AS (SELECT *, CASE WHEN x > 5400 THEN 'future' WHEN x > 0 THEN 'clamped' WHEN -x > 2592000 THEN 'expired' WHEN -x > 5400 THEN 'late' ELSE 'fresh' END AS class FROM c)"""
+
+
+def _landing(s, d, name):
+    """Runs split by the late-data rule as they arrive; the folder and the rows' type."""
+    when = (F.when((F.col("run_id") % 50 == 0) & (F.dayofmonth("started_at") <= 15), F.lit("2024-01-30 12:00:00").cast("timestamp"))
+            .when(F.col("run_id") % 70 == 1, F.col("started_at") - F.expr("interval 30 minutes"))
+            .when(F.col("run_id") % 70 == 2, F.col("started_at") - F.expr("interval 2 hours")).otherwise(F.col("arrived")))
+    rows = _arriving(s, d).withColumn("arrived", when)
+    base = step_path(s, name)
+    _batched(rows, name, arrivals.split(base, "started_at"), _with_strays())
+    return base, rows.schema
+
+
+@query("r6_side_outputs", R(f"""{_LANDED} SELECT run_id, class, CAST(slot AS BIGINT) AS batch,
+    {sql_stamp("CASE WHEN class = 'clamped' THEN clock ELSE started_at END", 'at')} FROM z"""))
+def r6_live(s, d):
+    """Every row in the output of its class, with the drain that brought it; a clamped time is the clock's."""
+    base, schema = _landing(s, d, "classes")
+    return arrivals.landed(s, base, schema).select("run_id", "class", "batch", stamp("started_at", "at"))
+
+
+@query("r4_late_rows", R(f"{_LANDED} SELECT class, CAST(slot AS BIGINT) AS batch, count(*) AS n FROM z WHERE class IN ('late', 'expired') GROUP BY 1, 2"))
+def r4_late(s, d):
+    """Late rows counted per drain, from the late outputs alone."""
+    base, schema = _landing(s, d, "late")
+    return arrivals.landed(s, base, schema, "late", "expired").groupBy("class", "batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _event_stream(s, d):
+    """Live runs read from the event file; rows keep the shape of the run log."""
+    schema = s.read.parquet(f"{d}/events.parquet").schema
+    e = live.file_stream(s, d, "events", schema)
+    return e.select(
+        F.col("user_id").alias("source"), F.col("event_id").alias("run_id"), F.col("ts").cast("timestamp").alias("started_at"),
+        (F.col("event_type") != "error").alias("ok"), F.col("value").alias("items"))
 
 
 @query("r7_stream_enrichment", R("""SELECT s_name, count(*) AS n FROM runs LEFT JOIN supplier ON s_suppkey = source GROUP BY 1"""))
@@ -195,20 +340,11 @@ def r7(s, d):
     return out.groupBy("s_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("r8_idempotent_sink", R("SELECT source, min(run_id) IS NOT NULL AS stored FROM runs GROUP BY 1"))
+@query("r8_idempotent_sink", R("SELECT source, min(run_id) AS run_id FROM (SELECT *, min(slot) OVER (PARTITION BY source) AS first FROM (SELECT *, " + _SLOT + " AS slot FROM runs)) WHERE slot = first GROUP BY 1"))
 def r8(s, d):
-    """Keys land once although the stream is drained twice into the same target."""
-    from ..session import step_path
-    base = step_path(s, "sink")
-    for replay in range(2):
-        q = (_event_stream(s, d).writeStream.foreachBatch(live.idempotent_writer(f"{base}/out", ["source"]))
-             .option("checkpointLocation", f"{base}/ckpt{replay}").trigger(availableNow=True).start())
-        q.awaitTermination()
-    out = s.read.parquet(f"{base}/out")
-    return out.groupBy("source").agg((F.count(F.lit(1)) == 1).alias("stored"))
-
-
-@query("r9_live_alerts")
-def r9(s, d):
-    out = live.run_available(live.source_alerts(_event_stream(s, d)), "alerts")
-    return out.select("source", stamp("at", "at"), "kind", "streak")
+    """Keys land once although the slots are drained twice, the second time from a new checkpoint."""
+    sink = store.new_store(s, ["source"], {"row": "keep"}, "sink")
+    rows = _arriving(s, d).select("run_id", "source", "started_at", "items")
+    for writer in ("first", "again"):
+        _batched(rows, f"sink-{writer}", store.idempotent_writer(sink, writer))
+    return sink.rows().select("source", "row.run_id")

@@ -1,26 +1,21 @@
-"""Structured Streaming forms: first-seen filter, entry state, source health, windows, sinks, alerts."""
+"""Structured Streaming forms that Spark has operators for: first sightings, windows, enrichment."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..rules import lexicon as L
-from ..session import exists, step_path
+from ..session import step_path
+from . import replay
 
 
 def first_seen(stream: DataFrame, key: str, ts: str = "ts", delay: str = "90 minutes") -> DataFrame:
-    """Only the first sighting of a key passes within the watermark."""
+    """Only the first sighting of a key passes within the watermark; ``store.first_seen`` remembers keys for good."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def cycle_windows(stream: DataFrame, ts: str = "ts", length: str = "1 hour", delay: str = "90 minutes") -> DataFrame:
-    """Tumbling totals per cycle: runs, failures, items."""
+    """Tumbling totals per cycle, each told once, when the watermark has closed it: runs, failures, items."""
     return stream.withWatermark(ts, delay).groupBy(F.window(ts, length)).agg(
         F.count(F.lit(1)).alias("runs"), F.count_if(~F.col("ok")).alias("failed"), F.sum("items").alias("items"))
 
@@ -31,142 +26,16 @@ def coverage_windows(stream: DataFrame, ts: str = "ts", delay: str = "90 minutes
     return stream.withWatermark(ts, delay).groupBy(F.window(ts, look, every)).agg(F.count(F.lit(1)).alias("items"))
 
 
-def arrival_class(ts: str, arrived: str):
-    """future (rejected), clamped, fresh, late (beyond the look-back) or expired (beyond the age limit)."""
-    ahead = F.unix_seconds(ts) - F.unix_seconds(arrived)
-    return (
-        F.when(ahead > 90 * 60, "future").when(ahead > 0, "clamped")
-        .when(-ahead > L.MAX_AGE_DAYS * 86400, "expired").when(-ahead > L.LOOKBACK_MINUTES * 60, "late")
-        .otherwise("fresh"))
-
-
 def enrich(stream: DataFrame, static: DataFrame, on: str, how: str = "left") -> DataFrame:
     """Stream-static join; the static side is read again for every micro-batch."""
     return stream.join(static, on, how)
 
 
-ENTRY_OUT = "key string, at timestamp, state string, missing_count int, sightings long"
-ENTRY_STATE = "last double, sightings long, state string"
-
-
-def _stamp(seconds: float) -> pd.Timestamp:
-    return pd.Timestamp(round(seconds * 1e6), unit="us")
-
-
-def _entry(key, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    limit = L.CADENCE_MINUTES * L.MISSING_AFTER * 60
-    last, n, mode = state.get if state.exists else (None, 0, "NEW")
-    out = []
-    if state.hasTimedOut:
-        mode = "MISSING"
-        out.append((key[0], _stamp(last + limit), mode, L.MISSING_AFTER, n))
-        state.update((last, n, mode))
-    else:
-        # Order holds over all chunks of the trigger, however Arrow cuts them; eight bytes per sighting are held.
-        times = np.concatenate([frame["ts"].to_numpy("datetime64[us]").astype(np.int64) for frame in frames])
-        for t in (np.sort(times) / 1e6).tolist():
-            if last is not None and t - last > limit and mode == "PRESENT":
-                out.append((key[0], _stamp(last + limit), "MISSING", L.MISSING_AFTER, n))
-                mode = "MISSING"
-            n += 1
-            if mode != "PRESENT":
-                mode = "PRESENT"
-                out.append((key[0], _stamp(t), mode, 0, n))
-            last = t if last is None else max(last, t)
-        state.update((last, n, mode))
-        due = int((last + limit) * 1000)
-        # A due time already behind the watermark closes at the next trigger.
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=["key", "at", "state", "missing_count", "sightings"])
-
-
-def entry_states(stream: DataFrame, key: str, ts: str = "ts", delay: str = "90 minutes") -> DataFrame:
-    """Transitions of every entry: PRESENT on sight, MISSING after six silent cadences. Nothing is deleted."""
-    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts")).withWatermark("ts", delay)
-    return rows.groupBy("key").applyInPandasWithState(
-        _entry, ENTRY_OUT, ENTRY_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-HEALTH_OUT = "source string, run_id long, started_at timestamp, streak int, status string, avg_items double"
-HEALTH_STATE = "streak int, recent array<double>"
-
-
-def _health(key, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    streak, recent = state.get if state.exists else (0, [])
-    recent = list(recent)
-    pdf = pd.concat(list(frames)).sort_values(["started_at", "run_id"])
-    streaks, means = [], []
-    for ok, items in zip(pdf["ok"], pdf["items"]):
-        streak = 0 if ok else streak + 1
-        recent = (recent + [float(items)])[-L.TRAILING_RUNS:]
-        streaks.append(streak)
-        means.append(sum(recent) / len(recent))
-    state.update((streak, recent))
-    status = ["FAILING" if s >= L.FAILING_AFTER else "DEGRADED" if s else "OK" for s in streaks]
-    yield pd.DataFrame({"source": key[0], "run_id": pdf["run_id"].values, "started_at": pdf["started_at"].values,
-                        "streak": streaks, "status": status, "avg_items": means})
-
-
-def source_health(stream: DataFrame) -> DataFrame:
-    """Streak, status and trailing mean at every run, kept per source across micro-batches."""
-    return stream.withColumn("source", F.col("source").cast("string")).groupBy("source").applyInPandasWithState(
-        _health, HEALTH_OUT, HEALTH_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-ALERT_OUT = "source string, at timestamp, kind string, streak int"
-ALERT_STATE = "streak int, last_alert double, open boolean"
-
-
-def _alerts(key, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    streak, last_alert, is_open = state.get if state.exists else (0, -1e18, False)
-    out = []
-    pdf = pd.concat(list(frames)).sort_values(["started_at", "run_id"])
-    for ok, at in zip(pdf["ok"], pdf["started_at"]):
-        t = at.timestamp()
-        streak = 0 if ok else streak + 1
-        if streak >= L.FAILING_AFTER and t - last_alert > L.ALERT_SILENCE_HOURS * 3600:
-            out.append((key[0], at, "FUENTE-CAIDA", streak))
-            last_alert, is_open = t, True
-        elif ok and is_open:
-            out.append((key[0], at, "FUENTE-RECUPERADA", 0))
-            is_open = False
-    state.update((streak, last_alert, is_open))
-    yield pd.DataFrame(out, columns=["source", "at", "kind", "streak"])
-
-
-def source_alerts(stream: DataFrame) -> DataFrame:
-    """One down alert per source and silence period, one recovery that closes it."""
-    return stream.withColumn("source", F.col("source").cast("string")).groupBy("source").applyInPandasWithState(
-        _alerts, ALERT_OUT, ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def idempotent_writer(path: str, keys: list[str]):
-    """foreachBatch function: every key lands once, and a replayed batch replaces itself.
-
-    Batch numbers begin anew with a new checkpoint, so each writer has a folder of its own; what any other
-    batch has stored is left alone and its keys are not stored again.
-    """
-    writer = uuid.uuid4().hex
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
-        if exists(spark, path):
-            stored = spark.read.schema(fresh.schema.add("writer", "string").add("batch", "long")).parquet(path)
-            others = stored.filter((F.col("writer") != writer) | (F.col("batch") != batch_id))
-            fresh = fresh.join(others.select(*keys), keys, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/writer={writer}/batch={batch_id}")
-    return write
-
-
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Drain what the source holds into the shared folder and read the result."""
     spark: SparkSession = stream.sparkSession
     base = step_path(spark, name)
-    query = (
-        stream.writeStream.format("parquet").outputMode(mode).option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
-    query.awaitTermination()
+    replay.drain(replay.to_files(stream, base), spark)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -174,17 +43,3 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema, max_files:
     """Rate-limited stream over one table's files."""
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
             .option("pathGlobFilter", f"{name}*.parquet").parquet(folder))
-
-
-def run_complete(stream: DataFrame, name: str) -> DataFrame:
-    """Drain an aggregation and keep its final state: every batch replaces the stored result."""
-    spark: SparkSession = stream.sparkSession
-    base = step_path(spark, name)
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
-
-    query = (stream.writeStream.outputMode("complete").foreachBatch(store)
-             .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
