@@ -6,7 +6,8 @@ import functools
 import unicodedata
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
@@ -116,30 +117,55 @@ def _fnv_spans(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
 _FLIPPED = np.array([1 ^ (ord(str(b)[0]) & 1) ^ (ord(str(b)[1]) & 1) for b in range(32, 64)], dtype=bool)
 
 
-def _simhash_one(tokens) -> str:
-    n = 0 if tokens is None else len(tokens)
-    if n == 0:
-        return "0" * 16
-    codes = np.frombuffer("_".join(tokens).encode("utf-16-le"), dtype=np.uint16).astype(np.uint64)
-    sizes = np.array([len(t.encode("utf-16-le")) // 2 for t in tokens])
-    begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+#: Shingles that are hashed together; a longer text is voted on slice by slice.
+SHINGLES = 1 << 18
+
+
+def _token_units(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens joined by "_" as UTF-16 units, and the units of each token."""
+    codes = np.frombuffer("_".join(tokens.to_pylist()).encode("utf-16-le"), np.uint16).astype(np.uint64)
+    sizes = pc.utf8_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    if sizes.sum() + max(len(tokens) - 1, 0) != len(codes):  # characters of two units
+        sizes = np.array([len(t.encode("utf-16-le")) // 2 for t in tokens.to_pylist()], np.int64)
+    return codes, sizes
+
+
+def _simhashes(tokens: pa.ListArray, most: int) -> list[str]:
+    """SimHash of every token list of a batch: shingles of all lists are hashed and voted on in slices of ``most``."""
+    tokens = tokens.cast(pa.list_(pa.string()))
+    bounds = np.asarray(tokens.offsets) - tokens.offsets[0].as_py()
+    n = np.diff(bounds)
+    codes, sizes = _token_units(tokens.flatten())
+    begin = np.cumsum(sizes + 1) - sizes - 1
     end = begin + sizes
-    if n == 1:
-        starts, lengths = begin, sizes
-    else:
-        starts = np.concatenate((begin[: n - 1], begin[: max(0, n - 2)]))
-        lengths = np.concatenate((end[1:], end[2:])) - starts
-    h = _fnv_spans(codes, starts, lengths)
-    ones = ((h[:, None] >> np.arange(32, dtype=np.uint64)) & np.uint64(1)).sum(axis=0).astype(np.int64)
-    votes = 2 * ones - len(h)
-    votes = np.concatenate((votes, np.where(_FLIPPED, -votes[0], votes[0])))
-    return f"{int(''.join('1' if v > 0 else '0' for v in votes), 2):016x}"
-
-
-@F.pandas_udf(StringType())
-def simhash_tokens(tokens: pd.Series) -> pd.Series:
-    """SimHash-64 of a token array: 2- and 3-token shingles, hex digits, first bit leading."""
-    return tokens.map(_simhash_one)
+    row = np.repeat(np.arange(len(n)), n)
+    place, left = np.arange(len(row)) - bounds[row], n[row] - 1 - (np.arange(len(row)) - bounds[row])
+    ones, count = np.zeros((len(n), 32), np.int64), np.zeros(len(n), np.int64)
+    # A shingle starts at each token and ends one or two tokens on; a single token is one by itself.
+    for step, some in ((0, (left == 0) & (place == 0)), (1, left >= 1), (2, left >= 2)):
+        at = np.flatnonzero(some)
+        for lo in range(0, len(at), most):
+            part = at[lo:lo + most]
+            h = _fnv_spans(codes, begin[part], end[part + step] - begin[part])
+            own = row[part]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            for b in range(32):
+                ones[own[first], b] += np.add.reduceat((h >> np.uint64(b) & np.uint64(1)).astype(np.int64), first)
+            count[own[first]] += np.diff(np.append(first, len(own)))
+    votes = 2 * ones - count[:, None]
+    votes = np.concatenate((votes, np.where(_FLIPPED, -votes[:, :1], votes[:, :1])), axis=1)
+    return [x.hex() for x in np.packbits(votes > 0, axis=1).reshape(len(n), 8).view("V8").ravel().tolist()] if len(n) else []
+
+
+def simhash_tokens(tokens) -> Column:
+    """SimHash-64 of a token array: 2- and 3-token shingles, hex digits, first bit leading; null like no tokens."""
+    most = SHINGLES
+
+    @F.arrow_udf(StringType())
+    def hashed(tokens: pa.Array) -> pa.Array:
+        return pa.array(_simhashes(tokens, most), pa.string())
+
+    return hashed(F.coalesce(col(tokens), F.array().cast("array<string>")))
 
 
 def simhash(c) -> Column:

@@ -19,9 +19,13 @@ from .similarity import instances, similar_pairs, time_bucket
 MICROS = 3_600_000_000
 
 
+SIGNATURES = ("title_tokens", "content_hash", "simhash", "url_key", "embedding")
+
+
 def prepare(df: DataFrame, id_col: str, title: Column, body: Column, ts: Column,
-            url: Column | None = None, embedding: Column | None = None, first_tokens: int | None = None) -> DataFrame:
-    """Compute every signature once and store it: several levels read the result.
+            url: Column | None = None, embedding: Column | None = None, first_tokens: int | None = None,
+            only: tuple[str, ...] = SIGNATURES) -> DataFrame:
+    """Compute every signature once and store it: several levels read the result. ``only`` names those that are asked for.
 
     The content hash covers all tokens of a text, or the ``first_tokens``.
     """
@@ -32,12 +36,10 @@ def prepare(df: DataFrame, id_col: str, title: Column, body: Column, ts: Column,
     tokens = staged.withColumn("title_tokens", T.tokenize("_title")).withColumn(
         "_tokens", T.tokenize(F.concat_ws(" ", "_title", "_body")))
     from ..functions.urls import normalize_url
-    return materialize(tokens.select(
-        "id", "ts", "title_tokens",
-        # Distinct tokens of "title title body" equal those of "title body".
-        T.hash_tokens("_tokens", first_tokens).alias("content_hash"),
-        T.simhash_tokens("_tokens").alias("simhash"),
-        normalize_url("_url").alias("url_key"), "embedding"), "signatures")
+    # Distinct tokens of "title title body" equal those of "title body".
+    made = {"title_tokens": F.col("title_tokens"), "content_hash": T.hash_tokens("_tokens", first_tokens), "simhash": T.simhash_tokens("_tokens"),
+            "url_key": normalize_url("_url"), "embedding": F.col("embedding")}
+    return materialize(tokens.select("id", "ts", *[made[n].alias(n) for n in SIGNATURES if n in only]), "signatures")
 
 
 # --- levels 1 and 2: equal keys ----------------------------------------------------------

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import load
+from ..session import load, shuffle_width
 
 # Catalog of incidents: orders with their customer and nation.
 ACCIDENTS = """
@@ -37,8 +37,8 @@ SELECT o.o_orderkey AS id,
   CAST(floor(o.o_totalprice / 240000) AS INT) AS fatalities,
   CASE WHEN c.c_acctbal < -500 THEN o.o_custkey END AS duplicate_of_id,
   o.o_totalprice > 400000 AS is_featured,
-  28.85 + (o.o_custkey % 400) / 1000.0 AS lat,
-  CASE WHEN o.o_totalprice > 50000 THEN -13.85 + (o.o_orderkey % 400) / 1000.0 END AS lon,
+  round(CAST(28.85 + (o.o_custkey % 400) / 1000.0 AS DOUBLE), 6) AS lat,
+  CASE WHEN o.o_totalprice > 50000 THEN round(CAST(-13.85 + (o.o_orderkey % 400) / 1000.0 AS DOUBLE), 6) END AS lon,
   CAST(o.o_totalprice / 500000 AS DOUBLE) AS confidence_score,
   CAST(c.c_acctbal / 10000 AS DOUBLE) AS source_score
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey
@@ -104,6 +104,14 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows dealt round-robin over ``partitions``, the shuffle partitions of the session if not given.
+
+    For work that is heavy per row, on narrow inputs: a file that Spark cannot split would keep it in one task.
+    """
+    return df.repartition(partitions or shuffle_width(df.sparkSession))
+
+
 def with_views(body: str, *names: str) -> str:
     """Oracle text: the views as common table expressions, then the query."""
     ctes = [f"{n} AS ({VIEWS[n].format(**{t: t for t in _TABLES})})" for n in names]

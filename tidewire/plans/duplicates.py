@@ -11,16 +11,16 @@ from ..functions import text as T
 from ..rules import lexicon as L
 from ..session import load, materialize
 from . import sqltext as Q
-from .bindings import view, with_views
+from .bindings import spread, view, with_views
 from .registry import query
 
 
-def signed(s, d, embeddings=False):
-    a = view(s, d, "articles")
+def signed(s, d, embeddings=False, only=D.SIGNATURES):
+    a = spread(view(s, d, "articles").select("id", "title", "body", "ts", "url"))
     if embeddings:
         a = a.join(load(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
     return D.prepare(a, "id", F.col("title"), F.col("body"), F.col("ts"), F.col("url"),
-                     F.col("embedding") if embeddings else None)
+                     F.col("embedding") if embeddings else None, only=only)
 
 
 from .text_columns import _sql_url  # noqa: E402  (the same URL twin)
@@ -56,12 +56,12 @@ def _key_oracle(cond):
 
 @query("d1_same_url", _key_oracle("su"))
 def d1(s, d):
-    return D.same_key(signed(s, d), "url_key", "url", 1.0).select("id", "candidate")
+    return D.same_key(signed(s, d, only=("url_key",)), "url_key", "url", 1.0).select("id", "candidate")
 
 
 @query("d2_same_content", _key_oracle("sc"))
 def d2(s, d):
-    return D.same_key(signed(s, d), "content_hash", "contenido", 0.99).select("id", "candidate")
+    return D.same_key(signed(s, d, only=("content_hash",)), "content_hash", "contenido", 0.99).select("id", "candidate")
 
 
 @query("d3_near_duplicates", A(f"""WITH {SIG}, {_pairs(L.WINDOW_HOURS)}, q AS (SELECT *, {_SCORE} AS sc2, row_number() OVER (PARTITION BY id

@@ -10,7 +10,7 @@ from ..functions.wordlist import digest
 from ..rules.places import MUNICIPALITIES, ZONES
 from ..session import load
 from . import sqltext as Q
-from .bindings import sql_list, view, with_views
+from .bindings import spread, sql_list, view, with_views
 from .catalog_reports import acc, sql_stamp, stamp
 from .registry import query
 
@@ -80,7 +80,7 @@ def W(select):
 
 
 def facts(s, d):
-    return X.with_facts(view(s, d, "wire"), "title", "body")
+    return X.with_facts(spread(view(s, d, "wire")), "title", "body")
 
 
 @query("x1_injuries", W("SELECT id, injuries FROM f"))
@@ -166,7 +166,7 @@ _IN_SCOPE = f"({_LOCAL_HIT} IS NOT NULL OR regexp_matches(c, {Q.lit(L.LOCAL_ROAD
 
 @query("x12_scope_gate", W(f"SELECT id, {_IN_SCOPE} AS local, {_SCOPE} AS reason FROM n"))
 def x12(s, d):
-    w = view(s, d, "wire").select("id", F.concat_ws(" ", T.norm("title"), T.norm("body")).alias("c"))
+    w = spread(view(s, d, "wire")).select("id", F.concat_ws(" ", T.norm("title"), T.norm("body")).alias("c"))
     return w.withColumn("h", digest("c")).withColumn("g", X.scope_gate("c", "h")).select("id", "g.local", "g.reason")
 
 
@@ -190,7 +190,7 @@ GATE = f"g AS (SELECT *, {_EV} AS ev, {_FI} AS fi, {_VE} AS ve FROM n)"
     array_to_string(CASE WHEN len(ev) > 0 AND len(ve) > 0 THEN ev WHEN len(fi) > 0 AND len(ve) > 0 THEN list_concat(ev, fi)
     WHEN len(ev) = 0 AND len(fi) > 0 THEN fi ELSE ev END, ',') AS events, array_to_string(ve, ',') AS vehicles FROM g""", "wire"))
 def x13(s, d):
-    w = view(s, d, "wire").select("id", F.concat_ws(" ", T.norm("title"), T.norm("body")).alias("c"))
+    w = spread(view(s, d, "wire")).select("id", F.concat_ws(" ", T.norm("title"), T.norm("body")).alias("c"))
     return w.withColumn("h", digest("c")).withColumn("g", X.traffic_gate("c", "h")).select(
         "id", "g.accident", F.array_join("g.events", ",").alias("events"), F.array_join("g.vehicles", ",").alias("vehicles"))
 
@@ -202,7 +202,7 @@ _RESOLVED = f"""r0 AS (SELECT id, cat0, t || ' ' || {Q.norm("title || ' ' || sum
 @query("x14_resolved_category", with_views(f"""WITH {NORMED}, {_RESOLVED} SELECT id, coalesce({_cat('c')},
     CASE WHEN (len(ev) > 0 OR len(fi) > 0) AND len(ve) > 0 THEN 'ACCIDENTE_TRAFICO' END, 'OTRO') AS category FROM r2""", "wire"))
 def x14(s, d):
-    w = view(s, d, "wire")
+    w = spread(view(s, d, "wire"))
     return X.with_resolved_category(w, F.lit(None).cast("string"), "title", "summary", "body").select("id", "category")
 
 
@@ -226,7 +226,7 @@ def x16(s, d):
     SELECT id, arg_min(term, rank) AS term, arg_min(municipality, rank) AS municipality FROM n JOIN k ON contains(pc, ' ' || term || ' ') GROUP BY 1""", "wire"))
 def j9(s, d):
     """Theta join as an equi join: word 1- to 4-grams of the text meet the term table."""
-    w = view(s, d, "wire").select("id", T.words(F.concat_ws(" ", T.norm("title"), T.norm("body"))).alias("w"))
+    w = spread(view(s, d, "wire")).select("id", T.words(F.concat_ws(" ", T.norm("title"), T.norm("body"))).alias("w"))
     grams = F.flatten(F.array(*[T.ngrams("w", n) for n in (1, 2, 3, 4)]))
     terms = s.createDataFrame([(i, t[0], t[1]) for i, t in enumerate(X.place_terms())], "rank int, term string, municipality string")
     hits = w.select("id", F.explode(F.array_distinct(grams)).alias("term")).join(F.broadcast(terms), "term")

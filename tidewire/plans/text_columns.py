@@ -8,7 +8,7 @@ from ..functions import text as T, urls as U
 from ..rules import lexicon as L
 from ..session import load
 from . import sqltext as Q
-from .bindings import sql_list, view, with_views
+from .bindings import spread, sql_list, view, with_views
 from .registry import query
 
 
@@ -16,6 +16,11 @@ def arts(s, d):
     return view(s, d, "articles")
 
 
+def texts(s, d):
+    """Articles without what text columns do not read, dealt over all tasks."""
+    return spread(arts(s, d).select("id", "title", "body"))
+
+
 def docs(s, d):
     return load(s, d, "documents")
 
@@ -63,7 +68,7 @@ def t5(s, d):
     SELECT a.id, sha256(coalesce(string_agg(t, ' ' ORDER BY r), '')) AS content_hash FROM articles a
     LEFT JOIN k ON k.id = a.id GROUP BY a.id"""))
 def t6(s, d):
-    return arts(s, d).select("id", T.content_hash("title", "body").alias("content_hash"))
+    return texts(s, d).select("id", T.content_hash("title", "body").alias("content_hash"))
 
 
 @query("t6_content_hash_first", AR(f"""WITH {TOK_BODY}, k AS (SELECT id, t, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM tb)
@@ -82,22 +87,27 @@ def t7(s, d):
 @query("t8_simhash", AR(f"""WITH {TOK_BODY}, {Q.simhash('sh', 'tb')}
     SELECT a.id, coalesce(sh.simhash, '0000000000000000') AS simhash FROM articles a LEFT JOIN sh ON sh.id = a.id"""))
 def t8(s, d):
-    return arts(s, d).select("id", T.simhash(F.concat_ws(" ", "title", "body")).alias("simhash"))
+    return texts(s, d).select("id", T.simhash(F.concat_ws(" ", "title", "body")).alias("simhash"))
+
+
+_TWO = f"""{TOK_TITLE}, {Q.tokens("ty", "articles", "body")}, {Q.simhash("st", "tt")}, {Q.simhash("sy", "ty")},
+  two AS (SELECT a.id, coalesce(st.simhash, '0000000000000000') AS x, coalesce(sy.simhash, '0000000000000000') AS y
+    FROM articles a LEFT JOIN st ON st.id = a.id LEFT JOIN sy ON sy.id = a.id)"""
 
 
-_HEX = "left(sha256({0}), 16)"
+def _two(s, d):
+    """SimHash of the title and of the body."""
+    return texts(s, d).select("id", T.simhash("title").alias("x"), T.simhash("body").alias("y"))
 
 
-@query("t9_hamming", f"""SELECT doc_id, CAST({Q.hamming(_HEX.format('text'), _HEX.format('source'))} AS INT) AS distance FROM documents""")
+@query("t9_hamming", AR(f"""WITH {_TWO} SELECT id, CAST({Q.hamming('x', 'y')} AS INT) AS distance FROM two"""))
 def t9(s, d):
-    h = lambda c: F.substring(F.sha2(c, 256), 1, 16)
-    return docs(s, d).select("doc_id", T.hamming(h("text"), h("source")).alias("distance"))
+    return _two(s, d).select("id", T.hamming("x", "y").alias("distance"))
 
 
-@query("t10_simhash_similarity", f"""SELECT doc_id, round(1 - {Q.hamming(_HEX.format('text'), _HEX.format('lang'))} / 64.0, 6) AS similarity FROM documents""")
+@query("t10_simhash_similarity", AR(f"""WITH {_TWO} SELECT id, round(1 - {Q.hamming('x', 'y')} / 64.0, 6) AS similarity FROM two"""))
 def t10(s, d):
-    h = lambda c: F.substring(F.sha2(c, 256), 1, 16)
-    return docs(s, d).select("doc_id", F.round(T.simhash_similarity(h("text"), h("lang")), 6).alias("similarity"))
+    return _two(s, d).select("id", F.round(T.simhash_similarity("x", "y"), 6).alias("similarity"))
 
 
 @query("t11_jaccard_title_body", AR(f"""WITH {TOK_TITLE}, {Q.tokens('bb', 'articles', 'body')},
@@ -199,7 +209,7 @@ _HIT_LISTS = ", ".join(f"{h} AS h{i}" for i, (_, h) in enumerate(_HITS))
 
 @query("t23_pii_redaction", f"""SELECT doc_id, sha256({_CLEAN}) AS clean, {' + '.join(f'len({h})' for _, h in _HITS)} AS findings FROM documents""")
 def t23(s, d):
-    r = docs(s, d).select("doc_id", T.redact_pii("text").alias("r"))
+    r = spread(docs(s, d).select("doc_id", "text")).select("doc_id", T.redact_pii("text").alias("r"))
     return r.select("doc_id", T.sha256("r.clean").alias("clean"), F.size("r.findings").alias("findings"))
 
 
@@ -229,8 +239,8 @@ def t24(s, d):
     # The originals shrink to (gram, item, count).
     orig = grams(load(s, d, "benchmark"), "item_id").groupBy("item_id", "g").agg(F.count(F.lit(1)).alias("n"))
     total = orig.groupBy("item_id").agg(F.sum("n").alias("total"))
-    texts = grams(docs(s, d), "doc_id", distinct=True)
-    hit = texts.join(orig, "g").groupBy("doc_id", "item_id").agg(F.sum("n").alias("shared"))
+    own = grams(spread(docs(s, d).select("doc_id", "text")), "doc_id", distinct=True)
+    hit = own.join(orig, "g").groupBy("doc_id", "item_id").agg(F.sum("n").alias("shared"))
     share = F.col("shared") / F.col("total")
     return hit.join(total, "item_id").filter(share > L.MAX_OVERLAP).select("doc_id", "item_id", F.round(share, 6).alias("overlap"))
 

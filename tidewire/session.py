@@ -23,6 +23,7 @@ DEFAULTS = {
 }
 
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
 
 
 def get_session(cores: str | None = None, app: str = "tidewire") -> SparkSession:
@@ -60,16 +61,17 @@ def ship(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of its own.
+    Only a local master, where the driver is the one executor, may go without: it gets a folder for the application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="tidewire-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="tidewire-")
+    return _local[app]
 
 
 def _steps(spark: SparkSession) -> str:
