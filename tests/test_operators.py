@@ -249,3 +249,18 @@ def test_nested_page_body():
             f"<p>{para}<p>{para}<b>fin</b></p></div></div><p>corto</p></body>")
     body, method = densest_body(html)
     assert method == "dom" and body.count("Una frase") == 6 and "fin" in body
+
+
+def test_one_title_on_many_rows(spark):
+    """A title that stands on every row, all bodies different: the nearest earlier code inside the window, checked on some rows."""
+    n, hours = 20_000, 72
+    rows = spark.range(n).select(
+        "id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 17).alias("ts"), F.array(*[F.lit(f"palabra{i}") for i in range(6)]).alias("title_tokens"),
+        F.sha2(F.col("id").cast("string"), 256).alias("content_hash"), F.substring(F.md5((F.col("id") % 19_000).cast("string")), 1, 16).alias("simhash"),
+        F.lit(None).cast("string").alias("url_key"))
+    got = {r.id: (r.candidate, round(r.similarity, 9)) for r in D.near_duplicates(rows, hours).collect()}
+    codes = {r.id: int(r.simhash, 16) for r in rows.select("id", "simhash").collect()}
+    assert len(got) == n - 1
+    for i in [1, 2, 777, 5_000, 15_001, 19_000, 19_500, n - 1]:
+        near = min(((bin(codes[i] ^ codes[j]).count("1"), -j) for j in range(max(0, i - hours * 3600 // 17), i)))
+        assert got[i] == (-near[1], round((1 - near[0] / 64) * 0.6 + 0.4, 9))

@@ -1,7 +1,8 @@
-"""Block-wise comparison of groups: numpy compares two bounded blocks at a time.
+"""Comparison of groups of rows, block by block.
 
-Groups of any size are cut into blocks of about ``BLOCK`` rows, so no task ever holds a whole
-group, and a block pair returns at most one row per member, never the pairs themselves.
+Groups of any size are cut into blocks of ``BLOCK`` rows. Every pair of blocks that has to meet is a key of its own: the rows travel
+packed, come sorted by it, and a task holds two blocks at a time. What a pair of blocks returns is at most one row per member,
+never the pairs.
 """
 
 from __future__ import annotations
@@ -9,99 +10,138 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-BLOCK = 1024
+BLOCK = 2048
+#: Pairs of rows that are looked at together: few enough for the cache.
+CELLS = 1 << 18
+_KEY = ["_ga", "_gb", "_ba", "_bb"]
 
 
-def cut(df: DataFrame, group: str, id_col: str, payload: list[str], block: int = BLOCK) -> DataFrame:
-    """One row per (group, block) holding its members as an array of structs."""
-    sizes = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb"))
-    placed = df.join(sizes, group).withColumn("_blk", F.pmod(F.xxhash64(id_col), F.col("_nb")))
-    return placed.groupBy(group, "_blk").agg(F.collect_list(F.struct(id_col, *payload)).alias("_rows"))
+class Side:
+    """The rows of one block, in the order of time and id."""
 
+    def __init__(self, table: pa.Table):
+        self.table = table
 
-def pair_up(blocks: DataFrame, group: str, pairs: DataFrame, extra: list[str]) -> DataFrame:
-    """Block pairs of every group pair. ``pairs``: group_a <= group_b plus extra columns."""
-    a = blocks.select(F.col(group).alias("group_a"), F.col("_blk").alias("_ba"), F.col("_rows").alias("_ra"))
-    b = blocks.select(F.col(group).alias("group_b"), F.col("_blk").alias("_bb"), F.col("_rows").alias("_rb"))
-    joined = pairs.join(a, "group_a").join(b, "group_b")
-    same = F.col("group_a") == F.col("group_b")
-    return joined.filter(~same | (F.col("_ba") <= F.col("_bb"))).select(
-        (same & (F.col("_ba") == F.col("_bb"))).alias("_self"), "_ra", "_rb", *extra)
+    def __len__(self) -> int:
+        return len(self.table)
 
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.table.column(name).to_numpy()
 
-def compare(block_pairs: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """Apply ``fn(rows_a, rows_b, is_self, record) -> dict of arrays`` to every block pair."""
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
-    # Few block pairs per Arrow batch would be ideal; rows are regrouped by Spark's batch size.
-    def run(batches):
-        for batch in batches:
-            for rec in batch.to_dict("records"):
-                out = fn(rec["_ra"], rec["_rb"], rec["_self"], rec)
-                if out is not None and len(out[names[0]]):
-                    yield pd.DataFrame({n: out[n] for n in names})
+    def rows(self, name: str) -> pa.Array:
+        column = self.table.column(name).combine_chunks()
+        return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
 
-    return block_pairs.mapInPandas(run, schema)
+    def matrix(self, name: str) -> np.ndarray:
+        """A list column whose lists are all of one length."""
+        return self.rows(name).flatten().to_numpy(zero_copy_only=False).reshape(len(self), -1).astype(np.float64)
 
 
-def column(rows, name: str, dtype) -> np.ndarray:
-    return np.array([r[name] for r in rows], dtype=dtype)
+def meet(rows: DataFrame, group: str, pairs: DataFrame, judge: Callable, schema: str, block: int = BLOCK) -> DataFrame:
+    """``judge(a, b, record)`` over every pair of blocks of every pair of groups; ``b`` is None where a block meets itself.
 
+    ``rows``: group, t, id and what the judge reads. ``pairs``: group_a <= group_b and extra columns, which become the record.
+    """
+    extra = [c for c in pairs.columns if c not in ("group_a", "group_b")]
+    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    placed = rows.join(sizes, group).withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    size = {x: sizes.select(F.col(group).alias(f"group_{x}"), F.col("_n").alias(f"_n{x}")) for x in "ab"}
+    wide = pairs.join(size["a"], "group_a").join(size["b"], "group_b")
+    same = F.col("_ga") == F.col("_gb")
+
+    def side(mine: str, other: str, number: int) -> DataFrame:
+        names = [c for c in rows.columns if c != group]
+        own = wide.select(F.col(f"group_{mine}").alias(group), F.col("group_a").alias("_ga"), F.col("group_b").alias("_gb"), F.col(f"_n{other}").alias("_m"), *extra)
+        met = placed.join(own, group).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+        # A group that meets itself: each pair of blocks once, and a block itself from one side.
+        met = met.filter(~same | ((F.col("_blk") <= F.col("_other")) if mine == "a" else (F.col("_other") < F.col("_blk"))))
+        ba, bb = ("_blk", "_other") if mine == "a" else ("_other", "_blk")
+        return met.select("_ga", "_gb", F.col(ba).alias("_ba"), F.col(bb).alias("_bb"), F.lit(number).alias("_side"), *names, *extra)
+
+    both = side("a", "b", 0).unionByName(side("b", "a", 1))
+    out = to_arrow_schema(StructType.fromDDL(schema))
 
-def best_per_row(score: np.ndarray, ids_a, ids_b, ts_a, ts_b, allowed: np.ndarray, both: bool):
-    """Best earlier partner of every row on side A and, when ``both``, on side B.
+    def run(batches):
+        held, now, done, n = [], None, [], 0
 
-    Highest score first, then the newest partner, then the largest id. A partner must come
-    before its row in (time, id) order.
-    """
-    out = {"id": [], "partner": [], "score": []}
-
-    def one_side(s, ok, i_probe, t_probe, i_cand, t_cand):
-        earlier = (t_cand[None, :] < t_probe[:, None]) | (
-            (t_cand[None, :] == t_probe[:, None]) & (i_cand[None, :] < i_probe[:, None]))
-        ok = ok & earlier
-        rank = np.lexsort((i_cand, t_cand))
-        s = np.where(ok, s, -1.0)[:, rank][:, ::-1]
-        pick = s.argmax(axis=1)
-        top = s[np.arange(len(s)), pick]
-        hit = top >= 0
-        out["id"].append(i_probe[hit])
-        out["partner"].append(i_cand[rank[::-1]][pick[hit]])
-        out["score"].append(top[hit])
-
-    one_side(score, allowed, ids_a, ts_a, ids_b, ts_b)
-    if both:
-        one_side(score.T, allowed.T, ids_b, ts_b, ids_a, ts_a)
-    return {k: np.concatenate(v) for k, v in out.items()}
+        def judged():
+            table = pa.Table.from_batches(held)
+            first = np.searchsorted(table.column("_side").to_numpy(), 1)
+            a, b = Side(table.slice(0, first)), Side(table.slice(first))
+            itself = now[0] == now[1] and now[2] == now[3]
+            if itself or (len(a) and len(b)):
+                record = {c: table.column(c)[0].as_py() for c in extra}
+                return judge(a, None if itself else b, record)
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in _KEY], axis=1)
+            edges = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
+            for lo, hi in zip([0, *edges], [*edges, len(keys)]):
+                if lo == hi:
+                    continue
+                key = tuple(keys[lo].tolist())
+                if held and key != now:
+                    result = judged()
+                    if result is not None and len(result[out.names[0]]):
+                        done.append(pa.RecordBatch.from_arrays([pa.array(result[f.name], f.type) for f in out], schema=out))
+                        n += len(done[-1])
+                    held = []
+                    if n > 10_000:
+                        yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+                        done, n = [], 0
+                now = key
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            result = judged()
+            if result is not None and len(result[out.names[0]]):
+                done.append(pa.RecordBatch.from_arrays([pa.array(result[f.name], f.type) for f in out], schema=out))
+        if done:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+
+    return both.repartition(*_KEY).sortWithinPartitions(*_KEY, "_side", "t", "id").mapInArrow(run, schema)
+
+
+def earlier(probe: Side, other: Side | None) -> tuple[Side, np.ndarray]:
+    """The candidates of a side, and for each of its rows how many of them come before it in (time, id)."""
+    if other is None:
+        return probe, np.arange(len(probe))
+    t, i = np.concatenate([other["t"], probe["t"]]), np.concatenate([other["id"], probe["id"]])
+    rank = np.empty(len(t), np.int64)
+    rank[np.lexsort((i, t))] = np.arange(len(t))
+    return other, np.searchsorted(rank[:len(other)], rank[len(other):])
+
+
+def slices(n: int, width: int):
+    """Ranges of rows whose comparison with ``width`` others stays within ``CELLS``."""
+    step = max(1, CELLS // max(width, 1))
+    for lo in range(0, n, step):
+        yield slice(lo, min(n, lo + step))
 
 
 def local_roots(adjacent: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray):
     """Connected components of one block pair as (node, smallest id) rows: a spanning star."""
-    n = len(ids_a)
-    ids = np.concatenate((ids_a, ids_b))
-    label = ids.copy()
-    ra, rb = np.nonzero(adjacent)
+    return roots_of(*np.nonzero(adjacent), ids_a, ids_b)
+
+
+def roots_of(ra: np.ndarray, rb: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray):
+    """As ``local_roots``, from the places of the links."""
     if len(ra) == 0:
         return None
-    rb = rb + n
-    same = {}
-    for pos, i in enumerate(ids):  # a self pair lists every member on both sides
-        same.setdefault(int(i), []).append(pos)
-    twin_a = np.array([p[0] for p in same.values() if len(p) == 2], dtype=int)
-    twin_b = np.array([p[1] for p in same.values() if len(p) == 2], dtype=int)
-    src = np.concatenate((ra, rb, twin_a, twin_b))
-    dst = np.concatenate((rb, ra, twin_b, twin_a))
+    ids, at = np.unique(np.concatenate([ids_a, ids_b]), return_inverse=True)
+    src, dst = at[ra], at[len(ids_a) + rb]
+    label = np.arange(len(ids))
     while True:
         nxt = label.copy()
+        np.minimum.at(nxt, src, label[dst])
         np.minimum.at(nxt, dst, label[src])
+        nxt = nxt[nxt]
         if np.array_equal(nxt, label):
             break
         label = nxt
-    moved = label != ids
-    return {"node": ids[moved], "root": label[moved]}
-
-
-def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return {"node": ids[moved], "root": ids[label[moved]]}

@@ -88,31 +88,59 @@ def _title_groups(articles: DataFrame, threshold: float, hours: int, content: bo
     return tagged.join(needed, "inst", "left_semi"), pairs
 
 
-def _halves(c: str) -> list[Column]:
-    return [F.conv(F.substring(c, s, 8), 16, 10).cast("long").alias(n) for s, n in ((1, "hi"), (9, "lo"))]
+def _code(c: str) -> Column:
+    """16 hex digits as one long, bit by bit."""
+    high, low = (F.conv(F.substring(c, s, 8), 16, 10).cast("long") for s in (1, 9))
+    return F.shiftleft(high, 32).bitwiseOR(low)
 
 
-def _title_blocks(articles: DataFrame, threshold: float, hours: int, content: bool = False) -> DataFrame:
+def _packed(rows: DataFrame, group: str, *more: Column) -> DataFrame:
+    """What comparing articles reads, as numbers."""
+    return rows.select(
+        group, "id", F.unix_micros("ts").alias("t"), _code("simhash").alias("code"), F.xxhash64("content_hash").alias("ch"),
+        F.coalesce(F.xxhash64("url_key"), F.lit(0)).alias("uh"), F.col("url_key").isNotNull().alias("has_url"), *more)
+
+
+def _met_by_title(articles: DataFrame, threshold: float, hours: int, judge, schema: str, content: bool = False) -> DataFrame:
     tagged, pairs = _title_groups(articles, threshold, hours, content)
-    rows = tagged.select(
-        "inst", "id", F.unix_micros("ts").alias("t"), *_halves("simhash"),
-        F.xxhash64("content_hash").alias("ch"), F.coalesce(F.xxhash64("url_key"), F.lit(0)).alias("uh"),
-        F.col("url_key").isNotNull().alias("has_url"))
-    cutup = materialize(blocks.cut(rows, "inst", "id", ["t", "hi", "lo", "ch", "uh", "has_url"]), "title_blocks")
-    return blocks.pair_up(cutup, "inst", pairs, ["jaccard"])
-
-
-def _grids(ra, rb, hours):
-    c = blocks.column
-    ia, ib = c(ra, "id", np.int64), c(rb, "id", np.int64)
-    ta, tb = c(ra, "t", np.int64), c(rb, "t", np.int64)
-    distance = sum(blocks.popcount(c(ra, h, np.int64)[:, None] ^ c(rb, h, np.int64)[None, :]).astype(np.int64)
-                   for h in ("hi", "lo"))
-    near = (np.abs(ta[:, None] - tb[None, :]) <= hours * MICROS) & (ia[:, None] != ib[None, :])
-    same_content = c(ra, "ch", np.int64)[:, None] == c(rb, "ch", np.int64)[None, :]
-    same_url = (c(ra, "uh", np.int64)[:, None] == c(rb, "uh", np.int64)[None, :]) & c(
-        ra, "has_url", bool)[:, None] & c(rb, "has_url", bool)[None, :]
-    return ia, ib, ta, tb, distance, near, same_content, same_url
+    return blocks.meet(materialize(_packed(tagged, "inst"), "titles"), "inst", materialize(pairs, "title_pairs"), judge, schema)
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :])
+
+
+def _same_url(a: blocks.Side, some: slice, b: blocks.Side):
+    """Which pairs have the same URL; None if there are no two URLs."""
+    left, right = a["has_url"][some], b["has_url"]
+    if left.any() and right.any():
+        return (a["uh"][some][:, None] == b["uh"][None, :]) & left[:, None] & right[None, :]
+
+
+def _best_earlier(a: blocks.Side, b: blocks.Side | None, hours: int, score, refused) -> dict[str, list]:
+    """For every row of ``a`` the earlier row of ``b`` (or of its own block) within the window with the highest score, the newest of
+    equals. ``score(some, other)`` gives a matrix for a slice of rows, ``refused(some, other, it)`` lowers what may not be."""
+    other, before = blocks.earlier(a, b)
+    t, ids, partners = a["t"], a["id"], other["id"]
+    since = np.searchsorted(other["t"], t - hours * MICROS)
+    place = np.arange(len(other))
+    out = {"id": [], "partner": [], "score": []}
+    for some in blocks.slices(len(a), len(other)):
+        grid = score(some, other)
+        grid[(place < since[some, None]) | (place >= before[some, None])] = -1
+        refused(some, other, grid)
+        newest = len(other) - 1 - grid[:, ::-1].argmax(axis=1)
+        top = grid[np.arange(len(newest)), newest]
+        hit = top >= 0
+        out["id"].append(ids[some][hit])
+        out["partner"].append(partners[newest[hit]])
+        out["score"].append(top[hit])
+    return out
+
+
+def _both_sides(a: blocks.Side, b: blocks.Side | None, one) -> dict[str, np.ndarray]:
+    found = [one(a, b)] + ([] if b is None else [one(b, a)])
+    return {k: np.concatenate([x for f in found for x in f[k]]) for k in found[0]}
 
 
 def near_duplicates(articles: DataFrame, hours: int = L.WINDOW_HOURS) -> DataFrame:
@@ -120,21 +148,33 @@ def near_duplicates(articles: DataFrame, hours: int = L.WINDOW_HOURS) -> DataFra
 
     Candidates equal in URL or content belong to the earlier levels and are left to them.
     """
-    def judge(ra, rb, is_self, rec, hours=hours):
-        ia, ib, ta, tb, d, near, same_content, same_url = _grids(ra, rb, hours)
-        jac = rec["jaccard"]
-        ok = near & ~same_content & ~same_url
-        if jac < L.TITLE_ALONE - 1e-12:
-            ok = ok & (d <= L.SIMHASH_MAX)
-        score = (1 - d / 64) * 0.6 + jac * 0.4
-        out = blocks.best_per_row(score, ia, ib, ta, tb, ok, both=not is_self)
-        # The level follows from the distance: a SimHash pass wins over a title pass.
-        dist = np.rint((1 - (out["score"] - jac * 0.4) / 0.6) * 64)
-        out["level"] = np.where(dist <= L.SIMHASH_MAX, "simhash", "titulo")
+    def judge(a, b, record, hours=hours):
+        jac = record["jaccard"]
+        most = 64 if jac >= L.TITLE_ALONE - 1e-12 else L.SIMHASH_MAX
+
+        def one(x, y):
+            # Inside a pair of titles the nearest code is the best; 64 minus the distance is its score.
+            def score(some, other):
+                return (64 - _distance(x["code"][some], other["code"]).astype(np.int8)).astype(np.int8)
+
+            def refused(some, other, grid):
+                grid[grid < 64 - most] = -1
+                i, j = np.nonzero(grid == 64)  # equal contents have equal codes
+                same = x["ch"][some][i] == other["ch"][j]
+                grid[i[same], j[same]] = -1
+                url = _same_url(x, some, other)
+                if url is not None:
+                    grid[url] = -1
+
+            return _best_earlier(x, y, hours, score, refused)
+
+        out = _both_sides(a, b, one)
+        far = 64 - out["score"].astype(np.int64)
+        out["score"] = (1 - far / 64) * 0.6 + jac * 0.4
+        out["level"] = np.where(far <= L.SIMHASH_MAX, "simhash", "titulo")
         return out
 
-    found = blocks.compare(
-        _title_blocks(articles, L.TITLE_WITH_SIMHASH, hours), judge, "id long, partner long, score double, level string")
+    found = _met_by_title(articles, L.TITLE_WITH_SIMHASH, hours, judge, "id long, partner long, score double, level string")
     return _best(found.select("id", F.col("partner").alias("candidate"), F.col("score").alias("similarity"), "level"), articles)
 
 
@@ -151,44 +191,48 @@ def _best(found: DataFrame, articles: DataFrame) -> DataFrame:
 def semantic_duplicates(articles: DataFrame, hours: int = L.WINDOW_HOURS, threshold: float = L.SEMANTIC_MIN) -> DataFrame:
     """Best candidate by cosine >= threshold among those no earlier level matched. Exact.
 
-    Blocks of the same or neighbouring time buckets are multiplied as matrices.
+    Blocks of vectors of one length, of the same or neighbouring time buckets, are multiplied as matrices.
     """
-    rows = articles.filter(F.size("embedding") > 0).select(
-        time_bucket(F.col("ts"), hours).alias("bucket"), "id", F.unix_micros("ts").alias("t"), *_halves("simhash"),
-        F.xxhash64("content_hash").alias("ch"), F.coalesce(F.xxhash64("url_key"), F.lit(0)).alias("uh"),
-        F.col("url_key").isNotNull().alias("has_url"), "embedding",
-        F.transform("title_tokens", lambda t: F.xxhash64(t)).alias("tt"))
-    cutup = materialize(blocks.cut(
-        rows, "bucket", "id", ["t", "hi", "lo", "ch", "uh", "has_url", "embedding", "tt"], 512), "vector_blocks")
-    buckets = cutup.select("bucket").distinct()
-    pairs = buckets.select(F.col("bucket").alias("group_a"),
-                           F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("group_b"))
-
-    def unit(rows):
-        sizes = {len(r["embedding"]) for r in rows}
-        width = max(sizes)
-        m = np.array([np.pad(np.asarray(r["embedding"], dtype=np.float64), (0, width - len(r["embedding"]))) for r in rows])
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0), np.array([len(r["embedding"]) for r in rows])
-
-    def judge(ra, rb, is_self, rec, hours=hours, threshold=threshold):
-        ia, ib, ta, tb, d, near, same_content, same_url = _grids(ra, rb, hours)
-        (ma, la), (mb, lb) = unit(ra), unit(rb)
-        width = max(ma.shape[1], mb.shape[1])
-        ma, mb = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (ma, mb))
-        cos = ma @ mb.T
-        ok = near & ~same_content & ~same_url & (cos >= threshold) & (la[:, None] == lb[None, :])
-        for i, j in zip(*np.nonzero(ok)):  # few pairs reach the threshold
-            a, b = set(ra[i]["tt"]), set(rb[j]["tt"])
-            jac = len(a & b) / len(a | b) if a and b else 0.0
-            if jac >= L.TITLE_ALONE or (d[i, j] <= L.SIMHASH_MAX and jac >= L.TITLE_WITH_SIMHASH):
-                ok[i, j] = False
-        out = blocks.best_per_row(cos, ia, ib, ta, tb, ok, both=not is_self)
+    size, kinds = F.size("embedding"), F.lit(1 << 20)  # a group is a bucket and a length
+    bucketed = articles.filter(size > 0).withColumn("group", time_bucket(F.col("ts"), hours).cast("long") * kinds + size)
+    rows = materialize(_packed(bucketed, "group", F.col("embedding").cast("array<float>").alias("embedding"),
+                               F.transform("title_tokens", lambda t: F.xxhash64(t)).alias("tt")), "vectors")
+    groups = rows.select(F.col("group").alias("group_a")).distinct()
+    there = groups.select(F.col("group_a").alias("group_b"))
+    pairs = groups.withColumn("group_b", F.explode(F.array(F.col("group_a"), F.col("group_a") + kinds))).join(there, "group_b", "left_semi")
+
+    def judge(a, b, record, hours=hours, threshold=threshold):
+        def one(x, y):
+            def unit(side):
+                m = side.matrix("embedding")
+                norm = np.linalg.norm(m, axis=1, keepdims=True)
+                return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+            left, right = unit(x), unit(x if y is None else y)
+            tokens, others = x.rows("tt"), (x if y is None else y).rows("tt")
+
+            def score(some, other):
+                return np.round(left[some] @ right.T, 9)  # equal vectors score exactly one
+
+            def refused(some, other, grid):
+                grid[grid < threshold] = -1
+                i, j = np.nonzero(grid >= 0)  # few pairs reach the threshold
+                far = np.bitwise_count(x["code"][some][i].view(np.uint64) ^ other["code"][j].view(np.uint64))
+                bad = x["ch"][some][i] == other["ch"][j]
+                bad |= (x["uh"][some][i] == other["uh"][j]) & x["has_url"][some][i] & other["has_url"][j]
+                for k in np.flatnonzero(~bad):
+                    p, q = set(tokens[some.start + i[k]].as_py()), set(others[j[k]].as_py())
+                    jac = len(p & q) / len(p | q) if p and q else 0.0
+                    bad[k] = jac >= L.TITLE_ALONE or (far[k] <= L.SIMHASH_MAX and jac >= L.TITLE_WITH_SIMHASH)
+                grid[i[bad], j[bad]] = -1
+
+            return _best_earlier(x, y, hours, score, refused)
+
+        out = _both_sides(a, b, one)
         out["level"] = np.full(len(out["id"]), "semantico")
         return out
 
-    found = blocks.compare(blocks.pair_up(cutup, "bucket", pairs, []), judge,
-                           "id long, partner long, score double, level string")
+    found = blocks.meet(rows, "group", pairs, judge, "id long, partner long, score double, level string", 1024)
     return _best(found.select("id", F.col("partner").alias("candidate"), F.col("score").alias("similarity"), "level"), articles)
 
 
@@ -229,18 +273,29 @@ def similar_counts(articles: DataFrame, hours: int = L.WINDOW_HOURS, minimum: fl
 
     A score of 0.8 needs a title Jaccard of at least 0.5, or equal content, which scores 0.99.
     """
-    def judge(ra, rb, is_self, rec, hours=hours, minimum=minimum):
-        ia, ib, _, _, d, near, same_content, _ = _grids(ra, rb, hours)
-        score = np.where(same_content, 0.99, (1 - d / 64) * 0.6 + rec["jaccard"] * 0.4)
-        hit = near & (score >= minimum - 1e-12)
-        score = np.where(hit, score, 0.0)
-        n, best, ids = [hit.sum(axis=1)], [score.max(axis=1)], [ia]
-        if not is_self:
-            n, best, ids = n + [hit.sum(axis=0)], best + [score.max(axis=0)], ids + [ib]
-        n, best, ids = np.concatenate(n), np.concatenate(best), np.concatenate(ids)
-        return {"id": ids[n > 0], "n": n[n > 0], "best": best[n > 0]}
-
-    parts = blocks.compare(_title_blocks(articles, 0.5, hours, content=True), judge, "id long, n long, best double")
+    def judge(a, b, record, hours=hours, minimum=minimum):
+        jac = record["jaccard"]
+
+        def one(x, y):
+            other = x if y is None else y
+            out = {"id": [], "n": [], "best": []}
+            for some in blocks.slices(len(x), len(other)):
+                d = _distance(x["code"][some], other["code"])
+                score = (1 - d / 64) * 0.6 + jac * 0.4
+                i, j = np.nonzero(d == 0)
+                same = x["ch"][some][i] == other["ch"][j]
+                score[i[same], j[same]] = 0.99
+                near = (np.abs(x["t"][some][:, None] - other["t"][None, :]) <= hours * MICROS) & (x["id"][some][:, None] != other["id"][None, :])
+                hit = near & (score >= minimum - 1e-12)
+                n = hit.sum(axis=1)
+                out["id"].append(x["id"][some][n > 0])
+                out["n"].append(n[n > 0])
+                out["best"].append(np.where(hit, score, 0.0).max(axis=1)[n > 0])
+            return out
+
+        return _both_sides(a, b, one)
+
+    parts = _met_by_title(articles, 0.5, hours, judge, "id long, n long, best double", content=True)
     return parts.groupBy("id").agg(F.sum("n").alias("n_similar"), F.round(F.max("best"), 3).alias("best"))
 
 
@@ -268,11 +323,21 @@ def cleanup_links(articles: DataFrame, hours: int = L.CLEANUP_HOURS, known: Data
     ``known`` (id, duplicate_of_id) are marks from earlier: they link whatever the texts say, at any distance in time,
     if both articles are there.
     """
-    def judge(ra, rb, is_self, rec, hours=hours):
-        ia, ib, _, _, d, near, same_content, _ = _grids(ra, rb, hours)
-        return blocks.local_roots(near & (same_content | (d <= L.CLEANUP_SIMHASH)), ia, ib)
-
-    near = blocks.compare(_title_blocks(articles, L.CLEANUP_TITLE, hours), judge, "node long, root long")
+    def judge(a, b, record, hours=hours):
+        other = a if b is None else b
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for some in blocks.slices(len(a), len(other)):
+            # Equal contents have equal codes, so the distance covers them.
+            i, j = np.nonzero(_distance(a["code"][some], other["code"]) <= L.CLEANUP_SIMHASH)
+            i = i + some.start
+            ok = (np.abs(a["t"][i] - other["t"][j]) <= hours * MICROS) & (a["id"][i] != other["id"][j])
+            link = blocks.roots_of(i[ok], j[ok], a["id"], other["id"])  # a slice is a forest, so no list of links grows
+            if link is not None:
+                left.append(link["node"])
+                right.append(link["root"])
+        return {"node": np.concatenate(left), "root": np.concatenate(right)}
+
+    near = _met_by_title(articles, L.CLEANUP_TITLE, hours, judge, "node long, root long")
     # Equal content inside the window: linking each copy to the one before it joins them all.
     copies = same_key(articles, "content_hash", "contenido", 0.99, hours)
     found = near.unionByName(copies.select(F.col("id").alias("node"), F.col("candidate").alias("root")))

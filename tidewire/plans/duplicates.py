@@ -18,7 +18,8 @@ from .registry import query
 def signed(s, d, embeddings=False, only=D.SIGNATURES):
     a = spread(view(s, d, "articles").select("id", "title", "body", "ts", "url"))
     if embeddings:
-        a = a.join(load(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+        # Two articles in a row share a vector, as a story told twice would.
+        a = a.withColumn("vec_id", F.expr("id div 2")).join(load(s, d, "embeddings").select("vec_id", "embedding"), "vec_id")
     return D.prepare(a, "id", F.col("title"), F.col("body"), F.col("ts"), F.col("url"),
                      F.col("embedding") if embeddings else None, only=only)
 
@@ -72,8 +73,8 @@ def d3(s, d):
 
 
 def _semantic_oracle(threshold):
-    return A(f"""WITH {SIG}, v AS (SELECT sig.*, CAST(e.embedding AS DOUBLE[]) AS e FROM sig JOIN embeddings e ON e.vec_id = sig.id),
-    c AS (SELECT a.id, b.id AS cand, b.ts AS cts, list_cosine_similarity(a.e, b.e) AS cos FROM v a JOIN v b ON (b.ts < a.ts OR (b.ts = a.ts AND b.id < a.id))
+    return A(f"""WITH {SIG}, v AS (SELECT sig.*, CAST(e.embedding AS DOUBLE[]) AS e FROM sig JOIN embeddings e ON e.vec_id = sig.id // 2),
+    c AS (SELECT a.id, b.id AS cand, b.ts AS cts, round(list_cosine_similarity(a.e, b.e), 9) AS cos FROM v a JOIN v b ON (b.ts < a.ts OR (b.ts = a.ts AND b.id < a.id))
       AND epoch_us(a.ts) - epoch_us(b.ts) <= 72 * 3600000000 WHERE list_cosine_similarity(a.e, b.e) >= {threshold}), {_pairs(L.WINDOW_HOURS)},
     q AS (SELECT c.*, row_number() OVER (PARTITION BY c.id ORDER BY cos DESC, c.cts DESC, c.cand DESC) AS r FROM c JOIN p ON p.id = c.id AND p.cand = c.cand
       WHERE NOT {_NEAR} AND NOT sc AND NOT coalesce(su, false)) SELECT id, cand AS candidate, round(cos, 5) AS similarity FROM q WHERE r = 1""")
@@ -104,6 +105,20 @@ def d5(s, d):
     return D.verdicts(signed(s, d), semantic=False)
 
 
+_COSINE = f"""v AS (SELECT sig.id, CAST(e.embedding AS DOUBLE[]) AS e FROM sig JOIN embeddings e ON e.vec_id = sig.id // 2),
+  cs AS (SELECT p.*, round(list_cosine_similarity(x.e, y.e), 9) AS cos FROM p JOIN v x ON x.id = p.id JOIN v y ON y.id = p.cand)"""
+
+
+@query("d5_four_levels", A(f"""WITH RECURSIVE {SIG}, {_pairs(L.WINDOW_HOURS)}, {_VERDICT.replace('best AS', 'best3 AS')}, {_COSINE},
+    q4 AS (SELECT id, cand, cts, sim, level FROM q UNION ALL SELECT id, cand, cts, cos, 'semantico' FROM cs WHERE cos >= {L.SEMANTIC_MIN} AND NOT (coalesce(su, false) OR sc OR {_NEAR})),
+    best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, cts DESC, cand DESC) AS r FROM q4), {_LEADERS}
+    SELECT sig.id, cand IS NOT NULL AS is_duplicate, CASE WHEN cand IS NOT NULL THEN leader END AS canonical_id, round(coalesce(sim, 0.0), 3) AS similarity, level
+    FROM sig JOIN v USING (id) LEFT JOIN best ON best.id = sig.id AND r = 1 JOIN lead ON lead.id = sig.id""").replace("FROM sig a JOIN sig b ON (b.ts", "FROM sig a JOIN sig b ON a.id // 2 IN (SELECT vec_id FROM embeddings) AND b.id // 2 IN (SELECT vec_id FROM embeddings) AND (b.ts"))
+def d5_four(s, d):
+    """Verdicts with the embedding level, of the articles that have a vector."""
+    return D.verdicts(signed(s, d, True))
+
+
 @query("w2_best_candidate", A(f"""WITH {SIG}, {_pairs(L.WINDOW_HOURS)}, {_VERDICT} SELECT level, count(*) AS n FROM best WHERE r = 1 GROUP BY 1"""))
 def w2(s, d):
     """Winning level of every article that has a candidate, counted."""
