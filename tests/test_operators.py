@@ -242,13 +242,28 @@ def test_copy_overlap(spark):
     assert [round(r.x, 4) for r in w.select(T.copy_overlap("o", "r").alias("x")).collect()] == [round(1 / 3, 4), 0.0]
 
 
-def test_nested_page_body():
-    from tidewire.sources.pages import densest_body
+def test_page_bodies(spark):
+    from tidewire.sources.bodies import page_bodies
     para = "Una frase larga de noticia con bastante texto para contar como cuerpo. " * 3
-    html = (f"<body><nav><p>{para}</p></nav><div class='sidebar'><p>{para}{para}</p></div><div id='x'><div class='content'>"
-            f"<p>{para}<p>{para}<b>fin</b></p></div></div><p>corto</p></body>")
-    body, method = densest_body(html)
-    assert method == "dom" and body.count("Una frase") == 6 and "fin" in body
+    link = "<a>" + "enlace " * 60 + "</a>"
+    html = {
+        "nested": f"<body><nav><p>{para}</p></nav><div class='sidebar'><p>{para}{para}</p></div><div id='x'><div class='content'>"
+                  f"<p>{para}<p>{para}<b>fin</b></p></div></div><p>corto</p></body>",
+        "loose": f"<p>{para}<div></div><p>{para}<script>var a = '</p><p>no';</script></p>",
+        "links": f"<div class='menu'><p>{link}</p></div><div><p>{para}{para}</p><ul><li>x</li></ul>fuera</div>",
+        "article": f"<article><p>{para}</p></article><div class='content'><p>{para}</p><p>{para}</p><p>{para}</p></div>",
+        "none": "<div>nada</div>", "empty": "", "null": None,
+        "text": f"<p>solo {para}</p>",
+    }
+    df = spark.createDataFrame(list(html.items()), "page_id string, html string")
+    got = {r.page_id: r for r in page_bodies(df).collect()}
+    assert set(got) == set(html)
+    assert got["nested"].method == "dom" and got["nested"].body.count("Una frase") == 6 and "fin" in got["nested"].body and "corto" not in got["nested"].body
+    assert got["loose"].method == "body" and got["loose"].body.count("Una frase") == 6 and "var a" not in got["loose"].body
+    assert got["links"].method == "dom" and "enlace" not in got["links"].body and "fuera" not in got["links"].body
+    assert got["article"].method == "dom" and got["article"].body.count("Una frase") == 3  # an article of 200 goes first
+    assert all((got[k].method, got[k].body) == ("none", "") for k in ("none", "empty", "null", "text"))
+    assert page_bodies(df.limit(0)).count() == 0
 
 
 def test_one_title_on_many_rows(spark):

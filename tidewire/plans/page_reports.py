@@ -9,7 +9,7 @@ from ..rules import lexicon as L
 from ..session import load
 from ..sources import feeds as S, pages as P
 from . import sqltext as Q
-from .bindings import view, with_views
+from .bindings import sql_list, view, with_views
 from .catalog_reports import sql_stamp, stamp
 from .registry import query
 
@@ -63,15 +63,6 @@ def s3(s, d):
     return items.filter("image_url IS NOT NULL").select("id", "image_url")
 
 
-def extracted(s, d):
-    return P.extract_articles(load(s, d, "pages"))
-
-
-@query("s4_page_articles")
-def s4(s, d):
-    return extracted(s, d).select("page_id", "title", "summary", "author", "canonical", "method", F.char_length("body").alias("chars"), "suspicious")
-
-
 _TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
 _FLAT = f"trim(regexp_replace({Q.entities(_TITLE)}, '\\s+', ' ', 'g'))"
 
@@ -83,10 +74,67 @@ def s6(s, d):
     return load(s, d, "pages").select("page_id", t.alias("title")).filter("title IS NOT NULL")
 
 
-@query("s5_densest_body")
+# The tag-event table of ``sources/bodies.py`` in SQL.
+_QUOTED = sql_list
+_CLEAN = "regexp_replace(html, '(?is)<!--.*?-->', '', 'g')"
+for _raw in L.RAW_TAGS:
+    _CLEAN = f"regexp_replace({_CLEAN}, '(?is)<{_raw}\\b.*?</{_raw}\\s*>', ' ', 'g')"
+
+
+def _attr(name):
+    return f"regexp_extract(tag, '(?is)\\s{name}\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)"
+
+
+_FLAT_RAW = Q.trim_all("regexp_replace(raw, '\\s+', ' ', 'g')")
+_SO_FAR = "(PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_BODIES = f"""c AS (SELECT page_id, {_CLEAN} AS h FROM pages),
+  e0 AS (SELECT page_id, unnest(range(0, len(tags))) AS i, unnest(tags) AS tag, unnest(gaps[2:]) AS text
+    FROM (SELECT page_id, regexp_extract_all(h, '<[^>]*>') AS tags, string_split_regex(h, '<[^>]*>') AS gaps FROM c)),
+  e1 AS (SELECT *, lower(regexp_extract(tag, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS name, NOT starts_with(tag, '</') AS opens FROM e0),
+  e2 AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER (PARTITION BY page_id, name ORDER BY i) + CASE WHEN opens THEN 0 ELSE 1 END AS level FROM e1),
+  e3 AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY page_id, name, level ORDER BY i), 2147483647) AS stop FROM e2),
+  e4 AS (SELECT *, coalesce(max(CASE WHEN opens AND name NOT IN ({_QUOTED(L.VOID_TAGS)}) AND (name IN ({_QUOTED(L.STRIP_TAGS)})
+    OR list_has_any(string_split_regex(trim({_attr('class')}), '\\s+'), [{_QUOTED(L.STRIP_CLASSES)}])) THEN stop END) OVER {_SO_FAR} > i, false) AS skipped FROM e3),
+  e5 AS (SELECT *, CASE WHEN NOT skipped THEN CASE WHEN opens AND name = 'p' THEN true WHEN name = 'p' OR name IN ({_QUOTED(L.PARAGRAPH_ENDS)}) THEN false END END AS edge FROM e4),
+  e AS MATERIALIZED (SELECT *, coalesce(last_value(edge IGNORE NULLS) OVER {_SO_FAR}, false) AND NOT skipped AS inside, count(*) FILTER (edge) OVER {_SO_FAR} AS pno,
+    coalesce(last_value(CASE WHEN name = 'a' THEN opens END IGNORE NULLS) OVER {_SO_FAR}, false) AND NOT skipped AS linked FROM e5),
+  p0 AS (SELECT page_id, min(i) AS at0, {Q.entities("string_agg(text, '' ORDER BY i)")} AS raw FROM e WHERE inside GROUP BY page_id, pno),
+  p AS MATERIALIZED (SELECT page_id, at0, length({Q.trim_all('raw')}) AS size, {_FLAT_RAW} AS flat FROM p0),
+  bx AS (SELECT page_id, i AS start, stop, name, lower({_attr('id')} || ' ' || {_attr('class')}) AS sig FROM e WHERE opens AND NOT skipped AND name IN ({_QUOTED(L.CONTAINERS)})),
+  bo AS (SELECT bx.page_id, start, bx.stop, bx.name, sig, sum(size) AS len, count(*) AS n FROM bx JOIN p ON p.page_id = bx.page_id AND at0 > start AND at0 < stop GROUP BY 1, 2, 3, 4, 5),
+  bl AS (SELECT bx.page_id, start, sum(length({Q.entities('e.text')})) AS links FROM bx JOIN e ON e.page_id = bx.page_id AND e.linked AND e.i > start AND e.i < bx.stop GROUP BY 1, 2),
+  bs AS (SELECT bo.*, CASE WHEN len < 200 THEN 0 ELSE (len + len / n * 4) * CASE WHEN regexp_matches(sig, '{L.ARTICLE_HINT}') THEN 1.35 ELSE 1 END
+    * CASE WHEN regexp_matches(sig, '{L.NAVIGATION_HINT}') THEN 0.25 ELSE 1 END * CASE WHEN len / n < 60 THEN 0.4 ELSE 1 END
+    * CASE WHEN coalesce(links, 0) > len * 0.4 THEN 0.3 ELSE 1 END END AS score FROM bo LEFT JOIN bl USING (page_id, start)),
+  bc AS (SELECT *, coalesce(max(CASE WHEN name = 'article' THEN score END) OVER (PARTITION BY page_id), 0) AS best FROM bs WHERE score > 0),
+  ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, name <> 'article', start) AS r FROM bc WHERE best < 200 OR name = 'article') WHERE r = 1 AND score > 200),
+  dm AS (SELECT ch.page_id, string_agg(flat, chr(10) || chr(10) ORDER BY at0) AS body FROM ch JOIN p ON p.page_id = ch.page_id AND at0 > start AND at0 < stop AND length(flat) >= 40 GROUP BY 1),
+  lo AS (SELECT page_id, string_agg(flat, chr(10) || chr(10) ORDER BY at0) AS body FROM p WHERE length(flat) >= 60 GROUP BY 1 HAVING count(*) >= 2),
+  bodies AS (SELECT pages.page_id, coalesce(dm.body, lo.body, '') AS body, CASE WHEN dm.body IS NOT NULL THEN 'dom' WHEN lo.body IS NOT NULL THEN 'body' ELSE 'none' END AS method
+    FROM pages LEFT JOIN dm USING (page_id) LEFT JOIN lo USING (page_id))"""
+
+
+@query("s5_densest_body", f"WITH {_BODIES} SELECT page_id, sha256(body) AS body_hash, method FROM bodies")
 def s5(s, d):
-    e = extracted(s, d)
-    return e.select("page_id", T.sha256("body").alias("body_hash"), "method")
+    return P.page_bodies(load(s, d, "pages")).select("page_id", T.sha256("body").alias("body_hash"), "method")
+
+
+# Every other page gets an opening of meta tags and an image; every fourth has its body as linked data.
+_EXTRA = """concat(html, CASE WHEN page_id % 2 = 0 THEN concat('<meta name="description" content="Resumen ', page_id, '"><meta property="article:modified_time" content="2024-01-0', 1 + page_id % 9, 'T10:00:00Z"><meta name="author" content="Ana">',
+  '<img src="/s.jpg" width="40" alt="poco"><img data-src="https://medio.example/', page_id, '.jpg" width="', 300 + page_id % 3 * 100, '" alt="foto ', page_id, '">') ELSE '' END,
+  CASE WHEN page_id % 4 = 1 THEN concat('<script type="application/ld+json">{"@type":"NewsArticle","articleBody":"', repeat(concat('dato ', page_id, ' '), 20), '"}</script>') ELSE '' END)"""
+
+
+@query("s4_page_articles", f"""WITH {_BODIES}, t AS (SELECT page_id, CASE WHEN {_FLAT} <> '' THEN list_reduce(list_prepend('', regexp_split_to_array({_FLAT}, '\\s+[|–—·-]\\s+')), lambda a, p: CASE WHEN length(p) > length(a) THEN p ELSE a END) END AS title FROM pages)
+    SELECT page_id, title, CASE WHEN page_id % 2 = 0 THEN 'Resumen ' || page_id END AS summary, CASE WHEN page_id % 2 = 0 THEN 'Resumen ' || page_id END AS excerpt, CASE WHEN page_id % 2 = 0 THEN 'Ana' END AS author,
+    CASE WHEN page_id % 2 = 0 AND page_id % 3 > 0 THEN 'https://medio.example/' || page_id || '.jpg' END AS image_url, CASE WHEN page_id % 2 = 0 THEN CASE WHEN page_id % 3 > 0 THEN 'foto ' || page_id ELSE 'poco' END END AS image_alt,
+    CASE WHEN page_id % 2 = 0 THEN '2024-01-0' || (1 + page_id % 9) || ' 10:00:00' END AS modified_at,
+    CASE WHEN page_id % 4 = 1 THEN 'jsonld' ELSE method END AS method, CASE WHEN page_id % 4 = 1 THEN sha256(trim(repeat('dato ' || page_id || ' ', 20))) ELSE sha256(body) END AS body_hash,
+    CASE WHEN page_id % 4 = 1 THEN length(trim(repeat('dato ' || page_id || ' ', 20))) ELSE length(body) END < 200 AS suspicious FROM bodies JOIN t USING (page_id)""")
+def s4(s, d):
+    e = P.extract_articles(load(s, d, "pages").withColumn("html", F.expr(_EXTRA)))
+    return e.select("page_id", "title", "summary", "excerpt", "author", "image_url", "image_alt", stamp("modified_at", "modified_at"), "method",
+                    T.sha256("body").alias("body_hash"), "suspicious")
 
 
 @query("s7_linked_data", """SELECT page_id, 'Titular ' || page_id AS headline, CASE page_id % 4 WHEN 0 THEN 'Ana' WHEN 1 THEN 'Luis' WHEN 2 THEN 'Eva' ELSE 'Marta' END AS author FROM pages""")

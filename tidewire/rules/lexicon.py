@@ -317,6 +317,14 @@ STRIP_CLASSES = [
     "related", "relacionados", "comment", "comments", "comentarios", "newsletter",
     "suscribete", "cookie", "cookies", "consent", "sidebar", "widget",
 ]
+#: Elements whose content is no text, elements without an end, those that may hold an article, and those that end a paragraph.
+RAW_TAGS = ["script", "style", "noscript", "iframe"]
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+CONTAINERS = ["article", "div", "section", "main"]
+PARAGRAPH_ENDS = [
+    "div", "section", "main", "article", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre",
+    "form", "hr", "header", "footer", "nav", "aside", "body", "html",
+]
 ARTICLE_HINT = r"\b(article|post|entry|content|body|txt|story|noticia)\b"
 NAVIGATION_HINT = (
     r"\b(nav|menu|sidebar|footer|header|widget|share|social|comment|related|advert|promo|"

@@ -1,17 +1,15 @@
-"""Raw pages to articles: metadata by expression, body by the densest container."""
+"""Raw pages to articles: linked data and metadata by expression, bodies by ``bodies``."""
 
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.dates import parse_source_date
 from ..functions.text import bind, col, decode_entities, html_to_text, tidy, trim_all, truncate
 from ..rules import lexicon as L
+from .bodies import attribute, page_bodies
 
 
 def clean_title(c) -> Column:
@@ -110,157 +108,56 @@ def _ld_body(node: Column) -> Column:
     return F.coalesce(*[bind(_field(node, k), long_enough) for k in ("articleBody", "text", "description")])
 
 
-class _Outline(HTMLParser):
-    """Containers with the text of their paragraphs and links; stripped subtrees are skipped."""
-
-    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-    BLOCKS = {"article", "div", "section", "main"}
-    CLOSES_P = {"p", "div", "section", "main", "article", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6",
-                "blockquote", "pre", "form", "hr", "header", "footer", "nav", "aside"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack, self.skip, self.containers, self.loose = [], 0, [], []
-        self.paragraph = None
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.VOID:
-            return
-        names = dict(attrs)
-        classes = (names.get("class") or "").split()
-        if self.skip or tag in L.STRIP_TAGS or any(c in L.STRIP_CLASSES for c in classes):
-            self.skip += 1
-            self.stack.append((tag, None))
-            return
-        if tag in self.CLOSES_P and self.paragraph is not None:
-            self._close_until("p")
-        box = None
-        if tag in self.BLOCKS:
-            box = {"tag": tag, "sig": f"{names.get('id') or ''} {' '.join(classes)}".lower(), "ps": [], "links": 0}
-            self.containers.append(box)
-        if tag == "p":
-            self.paragraph = []
-        self.stack.append((tag, box))
-
-    def _open_boxes(self):
-        return [b for _, b in self.stack if b]
-
-    def _pop(self):
-        tag, _ = self.stack[-1]
-        if tag == "p" and not self.skip and self.paragraph is not None:
-            raw = "".join(self.paragraph)
-            self.paragraph = None
-            for box in self._open_boxes():
-                box["ps"].append(raw)
-            self.loose.append(raw)
-        self.stack.pop()
-        if self.skip:
-            self.skip -= 1
-
-    def _close_until(self, tag):
-        if not any(t == tag for t, _ in self.stack):
-            return
-        while self.stack:
-            top = self.stack[-1][0]
-            self._pop()
-            if top == tag:
-                return
-
-    def handle_endtag(self, tag):
-        if tag not in self.VOID:
-            self._close_until(tag)
-
-    def handle_data(self, data):
-        if self.skip:
-            return
-        if self.paragraph is not None:
-            self.paragraph.append(data)
-        if any(t == "a" for t, _ in self.stack):
-            for box in self._open_boxes():
-                box["links"] += len(data)
-
-    def finish(self):
-        while self.stack:
-            self._pop()
-
-
-def _score(box) -> float:
-    texts = [p.strip() for p in box["ps"]]
-    length = sum(map(len, texts))
-    if not texts or length < 200:
-        return 0.0
-    density = length / len(texts)
-    score = length + density * 4
-    if re.search(L.ARTICLE_HINT, box["sig"]):
-        score *= 1.35
-    if re.search(L.NAVIGATION_HINT, box["sig"]):
-        score *= 0.25
-    if density < 60:
-        score *= 0.4
-    return score * 0.3 if box["links"] > length * 0.4 else score
-
-
-def densest_body(html: str | None) -> tuple[str, str]:
-    """(body, method) of one page."""
-    outline = _Outline()
-    outline.feed(html or "")
-    outline.finish()
-
-    def best(tags, floor, start=None):
-        for box in outline.containers:
-            if box["tag"] in tags:
-                s = _score(box)
-                if s > floor:
-                    start, floor = box, s
-        return start, floor
-
-    box, top = best({"article"}, 0.0)
-    if top < 200:
-        box, top = best({"div", "section", "main"}, top, box)
-    if box is not None and top > 200:
-        kept = [t for t in (" ".join(p.split()) for p in box["ps"]) if len(t) >= 40]
-        if kept:
-            return "\n\n".join(kept), "dom"
-    loose = [t for t in (" ".join(p.split()) for p in outline.loose) if len(t) >= 60]
-    return ("\n\n".join(loose), "body") if len(loose) >= 2 else ("", "none")
-
-
-@F.pandas_udf(StructType([StructField("body", StringType()), StructField("method", StringType())]))
-def _dense(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([densest_body(h) for h in html], columns=["body", "method"])
-
-
-def extract_articles(pages: DataFrame, html: str = "html", longest: int | None = None) -> DataFrame:
+def _images(html: Column) -> tuple[Column, Column, Column]:
+    """Address and description of the first large image, and the description of the first image of all."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<img\b[^>]*>"), F.lit(0))
+
+    def wide(tag):
+        size = lambda name: F.coalesce(attribute(tag, name).try_cast("double"), F.lit(0.0))
+        return (size("width") >= 400) | (size("height") >= 300)
+
+    def some(c):
+        return F.when(c != "", c)
+
+    large, first = F.get(F.filter(tags, wide), F.lit(0)), F.get(tags, F.lit(0))
+    source = F.coalesce(*[some(attribute(large, n)) for n in ("src", "data-src", "data-lazy-src")])
+    return F.when(source.rlike("^(https?:|/)"), source), some(attribute(large, "alt")), some(attribute(first, "alt"))
+
+
+def extract_articles(pages: DataFrame, html: str = "html", longest: int | None = None, key: str = "page_id") -> DataFrame:
     """Article columns for every page: linked data first, then meta tags, then the document itself.
 
-    Bodies are whole, or cut at ``longest`` characters.
+    Bodies are whole, or cut at ``longest`` characters. Only pages whose linked data has no body are read for one.
     """
     h = F.col(html)
     node = F.col("_ld")
     title_tag = F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    ld_text = _ld_body(node)
     description = F.coalesce(_meta(h, "name", "description"), _meta(h, "property", "og:description"))
     published = [F.get_json_object(node, f"$.{k}") for k in ("datePublished", "dateCreated", "uploadDate")]
     published += [_meta(h, a, n) for a, n in L.PUBLISHED_META]
     published.append(F.regexp_extract(h, r"(?is)<time\b[^>]*\bdatetime=[\"']([^\"']+)", 1))
-    staged = pages.withColumn("_ld", article_node(html)).withColumn("_dom", _dense(h)).withColumn("_ldt", ld_text)
-    ld_text = F.col("_ldt")
-    staged = staged.withColumn("_raw", F.when(ld_text.isNotNull(), html_to_text(ld_text))).withColumn(
+    canonical = F.regexp_extract(h, r"(?is)<link\b[^>]*\brel=[\"']canonical[\"'][^>]*\bhref=[\"']([^\"']+)", 1)
+    staged = pages.withColumn("_ld", article_node(html)).withColumn("_ldt", _ld_body(node)).withColumn(
         "_title", decode_entities(title_tag)).withColumn("_image", _ld(node, "image"))
-    staged = staged.withColumn("_body", F.when(ld_text.isNotNull(), tidy("_raw")).otherwise(F.col("_dom.body")))
-    image = F.coalesce(
+    declared = F.coalesce(
         F.get_json_object(node, "$.image[0].url"), F.get_json_object(node, "$.image.url"),
         F.get_json_object(node, "$.image.@id"), F.when(F.col("_image").rlike("(?i)^https?:"), F.col("_image")),
         _meta(h, "property", "og:image"), _meta(h, "name", "twitter:image"))
-    canonical = F.regexp_extract(h, r"(?is)<link\b[^>]*\brel=[\"']canonical[\"'][^>]*\bhref=[\"']([^\"']+)", 1)
-    out = staged.select(
-        *pages.columns,
-        F.coalesce(_ld(node, "headline", "name"), _meta(h, "property", "og:title"),
-                   clean_title("_title")).alias("title"),
-        (truncate("_body", longest) if longest else F.col("_body")).alias("body"), F.coalesce(_ld(node, "description"), description).alias("summary"),
-        image.alias("image_url"), F.coalesce(_ld(node, "articleSection"), _meta(h, "property", "article:section")).alias("section"),
+    large, large_alt, first_alt = _images(h)
+    facts = staged.select(
+        *pages.columns, "_ldt",
+        F.coalesce(_ld(node, "headline", "name"), _meta(h, "property", "og:title"), clean_title("_title")).alias("title"),
+        F.coalesce(_ld(node, "description"), description).alias("summary"), description.alias("excerpt"),
+        F.coalesce(declared, large).alias("image_url"),
+        F.coalesce(F.when(declared.isNull(), large_alt), first_alt).alias("image_alt"),
+        F.coalesce(_ld(node, "articleSection"), _meta(h, "property", "article:section")).alias("section"),
         F.coalesce(_ld(node, "author", "creator"), _meta(h, "name", "author")).alias("author"),
         F.when(canonical != "", canonical).alias("canonical"),
         F.coalesce(*[parse_source_date(p)["date"] for p in published]).alias("published_at"),
-        F.when(ld_text.isNotNull(), "jsonld").otherwise(F.col("_dom.method")).alias("method"))
-    return out.withColumn("suspicious", F.char_length("body") < 200)
+        parse_source_date(_meta(h, "property", "article:modified_time"))["date"].alias("modified_at"))
+    dom = page_bodies(staged.filter("_ldt IS NULL").select(key, html), key, html).select(key, F.col("body").alias("_dom"), F.col("method").alias("_how"))
+    told = F.col("_ldt").isNotNull()
+    body = F.when(told, tidy(html_to_text("_ldt"))).otherwise(F.coalesce("_dom", F.lit("")))
+    out = facts.join(dom, key, "left").withColumn("_body", body).withColumn("body", truncate("_body", longest) if longest else F.col("_body"))
+    out = out.withColumn("method", F.when(told, "jsonld").otherwise(F.coalesce("_how", F.lit("none"))))
+    return out.withColumn("suspicious", F.char_length("body") < 200).drop("_ldt", "_dom", "_how", "_body")
