@@ -279,3 +279,19 @@ def test_one_title_on_many_rows(spark):
     for i in [1, 2, 777, 5_000, 15_001, 19_000, 19_500, n - 1]:
         near = min(((bin(codes[i] ^ codes[j]).count("1"), -j) for j in range(max(0, i - hours * 3600 // 17), i)))
         assert got[i] == (-near[1], round((1 - near[0] / 64) * 0.6 + 0.4, 9))
+
+
+def test_ingest_reasons_come_in_order(spark):
+    from tidewire.operators import ingest as I
+    at = datetime(2026, 1, 10, 12)
+    good = "Choque con dos heridos en la LZ-2 en Arrecife"
+    body = "La Policia Local de Arrecife confirma dos heridos tras el choque de un coche y una moto en la LZ-2. Llamar al 612 345 678. " * 4
+    rows = [(1, good, body, at), (2, "corto", body, at), (3, good, body, at), (4, "Noticia sobre la cosecha de Castilla", "Sin lugar de la isla en el texto.", at),
+            (5, good + " hoy", body + " viejo", datetime(2020, 1, 1)), (6, good, body, at + timedelta(hours=1)), (7, None, None, None)]
+    items = spark.createDataFrame([(*r, "certain", 0.9) for r in rows], "id long, title string, body string, occurred_at timestamp, date_confidence string, source_score double")
+    seen = spark.createDataFrame([(3,), (99,)], "id long")
+    got = {r.id: r for r in I.outcomes(items, seen, F.lit(at + timedelta(days=1))).collect()}
+    assert {i: (r.outcome, r.reason) for i, r in got.items() if i != 7} == {
+        1: ("draft", None), 2: ("skipped", "sin-titular"), 3: ("skipped", "vista"), 4: ("rejected", "fuera-de-ambito"), 5: ("rejected", "fecha"), 6: ("duplicate", None)}
+    assert got[6].canonical_id == 1 and got[7].outcome == "skipped"
+    assert got[1].findings == 4 and "612" not in got[1].clean and got[4].clean is None and got[4].findings == 0

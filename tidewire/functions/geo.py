@@ -100,6 +100,10 @@ def is_safe_site(lat, lon, rings) -> Column:
     return inside(lat, lon, rings) & (metres_to_edge(lat, lon, rings) >= L.SAFE_INLAND_M)
 
 
+#: A prime below 2**31: products of two residues fit 63 bits.
+MODULUS = (1 << 31) - 1
+
+
 def displaced(key, lat, lon, rings=None, attempts: int = 60) -> Column:
     """Privacy displacement seeded by the key: the same row always moves to the same place.
 
@@ -109,13 +113,17 @@ def displaced(key, lat, lon, rings=None, attempts: int = 60) -> Column:
     key, lat, lon = col(key), col(lat), col(lon)
 
     def unit(i, salt):
-        return F.pmod(F.xxhash64(key, i, F.lit(salt)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+        # A quadratic congruence in whole numbers, so that any engine finds the same places.
+        m = F.lit(MODULUS)
+        x1 = (F.pmod(key.cast("long"), m) * 48271 + i.cast("long") * 69621 + salt * 16807 + 1) % m
+        x2 = (x1 * x1 + 11) % m
+        return ((x2 * 48271 + x1) % m) / F.lit(float(MODULUS))
 
     def candidate(i):
         far = i < attempts
         low, high = F.when(far, 400.0).otherwise(120.0), F.when(far, 900.0).otherwise(400.0)
-        radius = low + unit(i, "r") * (high - low)
-        angle = unit(i, "a") * (2 * math.pi)
+        radius = low + unit(i, 1) * (high - low)
+        angle = unit(i, 2) * (2 * math.pi)
         d_lon = radius * F.sin(angle) / (F.lit(M_PER_DEGREE) * F.cos(F.radians(lat)))
         return F.struct((lat + radius * F.cos(angle) / M_PER_DEGREE).alias("lat"), (lon + d_lon).alias("lon"))
 

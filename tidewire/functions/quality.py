@@ -92,13 +92,11 @@ def place_check(outside, municipality) -> Column:
         .otherwise(out(0.25, False)))
 
 
-_DEATH = ascii_words(r"(?i)\b(fallecid\w*|murio|murieron|muerte|muertos?|decresid\w*)\b")
-_HURT = ascii_words(r"(?i)\bherid")
-_HURT_COUNT = rf"(?i)(\d{{1,2}}|{'|'.join(L.HEADLINE_NUMBERS)})\s+(?:\w+\s+){{0,2}}herid"
+_DEATH, _HURT = ascii_words(L.DEATH_WORDS), ascii_words(L.HURT_WORDS)
 
 
 def _simple_count(text: Column) -> Column:
-    raw = F.lower(F.regexp_extract(text, _HURT_COUNT, 1))
+    raw = F.lower(F.regexp_extract(text, L.HURT_COUNT, 1))
     table = F.create_map(*[F.lit(v) for kv in L.HEADLINE_NUMBERS.items() for v in kv])
     return F.when(raw != "", F.coalesce(raw.try_cast("int"), F.try_element_at(table, raw)))
 
@@ -110,15 +108,15 @@ def consistency_check(title, body, severity, deaths, hurt, municipality) -> Colu
     t_count, b_count = _simple_count(title), _simple_count(body)
     # A blank body still counts as one (empty) piece, as splitting an empty text does.
     n_words = F.greatest(word_count(body), F.lit(1))
-    rules = [
-        ("muerte_solo_en_titular", 0.45, title.rlike(_DEATH) & ~body.rlike(_DEATH)),
-        ("heridos_solo_en_titular", 0.3, title.rlike(_HURT) & ~body.rlike(_HURT)),
-        ("grave_sin_cifras", 0.25,
-         (severity == "GRAVE") & (deaths == 0) & (F.coalesce(hurt, F.lit(0)) <= 1)),
-        ("grave_a_cero", 0.3, (deaths == 0) & (hurt == 0) & (severity == "GRAVE")),
-        ("cifras_distintas", 0.35, F.abs(t_count - b_count) > 1),
-        ("cuerpo_corto", 0.5, n_words < 40),
-    ]
+    holds = {
+        "muerte_solo_en_titular": title.rlike(_DEATH) & ~body.rlike(_DEATH),
+        "heridos_solo_en_titular": title.rlike(_HURT) & ~body.rlike(_HURT),
+        "grave_sin_cifras": (severity == "GRAVE") & (deaths == 0) & (F.coalesce(hurt, F.lit(0)) <= 1),
+        "grave_a_cero": (deaths == 0) & (hurt == 0) & (severity == "GRAVE"),
+        "cifras_distintas": F.abs(t_count - b_count) > 1,
+        "cuerpo_corto": n_words < 40,
+    }
+    rules = [(name, cost, holds[name]) for name, cost in L.CONSISTENCY_COSTS.items()]
     score = F.lit(1.0)
     for _, cost, bad in rules:
         score = score - F.when(bad, cost).otherwise(0.0)

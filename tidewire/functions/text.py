@@ -355,16 +355,6 @@ def findings_summary(findings) -> Column:
         F.lit("Datos personales eliminados automaticamente ("), F.array_join(parts, ", "), F.lit(").")))
 
 
-_VICTIM_AFTER = r"\b(herid|fallecid|muerto|muert|víctim|victima|personas|implicad|lesionad)\w*"
-_VICTIM_BEFORE = r"\b(herid|fallecid|muerto|muert|víctim|victima)\w*"
-_REF_BEFORE = r"\b(h|lz|carretera|km|kilometro|puerto|camino|vía|via)\s*-?\s*$"
-_REF_AFTER = r"^\s*(h|hs|horas|min|minutos)\b"
-_CALENDAR = (
-    r"\b(lunes|martes|miercoles|jueves|viernes|sabado|domingo|enero|febrero|marzo|abril|mayo|"
-    r"junio|julio|agosto|septiembre|octubre|noviembre|diciembre)\b"
-)
-
-
 def significant_numbers(c) -> Column:
     """1-3 digit numbers that state victims, judged on 28 characters before and 34 from the number on.
 
@@ -383,9 +373,9 @@ def significant_numbers(c) -> Column:
         F.lower(F.substring(text, F.greatest(F.lit(1), e["p"] - 28), F.least(F.lit(28), e["p"] - 1))).alias("b"),
         F.lower(F.substring(text, e["p"], F.lit(34))).alias("a")))
     keep = F.filter(judged, lambda e: F.when(
-        e["a"].rlike(ascii_words(_VICTIM_AFTER)) | e["b"].rlike(ascii_words(_VICTIM_BEFORE)), True)
-        .when(e["b"].rlike(ascii_words(_REF_BEFORE)) | e["a"].rlike(ascii_words(_REF_AFTER)), False)
-        .when(F.concat(e["b"], F.lit(" "), e["a"]).rlike(ascii_words(_CALENDAR)), False)
+        e["a"].rlike(ascii_words(L.VICTIM_AFTER)) | e["b"].rlike(ascii_words(L.VICTIM_BEFORE)), True)
+        .when(e["b"].rlike(ascii_words(L.REF_BEFORE)) | e["a"].rlike(ascii_words(L.REF_AFTER)), False)
+        .when(F.concat(e["b"], F.lit(" "), e["a"]).rlike(ascii_words(L.CALENDAR)), False)
         .otherwise(e["n"] >= 10))
     return F.sort_array(F.array_distinct(F.transform(keep, lambda e: e["n"])), asc=False)
 

@@ -100,6 +100,21 @@ def upsert_plan(old: DataFrame, new: DataFrame, key: str, compare: list[str], to
     return j.select(F.coalesce(key, "_ok").alias(key), action.alias("action"), *compare)
 
 
+def rename_keys(stored: DataFrame, renames: DataFrame, key: str) -> DataFrame:
+    """Stored rows under their new keys, with an action: renamed, kept (the target is there already) or same. Ids stay.
+
+    ``renames``: old_key, new_key, seq. A target that is stored is left alone, and of several rows that want one
+    target the first in ``seq`` gets it. What the stored keys are is judged before any rename.
+    """
+    taken = stored.select(F.col(key).alias("new_key"))
+    open_ = renames.join(taken, "new_key", "left_anti").join(stored.select(F.col(key).alias("old_key")), "old_key", "left_semi")
+    first = open_.groupBy("new_key").agg(F.min_by("old_key", "seq").alias("old_key"))
+    wanted = renames.groupBy("old_key").agg(F.lit(True).alias("_asked"))
+    j = stored.join(first, F.col(key) == F.col("old_key"), "left").drop("old_key").join(wanted, F.col(key) == F.col("old_key"), "left").drop("old_key")
+    action = F.when(F.col("new_key").isNotNull(), "renamed").when(F.col("_asked"), "kept").otherwise("same")
+    return j.select(*[F.coalesce("new_key", key).alias(key) if c == key else F.col(c) for c in stored.columns], action.alias("action"))
+
+
 def catalog_diff(stored: DataFrame, declared: DataFrame) -> DataFrame:
     """Declared against stored sources: create, reset health when the URL changed, or disable."""
     s = stored.select(F.col("name").alias("_n"), F.col("url").alias("_u"), F.col("enabled").alias("_e"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("catalog_reports", "text_columns", "fact_columns", "duplicates", "monitoring", "page_reports")
+_MODULES = ("catalog_reports", "text_columns", "fact_columns", "duplicates", "monitoring", "page_reports", "ingest_plan")
 
 
 def _load():

@@ -675,6 +675,26 @@ def s10(s, d):
     return out.select("id", "title", "description", stamp("date", "date"), F.array_join("source_urls", " ").alias("urls"))
 
 
+@query("s10_feed_file", A(
+    f"""WITH t AS (SELECT * FROM accidents WHERE status = 'PUBLISHED' ORDER BY published_at DESC, id LIMIT 50)
+        SELECT 'https://medio.example/noticias/' || slug AS url, title, summary, {sql_stamp('coalesce(published_at, created_at)', 'published_at')},
+        (SELECT min(url) || '/hero.webp' FROM sources s WHERE s.article_id = t.id AND line < 200000000) AS image_url FROM t""",
+    "sources"))
+def s10_file(s, d):
+    """The feed written as a file and read back by the feed parser."""
+    from ..session import step_path
+    from ..sources.feeds import parse_feeds, syndication, write_feed
+    src = view(s, d, "sources")
+    images = src.filter("line < 200000000").select("article_id", F.concat("url", F.lit("/hero.webp")).alias("image_url"))
+    a = acc(s, d).withColumn("excerpt", F.lit(None).cast("string"))
+    rows = syndication(a, src, images).join(a.select("id", "slug"), "id")
+    path = step_path(s, "feed")
+    write_feed(rows, path, "https://medio.example", "Sucesos")
+    text = s.read.text(path, wholetext=True).select(F.col("value").alias("payload"), F.lit(1).alias("feed"))
+    items, _ = parse_feeds(text, "payload", ["feed"])
+    return items.select("url", "title", "summary", stamp("published_at", "published_at"), "image_url")
+
+
 @query("s11_slug_export", A(f"SELECT slug, {sql_stamp('occurred_at', 'occurred_at')} FROM accidents WHERE {PUBLIC}"))
 def s11(s, d):
     return acc(s, d).filter(R.is_public()).orderBy(F.desc("occurred_at"), "id").select("slug", stamp("occurred_at", "occurred_at"))
@@ -701,3 +721,19 @@ def s12(s, d):
     new = load(s, d, "customer").select(F.col("c_custkey").alias("k"), F.round("c_acctbal").alias("v"))
     old = load(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.round("s_acctbal").alias("v"))
     return C.upsert_plan(old, new, "k", ["v"]).select("k", "action")
+
+
+@query("s12_key_renames", """WITH st AS (SELECT n_nationkey AS id, lower(n_name) AS k FROM nation),
+    rn AS (SELECT lower(n_name) AS o, CASE WHEN n_nationkey % 5 = 0 THEN (SELECT lower(b.n_name) FROM nation b WHERE b.n_nationkey = nation.n_nationkey + 1)
+      WHEN n_nationkey % 5 = 1 THEN lower(n_name) || '-nuevo' ELSE 'comun' END AS k, n_nationkey AS seq FROM nation WHERE n_nationkey % 5 < 3),
+    op AS (SELECT rn.k, arg_min(o, seq) AS o FROM rn WHERE k NOT IN (SELECT k FROM st) GROUP BY 1)
+    SELECT st.id, coalesce(op.k, st.k) AS k, CASE WHEN op.k IS NOT NULL THEN 'renamed' WHEN rn.o IS NOT NULL THEN 'kept' ELSE 'same' END AS action
+    FROM st LEFT JOIN op ON op.o = st.k LEFT JOIN rn ON rn.o = st.k""")
+def s12_renames(s, d):
+    """Some nations get a key that exists, some one of their own, some all the same."""
+    from ..session import load
+    n = load(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("k"))
+    behind = n.select((F.col("id") - 1).alias("id"), F.col("k").alias("next"))
+    new = F.when(F.col("id") % 5 == 0, F.col("next")).when(F.col("id") % 5 == 1, F.concat("k", F.lit("-nuevo"))).otherwise("comun")
+    renames = n.filter("id % 5 < 3").join(behind, "id", "left").select(F.col("k").alias("old_key"), new.alias("new_key"), F.col("id").alias("seq"))
+    return C.rename_keys(n, renames, "k").select("id", "k", "action")

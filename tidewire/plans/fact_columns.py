@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates as D, facts as X, geo as G, quality as K, text as T
+from ..operators.ingest import verified
 from ..rules import lexicon as L
 from ..functions.wordlist import digest
 from ..rules.places import MUNICIPALITIES, ZONES
@@ -351,7 +352,28 @@ def e21(s, d):
 OUTLINE = [[(28.84, -13.88), (28.84, -13.70), (28.90, -13.45), (29.10, -13.42), (29.25, -13.44), (29.20, -13.52), (29.12, -13.68), (29.05, -13.80), (28.95, -13.86)]]
 
 
-@query("e22_pin_displacement")
+def _unit(salt):
+    """The generator of ``geo.displaced`` in SQL."""
+    m = G.MODULUS
+    x1 = f"(((id % {m}) * 48271 + i * 69621 + {salt} * 16807 + 1) % {m})"
+    x2 = f"(({x1} * {x1} + 11) % {m})"
+    return f"((({x2} * 48271 + {x1}) % {m}) / {m}.0)"
+
+
+_RING = ", ".join(f"({ay!r}::DOUBLE, {ax!r}::DOUBLE, {by!r}::DOUBLE, {bx!r}::DOUBLE)" for ring in OUTLINE
+                  for (ay, ax), (by, bx) in zip(ring, ring[1:] + ring[:1]))
+
+
+@query("e22_pin_displacement", f"""WITH {_PINS}, ed AS (SELECT * FROM (VALUES {_RING}) v(ay, ax, b_y, bx)),
+  tr AS (SELECT id, CAST(ref_lat AS DOUBLE) AS lat0, CAST(ref_lon AS DOUBLE) AS lon0, i, CASE WHEN i < 60 THEN 400.0 + {_unit(1)} * 500.0 ELSE 120.0 + {_unit(1)} * 280.0 END AS radius, {_unit(2)} * 2 * pi() AS angle
+    FROM ref, range(0, 121) r(i) WHERE ref_lat IS NOT NULL),
+  cd AS (SELECT id, i, CASE WHEN i = 120 THEN lat0 ELSE lat0 + radius * cos(angle) / 111320 END AS lat,
+    CASE WHEN i = 120 THEN lon0 ELSE lon0 + radius * sin(angle) / (111320 * cos(radians(lat0))) END AS lon FROM tr),
+  px AS (SELECT id, i, lat, lon, (ay > lat) <> (b_y > lat) AND lon < (ax - bx) * (lat - b_y) / nullif(ay - b_y, 0) + bx AS crosses, (ax - lon) * 111320 * cos(radians(lat)) AS x, (ay - lat) * 111320 AS y,
+    (bx - ax) * 111320 * cos(radians(lat)) AS dx, (b_y - ay) * 111320 AS dy FROM cd, ed),
+  sf AS (SELECT id, i, lat, lon FROM px GROUP BY id, i, lat, lon HAVING count(*) FILTER (crosses) % 2 = 1 AND min(sqrt(
+    pow(x + dx * greatest(0, least(1, -(x * dx + y * dy) / (dx * dx + dy * dy))), 2) + pow(y + dy * greatest(0, least(1, -(x * dx + y * dy) / (dx * dx + dy * dy))), 2))) >= {L.SAFE_INLAND_M})
+  SELECT ref.id, round(s.lat, 6) AS lat, round(s.lon, 6) AS lon FROM ref LEFT JOIN (SELECT id, arg_min(lat, i) AS lat, arg_min(lon, i) AS lon FROM sf GROUP BY 1) s ON s.id = ref.id""")
 def e22(s, d):
     p = _pins(s, d).withColumn("p", G.displaced("id", "ref_lat", "ref_lon", OUTLINE))
     return p.select("id", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"))
@@ -444,15 +466,20 @@ _DATE_SCORE = f"""CASE WHEN occurred_at > {_TS} + INTERVAL 90 MINUTE OR occurred
 _DATE_REJ = f"(occurred_at > {_TS} + INTERVAL 90 MINUTE OR occurred_at < {_TS} - INTERVAL 365 DAY)"
 
 
-def checked(s, d):
-    """Wire rows with every verification column. Age limit of a year, so that many rows stay in."""
-    as_of = F.lit(AS_OF).cast("timestamp")
-    df = facts(s, d).withColumn("date_confidence", F.when(F.col("flag") == "F", "certain").when(
+def wire_items(s, d):
+    """Wire rows as the ingest takes them, and the moment they are judged at."""
+    df = spread(view(s, d, "wire")).withColumn("date_confidence", F.when(F.col("flag") == "F", "certain").when(
         F.col("flag") == "O", "likely").otherwise("uncertain"))
     df = df.withColumn("source_score", K.source_score(
         F.least(F.lit(1.0), F.col("price") / 400000.0), F.col("source") % 4, (F.col("source") % 11) / 10.0))
-    df = df.withColumn("date_check", K.date_check("occurred_at", "date_confidence", as_of, 365))
-    return df, as_of
+    return df, F.lit(AS_OF).cast("timestamp")
+
+
+def checked(s, d):
+    """Wire rows with every verification column. Age limit of a year, so that many rows stay in."""
+    df, as_of = wire_items(s, d)
+    df = X.with_facts(df, "title", "body")
+    return df.withColumn("date_check", K.date_check("occurred_at", "date_confidence", as_of, 365)), as_of
 
 
 @query("q3_date_score", W(f"SELECT id, CAST(round({_DATE_SCORE}, 4) AS DOUBLE) AS score, {_DATE_REJ} AS reject FROM f"))
@@ -512,18 +539,7 @@ def q7(s, d):
 @query("q8_verification", W(f"""SELECT id, CASE WHEN {_DATE_REJ} OR outside THEN 'REJECTED' WHEN {_CONFID} >= 0.8 AND {_SRC} >= 0.5 THEN 'VERIFIED'
     WHEN {_CONFID} < 0.55 THEN 'SUSPICIOUS' ELSE 'PENDING_REVIEW' END AS verification FROM f"""))
 def q8(s, d):
-    return _verified(checked(s, d)[0]).select("id", "verification")
-
-
-def _verified(df):
-    scores = {
-        "date": F.col("date_check.score"), "place": K.place_check("facts.outside", "facts.municipality")["score"],
-        "consistency": K.consistency_check("title", "body", "facts.severity", "facts.fatalities", "facts.injuries",
-                                           "facts.municipality")["score"],
-        "body": K.body_check("body", "title"), "relevance": F.col("relevance"),
-    }
-    return df.withColumn("_conf", K.confidence(scores)).withColumn("verification", K.verification_status(
-        F.col("date_check.reject") | F.col("facts.outside"), "_conf", "source_score"))
+    return verified(checked(s, d)[0]).select("id", "verification")
 
 
 def _edited(s, d):
@@ -573,17 +589,6 @@ def q10(s, d):
     return a.select("id", F.array_join(gate, ",").alias("blockers"))
 
 
-@query("q13_outcome_split", W(f"""SELECT source, count(*) FILTER (o = 'rejected') AS rejected, count(*) FILTER (o = 'skipped') AS skipped, count(*) FILTER (o = 'draft') AS draft FROM
-    (SELECT source, CASE WHEN length(title) < 25 THEN 'skipped' WHEN NOT {_IN_SCOPE} OR outside OR {_DATE_REJ} THEN 'rejected' ELSE 'draft' END AS o FROM f) GROUP BY 1"""))
-def q13(s, d):
-    df, _ = checked(s, d)
-    df = df.withColumn("g", X.scope_gate("_c", "_h"))
-    outcome = F.when(F.char_length("title") < 25, "skipped").when(
-        ~F.col("g.local") | F.col("facts.outside") | F.col("date_check.reject"), "rejected").otherwise("draft")
-    counts = df.withColumn("o", outcome).groupBy("source")
-    return counts.agg(*[F.count_if(F.col("o") == k).alias(k) for k in ("rejected", "skipped", "draft")])
-
-
 @query("q14_body_choice", "SELECT doc_id, CASE WHEN length(text) >= 200 THEN 'body' ELSE 'summary' END AS chosen FROM documents")
 def q14(s, d):
     return load(s, d, "documents").select("doc_id", F.when(F.char_length("text") >= 200, "body").otherwise("summary").alias("chosen"))

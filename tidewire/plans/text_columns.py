@@ -245,9 +245,24 @@ def t24(s, d):
     return hit.join(total, "item_id").filter(share > L.MAX_OVERLAP).select("doc_id", "item_id", F.round(share, 6).alias("overlap"))
 
 
-@query("t25_lost_numbers")
+def _has(x, pattern):
+    return f"regexp_matches({x}, {Q.lit(pattern)})"
+
+
+_SPELLED = "CASE n " + " ".join(f"WHEN {k} THEN {Q.lit(v)}" for k, v in L.SPELLED.items()) + " END"
+
+
+@query("t25_lost_numbers", with_views(rf"""WITH x AS (SELECT id, title, body, regexp_extract_all(title, '\b\d{{1,3}}\b') AS ns, string_split_regex(title, '\b\d{{1,3}}\b') AS gs FROM wire),
+  k AS (SELECT *, unnest(range(1, len(ns) + 1)) AS j FROM x), p AS (SELECT id, title, body, CAST(ns[j] AS INT) AS n,
+    1 + list_sum(list_transform(gs[1:j], lambda g: length(g))) + coalesce(list_sum(list_transform(ns[1:j - 1], lambda g: length(g))), 0) AS pos FROM k),
+  w AS (SELECT id, body, n, lower(substr(title, CAST(greatest(1, pos - 28) AS BIGINT), CAST(least(28, pos - 1) AS BIGINT))) AS b, lower(substr(title, CAST(pos AS BIGINT), 34)) AS a FROM p),
+  v AS (SELECT DISTINCT id, body, n FROM w WHERE CASE WHEN {_has('a', L.VICTIM_AFTER)} OR {_has('b', L.VICTIM_BEFORE)} THEN true
+    WHEN {_has('b', L.REF_BEFORE)} OR {_has('a', L.REF_AFTER)} THEN false WHEN {_has("b || ' ' || a", L.CALENDAR)} THEN false ELSE n >= 10 END),
+  l AS (SELECT id, n, NOT (contains(strip_accents(body), CAST(n AS VARCHAR)) OR coalesce(contains(' ' || regexp_replace(lower(strip_accents(body)), '[^a-z0-9_]+', ' ', 'g') || ' ', ' ' || {_SPELLED} || ' '), false)) AS lost FROM v)
+  SELECT wire.id, coalesce(string_agg(CAST(n AS VARCHAR), ',' ORDER BY n DESC), '') AS significant, coalesce(string_agg(CAST(n AS VARCHAR), ',' ORDER BY n DESC) FILTER (lost), '') AS lost
+  FROM wire LEFT JOIN l ON l.id = wire.id GROUP BY 1""", "wire"))
 def t25(s, d):
-    w = view(s, d, "wire")
+    w = spread(view(s, d, "wire").select("id", "title", "body"))
     return w.select("id", F.array_join(T.significant_numbers("title"), ",").alias("significant"),
                     F.array_join(T.lost_numbers("title", "body"), ",").alias("lost"))
 

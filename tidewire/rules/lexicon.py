@@ -277,8 +277,8 @@ VEHICLE_ROOTS = [
     "motorista", "ciclistas",
 ]
 VEHICLE_WORDS = [
-    "coche", "coches", "moto", "motos", "bici", "vehiculo", "vehiculos", "taxi", "taxis",
-    "tractor", "tractores", "grua", "gruas", "furgoneta", "caravana", "movilidad", "via",
+    "coche", "coches", "moto", "motos", "bici", "bici-electrico", "vehiculo", "vehiculos",
+    "taxi", "taxis", "tractor", "tractores", "grua", "gruas", "furgoneta", "caravana", "movilidad", "via",
     "vias", "vial", "calle", "calles", "carretera", "cruce", "cruces", "crucero", "carril",
     "carriles", "pista", "pistas", "puente", "puentes", "parking", "garaje", "curva",
     "curvas", "recta", "km",
@@ -361,3 +361,22 @@ PUBLISH = {
 PIN_RADIUS_KM = 1.2
 LAND_MARGIN_M, SAFE_INLAND_M, EDGE_M = 150, 200, 50
 LOCAL_ZONE = "Atlantic/Canary"
+
+# What surrounds a number that counts victims, and what a number refers to instead.
+VICTIM_AFTER = r"\b(herid|fallecid|muerto|muert|víctim|victima|personas|implicad|lesionad)\w*"
+VICTIM_BEFORE = r"\b(herid|fallecid|muerto|muert|víctim|victima)\w*"
+REF_BEFORE = r"\b(h|lz|carretera|km|kilometro|puerto|camino|vía|via)\s*-?\s*$"
+REF_AFTER = r"^\s*(h|hs|horas|min|minutos)\b"
+CALENDAR = (
+    r"\b(lunes|martes|miercoles|jueves|viernes|sabado|domingo|enero|febrero|marzo|abril|mayo|"
+    r"junio|julio|agosto|septiembre|octubre|noviembre|diciembre)\b"
+)
+
+# Words for deaths and injuries, a count of injured, and what each inconsistency costs.
+DEATH_WORDS = r"(?i)\b(fallecid\w*|murio|murieron|muerte|muertos?|decresid\w*)\b"
+HURT_WORDS = r"(?i)\bherid"
+HURT_COUNT = rf"(?i)(\d{{1,2}}|{'|'.join(HEADLINE_NUMBERS)})\s+(?:\w+\s+){{0,2}}herid"
+CONSISTENCY_COSTS = {
+    "muerte_solo_en_titular": 0.45, "heridos_solo_en_titular": 0.3, "grave_sin_cifras": 0.25, "grave_a_cero": 0.3,
+    "cifras_distintas": 0.35, "cuerpo_corto": 0.5,
+}

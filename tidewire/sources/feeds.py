@@ -137,6 +137,37 @@ def syndication(articles: DataFrame, sources: DataFrame, images: DataFrame, limi
         F.coalesce("published_at", "created_at").alias("date"), "source_urls", "image_url")
 
 
+def escape_xml(c) -> Column:
+    c = col(c)
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        c = F.replace(c, F.lit(char), F.lit(name))
+    return c
+
+
+def feed_item(site: str, outlet: str = "Redaccion") -> Column:
+    """One RSS 2.0 item of a ``syndication`` row that also has a slug."""
+    url = escape_xml(F.concat(F.lit(f"{site}/noticias/"), F.col("slug")))
+    image = F.when(F.col("image_url").rlike("^https?:"), F.col("image_url")).otherwise(F.concat(F.lit(site), F.col("image_url")))
+    source = escape_xml(F.coalesce(F.get("source_urls", F.lit(0)), F.lit(site)))
+    return F.concat(
+        F.lit("    <item>\n      <title>"), escape_xml("title"), F.lit("</title>\n      <link>"), url, F.lit('</link>\n      <guid isPermaLink="true">'), url,
+        F.lit("</guid>\n      <pubDate>"), F.date_format("date", "EEE, dd MMM yyyy HH:mm:ss 'GMT'"), F.lit("</pubDate>\n      <description>"),
+        escape_xml(F.coalesce("description", F.lit(""))), F.lit("</description>"),
+        F.coalesce(F.concat(F.lit('\n      <enclosure url="'), escape_xml(image), F.lit('" type="image/webp" length="0"/>')), F.lit("")),
+        F.lit('\n      <source url="'), source, F.lit(f'">{outlet}</source>\n    </item>'))
+
+
+def write_feed(rows: DataFrame, path: str, site: str, title: str) -> None:
+    """The feed as one text file, newest first. The list is the cut of ``syndication``, so one task writes it."""
+    spark = rows.sparkSession
+    items = rows.select(F.lit(1).alias("_part"), F.col("date").alias("_date"), F.col("id").alias("_id"), feed_item(site).alias("value"))
+    ends = spark.createDataFrame([
+        (0, f'<?xml version="1.0" encoding="UTF-8"?>\n<rss version="2.0">\n  <channel>\n    <title>{title}</title>\n    <link>{site}</link>'),
+        (2, "  </channel>\n</rss>")], "_part int, value string")
+    whole = items.unionByName(ends, allowMissingColumns=True).coalesce(1)
+    whole.sortWithinPartitions("_part", F.desc("_date"), "_id").select("value").write.mode("errorifexists").text(path)
+
+
 def write_partitioned(df: DataFrame, path: str, by: list[str], fmt: str = "parquet") -> None:
     """Clustered by the partition columns plus a salt, so that one hot value writes many files."""
     df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(32))).repartition(*by, "_salt").drop(
