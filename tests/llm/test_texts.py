@@ -82,7 +82,7 @@ def test_any_ids_decode_as_in_the_library():
     for _ in range(2000):
         ids = rng.choice([0, 1, 2, 5, 131, 198, 200, 227, 259, 300, 400], rng.integers(0, 8)).tolist()
         assert merger.decode(np.array(ids, "<u4").tobytes()) == merger.lib.decode(ids), ids
-    assert merger.encode(["x" * 5000])[0] == np.array(merger.lib.encode("x" * 5000, add_bos=True, add_eos=True), "<u4").tobytes()
+    assert merger.encode_and_decode(["x" * 5000])[0][0] == np.array(merger.lib.encode("x" * 5000, add_bos=True, add_eos=True), "<u4").tobytes()
 
 
 # decontamination

@@ -31,7 +31,11 @@ SCORED_DDL = "doc_id long, held_out boolean, n_tokens long, known long, base dou
 
 
 class Tokens:
-    """Tokens of some texts (words with A-Z lower-cased, then one end each) and their n-gram keys."""
+    """Tokens of some texts (words with A-Z lower-cased, then one end each) and their n-grams.
+
+    ``ids[n]`` numbers the n+1-gram that ends at each token, ``keys[n]`` has the key of each number. A gram is numbered from the
+    numbers of its context and its word, so only distinct grams are hashed.
+    """
 
     def __init__(self, texts: list[bytes], order: int):
         number = {b"": 0}
@@ -45,14 +49,15 @@ class Tokens:
         self.words, self.word, self.size = list(number), np.array(flat, np.int64), np.array(size)
         self.begin = np.cumsum(self.size) - self.size
         hashes = np.array([xxh64_intdigest(w) for w in number], np.uint64)
-        key = mix(hashes)[self.word]
-        self.orders, end, self.padding = [key], mix(hashes[:1]), []
+        self.ids, self.keys, end, self.padding = [self.word], [mix(hashes)], mix(hashes[:1]), []
         for _ in range(1, order):
-            context = np.concatenate([end, key[:-1]])
-            context[self.begin] = end
-            key = self._longer(context, hashes[self.word])
+            contexts = np.concatenate([self.keys[-1], end])  # the last is what stands before a text
+            context = np.concatenate([[0], self.ids[-1][:-1]])
+            context[self.begin] = len(contexts) - 1
+            grams, ids = np.unique(context * len(number) + self.word, return_inverse=True)
+            self.ids.append(ids)
+            self.keys.append(self._longer(contexts[grams // len(number)], hashes[grams % len(number)]))
             end = self._longer(end, hashes[:1])
-            self.orders.append(key)
             self.padding.append(end)
 
     @staticmethod
@@ -66,7 +71,10 @@ def gram_filter(texts: DataFrame, order: int, segments: int) -> DataFrame:
         for _, own in text_chunks(batches, 2 * CHUNK_BYTES):
             t = Tokens(own, order)
             # a context before the first word: as many ends as it takes
-            keys, counts = np.unique(np.concatenate([*t.orders, *[np.repeat(p, len(own)) for p in t.padding[:-1]]]), return_counts=True)
+            keys = np.concatenate([*t.keys, *t.padding[:-1]])
+            counts = np.concatenate([*[np.bincount(i, minlength=len(k)) for i, k in zip(t.ids, t.keys)], np.full(len(keys), len(own))])[:len(keys)]
+            sort = np.argsort(keys)
+            keys, counts = keys[sort], counts[sort]
             for s, a, b in logbloom.slices(keys, segments):
                 yield batch_of(PARTS, segment=[s], keys=[keys[a:b].tobytes()], counts=[counts[a:b].astype(np.uint32).tobytes()])
 
@@ -107,13 +115,17 @@ class Scorer:
     def prepare(self, ids: list, held_out: list, texts: list[bytes]) -> dict:
         """All but the filter's answers: distinct n-gram keys, where each token's are, and what the words give."""
         t = Tokens(texts, self.order)
-        keys, at = np.unique(np.concatenate(t.orders), return_inverse=True)
+        keys = np.concatenate(t.keys)
+        sort = np.argsort(keys)
+        rank = np.empty(len(keys), np.int32)
+        rank[sort] = np.arange(len(keys), dtype=np.int32)
+        first = np.cumsum([0, *map(len, t.keys)])
         count = np.array([self.head.get(w, (-1,))[0] for w in t.words], np.int64)[t.word]
         doc = np.repeat(np.arange(len(texts)), t.size)
         here = count >= 0
         rest = ~here
-        return {"ids": ids, "held_out": held_out, "size": t.size, "begin": t.begin, "keys": keys,
-                "at": at.astype(np.int32).reshape(self.order, -1),
+        return {"ids": ids, "held_out": held_out, "size": t.size, "begin": t.begin, "keys": keys[sort],
+                "at": np.stack([rank[f + i] for f, i in zip(first, t.ids)]),
                 "known": np.add.reduceat((count > 0).astype(np.int64), t.begin),
                 "base": np.add.reduceat(np.where(here, np.log10(np.maximum(count, 0) + 0.5), 0), t.begin),
                 "tail": sums.tails(doc[rest], t.word[rest], t.words, len(texts))}

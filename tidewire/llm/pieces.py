@@ -53,6 +53,9 @@ class Merger:
         self.parts = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[{alone}]|[^{SPACE}{alone}]+")
         self.before: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        #: What the ids of a part show, for the parts of ``before`` and ``known``.
+        self.raw_before: dict[str, bytes] = {}
+        self.raw: dict[str, bytes] = {}
         shown = {i: names[i].replace(SPACE, " ").encode() for i in plain}
         self.shown = [shown.get(i, b"") for i in range(len(names))]
         self.shown[self.unknown] = " ⁇ ".encode()
@@ -99,11 +102,12 @@ class Merger:
         """Merge the parts that are new, and hold them against the library, led by a line end that merges with nothing."""
         if len(self.known) > REMEMBERED:
             self.before, self.known = self.known, {}
+            self.raw_before, self.raw = self.raw, {}
         new = []
         for p in parts:
             if p not in self.known:
                 if (ids := self.before.get(p)) is not None:
-                    self.known[p] = ids
+                    self.known[p], self.raw[p] = ids, self.raw_before[p]
                 else:
                     new.append(p)
         ours = [self.merge(p) for p in new]
@@ -113,14 +117,30 @@ class Merger:
             raise RuntimeError("merging differs from the sentencepiece library")
         for p, ids in zip(new, ours):
             self.known[p] = np.array(ids, "<u4").tobytes()
+            self.raw[p] = b"".join(map(self.shown.__getitem__, ids))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids with begin and end, as little-endian 32-bit integers."""
+    def encode_and_decode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """Ids with begin and end, and what they decode to. The bytes of a part are remembered with its ids; only where they do
+        not make a text, or do not begin with the piece of a space, the ids are decoded one by one."""
         cut = [self.parts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         self.learn(set().union(*cut))
         bos, eos = (np.array([i], "<u4").tobytes() for i in (self.bos, self.eos))
-        get = self.known.__getitem__
-        return [b"".join([bos, *map(get, c), eos]) for c in cut]
+        ids, raw = self.known.__getitem__, self.raw.__getitem__
+        packed = [b"".join([bos, *map(ids, c), eos]) for c in cut]
+        decoded = []
+        for c, own in zip(cut, packed):
+            # A text starts with the mark of a space, which is a piece or the start of one, never bytes.
+            text = b"".join(map(raw, c))
+            try:
+                decoded.append(text[1:].decode() if text[:1] == b" " and self.spaced(own[4:8]) else "" if not c else self.decode(own))
+            except UnicodeDecodeError:
+                decoded.append(self.decode(own))
+        return packed, decoded
+
+    def spaced(self, first: bytes) -> bool:
+        """Whether the first id of a text is a piece of its own that starts with a space."""
+        i = int.from_bytes(first, "little")
+        return i not in self.byte_of and i != self.unknown and self.shown[i][:1] == b" "
 
     def decode(self, ids: bytes) -> str:
         """The text of packed ids: spaces restored, the leading one dropped, byte pieces joined."""
@@ -173,8 +193,8 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def run(batches):
         m = merger(model.value)
         for rows, texts in text_chunks(batches):
-            ids = m.encode([t.decode() for t in texts])
-            yield batch_of(OUT, doc_id=rows.column("id"), ids=ids, decoded=[m.decode(x) for x in ids])
+            ids, decoded = m.encode_and_decode([t.decode() for t in texts])
+            yield batch_of(OUT, doc_id=rows.column("id"), ids=ids, decoded=decoded)
 
     return keyed_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded string")
 
