@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import heapq
 import re
+from operator import add
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +22,13 @@ from pyspark.sql.types import ArrayType, LongType
 from .common import batch_of, keyed_text, text_chunks
 
 SPACE = "▁"
-#: Parts remembered per worker: this many recent ones, and as many from before.
-REMEMBERED = 150_000
+#: Bytes of parts that a worker remembers, about: so many of recent ones, and as many of those before.
+REMEMBERED = 96 << 20
 OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
+LOW = (1 << 32) - 1
+#: Symbols of a part whose agenda is a list; and the rank of a pair that is no piece.
+SHORT, NONE = 48, 1 << 62
 _models: dict[bytes, "Merger"] = {}
 
 
@@ -38,7 +43,9 @@ class Merger:
         if any(lib.is_unused(i) for i in range(len(names))):
             raise ValueError("vocabularies with unused pieces are not supported")
         self.ids = {names[i]: i for i in plain}
-        self.cost = {names[i]: -lib.get_score(i) for i in plain}
+        place = {c: k for k, c in enumerate(sorted({-lib.get_score(i) for i in plain}))}
+        #: Higher scores merge first; equal ones from the left.
+        self.rank = {names[i]: place[-lib.get_score(i)] << 32 for i in plain}
         self.bytes = {int(names[i][3:5], 16): i for i in range(len(names)) if lib.is_byte(i)}
         self.unknown, self.bos, self.eos = lib.unk_id(), lib.bos_id(), lib.eos_id()
         probe = "  a ﬁ Ａ\n b "
@@ -51,6 +58,7 @@ class Merger:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids) or "\n" in long:
             raise ValueError("vocabularies whose pieces span words or lines are not supported")
         self.parts = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[{alone}]|[^{SPACE}{alone}]+")
+        self.held = 0
         self.before: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         #: What the ids of a part show, for the parts of ``before`` and ``known``.
@@ -65,27 +73,7 @@ class Merger:
 
     def merge(self, part: str) -> list[int]:
         """Ids of one part: pop the best adjacent pair until none is a piece."""
-        cost, symbols, n = self.cost, list(part), len(part)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            if pair in cost:
-                agenda.append((cost[pair], i, pair))
-        heapq.heapify(agenda)
-        while agenda:
-            _, i, pair = heapq.heappop(agenda)
-            j = after[i]
-            if not symbols[i] or j >= n or len(symbols[i]) + len(symbols[j]) != len(pair):
-                continue  # one side has been merged since
-            symbols[i], symbols[j] = pair, ""
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (right := pair + symbols[k]) in cost:
-                    heapq.heappush(agenda, (cost[right], i, right))
-            if (h := before[i]) >= 0 and (left := symbols[h] + pair) in cost:
-                heapq.heappush(agenda, (cost[left], h, left))
+        symbols = self._short(part) if len(part) <= SHORT else self._long(part)
         out, ids, byte = [], self.ids, self.bytes
         for s in symbols:
             if s:
@@ -98,12 +86,53 @@ class Merger:
                     out.append(self.unknown)
         return out
 
+    def _short(self, part: str) -> list[str]:
+        """The agenda as a list in the order of the text: the least rank, leftmost on ties, is taken from it."""
+        get, symbols = self.rank.get, list(part)
+        agenda = [get(pair, NONE) for pair in map(add, symbols, symbols[1:])]
+        while agenda and (rank := min(agenda)) != NONE:
+            i = agenda.index(rank)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(symbols[i] + symbols[i + 1], NONE)
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + symbols[i], NONE)
+        return symbols
+
+    def _long(self, part: str) -> list[str]:
+        """The agenda as a heap, for parts that a list would take too long for; merged symbols leave empty ones."""
+        get, symbols, n = self.rank.get, list(part), len(part)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        # An entry is one number: the rank of the pair above the place of its left symbol.
+        agenda = [r | i for i, pair in enumerate(map(add, symbols, symbols[1:])) if (r := get(pair)) is not None]
+        heapq.heapify(agenda)
+        while agenda:
+            entry = heapq.heappop(agenda)
+            i = entry & LOW
+            j, left = after[i], symbols[i]
+            if not left or j >= n:
+                continue
+            pair = left + symbols[j]
+            if get(pair) != entry - i:
+                continue  # one side has been merged since
+            symbols[i], symbols[j] = pair, ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := get(pair + symbols[k])) is not None:
+                    heapq.heappush(agenda, r | i)
+            if (h := before[i]) >= 0 and (r := get(symbols[h] + pair)) is not None:
+                heapq.heappush(agenda, r | h)
+        return symbols
+
     def learn(self, parts: set[str]) -> None:
         """Merge the parts that are new, and hold them against the library, led by a line end that merges with nothing."""
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
+            self.held = 0
             self.before, self.known = self.known, {}
             self.raw_before, self.raw = self.raw, {}
-        new = []
+        new, size = [], len(self.known)
         for p in parts:
             if p not in self.known:
                 if (ids := self.before.get(p)) is not None:
@@ -116,8 +145,10 @@ class Merger:
         if any(a != b[lead:] for a, b in zip(ours, theirs)):
             raise RuntimeError("merging differs from the sentencepiece library")
         for p, ids in zip(new, ours):
-            self.known[p] = np.array(ids, "<u4").tobytes()
+            self.known[p] = pack(f"<{len(ids)}I", *ids)
             self.raw[p] = b"".join(map(self.shown.__getitem__, ids))
+        # two entries of two dictionaries, and the part, its ids and its bytes as objects
+        self.held += 350 * (len(self.known) - size) + 8 * sum(map(len, new))
 
     def encode_and_decode(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
         """Ids with begin and end, and what they decode to. The bytes of a part are remembered with its ids; only where they do
