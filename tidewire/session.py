@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,6 +27,7 @@ DEFAULTS = {
 
 _shipped: set[str] = set()
 _local: dict[str, str] = {}
+_open = threading.local()
 
 
 def get_session(cores: str | None = None, app: str = "tidewire") -> SparkSession:
@@ -80,7 +84,10 @@ def _steps(spark: SparkSession) -> str:
 
 def step_path(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder, below the one folder of this application."""
-    return f"{_steps(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_steps(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in getattr(_open, "scratches", [])[-1:]:
+        paths.append(path)
+    return path
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -88,10 +95,31 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def clear_steps(spark: SparkSession) -> None:
     """Delete what this application has stored; results that still read it must have been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_steps(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _steps(spark))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Steps that this thread stores inside the block are deleted at its end, also after an error.
+
+    A result has to be written inside the block, to a ``step_path`` taken before it.
+    """
+    if not hasattr(_open, "scratches"):
+        _open.scratches = []
+    _open.scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _open.scratches.pop():
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(path)}")
+            _delete(spark, path)
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
@@ -105,6 +133,17 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _table_name(path: str) -> str:
+    return path.rsplit("/", 1)[1].replace("-", "_")
+
+
+def materialize_bucketed(df: DataFrame, name: str, column: str, buckets: int, compression: str = "snappy") -> DataFrame:
+    """``materialize`` as a table in ``buckets`` buckets of ``column``: what is joined to it by that column travels, it stays."""
+    path = step_path(df.sparkSession, name)
+    df.write.bucketBy(buckets, column).option("compression", compression).option("path", path).saveAsTable(_table_name(path))
+    return df.sparkSession.table(_table_name(path))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
