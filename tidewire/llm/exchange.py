@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import materialize, shuffle_width, step_path
+from ..session import materialize, materialize_bucketed, shuffle_width
 from .common import keyed_text, text_chunks
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -46,11 +46,7 @@ class Chunks:
                     pa.array([own], CHUNKS.field("texts").type),
                     pa.array([rows.column("carried").to_pylist()], CHUNKS.field("carried").type)], schema=CHUNKS)
 
-        path = step_path(self.spark, "chunks")
-        name = path.rsplit("/", 1)[1].replace("-", "_")
-        texts.mapInArrow(cut, CHUNKS_DDL).write.bucketBy(self.buckets, "part").option("compression", "zstd").option(
-            "path", path).saveAsTable(name)
-        self.table = self.spark.table(name)
+        self.table = materialize_bucketed(texts.mapInArrow(cut, CHUNKS_DDL), "chunks", "part", self.buckets, "zstd")
 
     def shards(self, bytes_each: int) -> int:
         return max(1, -(-self.size // bytes_each))
