@@ -122,6 +122,7 @@ def near_rows():
 @pytest.mark.parametrize("block", [2048, 3])
 def test_near_copies_are_those_of_jaccard(spark, near_rows, monkeypatch, block):
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "PAIRS_HELD", block)
     df = spark.createDataFrame(near_rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     label = jaccard_groups([r[1] for r in near_rows])
     want = {min(r[0] for r, x in zip(near_rows, label) if x == c) for c in set(label)}
