@@ -151,6 +151,24 @@ def test_similar_pairs_equal_brute_force(spark):
         assert {(r.inst_a, r.inst_b) for r in similar_pairs(sets, t, False).collect()} == want
 
 
+def test_similar_pairs_of_long_sets_stay_off_the_driver(spark):
+    """Rows of a prefix token carry no token arrays, and no side that grows with the sets is broadcast."""
+    sets = instances(spark.createDataFrame([(i, [f"t{x}" for x in range(i, i + 60)]) for i in range(40)], "id long, toks array<string>"), "id", "toks")
+    pairs = similar_pairs(sets, 0.6, False)
+    assert {(r.inst_a, r.inst_b) for r in pairs.collect()} == {(a, b) for a in range(40) for b in range(a + 1, 40) if (60 - b + a) / (60 + b - a) >= 0.6}
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "posexplode" in line and "toks" in line]
+
+
+def test_equal_contents_under_other_titles_in_neighbouring_buckets(spark):
+    """One content in many buckets and without a title too: counted in its own and the neighbouring windows, as by brute force."""
+    rows = [(i, [[], ["a", "b"], ["c", "d"]][i % 3], T0 + timedelta(hours=40 * i), "same", "00" * 8, None) for i in range(24)]
+    arts = spark.createDataFrame(rows, "id long, title_tokens array<string>, ts timestamp, content_hash string, simhash string, url_key string")
+    want = {a[0]: sum(a[0] != b[0] and abs(a[2] - b[2]) <= timedelta(hours=72) for b in rows) for a in rows}
+    assert {r.id: r.n_similar for r in D.similar_counts(arts).collect()} == want
+
+
 def test_cleanup_clusters_equal_union_find(spark):
     arts = article_fixture(spark, 300)
     rows = arts.collect()

@@ -70,7 +70,7 @@ def _title_groups(articles: DataFrame, threshold: float, hours: int, content: bo
     own = sets.filter("members > 1").select(
         F.col("inst").alias("group_a"), F.col("inst").alias("group_b"), F.lit(1.0).alias("jaccard"))
     pairs = cross.unionByName(own)
-    tagged = bucketed.join(sets.select("toks", "bucket", "inst"), ["toks", "bucket"])
+    tagged = bucketed.join(sets.select("toks", "bucket", "inst").hint("merge"), ["toks", "bucket"])
     if content:
         # Without title tokens only the content can be equal: one instance per content and bucket.
         bare = bucketed.filter(F.size("title_tokens") == 0).withColumn("inst", F.xxhash64(F.lit("no title"), "content_hash", "bucket"))
@@ -79,11 +79,19 @@ def _title_groups(articles: DataFrame, threshold: float, hours: int, content: bo
         pairs = pairs.unionByName(several.select(
             F.col("inst").alias("group_a"), F.col("inst").alias("group_b"), F.lit(0.0).alias("jaccard")))
         held = materialize(tagged.select("content_hash", "inst", "bucket", "toks").distinct(), "content_sets")
-        other = held.select("content_hash", F.col("inst").alias("group_b"), F.col("bucket").alias("_b2"), F.col("toks").alias("_t2"))
-        linked = held.withColumnRenamed("inst", "group_a").join(other, "content_hash").filter(
-            (F.col("group_a") < F.col("group_b")) & (F.abs(F.col("bucket") - F.col("_b2")) <= 1))
-        linked = linked.withColumn("jaccard", F.coalesce(T.jaccard("toks", "_t2"), F.lit(0.0))).filter(F.col("jaccard") < threshold - 1e-12)
-        pairs = pairs.unionByName(linked.select("group_a", "group_b", "jaccard").distinct())
+        # A content in many buckets meets its neighbours only, and tokens meet the pairs of different sets.
+        near = F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket")
+        title = F.when(F.size("toks") > 0, F.xxhash64("toks"))  # equal ones are compared above
+        some = held.select("content_hash", "bucket", F.col("inst").alias("group_a"), title.alias("_ha"))
+        other = held.select("content_hash", near, F.col("inst").alias("group_b"), title.alias("_hb"))
+        linked = some.join(other.hint("merge"), ["content_hash", "bucket"]).filter(
+            (F.col("group_a") < F.col("group_b")) & ~F.coalesce(F.col("_ha") == F.col("_hb"), F.lit(False)))
+        linked = linked.select("group_a", "group_b").distinct()
+        for x in "ab":
+            linked = linked.join(held.select(F.col("inst").alias(f"group_{x}"), F.col("toks").alias(f"_t{x}")).distinct().hint("merge"), f"group_{x}")
+        linked = linked.withColumn("jaccard", F.coalesce(T.jaccard("_ta", "_tb"), F.lit(0.0))).filter(F.col("jaccard") < threshold - 1e-12)
+        pairs = pairs.unionByName(linked.select("group_a", "group_b", "jaccard"))
+    pairs = materialize(pairs, "title_pairs")
     needed = pairs.select(F.col("group_a").alias("inst")).union(pairs.select(F.col("group_b"))).distinct()
     return tagged.join(needed, "inst", "left_semi"), pairs
 
@@ -103,7 +111,7 @@ def _packed(rows: DataFrame, group: str, *more: Column) -> DataFrame:
 
 def _met_by_title(articles: DataFrame, threshold: float, hours: int, judge, schema: str, content: bool = False) -> DataFrame:
     tagged, pairs = _title_groups(articles, threshold, hours, content)
-    return blocks.meet(materialize(_packed(tagged, "inst"), "titles"), "inst", materialize(pairs, "title_pairs"), judge, schema)
+    return blocks.meet(materialize(_packed(tagged, "inst"), "titles"), "inst", pairs, judge, schema)
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:

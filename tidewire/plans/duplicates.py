@@ -190,9 +190,9 @@ _KNOWN_EDGES = _EDGES.replace("e0 AS (", f"{_KNOWN}, e0 AS (SELECT id AS x, dupl
 
 def _known(s, d):
     """Articles marked as duplicates of the first one with their title."""
-    a = view(s, d, "articles").select("id", "title")
+    a = materialize(view(s, d, "articles").select("id", "title"), "titles")  # bodies go through the view's join once
     first = a.groupBy("title").agg(F.min("id").alias("duplicate_of_id"))
-    return a.join(first, "title").filter("id <> duplicate_of_id").select("id", "duplicate_of_id")
+    return materialize(a.join(first.hint("merge"), "title").filter("id <> duplicate_of_id").select("id", "duplicate_of_id"), "known")
 
 
 @query("d9_with_known_duplicates", A(f"WITH RECURSIVE {SIG}, {_KNOWN_EDGES} SELECT id, cluster FROM cl"))
