@@ -254,6 +254,17 @@ def test_pins(spark):
     assert sea.select(G.displaced("id", "lat", "lon", square).alias("p")).first().p is None
 
 
+def test_displacement_tries_batches(spark):
+    """Tries are made for whole batches; null keys keep their own point, nulls stay null, and each place is the first safe try."""
+    square = [[(28.9, -13.8), (28.9, -13.7), (29.0, -13.7), (29.0, -13.8)]]
+    rows = [(i, 28.9 + i % 50 / 490, -13.8 + i // 50 / 390) for i in range(2000)] + [(None, 28.95, -13.75), (1, None, -13.75)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double").withColumn("p", G.displaced("id", "lat", "lon", square))
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+    got = df.withColumn("safe", G.is_safe_site("p.lat", "p.lon", square)).collect()
+    assert all(r.safe for r in got if r.p) and sum(r.p is not None for r in got) > 1900
+    assert [(r.p.lat, r.p.lon) for r in got if r.id is None] == [(28.95, -13.75)] and [r.p for r in got if r.lat is None] == [None]
+
+
 def test_copy_overlap(spark):
     df = spark.createDataFrame([("a b c d e f g h", "x a b c d e f y"), ("a b", "a b")], "o string, r string")
     w = df.select(T.words(T.normalize_text("o")).alias("o"), T.words(T.normalize_text("r")).alias("r"))

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..rules import lexicon as L
@@ -104,42 +107,71 @@ def is_safe_site(lat, lon, rings) -> Column:
 MODULUS = (1 << 31) - 1
 
 
+def _unit(key: np.ndarray, i: int, salt: int) -> np.ndarray:
+    """A quadratic congruence in whole numbers, so that any engine finds the same places."""
+    x1 = (key % MODULUS * 48271 + i * 69621 + salt * 16807 + 1) % MODULUS
+    x2 = (x1 * x1 + 11) % MODULUS
+    return (x2 * 48271 + x1) % MODULUS / float(MODULUS)
+
+
+def _safe_sites(lat: np.ndarray, lon: np.ndarray, rings: list[Ring]) -> np.ndarray:
+    """``is_safe_site`` of many points."""
+    within, nearest = np.zeros(len(lat), bool), np.full(len(lat), np.inf)
+    m_lon = M_PER_DEGREE * np.cos(np.radians(lat))
+    for ring in rings:
+        odd = np.zeros(len(lat), bool)
+        for (ay, ax), (by, bx) in zip(ring, ring[1:] + ring[:1]):
+            if ay != by:
+                odd ^= ((ay > lat) != (by > lat)) & (lon < (ax - bx) * (lat - by) / (ay - by) + bx)
+            x, y = (ax - lon) * m_lon, (ay - lat) * M_PER_DEGREE
+            dx, dy = (bx - lon) * m_lon - x, (by - lat) * M_PER_DEGREE - y
+            length = dx * dx + dy * dy
+            t = np.clip(np.divide(-(x * dx + y * dy), length, out=np.zeros_like(x), where=length > 0), 0, 1)
+            nearest = np.minimum(nearest, np.sqrt((x + dx * t) ** 2 + (y + dy * t) ** 2))
+        within |= odd
+    return within & (nearest >= L.SAFE_INLAND_M)
+
+
+def _displaced(key: pa.Array, lat: pa.Array, lon: pa.Array, rings: list[Ring] | None, attempts: int) -> pa.Array:
+    own = [pc.fill_null(c.cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False) for c in (lat, lon)]
+    at = [np.full(len(key), np.nan) for _ in own]
+    there = pc.and_(lat.is_valid(), lon.is_valid()).to_numpy(zero_copy_only=False)
+    keyed = there & key.is_valid().to_numpy(zero_copy_only=False)
+    keys = pc.fill_null(key, 0).to_numpy(zero_copy_only=False)
+    left = np.flatnonzero(keyed)
+    for i in range(2 * attempts if rings else 1):
+        if not len(left):
+            break
+        low, high = (400.0, 900.0) if i < attempts else (120.0, 400.0)
+        k, y, x = keys[left], own[0][left], own[1][left]
+        radius, angle = low + _unit(k, i, 1) * (high - low), _unit(k, i, 2) * (2 * math.pi)
+        y, x = y + radius * np.cos(angle) / M_PER_DEGREE, x + radius * np.sin(angle) / (M_PER_DEGREE * np.cos(np.radians(y)))
+        hit = _safe_sites(y, x, rings) if rings else np.ones(len(left), bool)
+        at[0][left[hit]], at[1][left[hit]] = y[hit], x[hit]
+        left = left[~hit]
+    found = keyed.copy()
+    found[left] = False
+    if rings:  # the point itself comes last
+        rest = np.flatnonzero(there & ~found)
+        rest = rest[_safe_sites(own[0][rest], own[1][rest], rings)]
+        at[0][rest], at[1][rest] = own[0][rest], own[1][rest]
+        found[rest] = True
+        return pa.StructArray.from_arrays([pa.array(c) for c in at], ["lat", "lon"], mask=pa.array(~found))
+    none = pa.array(there & ~found)
+    return pa.StructArray.from_arrays([pc.if_else(none, None, pa.array(c)) for c in at], ["lat", "lon"], mask=pa.array(~there))
+
+
 def displaced(key, lat, lon, rings=None, attempts: int = 60) -> Column:
     """Privacy displacement seeded by the key: the same row always moves to the same place.
 
     60 tries at 400-900 m, 60 tries at 120-400 m, then the point itself, else null. Without an
-    outline the first try is taken.
+    outline the first try is taken. A batch is tried at once; each round goes on with the rows that are not yet on safe land.
     """
-    key, lat, lon = col(key), col(lat), col(lon)
-
-    def unit(i, salt):
-        # A quadratic congruence in whole numbers, so that any engine finds the same places.
-        m = F.lit(MODULUS)
-        x1 = (F.pmod(key.cast("long"), m) * 48271 + i.cast("long") * 69621 + salt * 16807 + 1) % m
-        x2 = (x1 * x1 + 11) % m
-        return ((x2 * 48271 + x1) % m) / F.lit(float(MODULUS))
-
-    def candidate(i):
-        far = i < attempts
-        low, high = F.when(far, 400.0).otherwise(120.0), F.when(far, 900.0).otherwise(400.0)
-        radius = low + unit(i, 1) * (high - low)
-        angle = unit(i, 2) * (2 * math.pi)
-        d_lon = radius * F.sin(angle) / (F.lit(M_PER_DEGREE) * F.cos(F.radians(lat)))
-        return F.struct((lat + radius * F.cos(angle) / M_PER_DEGREE).alias("lat"), (lon + d_lon).alias("lon"))
-
-    if rings is None:
-        return F.when(lat.isNotNull() & lon.isNotNull(), candidate(F.lit(0)))
-    # Most points settle within a few tries: those are unrolled and stop at the first safe one.
-    def first_tries(i):
-        p = candidate(F.lit(i))
-        return F.when(is_safe_site(p["lat"], p["lon"], rings), p)
-
-    unrolled = min(6, attempts)
-    tries = F.transform(F.sequence(F.lit(unrolled), F.lit(2 * attempts - 1)), candidate)
-    own = F.struct(lat.alias("lat"), lon.alias("lon"))
-    safe = F.filter(F.concat(tries, F.array(own)), lambda p: is_safe_site(p["lat"], p["lon"], rings))
-    return F.when(lat.isNotNull() & lon.isNotNull(), F.coalesce(
-        *[first_tries(i) for i in range(unrolled)], F.get(safe, F.lit(0))))
+    @F.arrow_udf("lat double, lon double")
+    def tries(key: pa.Array, lat: pa.Array, lon: pa.Array) -> pa.Array:
+        return _displaced(key, lat, lon, rings, attempts)
+
+    return tries(col(key).cast("long"), col(lat).cast("double"), col(lon).cast("double"))
 
 
 def pin_status(lat, lon, ref_lat, ref_lon) -> Column:
