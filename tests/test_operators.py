@@ -231,6 +231,19 @@ def test_facts_anchors(spark):
     assert r[3].facts.outside and r[3].facts.injuries == 0 and r[3].facts.category == "ATROPELLO"
 
 
+def test_shared_facts_equal_facts_per_row(spark):
+    """The rules run once per distinct pair of texts, nulls included, and every row gets what it would get by itself."""
+    texts = [("Choque con 7 heridos en la LZ-2 en Tías", "Sobre las 18:30 chocaron un coche y una moto."), ("Receta", None), (None, "Atropello en Yaiza"),
+             (None, None), ("Receta", "")]
+    df = spark.createDataFrame([(i, *texts[i % 5]) for i in range(60)], "id long, t string, b string")
+    columns = ["id", "facts", "relevance", "_t", "_b", "_c", "_h"]
+    want = {r.id: r for r in X.with_facts(df, "t", "b").select(*columns).collect()}
+    shared = X.with_shared_facts(df, "t", "b").select(*columns)
+    assert {r.id: r for r in shared.collect()} == want
+    plan = shared._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [") > plan.index("Repartition ")  # facts are made above the distinct texts
+
+
 def test_publication_gate_breaks_one_by_one(spark):
     good = dict(is_duplicate=False, verification="VERIFIED", confidence=0.9, source_score=0.7, rewritten=True, n_words=200,
                 place_known=True, n_grave=0, n_aviso=0, n_pii=0, age_hours=3)

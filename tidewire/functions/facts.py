@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..rules import lexicon as L
 from ..rules.places import MUNICIPALITIES, ZONES
+from ..session import shuffle_width
 from .text import col, deaccent, norm
 from .wordlist import digest, tree_pattern
 
@@ -223,6 +224,17 @@ def with_facts(df: DataFrame, title: str, body: str, out: str = "facts") -> Data
     )
 
 
+def with_shared_facts(df: DataFrame, title: str, body: str, out: str = "facts") -> DataFrame:
+    """``with_facts`` computed once per distinct pair of texts: agencies' items come many times, and the rules read texts alone.
+
+    Distinct texts are dealt evenly, as they are heavy per row; nulls are texts of their own.
+    """
+    texts = df.select(F.col(title).alias("_title"), F.col(body).alias("_body")).distinct()
+    made = with_facts(texts.repartition(shuffle_width(df.sparkSession)), "_title", "_body", out).hint("merge")
+    same = F.col(title).eqNullSafe(F.col("_title")) & F.col(body).eqNullSafe(F.col("_body"))
+    return df.join(made, same).drop("_title", "_body")
+
+
 def scope_gate(combined, terms) -> Column:
     """struct(local, reason) for normalised title + body text and its digest."""
     text, padded = col(combined), col(terms)

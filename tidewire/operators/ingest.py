@@ -35,7 +35,7 @@ def gated(items: DataFrame, seen: DataFrame, as_of: Column, max_age_days: int =
     """Items (id, title, body, occurred_at, date_confidence, source_score) with their facts, ``verification`` and ``reason``
     (null where every gate lets them pass). ``seen``: the ids that are stored already."""
     known = seen.select(F.col("id").alias("_seen")).distinct()
-    df = X.with_facts(items.join(known, F.col("id") == F.col("_seen"), "left"), "title", "body")
+    df = X.with_shared_facts(items.join(known, F.col("id") == F.col("_seen"), "left"), "title", "body")
     df = df.withColumn("date_check", K.date_check("occurred_at", "date_confidence", as_of, max_age_days))
     df = verified(df.withColumn("_scope", X.scope_gate("_c", "_h")))
     refused = {

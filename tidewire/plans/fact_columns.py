@@ -81,7 +81,7 @@ def W(select):
 
 
 def facts(s, d):
-    return X.with_facts(spread(view(s, d, "wire")), "title", "body")
+    return X.with_shared_facts(view(s, d, "wire"), "title", "body")
 
 
 @query("x1_injuries", W("SELECT id, injuries FROM f"))
@@ -468,7 +468,7 @@ _DATE_REJ = f"(occurred_at > {_TS} + INTERVAL 90 MINUTE OR occurred_at < {_TS} -
 
 def wire_items(s, d):
     """Wire rows as the ingest takes them, and the moment they are judged at."""
-    df = spread(view(s, d, "wire")).withColumn("date_confidence", F.when(F.col("flag") == "F", "certain").when(
+    df = view(s, d, "wire").withColumn("date_confidence", F.when(F.col("flag") == "F", "certain").when(
         F.col("flag") == "O", "likely").otherwise("uncertain"))
     df = df.withColumn("source_score", K.source_score(
         F.least(F.lit(1.0), F.col("price") / 400000.0), F.col("source") % 4, (F.col("source") % 11) / 10.0))
@@ -478,7 +478,7 @@ def wire_items(s, d):
 def checked(s, d):
     """Wire rows with every verification column. Age limit of a year, so that many rows stay in."""
     df, as_of = wire_items(s, d)
-    df = X.with_facts(df, "title", "body")
+    df = X.with_shared_facts(df, "title", "body")
     return df.withColumn("date_check", K.date_check("occurred_at", "date_confidence", as_of, 365)), as_of
 
 
