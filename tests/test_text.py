@@ -1,7 +1,9 @@
 """Text columns against small Python models and known anchors."""
 
+import tracemalloc
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as T, urls as U
@@ -111,3 +113,18 @@ def test_word_list_patterns():
     import re
     assert sorted(expand("rescatad[oa]s?")) == ["rescatada", "rescatadas", "rescatado", "rescatados"]
     assert re.fullmatch(tree_pattern(["bus", "busto", "ave", "aves", "a coruna"]), "busto")
+
+
+def test_memory_of_simhash_does_not_follow_the_batch():
+    def peak(rows):
+        lists = pa.array([[f"w{i * 37 + j}" for j in range(50)] for i in range(rows)], pa.list_(pa.string()))
+        tracemalloc.start()
+        out = T._simhashes(lists, 1 << 10)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    few, small = peak(200)
+    many, large = peak(2000)
+    assert many[:200] == few and len(many) == 2000
+    assert large < 2 * small

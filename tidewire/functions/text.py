@@ -131,7 +131,18 @@ def _token_units(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _simhashes(tokens: pa.ListArray, most: int) -> list[str]:
-    """SimHash of every token list of a batch: shingles of all lists are hashed and voted on in slices of ``most``."""
+    """SimHash of every token list of a batch, taken up in pieces of about ``most`` tokens: memory does not follow the batch."""
+    ends = np.cumsum(pc.list_value_length(tokens).to_numpy(zero_copy_only=False))
+    out, at = [], 0
+    while at < len(tokens):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        out += _simhashes_of(tokens.slice(at, to - at), most)
+        at = to
+    return out
+
+
+def _simhashes_of(tokens: pa.ListArray, most: int) -> list[str]:
+    """SimHash of these token lists: shingles of all of them are hashed and voted on in slices of ``most``."""
     tokens = tokens.cast(pa.list_(pa.string()))
     bounds = np.asarray(tokens.offsets) - tokens.offsets[0].as_py()
     n = np.diff(bounds)

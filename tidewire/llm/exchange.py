@@ -8,7 +8,6 @@ file). Keys of the chunks go by shuffle to shards of the key space; what a shard
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..session import materialize, materialize_bucketed, shuffle_width
 from .common import keyed_text, text_chunks
 
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 CHUNKS = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary())),
                     ("carried", pa.list_(pa.string()))])
 CHUNKS_DDL = "part long, chunk long, ids array<long>, texts array<binary>, carried array<string>"
@@ -70,17 +68,6 @@ class Chunks:
         return rows.mapInArrow(run, ddl)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
-    """Workers get rows of texts in batches of about ``size`` bytes, for steps that are stored inside the block."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, f"{size}b")
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH, before)
-
-
 def ask(row: dict, parts: Iterator[tuple[int, list[bytes]]]) -> Iterator[pa.RecordBatch]:
     """What a chunk sends: (shard, body) as rows."""
     parts = list(parts)

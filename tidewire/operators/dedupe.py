@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..rules import lexicon as L
-from ..session import materialize
+from ..session import materialize, small_batches
 from . import blocks, ordered
 from .similarity import instances, similar_pairs, time_bucket
 
@@ -39,7 +39,8 @@ def prepare(df: DataFrame, id_col: str, title: Column, body: Column, ts: Column,
     # Distinct tokens of "title title body" equal those of "title body".
     made = {"title_tokens": F.col("title_tokens"), "content_hash": T.hash_tokens("_tokens", first_tokens), "simhash": T.simhash_tokens("_tokens"),
             "url_key": normalize_url("_url"), "embedding": F.col("embedding")}
-    return materialize(tokens.select("id", "ts", *[made[n].alias(n) for n in SIGNATURES if n in only]), "signatures")
+    with small_batches(df.sparkSession):
+        return materialize(tokens.select("id", "ts", *[made[n].alias(n) for n in SIGNATURES if n in only]), "signatures")
 
 
 # --- levels 1 and 2: equal keys ----------------------------------------------------------

@@ -25,6 +25,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _shipped: set[str] = set()
 _local: dict[str, str] = {}
 _open = threading.local()
@@ -144,6 +146,17 @@ def materialize_bucketed(df: DataFrame, name: str, column: str, buckets: int, co
     return df.sparkSession.table(_table_name(path))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> Iterator[None]:
+    """Workers get rows of texts in batches of about ``size`` bytes, for steps that are stored inside the block."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, f"{size}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
