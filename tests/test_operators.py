@@ -337,3 +337,21 @@ def test_ingest_reasons_come_in_order(spark):
         1: ("draft", None), 2: ("skipped", "sin-titular"), 3: ("skipped", "vista"), 4: ("rejected", "fuera-de-ambito"), 5: ("rejected", "fecha"), 6: ("duplicate", None)}
     assert got[6].canonical_id == 1 and got[7].outcome == "skipped"
     assert got[1].findings == 4 and "612" not in got[1].clean and got[4].clean is None and got[4].findings == 0
+
+
+def test_work_on_titles_moves_no_texts(spark):
+    from tidewire.plans.bindings import titled, view
+    d = "/root/testdata/sf0.001"
+    a, b = (x.select("id", "title", "ts") for x in (titled(spark, d), view(spark, d, "articles")))
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    below = a._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+    assert "AS text" in below
+
+
+def test_comparing_groups_broadcasts_nothing(spark):
+    from tidewire.operators import blocks
+    rows = spark.range(40).selectExpr("id % 4 AS g", "id AS t", "id")
+    pairs = spark.range(4).selectExpr("id AS group_a", "id AS group_b")
+    met = blocks.meet(rows, "g", pairs, lambda a, b, record: {"id": a["id"]}, "id long")
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted(x.id for x in met.collect()) == list(range(40))

@@ -6,7 +6,7 @@ from the same rows. Keys become phrases, places and figures; every source row gi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import load, shuffle_width
 
@@ -98,12 +98,19 @@ VIEWS = {
 _TABLES = ["orders", "customer", "nation", "lineitem", "documents", "pages", "events"]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, **instead: DataFrame) -> DataFrame:
+    """A binding over the tables, or over what stands ``instead`` of some."""
     text = VIEWS[name]
-    used = {t: load(spark, sf_dir, t) for t in _TABLES if "{" + t + "}" in text}
+    used = {t: instead[t] if t in instead else load(spark, sf_dir, t) for t in _TABLES if "{" + t + "}" in text}
     return spark.sql(text, **used)
 
 
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles for work on titles: their body ends with the first line, so the join with the pages moves no texts."""
+    documents = load(spark, sf_dir, "documents")
+    return view(spark, sf_dir, "articles", documents=documents.withColumn("text", F.split_part("text", F.lit("\n"), F.lit(1))))
+
+
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Rows dealt round-robin over ``partitions``, the shuffle partitions of the session if not given.
 

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..rules import lexicon as L
 from ..session import load, materialize
 from . import sqltext as Q
-from .bindings import spread, view, with_views
+from .bindings import spread, titled, view, with_views
 from .registry import query
 
 
@@ -136,7 +136,7 @@ def _sets_oracle(threshold, bucket):
 
 
 def _set_pairs(s, d, threshold, bucket):
-    a = view(s, d, "articles").select("id", "ts", T.tokenize("title").alias("toks"))
+    a = titled(s, d).select("id", "ts", T.tokenize("title").alias("toks"))
     b = time_bucket(F.col("ts"), L.WINDOW_HOURS) if bucket else None
     pairs = similar_pairs(materialize(instances(a, "id", "toks", b), "sets"), threshold, bucket)
     return pairs.select("inst_a", "inst_b", "members_a", "members_b", F.round("jaccard", 6).alias("jaccard"))
@@ -190,7 +190,7 @@ _KNOWN_EDGES = _EDGES.replace("e0 AS (", f"{_KNOWN}, e0 AS (SELECT id AS x, dupl
 
 def _known(s, d):
     """Articles marked as duplicates of the first one with their title."""
-    a = materialize(view(s, d, "articles").select("id", "title"), "titles")  # bodies go through the view's join once
+    a = materialize(titled(s, d).select("id", "title"), "titles")
     first = a.groupBy("title").agg(F.min("id").alias("duplicate_of_id"))
     return materialize(a.join(first.hint("merge"), "title").filter("id <> duplicate_of_id").select("id", "duplicate_of_id"), "known")
 
