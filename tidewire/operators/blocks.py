@@ -49,15 +49,16 @@ def meet(rows: DataFrame, group: str, pairs: DataFrame, judge: Callable, schema:
     """
     extra = [c for c in pairs.columns if c not in ("group_a", "group_b")]
     sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
-    placed = rows.join(sizes, group).withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    # Nothing that grows with the table is broadcast: stored groups and pairs are far larger in memory than their files.
+    placed = rows.join(sizes.hint("merge"), group).withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
     size = {x: sizes.select(F.col(group).alias(f"group_{x}"), F.col("_n").alias(f"_n{x}")) for x in "ab"}
-    wide = pairs.join(size["a"], "group_a").join(size["b"], "group_b")
+    wide = pairs.join(size["a"].hint("merge"), "group_a").join(size["b"].hint("merge"), "group_b")
     same = F.col("_ga") == F.col("_gb")
 
     def side(mine: str, other: str, number: int) -> DataFrame:
         names = [c for c in rows.columns if c != group]
         own = wide.select(F.col(f"group_{mine}").alias(group), F.col("group_a").alias("_ga"), F.col("group_b").alias("_gb"), F.col(f"_n{other}").alias("_m"), *extra)
-        met = placed.join(own, group).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+        met = placed.join(own.hint("merge"), group).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
         # A group that meets itself: each pair of blocks once, and a block itself from one side.
         met = met.filter(~same | ((F.col("_blk") <= F.col("_other")) if mine == "a" else (F.col("_other") < F.col("_blk"))))
         ba, bb = ("_blk", "_other") if mine == "a" else ("_other", "_blk")

@@ -19,12 +19,12 @@ def components(links: DataFrame, a: str = "node", b: str = "root") -> DataFrame:
     labels = materialize(edges.groupBy(F.col("x").alias("node")).agg(
         F.least(F.min("y"), F.first("x")).alias("cluster")), "labels")
     while True:
-        offered = edges.join(labels, edges.y == labels.node).groupBy(F.col("x").alias("node")).agg(
+        offered = edges.join(labels.hint("merge"), edges.y == labels.node).groupBy(F.col("x").alias("node")).agg(
             F.min("cluster").alias("_c"))
-        step = labels.join(offered, "node").select("node", F.col("cluster").alias("_old"),
+        step = labels.join(offered.hint("merge"), "node").select("node", F.col("cluster").alias("_old"),
                                                    F.least("cluster", "_c").alias("_c"))
         jump = labels.select(F.col("node").alias("_n"), F.col("cluster").alias("_j"))
-        nxt = materialize(step.join(jump, step._c == jump._n, "left").select(
+        nxt = materialize(step.join(jump.hint("merge"), step._c == jump._n, "left").select(
             "node", F.least("_c", "_j").alias("cluster"), "_old"), "labels")
         changed = nxt.filter("cluster <> _old").limit(1).count()
         labels = nxt.select("node", "cluster")

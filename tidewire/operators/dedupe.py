@@ -94,7 +94,7 @@ def _title_groups(articles: DataFrame, threshold: float, hours: int, content: bo
         pairs = pairs.unionByName(linked.select("group_a", "group_b", "jaccard"))
     pairs = materialize(pairs, "title_pairs")
     needed = pairs.select(F.col("group_a").alias("inst")).union(pairs.select(F.col("group_b"))).distinct()
-    return tagged.join(needed, "inst", "left_semi"), pairs
+    return tagged.join(needed.hint("merge"), "inst", "left_semi"), pairs
 
 
 def _code(c: str) -> Column:
@@ -189,7 +189,7 @@ def near_duplicates(articles: DataFrame, hours: int = L.WINDOW_HOURS) -> DataFra
 
 def _best(found: DataFrame, articles: DataFrame) -> DataFrame:
     """Highest similarity per article, newest candidate on ties."""
-    stamped = found.join(articles.select(F.col("id").alias("candidate"), F.col("ts").alias("_ct")), "candidate")
+    stamped = found.join(articles.select(F.col("id").alias("candidate"), F.col("ts").alias("_ct")).hint("merge"), "candidate")
     key = F.struct("similarity", "_ct", "candidate")
     return stamped.groupBy("id").agg(F.max_by(F.struct("candidate", "similarity", "level"), key).alias("_m")).select(
         "id", "_m.candidate", "_m.similarity", "_m.level")
@@ -258,7 +258,7 @@ def verdicts(articles: DataFrame, hours: int = L.WINDOW_HOURS, semantic: bool =
     if semantic:
         found = found.unionByName(semantic_duplicates(articles, hours))
     best = roots(_best(found, articles))
-    return articles.select("id").join(best, "id", "left").select(
+    return articles.select("id").join(best.hint("merge"), "id", "left").select(
         "id", F.col("candidate").isNotNull().alias("is_duplicate"), F.col("candidate").alias("canonical_id"),
         F.round(F.coalesce("similarity", F.lit(0.0)), 3).alias("similarity"), "level")
 
@@ -269,9 +269,9 @@ def roots(best: DataFrame) -> DataFrame:
     jump = materialize(best.select("id", "candidate"), "jumps")
     while True:
         onward = jump.select(F.col("id").alias("candidate"), F.col("candidate").alias("_next"))
-        step = materialize(jump.join(onward, "candidate", "left"), "jumps")
+        step = materialize(jump.join(onward.hint("merge"), "candidate", "left"), "jumps")
         if step.filter("_next IS NOT NULL").limit(1).count() == 0:
-            return best.drop("candidate").join(jump, "id")
+            return best.drop("candidate").join(jump.hint("merge"), "id")
         jump = step.select("id", F.coalesce("_next", "candidate").alias("candidate"))
 
 
@@ -352,7 +352,8 @@ def cleanup_links(articles: DataFrame, hours: int = L.CLEANUP_HOURS, known: Data
     found = near.unionByName(copies.select(F.col("id").alias("node"), F.col("candidate").alias("root")))
     if known is not None:
         ids = articles.select("id")
-        marks = known.join(ids, "id", "left_semi").join(ids.withColumnRenamed("id", "duplicate_of_id"), "duplicate_of_id", "left_semi")
+        marks = known.join(ids.hint("merge"), "id", "left_semi").join(
+            ids.withColumnRenamed("id", "duplicate_of_id").hint("merge"), "duplicate_of_id", "left_semi")
         found = found.unionByName(marks.select(F.col("id").alias("node"), F.col("duplicate_of_id").alias("root")))
     return found.distinct()
 
