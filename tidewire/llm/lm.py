@@ -9,6 +9,7 @@ unigram up: P(w|h) = (c(hw) + strength * P(w|h')) / (c(h) + strength), all count
 from __future__ import annotations
 
 import pickle
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,14 @@ class Tokens:
     """
 
     def __init__(self, texts: list[bytes], order: int):
-        number = {b"": 0}
+        number: dict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__  # a word that is not there yet gets the next number
+        number[b""]
         flat: list[int] = []
         size = []
         for t in texts:
-            own = [number.setdefault(w, len(number)) for w in t.lower().split()]
-            flat += own
+            own = t.lower().split()
+            flat += map(number.__getitem__, own)
             flat.append(0)
             size.append(len(own) + 1)
         self.words, self.word, self.size = list(number), np.array(flat, np.int64), np.array(size)
@@ -54,7 +57,8 @@ class Tokens:
             contexts = np.concatenate([self.keys[-1], end])  # the last is what stands before a text
             context = np.concatenate([[0], self.ids[-1][:-1]])
             context[self.begin] = len(contexts) - 1
-            grams, ids = np.unique(context * len(number) + self.word, return_inverse=True)
+            seen = pa.array(context * len(number) + self.word).dictionary_encode()  # by hash, nothing is sorted
+            grams, ids = seen.dictionary.to_numpy(), seen.indices.to_numpy().astype(np.int64)
             self.ids.append(ids)
             self.keys.append(self._longer(contexts[grams // len(number)], hashes[grams % len(number)]))
             end = self._longer(end, hashes[:1])
