@@ -339,6 +339,21 @@ def test_ingest_reasons_come_in_order(spark):
     assert got[1].findings == 4 and "612" not in got[1].clean and got[4].clean is None and got[4].findings == 0
 
 
+def test_ingest_reads_each_text_once(spark):
+    """Scope, place, consistency and body are judged below the join that gives every row its texts' facts."""
+    from tidewire.operators import ingest as I
+    at = datetime(2026, 1, 10, 12)
+    texts = [("Choque con dos heridos en la LZ-2 en Arrecife", "Un coche y una moto."), ("Receta", None), (None, "Atropello en Yaiza"), ("Pleno en Madrid", "Sin heridos.")]
+    rows = [(i, *texts[i % 4], at, "certain", 0.9) for i in range(40)]
+    items = spark.createDataFrame(rows, "id long, title string, body string, occurred_at timestamp, date_confidence string, source_score double")
+    gated = I.gated(items, spark.createDataFrame([(39,)], "id long"), F.lit(at + timedelta(days=1)))
+    got = {r.id: (r.verification, r.reason) for r in gated.collect()}
+    assert all(got[i] == got[i % 4] for i in range(39)) and got[39][1] == "vista" and len(got) == 40
+    plan = gated._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("Join ")]
+    assert "RLIKE" not in above and "regexp" not in above
+
+
 def test_work_on_titles_moves_no_texts(spark):
     from tidewire.plans.bindings import titled, view
     d = "/root/testdata/sf0.001"

@@ -224,13 +224,17 @@ def with_facts(df: DataFrame, title: str, body: str, out: str = "facts") -> Data
     )
 
 
-def with_shared_facts(df: DataFrame, title: str, body: str, out: str = "facts") -> DataFrame:
+def with_shared_facts(df: DataFrame, title: str, body: str, out: str = "facts", also: dict[str, Column] | None = None) -> DataFrame:
     """``with_facts`` computed once per distinct pair of texts: agencies' items come many times, and the rules read texts alone.
 
-    Distinct texts are dealt evenly, as they are heavy per row; nulls are texts of their own.
+    Distinct texts are dealt evenly, as they are heavy per row; nulls are texts of their own. ``also``: more columns that follow from
+    ``_title``, ``_body`` and what ``with_facts`` adds; with them, only these, the facts and the relevance go to the rows.
     """
     texts = df.select(F.col(title).alias("_title"), F.col(body).alias("_body")).distinct()
-    made = with_facts(texts.repartition(shuffle_width(df.sparkSession)), "_title", "_body", out).hint("merge")
+    made = with_facts(texts.repartition(shuffle_width(df.sparkSession)), "_title", "_body", out)
+    if also:
+        made = made.select("_title", "_body", out, "relevance", *[c.alias(name) for name, c in also.items()])
+    made = made.hint("merge")
     same = F.col(title).eqNullSafe(F.col("_title")) & F.col(body).eqNullSafe(F.col("_body"))
     return df.join(made, same).drop("_title", "_body")
 

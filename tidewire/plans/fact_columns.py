@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates as D, facts as X, geo as G, quality as K, text as T
-from ..operators.ingest import verified
+from ..operators.ingest import text_scores, verified
 from ..rules import lexicon as L
 from ..functions.wordlist import digest
 from ..rules.places import MUNICIPALITIES, ZONES
@@ -478,7 +478,7 @@ def wire_items(s, d):
 def checked(s, d):
     """Wire rows with every verification column. Age limit of a year, so that many rows stay in."""
     df, as_of = wire_items(s, d)
-    df = X.with_shared_facts(df, "title", "body")
+    df = X.with_shared_facts(df, "title", "body", also=text_scores())
     return df.withColumn("date_check", K.date_check("occurred_at", "date_confidence", as_of, 365)), as_of
 
 
