@@ -104,6 +104,54 @@ def test_entries_in_shuffled_files(spark, chunk):
     assert len(got) > 100 and sorted(map(key, got)) == sorted(map(key, want))
 
 
+def test_entries_of_a_bucket_share_calls_and_timers():
+    """However many entries a bucket holds, a batch reads and writes its state once and sets one timer; nothing to tell is no frame."""
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.rows, self.puts, self.timers = [], 0, set()
+
+        def getListState(self, name, schema):
+            return self
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows, self.puts = rows, self.puts + 1
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def deleteTimer(self, at):
+            self.timers.discard(at)
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+    class Mark:
+        def __init__(self, minutes):
+            self.minutes = minutes
+
+        def getCurrentWatermarkInMs(self):
+            return self.minutes * 60_000
+
+    keys = [None, ""] + [f"k{i}" for i in range(300)]
+    frame = pd.DataFrame({"key": keys, "ts": pd.to_datetime([i * 60 for i in range(len(keys))], unit="s")})
+    handle, machine = Handle(), entries.Entries(360 * 60_000_000)
+    machine.init(handle)
+    assert list(machine.handleInputRows((5,), iter([frame]), Mark(-1))) == [] and handle.puts == 1 and handle.timers == {0}
+    (told,) = machine.handleExpiredTimer((5,), Mark(100), None)
+    assert told["state"].tolist() == ["PRESENT"] * 101 and handle.puts == 2 and handle.timers == {101 * 60_000}
+    (gone,) = machine.handleExpiredTimer((5,), Mark(9000), None)
+    gone = gone[gone["state"] == "MISSING"]
+    assert sorted(gone["key"], key=str) == sorted(keys, key=str) and not handle.timers
+    again = pd.DataFrame({"key": [None], "ts": pd.to_datetime([9001 * 60], unit="s")})
+    (back,) = machine.handleInputRows((5,), iter([again]), Mark(9001))
+    assert back[["key", "state", "sightings"]].values.tolist() == [[None, "PRESENT", 2]] and len(handle.rows) == len(keys)
+
+
 # late data
 
 def test_late_rows_land_apart(spark):

@@ -3,7 +3,8 @@
 Sightings may come in any order within the watermark. An entry keeps its open spells: runs of sightings with no gap longer than the
 silence. Merging a sighting into them does not depend on the order, and a spell that the watermark has left behind by the
 silence is closed and forgotten, so an entry holds a spell or two however often it is seen. What happened is told
-as soon as the watermark makes it final, which a timer sees to.
+as soon as the watermark makes it final, which a timer sees to. Entries are worked off by buckets of their keys: calls and
+timers then do not grow with the number of entries.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 from ..rules import lexicon as L
 
 OUT = "key string, at timestamp, state string, missing_count int, sightings long"
-#: A spell in microseconds; ``told``: its start has been passed on.
-SPELL = StructType([StructField("start", LongType()), StructField("stop", LongType()), StructField("n", LongType()), StructField("told", BooleanType())])
-ENTRY = StructType([StructField("before", LongType()), StructField("state", StringType())])
+#: Groups of entries that are worked off together: a call and its state cost the same for one entry as for hundreds.
+BUCKETS = 1024
+#: An open spell of an entry in microseconds; ``told``: its start has been passed on. An entry without one has a row with ``n`` 0.
+SPELL = StructType([
+    StructField("named", BooleanType()), StructField("key", StringType()), StructField("before", LongType()), StructField("state", StringType()),
+    StructField("start", LongType()), StructField("stop", LongType()), StructField("n", LongType()), StructField("told", BooleanType())])
 
 
 def spells_of(times: np.ndarray, silence: int) -> list[list]:
@@ -43,50 +47,66 @@ def merged(spells: list[list], silence: int) -> list[list]:
 
 
 class Entries(StatefulProcessor):
+    """The entries of one bucket: per key the sightings of closed spells, the state and the open spells."""
+
     def __init__(self, silence: int):
         self.silence = silence
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.spells = handle.getListState("spells", SPELL)
-        self.entry = handle.getValueState("entry", ENTRY)
+
+    def _held(self) -> dict[str | None, list]:
+        held: dict[str | None, list] = {}
+        for named, key, before, state, start, stop, n, told in self.spells.get():
+            entry = held.setdefault(key if named else None, [int(before), state, []])
+            if n:
+                entry[2].append([int(start), int(stop), int(n), bool(told)])
+        return held
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        spells = [list(x) for x in self.spells.get()]
-        for frame in rows:  # one Arrow batch at a time, never all sightings of an entry
-            spells = merged(spells + spells_of(np.sort(frame["ts"].to_numpy("datetime64[us]").astype(np.int64)), self.silence), self.silence)
-        yield self._tell(key, spells, timerValues.getCurrentWatermarkInMs())
+        held = self._held()
+        for frame in rows:  # one Arrow batch at a time, never all sightings of a bucket
+            times = frame["ts"].to_numpy("datetime64[us]").astype(np.int64)
+            which, names = pd.factorize(frame["key"], use_na_sentinel=False)
+            order = np.lexsort((times, which))
+            for part in np.split(order, np.flatnonzero(np.diff(which[order])) + 1):
+                name = names[which[part[0]]]
+                entry = held.setdefault(None if pd.isna(name) else name, [0, "PRESENT", []])
+                entry[2] = merged(entry[2] + spells_of(times[part], self.silence), self.silence)
+        yield from self._tell(held, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._tell(key, [list(x) for x in self.spells.get()], timerValues.getCurrentWatermarkInMs())
-
-    def _tell(self, key, spells: list[list], watermark_ms: int) -> pd.DataFrame:
-        before, _ = self.entry.get() if self.entry.exists() else (0, None)
-        mark, out, state = watermark_ms * 1000, [], "PRESENT"
-        due = None
-        while spells:
-            start, stop, n, told = spells[0]
-            if not told:
-                if start > mark:
-                    due = start
+        yield from self._tell(self._held(), timerValues.getCurrentWatermarkInMs())
+
+    def _tell(self, held: dict[str | None, list], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        mark, out, keep, due = watermark_ms * 1000, [], [], []
+        for key, (before, state, spells) in held.items():
+            while spells:
+                start, stop, n, told = spells[0]
+                state = "PRESENT"
+                if not told:
+                    if start > mark:
+                        due.append(start)
+                        break
+                    out.append((key, start, "PRESENT", 0, before + 1))
+                    spells[0][3] = True
+                if stop + self.silence > mark:
+                    due.append(stop + self.silence)
                     break
-                out.append((key[0], start, "PRESENT", 0, before + 1))
-                spells[0][3] = True
-            if stop + self.silence > mark:
-                due = stop + self.silence
-                break
-            out.append((key[0], stop + self.silence, "MISSING", L.MISSING_AFTER, before + n))
-            before, state = before + n, "MISSING"
-            del spells[0]
-        self.entry.update((before, state))
-        self.spells.put([tuple(x) for x in spells]) if spells else self.spells.clear()
+                out.append((key, stop + self.silence, "MISSING", L.MISSING_AFTER, before + n))
+                before, state = before + n, "MISSING"
+                del spells[0]
+            keep += [(key is not None, key or "", before, state, *x) for x in spells or [[0, 0, 0, False]]]
+        self.spells.put(keep)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if due is not None:
-            self.handle.registerTimer(-(-due // 1000))
-        frame = pd.DataFrame(out, columns=["key", "at", "state", "missing_count", "sightings"])
-        frame["at"] = pd.to_datetime(frame["at"], unit="us")
-        return frame
+        if due:
+            self.handle.registerTimer(-(-min(due) // 1000))
+        if out:
+            frame = pd.DataFrame(out, columns=["key", "at", "state", "missing_count", "sightings"])
+            frame["at"] = pd.to_datetime(frame["at"], unit="us")
+            yield frame
 
     def close(self) -> None:
         pass
@@ -95,6 +115,7 @@ class Entries(StatefulProcessor):
 def entry_states(stream: DataFrame, key: str, ts: str = "ts", delay: str = "90 minutes") -> DataFrame:
     """Transitions of every entry, each once the watermark has passed it. Needs the RocksDB state store (``replay.start``)."""
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts")).withWatermark("ts", delay)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
     silence = L.CADENCE_MINUTES * L.MISSING_AFTER * 60 * 1_000_000
-    return rows.groupBy("key").transformWithStateInPandas(
+    return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=Entries(silence), outputStructType=OUT, outputMode="append", timeMode="eventTime")
