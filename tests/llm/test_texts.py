@@ -174,6 +174,21 @@ def test_scores(docs, rows, order):
         assert sum(r.score for r in known) > sum(r.base_score for r in known)
 
 
+def test_words_are_numbered_as_split():
+    texts = [b"", b"  ", b"A a\x0bB\x0c\x1cc\x00 \xc2\xa0d\x85", b"b", "\tÄ ä\r\n".encode(), b"", b"a"]
+    words, number, size = lm._numbered(texts)
+    want = [t.lower().split() + [b""] for t in texts]
+    assert [words[i] for i in number] == [w for t in want for w in t] and size.tolist() == [len(t) for t in want]
+    assert words[0] == b"" and len(set(words)) == len(words)
+
+
+def test_filter_is_put_together_once(docs, monkeypatch):
+    made, put_together = [], logbloom.Filter.__init__
+    monkeypatch.setattr(logbloom.Filter, "__init__", lambda self, *args: made.append(1) or put_together(self, *args))
+    assert lm.score_documents(docs, F.lit(False)).count() == docs.count()
+    assert made == [1]  # by the driver: workers get it whole
+
+
 def test_tail_words(docs, monkeypatch):
     from tidewire.llm import sums
     whole = lm.score_documents(docs, F.lit(False)).collect()

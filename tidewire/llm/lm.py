@@ -9,7 +9,6 @@ unigram up: P(w|h) = (c(hw) + strength * P(w|h')) / (c(h) + strength), all count
 from __future__ import annotations
 
 import pickle
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +16,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
-from ..session import materialize
+from ..session import materialize, small_batches
 from . import logbloom, sums
 from .common import CHUNK_BYTES, batch_of, keyed_text, mix, text_chunks
 
 #: n-grams of one filter segment, about; and the largest filter that is broadcast.
 SEGMENT_KEYS, BROADCAST_BYTES = 1 << 21, 192 << 20
 STRENGTH = 20.0
+#: Rows that a worker gets at a time: keys come in pieces of many megabytes, and the JVM holds a batch several times over.
+BATCH_BYTES = 8 << 20
+SPACE = bytes([*range(9, 14), 32])
+#: 1 for bytes of words, 0 for space.
+INSIDE = bytes(x not in SPACE for x in range(256))
 
 PARTS = pa.schema([("segment", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
@@ -31,6 +35,21 @@ SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens
 SCORED_DDL = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, " + sums.TAIL_DDL
 
 
+def _numbered(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words, the end (of no bytes) first; the number of each token's word; tokens of each text."""
+    joined = b"\n".join([*texts, b""]).lower()
+    inside = np.frombuffer(joined.translate(INSIDE), np.int8)
+    start, stop = np.flatnonzero(inside != np.concatenate([[np.int8(0)], inside[:-1]])).reshape(-1, 2).T
+    before = np.searchsorted(stop, np.cumsum([len(t) + 1 for t in texts]), "right")  # words up to the end of each text
+    # Words without the space between them are one Arrow array; a first end gets number 0.
+    ends = np.concatenate([[0, 0], np.cumsum(np.insert(stop - start, before, 0))])
+    tokens = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(joined.translate(None, SPACE))])
+    seen = tokens.dictionary_encode()
+    at, held = (np.frombuffer(b, t) for b, t in zip(seen.dictionary.buffers()[1:], (np.int64, np.uint8)))
+    at, held = at[:len(seen.dictionary) + 1].tolist(), held.tobytes()
+    return [held[i:j] for i, j in zip(at, at[1:])], seen.indices.to_numpy()[1:].astype(np.int64), np.diff(before, prepend=0) + 1
+
+
 class Tokens:
     """Tokens of some texts (words with A-Z lower-cased, then one end each) and their n-grams.
 
@@ -39,28 +58,18 @@ class Tokens:
     """
 
     def __init__(self, texts: list[bytes], order: int):
-        number: dict[bytes, int] = defaultdict()
-        number.default_factory = number.__len__  # a word that is not there yet gets the next number
-        number[b""]
-        flat: list[int] = []
-        size = []
-        for t in texts:
-            own = t.lower().split()
-            flat += map(number.__getitem__, own)
-            flat.append(0)
-            size.append(len(own) + 1)
-        self.words, self.word, self.size = list(number), np.array(flat, np.int64), np.array(size)
+        self.words, self.word, self.size = _numbered(texts)
         self.begin = np.cumsum(self.size) - self.size
-        hashes = np.array([xxh64_intdigest(w) for w in number], np.uint64)
+        hashes = np.array([xxh64_intdigest(w) for w in self.words], np.uint64)
         self.ids, self.keys, end, self.padding = [self.word], [mix(hashes)], mix(hashes[:1]), []
         for _ in range(1, order):
             contexts = np.concatenate([self.keys[-1], end])  # the last is what stands before a text
             context = np.concatenate([[0], self.ids[-1][:-1]])
             context[self.begin] = len(contexts) - 1
-            seen = pa.array(context * len(number) + self.word).dictionary_encode()  # by hash, nothing is sorted
+            seen = pa.array(context * len(hashes) + self.word).dictionary_encode()  # by hash, nothing is sorted
             grams, ids = seen.dictionary.to_numpy(), seen.indices.to_numpy().astype(np.int64)
             self.ids.append(ids)
-            self.keys.append(self._longer(contexts[grams // len(number)], hashes[grams % len(number)]))
+            self.keys.append(self._longer(contexts[grams // len(hashes)], hashes[grams % len(hashes)]))
             end = self._longer(end, hashes[:1])
             self.padding.append(end)
 
@@ -150,11 +159,10 @@ class Scorer:
                         known=chunk["known"], base=chunk["base"], score=score, tail=chunk["tail"])
 
 
-def _near(docs: DataFrame, scorer, parts: list[tuple[int, bytes]], segments: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((segments, parts))
-
+def _near(docs: DataFrame, scorer, shared) -> DataFrame:
+    """``shared``: the whole filter, put together once for all workers, which hold it in one piece."""
     def run(batches):
-        own, found = scorer.value, logbloom.Filter(*shared.value)
+        own, found = scorer.value, shared.value
         for rows, texts in text_chunks(batches):
             chunk = own.prepare(rows.column("id"), rows.column("held_out"), texts)
             yield own.finish(chunk, found.ask(chunk["keys"]))
@@ -206,16 +214,23 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2, strength:
     counts = materialize(sums.word_counts(training, fold=True, with_end=True), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     segments = max(1, -(-total * order // SEGMENT_KEYS))
-    parts = materialize(gram_filter(training, order, segments), "filter")
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        parts = materialize(gram_filter(training, order, segments), "filter")
     context = docs.sparkSession.sparkContext
     scorer = context.broadcast(Scorer(order, strength, sums.head_of(counts, "n"), total, distinct))
     if (parts.agg(F.sum(F.length("bits"))).first()[0] or 0) <= broadcast_bytes:
         rows = parts.toArrow()
-        held = list(zip(rows.column("segment").to_pylist(), rows.column("bits").to_pylist()))
-        scored = _near(texts, scorer, held, segments)
+        held = [(s.as_py(), bits.as_buffer()) for s, bits in zip(rows.column("segment"), rows.column("bits"))]
+        shared = context.broadcast(logbloom.Filter(segments, held))
+        del rows, held
+        scored = _near(texts, scorer, shared)
     else:
-        scored = _far(texts, scorer, parts, segments)
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scores")
+        shared, scored = None, _far(texts, scorer, parts, segments)
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scores")
+    for sent in (scorer, shared):
+        if sent is not None:
+            sent.unpersist()  # nothing behind the stored scores reads it
     n = F.col("n")
     times = F.coalesce(F.col("c"), F.lit(0))
     full = sums.tail_sums(scored, counts.select("word", F.col("n").alias("c")),

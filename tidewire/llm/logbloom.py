@@ -14,6 +14,8 @@ from .common import MASK, mix
 BASE = 1.5
 BITS_PER_ENTRY = 10
 HASHES = 7
+#: Keys looked at together, few enough for the cache.
+ASKED = 1 << 15
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
@@ -47,7 +49,10 @@ def _tagged(keys: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _place(a: np.ndarray, size: np.ndarray | np.uint64) -> np.ndarray:
     """Bit positions below ``size``."""
-    return ((a >> np.uint64(32)) * size >> np.uint64(32)).astype(np.int64)
+    place = a >> np.uint64(32)
+    place *= size
+    place >>= np.uint64(32)
+    return place.view(np.int64)
 
 
 def build(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -71,27 +76,39 @@ class Filter:
         self.segments = segments
         self.start, self.size = np.zeros(segments, np.int64), np.zeros(segments, np.int64)
         at = 0
-        for s, bits in sorted(parts):
+        parts = sorted(parts, key=lambda part: part[0])
+        for s, bits in parts:
             self.start[s], self.size[s] = at * 8, len(bits) * 8
             at += len(bits)
-        self.bits = np.frombuffer(b"".join(b for _, b in sorted(parts)), np.uint8)
+        self.bits = np.frombuffer(b"".join(b for _, b in parts), np.uint8)
 
     def ask(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts, 0 for absent."""
+        """Quantised counts, 0 for absent. Of sorted keys, those looked at together lie in few segments."""
         out = np.zeros(len(keys), np.uint8)
-        alive = np.arange(len(keys))
+        for at in range(0, len(keys), ASKED):
+            self._ask(keys[at:at + ASKED], out[at:at + ASKED])
+        return out
+
+    def _ask(self, keys: np.ndarray, out: np.ndarray) -> None:
         own = segment_of(keys, self.segments)
-        start, size = self.start[own], self.size[own]
-        alive = alive[size > 0]
+        alive = np.flatnonzero(self.size[own] > 0)
+        keys, own = keys[alive], own[alive]
+        start, size = self.start[own], self.size[own].astype(np.uint64)
         tag = 1
         while len(alive):
-            found = alive
-            base, wide, part = start[alive], size[alive], keys[alive]
-            a, step = _tagged(part, tag)
-            for _ in range(HASHES):
-                place = _place(a, wide.astype(np.uint64)) + base
-                hit = (self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-                found, a, step, base, wide = found[hit], (a + step)[hit], step[hit], base[hit], wide[hit]
-            out[found] = tag
-            alive, tag = found, tag + 1
-        return out
+            a, step = _tagged(keys, tag)
+            here, base, wide = np.arange(len(keys)), start, size
+            hit = np.ones(len(keys), bool)
+            for n in range(HASHES):
+                place = _place(a, wide)
+                place += base
+                hit &= (self.bits.take(place >> 3, mode="clip") >> (place.astype(np.uint8) & np.uint8(7)) & np.uint8(1)).view(bool)
+                if n in (0, 2, HASHES - 1):  # seldom, as most keys that pass the first hashes pass all
+                    here = here[hit]
+                    if n < HASHES - 1 and len(here) < len(hit):
+                        a, step, base, wide, hit = a[hit], step[hit], base[hit], wide[hit], hit[hit]
+                a += step
+            out[alive[here]] = tag
+            if len(here) < len(alive):
+                alive, keys, start, size = alive[here], keys[here], start[here], size[here]
+            tag += 1
