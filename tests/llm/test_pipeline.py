@@ -137,3 +137,27 @@ def test_near_copies_of_odd_rows(spark, docs, no_docs, rows):
     empty = {r.component for r in got if r.doc_id in (100, 101, 102)}
     assert len(empty) == 1 and len({r.component for r in got if r.doc_id == 103}) == 1
     assert near.near_copies(no_docs).count() == 0
+
+
+def test_near_duplicates_store_little(spark, monkeypatch):
+    stored = {}
+
+    def kept(module):
+        store = module.materialize
+
+        def keep(df, name="step"):
+            stored[name] = store(df, name)
+            return stored[name]
+
+        monkeypatch.setattr(module, "materialize", keep)
+
+    kept(near)
+    kept(corpus_pipeline)
+    long = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, long), (2, long + " more"), (3, "one of a kind and no other"), (4, "told twice with one id"), (4, "told twice with one id"), (None, long)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, None)
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, long), rows[2], rows[3], (0, long)])
+    # Shingle sets pass to the chunks unstored; the rows that stay once are not sought among the texts again.
+    assert "sets" not in stored and "links" in stored
+    assert stored["rejected"].count() == 2 and stored["repeated"].count() == 1
