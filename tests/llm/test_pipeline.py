@@ -161,3 +161,13 @@ def test_near_duplicates_store_little(spark, monkeypatch):
     # Shingle sets pass to the chunks unstored; the rows that stay once are not sought among the texts again.
     assert "sets" not in stored and "links" in stored
     assert stored["rejected"].count() == 2 and stored["repeated"].count() == 1
+
+
+def test_workers_forget_the_pieces_before_chunks():
+    import public_tokenizers
+    from tidewire.llm import common, pieces
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        pieces.merger(f.read())
+    assert pieces._models
+    common.forget()  # as the first step of every chunk table does
+    assert not pieces._models

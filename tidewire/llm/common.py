@@ -13,6 +13,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 CHUNK_BYTES = 2 << 20
 MASK = (1 << 64) - 1
 MULTIPLIER = 0x9E3779B97F4A7C15
+_memories: list[dict] = []
+
+
+def memory() -> dict:
+    """A dictionary that a worker keeps from task to task, until it is told to forget."""
+    _memories.append({})
+    return _memories[-1]
+
+
+def forget() -> None:
+    """Drop what this worker has kept for other operators: an executor's workers outlive a step."""
+    for held in _memories:
+        held.clear()
 
 
 def col(name: str) -> Column:

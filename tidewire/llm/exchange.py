@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import materialize, materialize_bucketed, shuffle_width
-from .common import keyed_text, text_chunks
+from .common import forget, keyed_text, text_chunks
 
 CHUNKS = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary())),
                     ("carried", pa.list_(pa.string()))])
@@ -37,6 +37,7 @@ class Chunks:
         self.buckets = max(shuffle_width(self.spark), -(-self.size // (16 << 20)))
 
         def cut(batches):
+            forget()
             part = TaskContext.get().partitionId()
             for chunk, (rows, own) in enumerate(text_chunks(batches, chunk_bytes)):
                 yield pa.RecordBatch.from_arrays([

@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import batch_of, keyed_text, text_chunks
+from .common import batch_of, keyed_text, memory, text_chunks
 
 SPACE = "▁"
 #: Bytes of parts that a worker remembers, about: so many of recent ones, and as many of those before.
@@ -29,7 +29,7 @@ OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.st
 LOW = (1 << 32) - 1
 #: Symbols of a part whose agenda is a list; and the rank of a pair that is no piece.
 SHORT, NONE = 48, 1 << 62
-_models: dict[bytes, "Merger"] = {}
+_models: dict[bytes, "Merger"] = memory()
 
 
 class Merger:
