@@ -169,3 +169,30 @@ def test_thresholds_add_up():
         tables = [[np.bincount(simhash.gather_bits(fp, c), minlength=1 << len(c)) for c in cs] for cs in cuts]
         plan = simhash.Plan(len(fp), parts, tables, 4)
         assert (plan.thresholds(fp).sum(axis=1) == 4 - m + 1).all()
+
+
+def test_anchor_keys_fall_into_all_shards_alike():
+    rng = np.random.default_rng(3)
+    keys = suffix.Anchors([rng.integers(97, 123, 200_000).astype(np.uint8).tobytes()], 50, 26).key
+    count = np.bincount(suffix.logbloom.segment_of(keys, 16), minlength=16)
+    assert count.max() < 1.5 * count.mean() and count.min() > 0.5 * count.mean()
+
+
+@pytest.mark.parametrize("batch", [1 << 20, 2000, 100])
+def test_surroundings_of_one_anchor_are_dealt(monkeypatch, batch):
+    rng, sorted_at_once, sort = np.random.default_rng(5), [], suffix.smallest_with
+    monkeypatch.setattr(suffix, "BATCH", batch)
+    monkeypatch.setattr(suffix, "smallest_with", lambda data, *x: sorted_at_once.append(len(data)) or sort(data, *x))
+    gram, some = b"0123456789ABCDEFGHIJKLMNOP", lambda n, of: rng.choice(list(of), n).astype(np.uint8).tobytes()
+    ends = [some(9, b"xy") for _ in range(3)]
+    pieces = [(some(int(rng.choice([24, 24, 24, 7, 0])), b"ab"), ends[rng.integers(0, 3)] + some(15, b"abc")) for _ in range(400)]
+    pieces = [(a, a + gram + b[:24 if len(a) < 24 else int(rng.choice([24, 24, 11, 0]))]) for a, b in pieces]
+    before, size = (np.array([len(p[i]) for p in pieces]) for i in (0, 1))
+    owner, best = rng.permutation(400), {}
+    for (a, p), o in zip(pieces, owner):
+        for n in range(len(p) - 49):
+            best[p[n:n + 50]] = min(best.get(p[n:n + 50], NULL - 1), o)
+    text = np.frombuffer(b"".join(p for _, p in pieces), np.uint8)
+    got = suffix.least_owners(text, np.cumsum(size) - size, size, before, owner, 50)
+    assert got.tolist() == [[best.get(p[n:n + 50], NULL - 1) if n <= len(p) - 50 else NULL - 1 for n in range(25)] for _, p in pieces]
+    assert max(sorted_at_once, default=0) <= 2 * batch

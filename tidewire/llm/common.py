@@ -97,9 +97,7 @@ def ragged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def between(starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in one of the ranges [start, stop)."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.subtract.at(edge, stops, 1)
+    edge = np.bincount(starts, minlength=n + 1) - np.bincount(stops, minlength=n + 1)
     return np.cumsum(edge[:n]) > 0
 
 

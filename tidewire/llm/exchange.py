@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import materialize, materialize_bucketed, shuffle_width
+from ..session import materialize, materialize_bucketed, shuffle_width, small_batches
 from .common import forget, keyed_text, text_chunks
 
+#: Texts that a worker cuts into chunks at a time.
+BATCH_BYTES = 8 << 20
 CHUNKS = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary())),
                     ("carried", pa.list_(pa.string()))])
 CHUNKS_DDL = "part long, chunk long, ids array<long>, texts array<binary>, carried array<string>"
@@ -45,7 +47,8 @@ class Chunks:
                     pa.array([own], CHUNKS.field("texts").type),
                     pa.array([rows.column("carried").to_pylist()], CHUNKS.field("carried").type)], schema=CHUNKS)
 
-        self.table = materialize_bucketed(texts.mapInArrow(cut, CHUNKS_DDL), "chunks", "part", self.buckets, "zstd")
+        with small_batches(self.spark, BATCH_BYTES):
+            self.table = materialize_bucketed(texts.mapInArrow(cut, CHUNKS_DDL), "chunks", "part", self.buckets, "zstd")
 
     def shards(self, bytes_each: int) -> int:
         return max(1, -(-self.size // bytes_each))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import materialize, small_batches
 from .oracles import ORACLES  # noqa: F401
 from . import blocks, contamination, divergence, langid, lines, lm, pieces, quality, simhash, suffix, tokens, topk, trie
 
@@ -27,8 +28,9 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every text."""
     kept = suffix.remove_repeats(_table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-                       F.sha2("kept", 256).alias("kept_sha256"))
+    with small_batches(spark):
+        return materialize(kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                                       F.sha2("kept", 256).alias("kept_sha256")), "repeats")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

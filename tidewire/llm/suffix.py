@@ -5,7 +5,8 @@ window, so places that may be equal are found by their anchors. Anchors of sever
 kept; where all their surroundings are equal, the smallest document id settles the matter; the other surroundings,
 each once, are put together per shard and their common prefixes are derived from a Burrows-Wheeler transform:
 intervals of strings are extended backward breadth first, so boundaries appear by increasing length of the
-common prefix, and nothing is done beyond ``width``. What is left between boundaries are the equal strings.
+common prefix, and nothing is done beyond ``width``. What is left between boundaries are the equal strings. An anchor
+with very many surroundings is dealt into pieces that share more of them, so what is sorted at a time stays bounded.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
+from ..session import small_batches
 from . import exchange, logbloom
 from .common import MULTIPLIER, between, concat, covered, mix, ragged, rolling
 from .exchange import Chunks
 
 WIDTH, GRAM = 50, 26
 #: Bytes of text per chunk, and per shard of the key space.
-CHUNK, SHARD = 1 << 20, 4 << 20
-#: Bytes that are sorted at a time; equal keys stay together.
+CHUNK, SHARD = 1 << 20, 8 << 20
+#: Bytes that are sorted at a time; equal keys stay together up to twice as many.
 BATCH = 384 << 10
 #: Intervals up to this many rows are extended row by row, larger ones symbol by symbol.
 NARROW = 256
@@ -68,7 +70,8 @@ class Anchors:
         self.doc = np.searchsorted(starts, self.at, "right") - 1
         inside = self.at + gram <= starts[self.doc + 1]
         self.at, self.doc = self.at[inside], self.doc[inside]
-        self.key = h[self.at]
+        # least hashes lie near 0, so they are mixed again to fall into all shards alike
+        self.key = mix(h[self.at])
         self.low = np.maximum(self.at + gram - width, starts[self.doc])
         self.high = np.minimum(self.at + width, starts[self.doc + 1])
         powers = np.cumprod(np.full(len(data) + 1, MULTIPLIER, np.uint64))
@@ -136,7 +139,8 @@ def _shared(row: dict, answers: list[bytes] | None, width: int, gram: int):
     a = Anchors(row["texts"], width, gram)
     ids = _numbers(row["ids"])
     code = np.frombuffer(b"".join(answers or []), np.uint8)
-    keys = np.unique(a.key)
+    keys = np.sort(a.key)
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
     own = code[np.searchsorted(keys, a.key)] if len(keys) else np.zeros(0, np.uint8)
     e = Entries(a, ids, np.flatnonzero(own != UNSHARED))
     return a, ids, e, own[e.example] if len(e.example) else np.zeros(0, np.uint8)
@@ -170,28 +174,63 @@ def _tell_around(bodies: list[list[bytes]], width: int) -> list[bytes]:
     mask[(code == SETTLED) & (least < smallest)] = ~np.uint64(0)
     which = np.flatnonzero(code == OPEN)
     if len(which):
-        around, length, text = join(3, np.uint64), join(5, np.uint8).astype(np.int64), join(6, np.uint8)
+        around, before, length, text = join(3, np.uint64), join(4, np.uint8).astype(np.int64), join(5, np.uint8).astype(np.int64), join(6, np.uint8)
         begin = np.cumsum(length) - length
         order = np.lexsort((smallest[which], around, key[which]))
         k, r = key[which][order], around[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])
-        one = order[new]
-        place, of = ragged(begin[one], begin[one] + length[one])
-        text, starts = text[place], np.concatenate([[0], np.cumsum(length[one])])
-        low = np.empty(len(text), np.int64)
-        for i, j in _batches(k[new], starts):
-            low[starts[i]:starts[j]] = smallest_with(text[starts[i]:starts[j]], starts[i:j + 1] - starts[i], smallest[which][one][i:j], width)
-        region = np.empty(len(which), np.int64)
-        region[order] = np.cumsum(new) - 1
-        begins = (np.cumsum(length[one]) - length[one])[region]
-        strings = length - width + 1
-        for i in range(int(strings.max(initial=0))):
-            has = np.flatnonzero(strings > i)
-            smaller = low[begins[has] + i] < smallest[which[has]]
-            mask[which[has]] |= smaller.astype(np.uint64) << np.uint64(i)
+        first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])]))
+        one, ends = order[first], np.append(first[1:], len(order))
+        for i, j in _batches(k[first], np.concatenate([[0], np.cumsum(length[one])])):
+            own, rows = one[i:j], order[first[i]:ends[j - 1]]
+            low = least_owners(text, begin[own], length[own], before[own], smallest[which[own]], width)
+            of = np.repeat(np.arange(j - i), ends[i:j] - first[i:j])
+            for n in range(low.shape[1]):
+                mask[which[rows]] |= (low[of, n] < smallest[which[rows]]).astype(np.uint64) << np.uint64(n)
     return [x.tobytes() for x in np.split(mask, np.cumsum(size)[:-1])]
 
 
+def least_owners(text: np.ndarray, begin: np.ndarray, size: np.ndarray, before: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
+    """[i, n]: the least owner of a piece that has the ``width`` bytes of piece i from its n-th on, around its own anchor; the
+    largest number where fewer are left. A piece has ``size`` bytes from ``begin`` on, ``before`` of them before its anchor.
+
+    Pieces of more than ``BATCH`` bytes are dealt by what strings with almost as many bytes before the anchor have in common, and
+    those bytes are more and more; when they are the whole string, nothing is left to sort.
+    """
+    none = np.iinfo(np.int64).max
+    out = np.full((len(begin), max(0, int((size - width).max()) + 1)), none)
+
+    def put(which: np.ndarray, least: np.ndarray, few: int, many: int) -> None:
+        """``least``: by byte of the pieces ``which``, one after the other; of strings with ``few`` to ``many`` bytes before the anchor."""
+        first = np.cumsum(size[which]) - size[which]
+        for n in range(out.shape[1]):
+            has = np.flatnonzero((size[which] - width >= n) & (before[which] - n >= few) & (before[which] - n <= many))
+            out[which[has], n] = least[first[has] + n]
+
+    def sort(which: np.ndarray, few: int, many: int) -> None:
+        place, _ = ragged(begin[which], begin[which] + size[which])
+        put(which, smallest_with(text[place], np.concatenate([[0], np.cumsum(size[which])]), owner[which], width), few, many)
+
+    def deal(which: np.ndarray, few: int, many: int) -> None:
+        middle = (few + many) // 2
+        for a, b in ((few, middle), (middle + 1, many)):
+            # strings with a to b bytes before the anchor all hold the bytes from the a-th before it to this one behind its start
+            own = which[(before[which] >= a) & (size[which] - before[which] >= width - b)]
+            if not len(own):
+                continue
+            common = text[(begin + before)[own][:, None] + np.arange(-a, width - b)]
+            _, group = np.unique(np.ascontiguousarray(common).view(f"V{common.shape[1]}")[:, 0], return_inverse=True)
+            own, group = own[np.argsort(group, kind="stable")], np.sort(group)
+            if a == b:  # each group has one string
+                out[own, before[own] - a] = np.minimum.reduceat(owner[own], np.flatnonzero(np.diff(group, prepend=-1)))[group]
+                continue
+            for i, j in _batches(group, np.concatenate([[0], np.cumsum(size[own])])):
+                (sort if size[own[i:j]].sum() <= 2 * BATCH else deal)(own[i:j], a, b)
+
+    every = np.arange(len(begin))
+    (sort if size.sum() <= 2 * BATCH else deal)(every, 0, int(before.max()))
+    return out
+
+
 def _batches(keys: np.ndarray, starts: np.ndarray):
     """Ranges of pieces with about ``BATCH`` bytes that do not part equal keys; equal strings have equal keys."""
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -294,14 +333,15 @@ def _kept(row: dict, shards: int, width: int, gram: int):
     keys, masks = exchange.split_turns(row["answer"])
     a, ids, e, _ = _shared(row, keys, width, gram)
     mask = np.frombuffer(b"".join(masks), np.uint64)
-    starts = np.zeros(0, np.int64)
+    starts = np.zeros(len(a.data), bool)
     if len(e.anchor):
         # all documents of a chunk that have an entry, but the smallest, have a smaller one: that
         bits = np.where(ids[a.doc[e.anchor]] > e.smallest[e.of], ~np.uint64(0), mask[e.of])
-        low, strings = a.low[e.anchor], (a.high - a.low)[e.anchor] - width + 1
-        found = [(low + i)[(strings > i) & (bits >> np.uint64(i) & np.uint64(1) == 1)] for i in range(width - gram + 1)]
-        starts = np.unique(np.concatenate(found))
-    gone = covered(starts, width, len(a.data))
+        some = np.flatnonzero(bits)
+        bits, low, strings = bits[some], a.low[e.anchor[some]], (a.high - a.low)[e.anchor[some]] - width + 1
+        for i in range(width - gram + 1):
+            starts[(low + i)[(strings > i) & (bits >> np.uint64(i) & np.uint64(1) == 1)]] = True
+    gone = covered(np.flatnonzero(starts), width, len(a.data))
     out = {f.name: [] for f in KEPT}
     for i, (doc_id, text, carried) in enumerate(zip(row["ids"], row["texts"], row["carried"])):
         own = gone[a.starts[i]:a.starts[i + 1]]
@@ -325,9 +365,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, id_col
         raise ValueError("width must exceed gram by at most 63 and be below 128")
     chunks = Chunks(docs, CHUNK, id_col, text_col, carry)
     shards = chunks.shards(SHARD)
-    asked = chunks.map(chunks.table, lambda row: _ask_keys(row, shards, width, gram), exchange.ASK_DDL)
-    codes = exchange.answered(asked, _tell_keys, "codes")
-    asked = chunks.map(chunks.with_answers(codes), lambda row: _ask_around(row, shards, width, gram), exchange.ASK_DDL)
-    masks = exchange.answered(asked, lambda bodies: _tell_around(bodies, width), "masks")
+    with small_batches(chunks.spark):
+        asked = chunks.map(chunks.table, lambda row: _ask_keys(row, shards, width, gram), exchange.ASK_DDL)
+        codes = exchange.answered(asked, _tell_keys, "codes")
+        asked = chunks.map(chunks.with_answers(codes), lambda row: _ask_around(row, shards, width, gram), exchange.ASK_DDL)
+        masks = exchange.answered(asked, lambda bodies: _tell_around(bodies, width), "masks")
     both = exchange.in_turn(codes, masks, shards)
     return chunks.map(chunks.with_answers(both), lambda row: _kept(row, shards, width, gram), KEPT_DDL)
