@@ -315,3 +315,14 @@ def test_language_held_out(spark, sf_dir):
     found = langid.identify(documents.filter(held_out), langid.fit(documents.filter(~held_out)))
     right = found.join(documents, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     assert right > 0.95
+
+
+def test_far_texts_send_their_grams_once(docs, monkeypatch):
+    """Without a broadcast filter neither it nor what scoring needs is stored: n-grams travel once, answers come back."""
+    from tidewire.llm import exchange
+    stored, store, answered, sent = [], lm.materialize, exchange.answered, []
+    monkeypatch.setattr(lm, "materialize", lambda df, name="step": stored.append(name) or store(df, name))
+    monkeypatch.setattr(exchange, "answered", lambda asked, fn, name: sent.append(name) or answered(asked, fn, name))
+    monkeypatch.setattr(lm, "SEGMENT_KEYS", 1000)
+    got = lm.score_documents(docs, langid.remainder("doc_id", 5) == 1, broadcast_bytes=-1)
+    assert got.count() == docs.count() and stored == ["words", "scores"] and sent == ["codes"]

@@ -1,24 +1,22 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
 The n-gram counts of all training texts are summed by a shuffle, each segment of the key space becomes a part of
-the filter, and the parts are broadcast if together they stay below a limit. Otherwise the n-grams of the texts
-go to the segments instead; the filter, and so the scores, are the same. A token's probability is smoothed from the
+the filter, and the parts are broadcast if together they are sure to stay below a limit. Otherwise each segment answers the
+texts whose n-grams it has counted; the filter, and so the scores, are the same. A token's probability is smoothed from the
 unigram up: P(w|h) = (c(hw) + strength * P(w|h')) / (c(h) + strength), all counts from the filter.
 """
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from ..session import materialize, small_batches
-from . import logbloom, sums
+from . import exchange, logbloom, sums
 from .common import CHUNK_BYTES, batch_of, keyed_text, mix, text_chunks
+from .exchange import Chunks
 
 #: n-grams of one filter segment, about; and the largest filter that is broadcast.
 SEGMENT_KEYS, BROADCAST_BYTES = 1 << 21, 192 << 20
@@ -73,6 +71,10 @@ class Tokens:
             end = self._longer(end, hashes[:1])
             self.padding.append(end)
 
+    def all_keys(self) -> np.ndarray:
+        """The keys, and those of a context before the first word: as many ends as it takes."""
+        return np.concatenate([*self.keys, *self.padding[:-1]])
+
     @staticmethod
     def _longer(context: np.ndarray, last: np.ndarray) -> np.ndarray:
         return mix(context * np.uint64(0xD6E8FEB86659FD93) ^ last)
@@ -83,8 +85,7 @@ def gram_filter(texts: DataFrame, order: int, segments: int) -> DataFrame:
     def count(batches):
         for _, own in text_chunks(batches, 2 * CHUNK_BYTES):
             t = Tokens(own, order)
-            # a context before the first word: as many ends as it takes
-            keys = np.concatenate([*t.keys, *t.padding[:-1]])
+            keys = t.all_keys()
             counts = np.concatenate([*[np.bincount(i, minlength=len(k)) for i, k in zip(t.ids, t.keys)], np.full(len(keys), len(own))])[:len(keys)]
             sort = np.argsort(keys)
             keys, counts = keys[sort], counts[sort]
@@ -128,7 +129,7 @@ class Scorer:
     def prepare(self, ids: list, held_out: list, texts: list[bytes]) -> dict:
         """All but the filter's answers: distinct n-gram keys, where each token's are, and what the words give."""
         t = Tokens(texts, self.order)
-        keys = np.concatenate(t.keys)
+        keys = t.all_keys()
         sort = np.argsort(keys)
         rank = np.empty(len(keys), np.int32)
         rank[sort] = np.arange(len(keys), dtype=np.int32)
@@ -170,34 +171,44 @@ def _near(docs: DataFrame, scorer, shared) -> DataFrame:
     return docs.mapInArrow(run, SCORED_DDL)
 
 
-def _far(docs: DataFrame, scorer, parts: DataFrame, segments: int) -> DataFrame:
-    """The same without the whole filter anywhere: keys go to the segments, answers back to the chunks."""
-    schema = pa.schema([("chunk", pa.int64()), ("segment", pa.int64()), ("payload", pa.binary())])
-
-    def cut(batches):
-        chunk_id = TaskContext.get().partitionId() << 32
-        for rows, texts in text_chunks(batches):
-            chunk = scorer.value.prepare(rows.column("id").to_pylist(), rows.column("held_out").to_pylist(), texts)
-            keys = chunk.pop("keys")
-            own = [(-1, pickle.dumps(chunk))] + [(s, keys[a:b].tobytes()) for s, a, b in logbloom.slices(keys, segments)]
-            yield batch_of(schema, chunk=[chunk_id] * len(own), segment=[s for s, _ in own], payload=[p for _, p in own])
-            chunk_id += 1
-
-    stored = materialize(docs.mapInArrow(cut, "chunk long, segment long, payload binary"), "chunks")
-
-    def ask(asked: pa.Table, held: pa.Table) -> pa.Table:
-        found = logbloom.Filter(segments, list(zip(held.column("segment").to_pylist(), held.column("bits").to_pylist())))
-        codes = [found.ask(np.frombuffer(p, np.uint64)).tobytes() for p in asked.column("payload").to_pylist()]
-        return pa.table({"chunk": asked.column("chunk"), "segment": asked.column("segment"), "codes": pa.array(codes, pa.binary())})
-
-    def finish(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by("segment")
-        codes = np.frombuffer(b"".join(answers.column("codes").to_pylist()), np.uint8)
-        return pa.Table.from_batches([scorer.value.finish(pickle.loads(p), codes) for p in chunks.column("payload").to_pylist()], SCORED)
+def _far(docs: DataFrame, scorer, order: int, segments: int) -> DataFrame:
+    """The same without the whole filter anywhere: n-grams and their counts go to the segments once per chunk of text; each builds
+    its part of the filter, asks it there, and the answers go back to the texts."""
+    def count(row):
+        t = Tokens(row["texts"], order)
+        learns = np.array([x == "false" for x in row["carried"]])
+        token = np.repeat(learns, t.size)
+        counts = [np.bincount(i[token], minlength=len(k)) for i, k in zip(t.ids, t.keys)]
+        keys = t.all_keys()
+        counts = np.concatenate([*counts, np.full(len(keys), learns.sum())])[:len(keys)]
+        sort = np.argsort(keys)
+        keys, counts = keys[sort], counts[sort]
+        yield from exchange.ask(row, ((s, [exchange.planes(keys[a:b], 8), exchange.planes(counts[a:b], 4)])
+                                      for s, a, b in logbloom.slices(keys, segments)))
 
-    keys = stored.filter("segment >= 0")
-    codes = keys.groupBy("segment").cogroup(parts.groupBy("segment")).applyInArrow(ask, "chunk long, segment long, codes binary")
-    return stored.filter("segment < 0").groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInArrow(finish, SCORED_DDL)
+    def tell(bodies):
+        keys = np.concatenate([exchange.from_planes(b[0], 8) for b in bodies])
+        counts = np.concatenate([exchange.from_planes(b[1], 4) for b in bodies]).astype(np.int64)
+        sort = np.argsort(keys)
+        ordered = keys[sort]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        first = np.flatnonzero(new)
+        times, ordered = np.add.reduceat(counts[sort], first), ordered[first]
+        seen = times > 0
+        parts = [(int(logbloom.segment_of(ordered[:1], segments)[0]), logbloom.build(ordered[seen], times[seen]))] if seen.any() else []
+        codes = np.empty(len(keys), np.uint8)
+        codes[sort] = logbloom.Filter(segments, parts).ask(ordered)[np.cumsum(new) - 1]
+        return [x.tobytes() for x in np.split(codes, np.cumsum([len(b[0]) // 8 for b in bodies])[:-1])]
+
+    def finish(row):
+        own = scorer.value
+        chunk = own.prepare(row["ids"], [x == "true" for x in row["carried"]], row["texts"])
+        yield own.finish(chunk, np.frombuffer(b"".join(row["answer"]), np.uint8))
+
+    chunks = Chunks(docs, 2 * CHUNK_BYTES, "id", "text", F.col("held_out").cast("string"))
+    with small_batches(docs.sparkSession):
+        codes = exchange.answered(chunks.map(chunks.table, count, exchange.ASK_DDL), tell, "codes")
+    return chunks.map(chunks.with_answers(codes), finish, SCORED_DDL)
 
 
 def score_documents(docs: DataFrame, held_out: Column, order: int = 2, strength: float = STRENGTH,
@@ -214,18 +225,18 @@ def score_documents(docs: DataFrame, held_out: Column, order: int = 2, strength:
     counts = materialize(sums.word_counts(training, fold=True, with_end=True), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     segments = max(1, -(-total * order // SEGMENT_KEYS))
-    with small_batches(docs.sparkSession, BATCH_BYTES):
-        parts = materialize(gram_filter(training, order, segments), "filter")
     context = docs.sparkSession.sparkContext
     scorer = context.broadcast(Scorer(order, strength, sums.head_of(counts, "n"), total, distinct))
-    if (parts.agg(F.sum(F.length("bits"))).first()[0] or 0) <= broadcast_bytes:
-        rows = parts.toArrow()
+    # An n-gram is stored at most as often as it occurs, so before any is counted it is known which filters are small.
+    if total * order * logbloom.BITS_PER_ENTRY // 8 <= broadcast_bytes:
+        with small_batches(docs.sparkSession, BATCH_BYTES):
+            rows = materialize(gram_filter(training, order, segments), "filter").toArrow()
         held = [(s.as_py(), bits.as_buffer()) for s, bits in zip(rows.column("segment"), rows.column("bits"))]
         shared = context.broadcast(logbloom.Filter(segments, held))
         del rows, held
         scored = _near(texts, scorer, shared)
     else:
-        shared, scored = None, _far(texts, scorer, parts, segments)
+        shared, scored = None, _far(texts, scorer, order, segments)
     with small_batches(docs.sparkSession, BATCH_BYTES):
         scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scores")
     for sent in (scorer, shared):

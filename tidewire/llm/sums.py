@@ -16,6 +16,8 @@ from .common import batch_of, text_chunks
 
 #: Words looked up in place, and the longest of them in bytes: 16 MB at most with their values.
 HEAD, HEAD_BYTES = 200_000, 64
+#: Distinct words that a task counts before it hands them on.
+HELD = 1 << 17
 COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 TAIL = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 TAIL_DDL = "tail array<struct<word: binary, n: long>>"
@@ -24,14 +26,17 @@ TAIL_DDL = "tail array<struct<word: binary, n: long>>"
 def word_counts(texts: DataFrame, fold: bool, with_end: bool) -> DataFrame:
     """(word, n) over all texts; the end of a text is the word of no bytes."""
     def run(batches):
+        count: Counter = Counter()
         for _, own in text_chunks(batches):
-            count: Counter = Counter()
             for t in own:
                 count.update((t.lower() if fold else t).split())
             if with_end:
-                count[b""] = len(own)
-            if count:
+                count[b""] += len(own)
+            if len(count) > HELD:
                 yield batch_of(COUNTS, word=list(count), n=list(count.values()))
+                count.clear()
+        if count:
+            yield batch_of(COUNTS, word=list(count), n=list(count.values()))
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
