@@ -196,3 +196,15 @@ def test_surroundings_of_one_anchor_are_dealt(monkeypatch, batch):
     got = suffix.least_owners(text, np.cumsum(size) - size, size, before, owner, 50)
     assert got.tolist() == [[best.get(p[n:n + 50], NULL - 1) if n <= len(p) - 50 else NULL - 1 for n in range(25)] for _, p in pieces]
     assert max(sorted_at_once, default=0) <= 2 * batch
+
+
+def test_chunks_are_read_in_small_pieces(spark):
+    """A task's chunks are several row groups: none has to be held whole."""
+    import pyarrow.parquet as pq
+    from tidewire.llm import exchange
+    rng = np.random.default_rng(8)
+    texts = [(i, rng.integers(97, 123, 1 << 20).astype(np.uint8).tobytes().decode()) for i in range(9)]
+    table = exchange.Chunks(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), 1 << 20).table
+    sizes = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in table.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in sizes for i in range(m.num_row_groups)]
+    assert sum(groups) == table.count() >= 9 and max(groups) <= 6

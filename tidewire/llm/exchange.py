@@ -19,6 +19,9 @@ from .common import forget, keyed_text, text_chunks
 
 #: Texts that a worker cuts into chunks at a time.
 BATCH_BYTES = 8 << 20
+#: A reader holds a row group at a time, several times over. By default it would be all that a task has written, as Parquet first
+#: looks at the size after 100 rows, and rows are chunks of megabytes.
+STORED = {"compression": "zstd", "parquet.block.size": 2 << 20, "parquet.page.size.row.check.min": 1}
 CHUNKS = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.binary())),
                     ("carried", pa.list_(pa.string()))])
 CHUNKS_DDL = "part long, chunk long, ids array<long>, texts array<binary>, carried array<string>"
@@ -48,7 +51,7 @@ class Chunks:
                     pa.array([rows.column("carried").to_pylist()], CHUNKS.field("carried").type)], schema=CHUNKS)
 
         with small_batches(self.spark, BATCH_BYTES):
-            self.table = materialize_bucketed(texts.mapInArrow(cut, CHUNKS_DDL), "chunks", "part", self.buckets, "zstd")
+            self.table = materialize_bucketed(texts.mapInArrow(cut, CHUNKS_DDL), "chunks", "part", self.buckets, **STORED)
 
     def shards(self, bytes_each: int) -> int:
         return max(1, -(-self.size // bytes_each))

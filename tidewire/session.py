@@ -139,10 +139,10 @@ def _table_name(path: str) -> str:
     return path.rsplit("/", 1)[1].replace("-", "_")
 
 
-def materialize_bucketed(df: DataFrame, name: str, column: str, buckets: int, compression: str = "snappy") -> DataFrame:
+def materialize_bucketed(df: DataFrame, name: str, column: str, buckets: int, **options: object) -> DataFrame:
     """``materialize`` as a table in ``buckets`` buckets of ``column``: what is joined to it by that column travels, it stays."""
     path = step_path(df.sparkSession, name)
-    df.write.bucketBy(buckets, column).option("compression", compression).option("path", path).saveAsTable(_table_name(path))
+    df.write.bucketBy(buckets, column).options(**options).option("path", path).saveAsTable(_table_name(path))
     return df.sparkSession.table(_table_name(path))
 
 
